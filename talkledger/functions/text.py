@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talkledger import fixed_values as fixed
 
 #: White space as Python's ``str.strip`` sees it (Java's ``\s`` is ASCII only).
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _col(text: str | Column) -> Column:
