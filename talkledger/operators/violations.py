@@ -132,7 +132,7 @@ def deduplicated(
         kept = (
             narrow.join(anchor, cluster)
             .groupBy(*cluster)
-            .agg(F.coalesce(F.max_by(F.col("seq"), above), F.first("_seq")).alias("seq"))
+            .agg(F.coalesce(F.max_by(F.col("seq"), above), F.min("_seq")).alias("seq"))
         )
     return violations.join(kept.select("recording_id", "seq"), ["recording_id", "seq"], "left_semi")
 
