@@ -44,6 +44,7 @@ def sheet_rows(
     key = dict(files.dtypes)["sheet_id"]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(1 << 31)
         for pdf in batches:
             rows = []
             for sheet, data in zip(pdf["sheet_id"], pdf["content"], strict=True):

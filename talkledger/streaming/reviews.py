@@ -4,26 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkledger import fixed_values as fixed
 from talkledger.operators import ordered as o
 
 
-def _latest_per_finding(updates: Column) -> Column:
-    """Last status of every finding in a burst: (upd_seq, seq, status) in arrival order."""
-    ordered = F.array_sort(updates)
-    return F.filter(
-        ordered,
-        lambda u: ~F.exists(ordered, lambda v: (v["seq"] == u["seq"]) & (v["upd_seq"] > u["upd_seq"])),
-    )
-
-
 def burst_stream(
     updates: DataFrame, quiet_ms: int = fixed.QUIET_MS, delay: str = "10 seconds"
 ) -> DataFrame:
-    """Streaming form: one row per burst, closed once no update of the recording came for
+    """Streaming form: the updates of each burst, once no update of the recording came for
     ``quiet_ms``. ``updates`` is (recording_id, ts, upd_seq, seq, status)."""
     window = F.session_window("ts", f"{quiet_ms} milliseconds")
     return (
@@ -33,7 +24,7 @@ def burst_stream(
         .select(
             "recording_id",
             F.col("burst.start").alias("first_ts"),
-            F.explode(_latest_per_finding(F.col("_all"))).alias("_u"),
+            F.explode("_all").alias("_u"),
         )
         .select("recording_id", "first_ts", "_u.seq", "_u.upd_seq", "_u.status")
     )
@@ -46,10 +37,18 @@ def start_reviews(
     quiet_ms: int = fixed.QUIET_MS,
     **trigger,
 ):
-    """Run the stream; ``flush`` gets each batch of closed bursts (apply_review fits)."""
+    """Run the stream; ``flush`` gets the last status of every finding of closed bursts, as
+    ``apply_review`` takes it."""
+
+    def last(batch: DataFrame, batch_id: int) -> None:
+        settled = batch.groupBy("recording_id", "first_ts", "seq").agg(
+            F.max("upd_seq").alias("upd_seq"), F.max_by("status", "upd_seq").alias("status")
+        )
+        flush(settled, batch_id)
+
     return (
         burst_stream(updates, quiet_ms)
-        .writeStream.foreachBatch(flush)
+        .writeStream.foreachBatch(last)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))
