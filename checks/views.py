@@ -16,7 +16,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def segments(spark: SparkSession, folder: str) -> DataFrame:
+def rows(spark: SparkSession, folder: str, name: str, key: str) -> int | None:
+    """Slice size for the recordings of a table: None once a count shows all are short."""
+    return o.slice_rows(table(spark, folder, name), [key])
+
+
+def turn_rows(spark: SparkSession, folder: str) -> int | None:
+    return rows(spark, folder, "conversations", "conv_id")
+
+
+def event_rows(spark: SparkSession, folder: str) -> int | None:
+    return rows(spark, folder, "events", "user_id")
+
+
+def segments(spark: SparkSession, folder: str, size: int | None = o.SLICE_ROWS) -> DataFrame:
     """Turns of a conversation as segments of a recording."""
     x = table(spark, folder, "conversations").select(
         F.col("conv_id").alias("recording_id"),
@@ -27,7 +40,7 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
         ((F.col("conv_id") * 31 + F.col("turn") * 17) % 3000).alias("_gap"),
         (((F.col("conv_id") * 7 + F.col("turn") * 13) % 100).cast("double") / 100).alias("confidence"),
     )
-    x = o.scan(x, ["recording_id"], "seg_idx", {"end_ms": o.running(F.col("_dur") + F.col("_gap"))})
+    x = o.scan(x, ["recording_id"], "seg_idx", {"end_ms": o.running(F.col("_dur") + F.col("_gap"))}, size)
     return x.select(
         "recording_id", "seg_idx", "speaker", "text", "confidence",
         (F.col("end_ms") - F.col("_dur")).alias("start_ms"), "end_ms",
@@ -44,9 +57,9 @@ v_segments AS (SELECT recording_id, seg_idx, speaker, text, confidence,
   CAST(SUM(dur_ms+gap_ms) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS BIGINT) AS end_ms FROM seg_x)"""
 
 
-def entries(spark: SparkSession, folder: str) -> DataFrame:
+def entries(spark: SparkSession, folder: str, size: int | None = o.SLICE_ROWS) -> DataFrame:
     """Every segment as a transcript entry; some without an end."""
-    s = segments(spark, folder)
+    s = segments(spark, folder, size)
     return s.select(
         "recording_id",
         F.col("seg_idx").alias("seq"),

@@ -72,7 +72,7 @@ def nearest_screen_text(
     violations: DataFrame,
     ocr: DataFrame,
     margin_ms: int = fixed.EVIDENCE_MARGIN_MS,
-    slice_ms: int = o.SLICE_MS,
+    slice_ms: int | None = o.SLICE_MS,
 ) -> DataFrame:
     """Fill evidence of transcript violations from the OCR row nearest in time.
 
@@ -111,7 +111,7 @@ def nearest_screen_text(
 
 
 def active_block(
-    probes: DataFrame, blocks: DataFrame, slice_ms: int = o.SLICE_MS
+    probes: DataFrame, blocks: DataFrame, slice_ms: int | None = o.SLICE_MS
 ) -> DataFrame:
     """The last block that starts at or before ``time_ms`` (-1 when there is none)."""
     starts = blocks.groupBy("recording_id", F.col("start_ms").alias("time_ms")).agg(

@@ -16,7 +16,7 @@ from talkledger.functions import times
 from talkledger.operators import ordered as o
 
 
-def assembled_responses(lines: DataFrame, rows: int = o.SLICE_ROWS) -> DataFrame:
+def assembled_responses(lines: DataFrame, rows: int | None = o.SLICE_ROWS) -> DataFrame:
     """(request_id, line_no, line) token chunks to one response row per request.
 
     Blank and unreadable lines are skipped; model, duration and token count come from the

@@ -171,7 +171,7 @@ def greedy_groups(
     value: Column,
     rule: Rule,
     force: Column | None = None,
-    rows: int = SLICE_ROWS,
+    rows: int | None = SLICE_ROWS,
     out: str = "group_idx",
 ) -> DataFrame:
     """(keys, order, group number from 0) for every row of ``df``."""
@@ -181,7 +181,7 @@ def greedy_groups(
         order,
         value.cast("long").alias("_value"),
         (F.lit(False) if force is None else F.coalesce(force, F.lit(False))).alias("_force"),
-        _div(order, rows).alias("_slice"),
+        (F.lit(0).cast("long") if rows is None else _div(order, rows)).alias("_slice"),
     )
     key_ddl = ", ".join(f"`{k}` {t}" for k, t in df.dtypes if k in keys)
     key_cols = [k for k, _ in df.dtypes if k in keys]
@@ -216,8 +216,8 @@ def greedy_groups(
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
         part = read(pdf)
-        entered = pdf["_x"].iloc[0]
-        state = None if pd.isna(entered) else (int(entered), int(pdf["_r"].iloc[0]))
+        entered = pdf["_x"].iloc[0] if "_x" in pdf else None
+        state = None if entered is None or pd.isna(entered) else (int(entered), int(pdf["_r"].iloc[0]))
         base = 0 if state is None else int(pdf["_base"].iloc[0])
         opens = np.zeros(part.n, dtype=np.int64)
         opens[part.starts(state)] = 1
@@ -225,6 +225,9 @@ def greedy_groups(
         return pdf[[*key_cols, order, out]]
 
     order_type = dict(df.dtypes)[order]
+    result = f"{key_ddl}, `{order}` {order_type}, `{out}` bigint"
+    if rows is None:
+        return narrow.groupBy(*keys).applyInPandas(apply, result)
     long_keys = narrow.where(F.col("_slice") != 0).select(*keys).distinct()
     summaries = (
         narrow.join(long_keys, list(keys), "left_semi")
@@ -240,5 +243,5 @@ def greedy_groups(
     return (
         narrow.join(entries, cell, "left")
         .groupBy(*cell)
-        .applyInPandas(apply, f"{key_ddl}, `{order}` {order_type}, `{out}` bigint")
+        .applyInPandas(apply, result)
     )

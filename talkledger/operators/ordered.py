@@ -12,6 +12,9 @@ task, so the scans here work in two levels:
 
 The order column is an integer, unique inside its keys (a list position, or a
 distinct millisecond), which bounds every slice by ``rows``.
+
+Where a count has shown that no key holds more than one slice of rows
+(:func:`slice_rows`), ``rows=None`` asks for the plain one-level window instead.
 """
 
 from __future__ import annotations
@@ -32,6 +35,16 @@ def _div(order: str | Column, rows: int) -> Column:
     return F.floor(order / F.lit(rows)).cast("long")
 
 
+def slice_rows(df: DataFrame, keys: Sequence[str] = ("recording_id",), rows: int = SLICE_ROWS) -> int | None:
+    """None when no key has more than ``rows`` rows, else ``rows``.
+
+    Run it once on a base table: it reads the key columns only and counts before it
+    shuffles. Operators that keep or shrink the rows of a key can take over the answer.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return None if counts.where(F.col("_n") > rows).isEmpty() else rows
+
+
 @dataclass(frozen=True)
 class Carry:
     """One value a scan adds to every row; see the constructors below."""
@@ -65,10 +78,19 @@ def soonest(value: Column) -> Carry:
     return Carry("soonest", value)
 
 
+def final(value: Column) -> Carry:
+    """Value of the last row."""
+    return Carry("final", value)
+
+
 def overall_max(value: Column) -> Carry:
     return Carry("max", value)
 
 
+def overall_min(value: Column) -> Carry:
+    return Carry("min", value)
+
+
 def overall_sum(value: Column) -> Carry:
     return Carry("sum", value)
 
@@ -76,7 +98,7 @@ def overall_sum(value: Column) -> Carry:
 def _partials(carry: Carry, name: str, order: Column) -> list[Column]:
     v = carry.value
     match carry.kind:
-        case "previous":
+        case "previous" | "final":
             return [F.max_by(v, order).alias(name)]
         case "following":
             return [F.min_by(v, order).alias(name)]
@@ -86,6 +108,8 @@ def _partials(carry: Carry, name: str, order: Column) -> list[Column]:
             return [F.max_by(v, F.when(v.isNotNull(), order)).alias(name)]
         case "soonest":
             return [F.min_by(v, F.when(v.isNotNull(), order)).alias(name)]
+        case "min":
+            return [F.min(v).alias(name)]
         case _:
             return [F.max(v).alias(name)]
 
@@ -105,8 +129,12 @@ def _across(carry: Carry, name: str, keys: Sequence[str]) -> Column:
             return F.last(name, ignorenulls=True).over(over.rowsBetween(past, -1))
         case "soonest":
             return F.last(name, ignorenulls=True).over(back.rowsBetween(past, -1))
+        case "final":
+            return F.last(name).over(over.rowsBetween(past, Window.unboundedFollowing))
         case "sum":
             return F.sum(name).over(Window.partitionBy(*keys))
+        case "min":
+            return F.min(name).over(Window.partitionBy(*keys))
         case _:
             return F.max(name).over(Window.partitionBy(*keys))
 
@@ -134,16 +162,40 @@ def _local(carry: Carry, name: str, cell: Sequence[str], order: Column) -> Colum
             return edge
 
 
+def _whole(carry: Carry, keys: Sequence[str], order: Column) -> Column:
+    """A carry as a plain window over a key of proven size."""
+    v, key = carry.value, Window.partitionBy(*keys)
+    over, back = key.orderBy(order), key.orderBy(order.desc())
+    past = Window.unboundedPreceding
+    match carry.kind:
+        case "previous":
+            return F.lag(v).over(over)
+        case "following":
+            return F.lead(v).over(over)
+        case "running":
+            return F.sum(v).over(over.rowsBetween(past, 0))
+        case "latest":
+            return F.last(v, ignorenulls=True).over(over.rowsBetween(past, 0))
+        case "soonest":
+            return F.last(v, ignorenulls=True).over(back.rowsBetween(past, 0))
+        case "final":
+            return F.last(v).over(over.rowsBetween(past, Window.unboundedFollowing))
+        case kind:
+            return {"sum": F.sum, "min": F.min, "max": F.max}[kind](v).over(key)
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     carries: Mapping[str, Carry],
-    rows: int = SLICE_ROWS,
+    rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """Add one column per carry, in ``order`` inside ``keys``."""
     cell = [*keys, _SLICE]
     pos = F.col(order)
+    if rows is None:
+        return df.select(*df.columns, *[_whole(c, keys, pos).alias(out) for out, c in carries.items()])
     names = {out: f"_edge_{i}" for i, out in enumerate(carries)}
     cut = df.withColumn(_SLICE, _div(pos, rows))
     edges = cut.groupBy(*cell).agg(
@@ -165,13 +217,17 @@ def islands(
     fields: Sequence[str],
     breaks: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     out: str = "island",
-    rows: int = SLICE_ROWS,
+    rows: int | None = SLICE_ROWS,
+    carries: Mapping[str, Carry] | None = None,
 ) -> DataFrame:
     """Number the runs of rows, from 0; ``breaks(before, here)`` opens a new run.
 
     The break test runs twice: between neighbours of a slice, and between the last
-    row of a slice and the first of the next, so one edge pass is enough.
+    row of a slice and the first of the next, so one edge pass is enough. ``carries``
+    are added in the same pass.
     """
+    carries = carries or {}
+    names = {c: f"_edge_{i}" for i, c in enumerate(carries)}
     cell = [*keys, _SLICE]
     pos = F.col(order)
     inside = Window.partitionBy(*cell).orderBy(pos)
@@ -180,6 +236,17 @@ def islands(
     def opened(before: Callable[[str], Column], here: Callable[[str], Column]) -> Column:
         return F.when(breaks(before, here), 1).otherwise(0)
 
+    if rows is None:
+        key = Window.partitionBy(*keys).orderBy(pos)
+        flags = df.select(
+            *df.columns,
+            *[_whole(carry, keys, pos).alias(c) for c, carry in carries.items()],
+            F.when(F.row_number().over(key) == 1, 0)
+            .otherwise(opened(lambda c: F.lag(c).over(key), F.col))
+            .alias("_opens"),
+        )
+        number = F.sum("_opens").over(key.rowsBetween(Window.unboundedPreceding, 0))
+        return flags.withColumn(out, number).drop("_opens")
     cut = df.withColumn(_SLICE, _div(pos, rows))
     # 0 for the first row of a slice: whether it opens a run is known on the edges
     flagged = cut.withColumn(
@@ -192,6 +259,7 @@ def islands(
         F.sum("_opens").alias("_inner"),
         *[F.min_by(c, order).alias(f"_first_{c}") for c in fields],
         *[F.max_by(c, order).alias(f"_last_{c}") for c in fields],
+        *[p for c, carry in carries.items() for p in _partials(carry, names[c], pos)],
     )
     edges = edges.withColumn(
         "_border",
@@ -206,12 +274,13 @@ def islands(
             F.coalesce(F.sum(F.col("_inner") + F.col("_border")).over(before), F.lit(0))
             + F.col("_border")
         ).alias("_base"),
+        *[_across(carry, names[c], keys).alias(names[c]) for c, carry in carries.items()],
     )
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        flagged.join(edges, cell)
-        .withColumn(out, F.sum("_opens").over(so_far) + F.col("_base"))
-        .drop(_SLICE, "_opens", "_base")
+    return flagged.join(edges, cell).select(
+        *df.columns,
+        *[_local(carry, names[c], cell, pos).alias(c) for c, carry in carries.items()],
+        (F.sum("_opens").over(so_far) + F.col("_base")).alias(out),
     )
 
 
@@ -221,7 +290,7 @@ def positions(
     time: str,
     seq: str,
     out: str = "pos",
-    rows: int = SLICE_ROWS,
+    rows: int | None = SLICE_ROWS,
     span_ms: int = SLICE_MS,
 ) -> DataFrame:
     """Rank from 0 by (time, seq) inside ``keys``, for tables not listed in time order.
@@ -230,6 +299,9 @@ def positions(
     counts are added up over those cells, and ranks are taken inside a cell only, so a
     millisecond that holds a third of the table is still cut into blocks of ``rows``.
     """
+    if rows is None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(time, seq)) - 1
+        return df.select(*df.columns, place.cast("long").alias(out))
     numbered = df.withColumn("_block", _div(seq, rows))
     cell = [*keys, time, "_block"]
     counts = numbered.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
@@ -261,9 +333,12 @@ def joined_text(
     text: Column,
     separator: str,
     out: str,
-    rows: int = SLICE_ROWS,
+    rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """One text per key: parts in order, put together per slice first."""
+    if rows is None:
+        joined = F.expr(f"listagg(_part, '{_quoted(separator)}') WITHIN GROUP (ORDER BY {order})")
+        return df.withColumn("_part", text).groupBy(*keys).agg(joined.alias(out))
     pieces = (
         df.withColumn(_SLICE, _div(order, rows))
         .withColumn("_part", text)

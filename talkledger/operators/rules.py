@@ -45,7 +45,7 @@ def sheet_rules(
     rows: DataFrame,
     header_words: Sequence[str] = fixed.SHEET_HEADER_WORDS,
     stop_word: str = fixed.SHEET_STOP_WORD,
-    slice_rows: int = o.SLICE_ROWS,
+    slice_rows: int | None = o.SLICE_ROWS,
 ) -> DataFrame:
     """SRC2: rules of sheet rows (sheet_id, row_idx, cells)."""
     return _accepted_rows(rows, header_words, stop_word, slice_rows).drop("_cells")
@@ -57,7 +57,7 @@ def sheet_examples(
     stop_word: str = fixed.SHEET_STOP_WORD,
     skipped: Sequence[str] = fixed.SHEET_SKIPPED_CELLS,
     example_format: str = fixed.EXAMPLE_FORMAT,
-    slice_rows: int = o.SLICE_ROWS,
+    slice_rows: int | None = o.SLICE_ROWS,
 ) -> DataFrame:
     """SRC2: example findings in the further cells of a rule row."""
     cells = _accepted_rows(rows, header_words, stop_word, slice_rows).select(

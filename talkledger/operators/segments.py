@@ -18,7 +18,7 @@ RECORDING = ("recording_id",)
 
 
 def smooth_speakers(
-    segments: DataFrame, max_ms: int = fixed.SMOOTH_MS, rows: int = o.SLICE_ROWS
+    segments: DataFrame, max_ms: int = fixed.SMOOTH_MS, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """A short segment between two of one other speaker takes that speaker.
 
@@ -54,7 +54,7 @@ def smooth_speakers(
 
 
 def merge_segments(
-    segments: DataFrame, gap_ms: int = fixed.MERGE_GAP_MS, rows: int = o.SLICE_ROWS
+    segments: DataFrame, gap_ms: int = fixed.MERGE_GAP_MS, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """Neighbours of one speaker closer than ``gap_ms`` become one segment."""
     runs = o.islands(
@@ -91,7 +91,7 @@ def merge_segments(
 
 
 def view_blocks(
-    entries: DataFrame, gap_ms: int = fixed.VIEW_GAP_MS, rows: int = o.SLICE_ROWS
+    entries: DataFrame, gap_ms: int = fixed.VIEW_GAP_MS, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """Display blocks; a block ends where its last entry ends (or starts)."""
     return (
@@ -109,7 +109,7 @@ def view_blocks(
 
 
 def with_blocks(
-    entries: DataFrame, gap_ms: int = fixed.VIEW_GAP_MS, rows: int = o.SLICE_ROWS
+    entries: DataFrame, gap_ms: int = fixed.VIEW_GAP_MS, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """W2, row form: the block number of every entry."""
     ended = entries.withColumn("_end", times.or_else(F.col("end_ms"), F.col("timestamp_ms")))
@@ -126,7 +126,7 @@ def with_blocks(
 
 
 def merge_entries(
-    entries: DataFrame, window_ms: int = fixed.ENTRY_MERGE_MS, rows: int = o.SLICE_ROWS
+    entries: DataFrame, window_ms: int = fixed.ENTRY_MERGE_MS, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """Entries of one speaker within ``window_ms`` of the *first* entry of the group."""
     changed = o.scan(entries, RECORDING, "seq", {"_before": o.previous(F.col("speaker"))}, rows)
@@ -157,7 +157,7 @@ def pack_by_chars(
     text: str | Column,
     limit: int,
     out: str = "chunk_idx",
-    rows: int = o.SLICE_ROWS,
+    rows: int | None = o.SLICE_ROWS,
 ) -> DataFrame:
     """Greedy chunks of at most ``limit`` characters, rows never split."""
     text = F.col(text) if isinstance(text, str) else text
@@ -174,7 +174,7 @@ def batch_rows(
     max_rows: int = fixed.BATCH_ROWS,
     max_chars: int = fixed.BATCH_CHARS,
     out: str = "batch_idx",
-    rows: int = o.SLICE_ROWS,
+    rows: int | None = o.SLICE_ROWS,
 ) -> DataFrame:
     """Greedy batches by rows and characters; an over-long row stands alone."""
     text = F.col(text) if isinstance(text, str) else text
@@ -188,7 +188,7 @@ def within_budget(
     order: str = "seq",
     text: str = "text_corrected",
     budget: int = fixed.MAX_TEXT_CHARS,
-    rows: int = o.SLICE_ROWS,
+    rows: int | None = o.SLICE_ROWS,
 ) -> DataFrame:
     """The longest prefix whose summed length stays within the budget."""
     summed = o.scan(entries, RECORDING, order, {"_chars": o.running(F.length(text))}, rows)
@@ -269,7 +269,7 @@ def original_fragments(segments: DataFrame) -> DataFrame:
 
 
 def transcript_entries(
-    segments: DataFrame, corrected: str = "text_corrected", rows: int = o.SLICE_ROWS
+    segments: DataFrame, corrected: str = "text_corrected", rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """Entries from merged segments and their corrected text."""
     kept = segments.where(F.col(corrected) != "")
@@ -355,7 +355,7 @@ def confidence_stats(segments: DataFrame, threshold: float = fixed.TRUSTED_CONFI
 
 
 def allocate_confidence(
-    segments: DataFrame, tokens: DataFrame, n_tokens: Column, rows: int = o.SLICE_ROWS
+    segments: DataFrame, tokens: DataFrame, n_tokens: Column, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """Each segment takes the next ``n_tokens`` token confidences; mean, else 0.
 

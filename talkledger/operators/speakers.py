@@ -144,7 +144,7 @@ def vote_speakers(segments: DataFrame, windows: DataFrame, segment_key: str = "s
     )
 
 
-def speaker_turns(windows: DataFrame, rows: int = o.SLICE_ROWS) -> DataFrame:
+def speaker_turns(windows: DataFrame, rows: int | None = o.SLICE_ROWS) -> DataFrame:
     """Runs of one label over windows in time order."""
     ordered = o.positions(windows, RECORDING, "start_ms", "win_idx", rows=rows)
     runs = o.islands(
@@ -158,45 +158,47 @@ def speaker_turns(windows: DataFrame, rows: int = o.SLICE_ROWS) -> DataFrame:
 
 
 def split_text_over_turns(
-    turns: DataFrame, texts: DataFrame, rows: int = o.SLICE_ROWS
+    turns: DataFrame, texts: DataFrame, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """A recording's text shared out over its turns by duration.
 
     ``texts`` is (recording_id, text, start_ms, end_ms) of the one original segment; it is
     returned with speaker 0 when no turn gets any text.
     """
-    ends = turns.groupBy("recording_id").agg(
-        F.min_by("start_ms", "turn_idx").alias("_from"),
-        F.max_by("end_ms", "turn_idx").alias("_to"),
-        F.max("turn_idx").alias("_last"),
-    )
     whole = texts.select(
-        "recording_id", "text", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")
+        "recording_id", "text", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"),
+        F.length("text").alias("_len"),
+    )
+    spanned = o.scan(
+        turns, RECORDING, "turn_idx",
+        {
+            "_from": o.overall_min(F.col("start_ms")),
+            "_to": o.final(F.col("end_ms")),
+            "_last": o.overall_max(F.col("turn_idx")),
+        },
+        rows,
     )
     total = F.col("_to") - F.col("_from")
-    sized = turns.join(
-        whole.select("recording_id", F.length("text").alias("_len")).join(ends, "recording_id"), "recording_id"
-    ).withColumn(
-        "_chars",
-        F.floor(
-            (F.col("_len") * (F.col("end_ms") - F.col("start_ms")))
-            / F.when(total > 0, total).otherwise(1)
-        ).cast("long"),
+    share = (F.col("_len") * (F.col("end_ms") - F.col("start_ms"))) / F.when(total > 0, total).otherwise(1)
+    sized = spanned.join(whole.select("recording_id", "_len"), "recording_id").select(
+        *turns.columns, "_last", F.floor(share).cast("long").alias("_chars")
     )
     placed = o.scan(sized, RECORDING, "turn_idx", {"_upto": o.running(F.col("_chars"))}, rows)
+    take = F.when(F.col("turn_idx") == F.col("_last"), F.col("_len")).otherwise(F.col("_chars"))
     off = F.col("_upto") - F.col("_chars")
-    placed = placed.select(
-        "recording_id", "turn_idx", "speaker", "start_ms", "end_ms", off.alias("_off"),
-        F.when(F.col("turn_idx") == F.col("_last"), F.col("_len")).otherwise(F.col("_chars")).alias("_take"),
-    )
-    cut = placed.join(whole.select("recording_id", "text"), "recording_id").withColumn(
-        "text", F.substring(F.col("text"), F.col("_off") + 1, F.col("_take"))
-    )
-    cut = cut.where(~t.is_blank("text")).select(
-        "recording_id", "turn_idx", F.col("speaker").cast("long").alias("speaker"), "start_ms", "end_ms", "text"
-    )
-    left = whole.join(cut.select("recording_id").distinct(), "recording_id", "left_anti").select(
-        "recording_id", F.lit(0).cast("long").alias("turn_idx"), F.lit(0).cast("long").alias("speaker"),
-        F.col("_s").alias("start_ms"), F.col("_e").alias("end_ms"), "text",
+    cut = (
+        placed.join(whole.select("recording_id", "text", "_len"), "recording_id")
+        .withColumn("_part", F.substring(F.col("text"), off + 1, take))
+        .where(~t.is_blank("_part"))
+        .select("recording_id", "turn_idx", F.col("speaker").cast("long").alias("speaker"), "start_ms", "end_ms", "_part")
+    )
+    # a recording without any piece comes back whole
+    none = F.col("_part").isNull()
+    return whole.join(cut, "recording_id", "left").select(
+        "recording_id",
+        F.coalesce("turn_idx", F.lit(0)).cast("long").alias("turn_idx"),
+        F.coalesce("speaker", F.lit(0)).cast("long").alias("speaker"),
+        F.when(none, F.col("_s")).otherwise(F.col("start_ms")).alias("start_ms"),
+        F.when(none, F.col("_e")).otherwise(F.col("end_ms")).alias("end_ms"),
+        F.coalesce("_part", "text").alias("text"),
     )
-    return cut.unionByName(left)

@@ -38,7 +38,7 @@ def face_timeline(
     frames: DataFrame,
     interval_ms: int,
     missing_ms: int = fixed.FACE_MISSING_MS,
-    rows: int = o.SLICE_ROWS,
+    rows: int | None = o.SLICE_ROWS,
 ) -> DataFrame:
     """Presence events. An event ends where the next state begins; short absences are
     dropped and their neighbours stay apart. ``seq`` is the frame's place in its list."""
@@ -46,16 +46,17 @@ def face_timeline(
         "_seen", F.col("face_count") > 0
     )
     runs = o.islands(
-        ordered, RECORDING, "pos", ["_seen"], lambda b, h: b("_seen") != h("_seen"), rows=rows
+        ordered, RECORDING, "pos", ["_seen"], lambda b, h: b("_seen") != h("_seen"), rows=rows,
+        carries={"_next": o.following(F.col("timestamp_ms"))},
     )
     events = runs.groupBy("recording_id", "island").agg(
         F.min_by("_seen", "pos").alias("_seen"),
         F.min("timestamp_ms").alias("start_ms"),
         F.max("timestamp_ms").alias("_last"),
+        F.max_by("_next", "pos").alias("_next"),
         F.max("max_confidence").alias("confidence"),
         F.min_by("frame_path", "pos").alias("frame_path"),
     )
-    events = o.scan(events, RECORDING, "island", {"_next": o.following(F.col("start_ms"))}, rows)
     end = F.coalesce("_next", F.col("_last") + interval_ms)
     return events.where(F.col("_seen") | (end - F.col("start_ms") >= missing_ms)).select(
         "recording_id",
@@ -69,7 +70,7 @@ def face_timeline(
 
 
 def sample_frames(
-    frames: DataFrame, max_count: int = fixed.FRAME_MAX, rows: int = o.SLICE_ROWS
+    frames: DataFrame, max_count: int = fixed.FRAME_MAX, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """Frames floor(i*n/max) for i below max; all of them when there are fewer.
 

@@ -23,7 +23,7 @@ class AuditLimits:
     confidence: float = fixed.VIOLATION_CONFIDENCE
     dedup_window_ms: int = fixed.DEDUP_WINDOW_MS
     group_by_source: bool = True
-    slice_rows: int = ordered.SLICE_ROWS
+    slice_rows: int | None = ordered.SLICE_ROWS
 
 
 def chunked_entries(entries: DataFrame, limits: AuditLimits = AuditLimits()) -> DataFrame:

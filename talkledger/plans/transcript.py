@@ -19,7 +19,7 @@ def correction_requests(
     dictionary: Mapping[str, str],
     max_rows: int = fixed.BATCH_ROWS,
     max_chars: int = fixed.BATCH_CHARS,
-    slice_rows: int = ordered.SLICE_ROWS,
+    slice_rows: int | None = ordered.SLICE_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows to (prepared rows with ``batch_idx``, one request per batch).
 
@@ -63,7 +63,7 @@ def correct_transcript(
     threshold: float = fixed.TRUSTED_CONFIDENCE,
     width: int | None = None,
     keep_responses: bool = True,
-    slice_rows: int = ordered.SLICE_ROWS,
+    slice_rows: int | None = ordered.SLICE_ROWS,
 ) -> DataFrame:
     """M3: P5, P3, P4, W7, M1, F9, J13. Adds ``text_corrected`` to merged segments.
 
@@ -98,7 +98,7 @@ def correct_texts(
     return merged.unionByName(texts.where(t.is_blank("text")).select(key, "text"))
 
 
-def merged_segments(raw: DataFrame, gap_ms: int = 1000, slice_rows: int = ordered.SLICE_ROWS) -> DataFrame:
+def merged_segments(raw: DataFrame, gap_ms: int = 1000, slice_rows: int | None = ordered.SLICE_ROWS) -> DataFrame:
     """W4, W1 with the gap the recording flow uses."""
     return segments.merge_segments(segments.smooth_speakers(raw, rows=slice_rows), gap_ms, slice_rows)
 
@@ -109,7 +109,7 @@ def transcripts(
     ask: Callable[[str], str],
     width: int | None = None,
     keep_responses: bool = True,
-    slice_rows: int = ordered.SLICE_ROWS,
+    slice_rows: int | None = ordered.SLICE_ROWS,
 ) -> DataFrame:
     """Raw segments to transcript entries: W4, W1, M3, W12-W14."""
     merged = merged_segments(raw, slice_rows=slice_rows)

@@ -54,7 +54,7 @@ def subtitle_cues(
     entries: DataFrame,
     corrected: bool = True,
     cue_ms: int = fixed.DEFAULT_CUE_MS,
-    rows: int = o.SLICE_ROWS,
+    rows: int | None = o.SLICE_ROWS,
 ) -> DataFrame:
     """SNK2: one row per cue, with its text block."""
     seen = o.scan(
@@ -74,14 +74,14 @@ def subtitle_cues(
     )
 
 
-def subtitle_files(entries: DataFrame, corrected: bool = True, rows: int = o.SLICE_ROWS) -> DataFrame:
+def subtitle_files(entries: DataFrame, corrected: bool = True, rows: int | None = o.SLICE_ROWS) -> DataFrame:
     """SNK2: one subtitle text per recording."""
     cues = subtitle_cues(entries, corrected, rows=rows)
     return o.joined_text(cues, ["recording_id"], "cue", F.col("block"), "\n", "srt", rows)
 
 
 def document_blocks(
-    entries: DataFrame, names: DataFrame, corrected: bool = True, rows: int = o.SLICE_ROWS
+    entries: DataFrame, names: DataFrame, corrected: bool = True, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """SNK3: speaker (renamed), time and text of every display block."""
     blocks = (

@@ -57,7 +57,7 @@ def start_reviews(
 
 
 def bursts(
-    updates: DataFrame, quiet_ms: int = fixed.QUIET_MS, rows: int = o.SLICE_ROWS
+    updates: DataFrame, quiet_ms: int = fixed.QUIET_MS, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
     """Batch twin: (recording_id, burst, seq, upd_seq, status), last status per finding.
 
