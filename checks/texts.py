@@ -1 +1,325 @@
-"""Placeholder."""
+"""Text, time and response columns (P, F, O5, J8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import views as v
+from checks.registry import check
+from talkledger import fixed_values as fixed
+from talkledger.functions import responses as r
+from talkledger.functions import text as t
+from talkledger.functions import times
+
+D = "documents"
+#: A small dictionary and pronunciation map over the alphabets of the documents.
+WORDS = {"the": "THE", "and": "&", "les": "LES!", "und": "u.", "die": "der", "der": "die", "con": "c", "que": "q"}
+SOUNDS = {"é": "e", "è": "e", "ê": "e", "c": "k", "ç": "k", "k": "k", "e": "e", "ü": "ue", "u": "ue", "ä": "ae", "ö": "oe"}
+KEYWORDS = ["ekel", "tion", "unk", "zzz"]
+
+
+def docs(spark, folder):
+    return v.table(spark, folder, D)
+
+
+def _sql_list(words):
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+@check(
+    "p1_recogniser_text",
+    r"""WITH x AS (SELECT doc_id, CASE doc_id%4 WHEN 0 THEN concat('<|en|><|NEUTRAL|>', replace(text, ', ', '，、')) WHEN 1 THEN replace(text, ' ', '😀🚀')
+  WHEN 2 THEN ' 。，！ ' ELSE replace(text, '.', '。。！') END AS text FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<\|[^|]+\|>', '', 'g'),
+  '[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}]+', '', 'g'), '[。，、！？；：]{2,}', '。', 'g'),
+  '^\s*[。，、！？；：]+\s*$', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM x""",
+)
+def recogniser_text(spark, folder):
+    x = docs(spark, folder).select(
+        "doc_id",
+        F.expr("CASE doc_id%4 WHEN 0 THEN concat('<|en|><|NEUTRAL|>', replace(text, ', ', '，、')) "
+               "WHEN 1 THEN replace(text, ' ', '😀🚀') WHEN 2 THEN ' 。，！ ' ELSE replace(text, '.', '。。！') END").alias("text"),
+    )
+    return x.select("doc_id", t.clean_recognised("text").alias("text"))
+
+
+@check(
+    "p2_noise_segments",
+    r"""WITH w AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS word FROM documents),
+c AS (SELECT doc_id, lang, regexp_replace(regexp_replace(translate(lower(word), '。，、！？；：.!?;,: ', '               '), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS c FROM w)
+SELECT doc_id, lang, count(*) AS n_words, count(*) FILTER (c = '' OR c IN ("""
+    + _sql_list(fixed.NOISE_WORDS_CN + fixed.NOISE_WORDS_EN)
+    + """) OR len(list_filter(string_split(c, ' '), lambda x: x NOT IN ("""
+    + _sql_list(fixed.NOISE_WORDS_EN)
+    + """))) = 0) AS n_noise FROM c GROUP BY doc_id, lang""",
+)
+def noise_segments(spark, folder):
+    words = docs(spark, folder).select("doc_id", "lang", F.explode(F.split("text", " ")).alias("word"))
+    return words.groupBy("doc_id", "lang").agg(
+        F.count(F.lit(1)).alias("n_words"), F.count_if(t.is_noise("word")).alias("n_noise")
+    )
+
+
+@check(
+    "p3_normalised_text",
+    r"""WITH x AS (SELECT doc_id, CASE doc_id%5 WHEN 0 THEN concat('the The ', text) WHEN 1 THEN replace(text, 'e', '嗯嗯') WHEN 2 THEN replace(text, '. ', ' 二零二五年那个那个 ')
+   WHEN 3 THEN substring('Um, 嗯啊 the okay.', 1 + doc_id%7) ELSE '嗯啊。' END AS text FROM documents),
+s AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS raw FROM x),
+a AS (SELECT doc_id, raw, regexp_replace(regexp_replace(raw, '^\s*(?:the\s+)+', '', 'i'), '^\s+|\s+$', '', 'g') AS c FROM s),
+b AS (SELECT doc_id, raw, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(?:那个){2,}', '那个', 'g'), '嗯{2,}', '嗯', 'g'), '啊{2,}', '啊', 'g'), '哦{2,}', '哦', 'g'), '呃{2,}', '呃', 'g'), '二零二五', '2025') AS c FROM a),
+d AS (SELECT doc_id, raw, c, regexp_replace(c, '[，。、！？；：,.!?;: ]', '', 'g') AS bare FROM b)
+SELECT doc_id, CASE WHEN raw = '' OR regexp_matches(raw, '(?i)^(?:the\s+)*(?:the|a|an|yeah|yes|no|ok|okay|um|uh|oh|ah|er|hmm|hm|mm)\s*[，。,.]?\s*$')
+  OR bare = '' OR regexp_matches(bare, '^[嗯啊哦呃唔嘿哈呵噢喔诶哎唉呀]{1,2}$') THEN NULL ELSE c END AS text FROM d""",
+)
+def normalised(spark, folder):
+    x = docs(spark, folder).select(
+        "doc_id",
+        F.expr("CASE doc_id%5 WHEN 0 THEN concat('the The ', text) WHEN 1 THEN replace(text, 'e', '嗯嗯') "
+               "WHEN 2 THEN replace(text, '. ', ' 二零二五年那个那个 ') "
+               "WHEN 3 THEN substring('Um, 嗯啊 the okay.', 1 + doc_id%7) ELSE '嗯啊。' END").alias("text"),
+    )
+    return x.select("doc_id", t.normalise("text").alias("text"))
+
+
+@check(
+    "p4_dictionary_replacement",
+    "WITH m AS (SELECT MAP {" + ", ".join(f"'{k}': '{w}'" for k, w in WORDS.items()) + r"""} AS d)
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)[0-9A-Za-z_]+|[^0-9A-Za-z_]'), lambda x: coalesce(d[lower(x)], x)), '') AS text
+FROM documents, m""",
+)
+def dictionary(spark, folder):
+    return docs(spark, folder).select("doc_id", t.replace_words("text", WORDS).alias("text"))
+
+
+@check(
+    "j8_homophone_keywords",
+    """WITH x AS (SELECT doc_id, translate(text, 'éèêcçuüäö', 'eeekkUUAO') AS heard FROM documents)
+SELECT doc_id, CASE WHEN contains(heard, 'ekel') THEN 'ekel' WHEN contains(heard, 'tion') THEN 'tion' WHEN contains(heard, 'Unk') THEN 'unk' END AS keyword FROM x""",
+)
+def homophones(spark, folder):
+    words = F.array(*[F.lit(k) for k in KEYWORDS])
+    return docs(spark, folder).select("doc_id", t.first_sounding_keyword("text", words, SOUNDS).alias("keyword"))
+
+
+@check(
+    "o5_first_keyword_match",
+    """WITH x AS (SELECT doc_id, text, regexp_extract(text, 'tion|the|schl|eau') AS word FROM documents)
+SELECT doc_id, word, strpos(text, word) AS at, substring(text, greatest(strpos(text, word) - 80, 1), strpos(text, word) + 80 - greatest(strpos(text, word) - 80, 1)) AS context
+FROM x WHERE word <> ''""",
+)
+def first_match(spark, folder):
+    words = F.array(*[F.lit(k) for k in ("tion", "the", "schl", "eau")])
+    x = docs(spark, folder).withColumn("_hit", t.first_keyword("text", words)).where(F.col("_hit").isNotNull())
+    return x.select(
+        "doc_id", F.col("_hit.word").alias("word"), F.col("_hit.at").cast("long").alias("at"),
+        t.around("text", F.col("_hit.at")).alias("context"),
+    )
+
+
+@check("p17_truncated_text", "SELECT doc_id, substring(text, 1, 5000) AS text FROM documents")
+def truncated(spark, folder):
+    return docs(spark, folder).select("doc_id", t.truncated("text", 5000).alias("text"))
+
+
+@check(
+    "p14_speaker_labels",
+    "WITH " + v.SEGMENTS + """
+SELECT recording_id, seg_idx, CASE WHEN speaker - 1 >= 0 THEN concat('Speaker ', speaker) ELSE 'Speaker 1' END AS label FROM v_segments""",
+)
+def labels(spark, folder):
+    s = v.segments(spark, folder, v.turn_rows(spark, folder))
+    return s.select("recording_id", "seg_idx", times.speaker_label(F.col("speaker") - 1).alias("label"))
+
+
+@check(
+    "f1_f2_time_formats",
+    "WITH " + v.TIMELINE + """
+SELECT seq, printf('%02d:%02d', timestamp_ms//60000, (timestamp_ms//1000)%60) AS mmss,
+  CASE WHEN timestamp_ms >= 3600000 THEN printf('%02d:%02d:%02d', timestamp_ms//3600000, (timestamp_ms//60000)%60, (timestamp_ms//1000)%60)
+    ELSE printf('%02d:%02d', timestamp_ms//60000, (timestamp_ms//1000)%60) END AS clock,
+  printf('%02d:%02d:%02d,%03d', timestamp_ms//3600000, (timestamp_ms//60000)%60, (timestamp_ms//1000)%60, timestamp_ms%1000) AS srt FROM v_timeline""",
+)
+def time_formats(spark, folder):
+    ms = F.col("timestamp_ms")
+    return v.timeline(spark, folder).select(
+        "seq", times.minutes_seconds(ms).alias("mmss"), times.clock(ms).alias("clock"), times.subtitle_time(ms).alias("srt")
+    )
+
+
+@check(
+    "f3_time_parsing",
+    "WITH " + v.TIMELINE + """,
+x AS (SELECT seq, timestamp_ms//1000 AS s FROM v_timeline)
+SELECT seq, CAST(CASE seq%4 WHEN 0 THEN s*1000 WHEN 1 THEN s*1000 ELSE 0 END AS BIGINT) AS ms FROM x""",
+)
+def time_parsing(spark, folder):
+    ms = F.col("timestamp_ms")
+    shown = (
+        F.when(F.col("seq") % 4 == 0, F.concat(F.lit(" "), times.minutes_seconds(ms)))
+        .when(F.col("seq") % 4 == 1, F.regexp_replace(times.subtitle_time(ms), ",.*", ""))
+        .when(F.col("seq") % 4 == 2, F.concat(F.lit("x"), times.minutes_seconds(ms)))
+        .otherwise(F.lit("1:2:3:4"))
+    )
+    return v.timeline(spark, folder).select("seq", times.parse_time(shown).alias("ms"))
+
+
+@check(
+    "f4_safe_numbers",
+    "WITH " + v.TIMELINE + """,
+x AS (SELECT seq, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM v_timeline)
+SELECT seq, CAST(CASE seq%5 WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN k WHEN 3 THEN 0 ELSE 0 END AS BIGINT) AS as_int,
+  CAST(CASE seq%5 WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN k + 0.75 WHEN 3 THEN k + 0.5 ELSE 0.5 END AS DOUBLE) AS as_float FROM x""",
+)
+def safe_numbers(spark, folder):
+    k = F.get_json_object("props", "$.k")
+    made = F.expr("CASE seq%5 WHEN 0 THEN props ELSE '' END")
+    made = (
+        F.when(F.col("seq") % 5 == 0, F.col("props"))
+        .when(F.col("seq") % 5 == 1, F.format_string('{"k": "%s"}', k))
+        .when(F.col("seq") % 5 == 2, F.format_string('{"k": %s.75}', k))
+        .when(F.col("seq") % 5 == 3, F.format_string('{"k": "%s.5"}', k))
+        .otherwise(F.lit('{"k": null}'))
+    )
+    x = v.timeline(spark, folder).select("seq", r.field(r.parsed(made), "k").alias("_k"))
+    return x.select("seq", r.safe_int(F.col("_k")).alias("as_int"), r.safe_float(F.col("_k"), 0.5).alias("as_float"))
+
+
+@check(
+    "f5_think_blocks",
+    r"""SELECT doc_id, CASE doc_id%4 WHEN 0 THEN concat(text, 'end') WHEN 1 THEN left(text, 20) WHEN 2 THEN substring(text, 21) ELSE text END AS text FROM documents""",
+)
+def think_blocks(spark, folder):
+    x = F.expr(
+        "CASE doc_id%4 WHEN 0 THEN concat('<think>a</think>', text, '<think>\nb</think>end') "
+        "WHEN 1 THEN concat(left(text, 20), '<think>', substring(text, 21)) "
+        "WHEN 2 THEN concat(left(text, 20), '</think>', substring(text, 21)) ELSE text END"
+    )
+    return docs(spark, folder).select("doc_id", r.strip_thinking(x).alias("text"))
+
+
+PAGES = """x AS (SELECT page_id, CASE page_id%3 WHEN 0 THEN concat('ok ```json ', html, '```') WHEN 1 THEN html ELSE regexp_replace(html, '[{}\\[\\]]', '', 'g') END AS raw FROM pages),
+b AS (SELECT page_id, regexp_replace(replace(replace(raw, '```json', ''), '```', ''), '^\\s+|\\s+$', '', 'g') AS t FROM x)"""
+PAGE_RAW = (
+    "CASE page_id%3 WHEN 0 THEN concat('ok ```json ', html, '```') WHEN 1 THEN html "
+    "ELSE regexp_replace(html, '[{}\\\\[\\\\]]', '') END"
+)
+
+
+@check(
+    "f6_json_object_text",
+    "WITH " + PAGES + """,
+c AS (SELECT page_id, CASE WHEN strpos(t, '{') > 1 THEN substring(t, strpos(t, '{')) ELSE t END AS t FROM b)
+SELECT page_id, regexp_replace(CASE WHEN strpos(t, '}') > 0 THEN left(t, length(t) - strpos(reverse(t), '}') + 1) ELSE t END, '^\\s+|\\s+$', '', 'g') AS body FROM c""",
+)
+def object_text(spark, folder):
+    return v.table(spark, folder, "pages").select("page_id", r.json_object_text(F.expr(PAGE_RAW)).alias("body"))
+
+
+@check(
+    "f7_json_array_text",
+    "WITH " + PAGES + """
+SELECT page_id, CASE WHEN strpos(t, '[') > 0 AND length(t) - strpos(reverse(t), ']') + 1 > strpos(t, '[') AND strpos(t, ']') > 0
+    THEN substring(t, strpos(t, '['), length(t) - strpos(reverse(t), ']') + 2 - strpos(t, '['))
+  WHEN strpos(t, '{') > 0 AND strpos(t, '}') > 0 AND length(t) - strpos(reverse(t), '}') + 1 > strpos(t, '{')
+    THEN substring(t, strpos(t, '{'), length(t) - strpos(reverse(t), '}') + 2 - strpos(t, '{'))
+  ELSE t END AS body FROM b""",
+)
+def array_text(spark, folder):
+    return v.table(spark, folder, "pages").select("page_id", r.json_array_text(F.expr(PAGE_RAW)).alias("body"))
+
+
+@check(
+    "f8_findings_from_responses",
+    "WITH " + v.TIMELINE + """,
+x AS (SELECT seq, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM v_timeline WHERE seq%6 <> 5)
+SELECT seq, CAST(CASE seq%6 WHEN 4 THEN 0 ELSE k END AS BIGINT) AS rule_id, CASE seq%6 WHEN 1 THEN event_type ELSE '' END AS speaker,
+  CASE seq%6 WHEN 0 THEN 'high' ELSE 'low' END AS severity,
+  CAST(CASE seq%6 WHEN 2 THEN 0.9 WHEN 3 THEN 0.25 ELSE 0.5 END AS DOUBLE) AS confidence,
+  CASE seq%6 WHEN 2 THEN '01:02' ELSE '00:00' END AS "timestamp", CASE seq%6 WHEN 0 THEN event_type END AS reasoning
+FROM x WHERE seq%6 IN (0,1,2,3)""",
+)
+def findings(spark, folder):
+    k = F.get_json_object("props", "$.k")
+    e = F.col("event_type")
+    raw = (
+        F.when(F.col("seq") % 6 == 0, F.format_string('<think>x</think>[{"rule_id": "%s", "severity": "HIGH", "reasoning": "%s"}, 7, "no"]', k, e))
+        .when(F.col("seq") % 6 == 1, F.format_string('```json\n{"results": [{"rule_id": %s.9, "speaker": "%s", "severity": "awful"}]}```', k, e))
+        .when(F.col("seq") % 6 == 2, F.format_string('{"rule_id": %s, "confidence": "0.9", "timestamp": "01:02"}', k))
+        .when(F.col("seq") % 6 == 3, F.format_string('{"data": [{"rule_id": %s, "confidence": 0.25, "end_ms": "12.5"}]}', k))
+        .when(F.col("seq") % 6 == 4, F.lit('{"other": 1}'))
+        .otherwise(F.lit("no json"))
+    )
+    value = r.parsed(r.json_array_text(raw))
+    x = v.timeline(spark, folder).select("seq", F.explode(r.finding_items(value)).alias("_i"))
+    return x.withColumn("_f", r.finding(F.col("_i"))).select(
+        "seq", "_f.rule_id", "_f.speaker", "_f.severity", "_f.confidence", "_f.timestamp", "_f.reasoning"
+    )
+
+
+@check(
+    "f9_corrections_from_responses",
+    "WITH " + v.TIMELINE + """,
+x AS (SELECT seq, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM v_timeline WHERE seq%4 IN (0,1,2))
+SELECT seq, k AS id, CASE seq%4 WHEN 2 THEN concat(event_type, '"', chr(10)) ELSE event_type END AS text FROM x""",
+)
+def corrections(spark, folder):
+    k = F.get_json_object("props", "$.k")
+    e = F.col("event_type")
+    raw = (
+        F.when(F.col("seq") % 4 == 0, F.format_string('{"entries": [{"id": %s, "text": "%s"}, {"id": "x", "text": "y"}, {"id": 1}]}', k, e))
+        .when(F.col("seq") % 4 == 1, F.format_string('[{"id": %s, "text": "%s"}]', k, e))
+        .when(F.col("seq") % 4 == 2, F.format_string('oops {"id" : %s , "text":"%s\\"\\n"} ...', k, e))
+        .otherwise(F.lit("nothing"))
+    )
+    x = v.timeline(spark, folder).select("seq", F.explode(r.corrections(raw)).alias("_c"))
+    return x.select("seq", "_c.id", "_c.text")
+
+
+@check(
+    "f10_evaluations_from_responses",
+    "WITH " + v.TIMELINE + """,
+x AS (SELECT seq, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM v_timeline)
+SELECT seq, seq%4 < 3 AS readable, CASE WHEN seq%4 = 0 THEN event_type WHEN seq%4 < 3 THEN '' END AS title,
+  CASE WHEN seq%4 = 1 THEN k WHEN seq%4 < 3 THEN 0 END AS total, CASE WHEN seq%4 = 2 THEN event_type WHEN seq%4 < 3 THEN '' END AS points,
+  CASE WHEN seq%4 < 3 THEN 'S' END AS summary FROM x""",
+)
+def evaluations(spark, folder):
+    k = F.get_json_object("props", "$.k")
+    e = F.col("event_type")
+    raw = (
+        F.when(F.col("seq") % 4 == 0, F.format_string('Sure: {"meta": {"title": "%s"}, "summary": "S"} done', e))
+        .when(F.col("seq") % 4 == 1, F.format_string('```json\n{"scores": {"total": %s}, "summary": "S"}\n```', k))
+        .when(F.col("seq") % 4 == 2, F.format_string('{"analysis": {"main_points": ["%s"]}, "summary": "S"}', e))
+        .otherwise(F.lit('{"scores": {"total": 3.5}}'))
+    )
+    x = v.timeline(spark, folder).select("seq", r.evaluation(raw).alias("_e"))
+    return x.select(
+        "seq", F.col("_e").isNotNull().alias("readable"), F.col("_e.meta.title").alias("title"),
+        F.col("_e.scores.total").alias("total"), F.array_join("_e.analysis.main_points", ",").alias("points"), F.col("_e.summary").alias("summary"),
+    )
+
+
+@check("f11_output_budgets", "SELECT doc_id, CAST(least(4096, length(text)*2 + 1024) AS BIGINT) AS tokens FROM documents")
+def budgets(spark, folder):
+    return docs(spark, folder).select("doc_id", r.output_budget(F.length("text")).cast("long").alias("tokens"))
+
+
+@check(
+    "f12_chunk_summaries",
+    """SELECT doc_id, CASE doc_id%3 WHEN 0 THEN left(text, 500) WHEN 1 THEN concat('（片段 ', doc_id + 1, ' 无法提取要点）') ELSE lang END AS summary FROM documents""",
+)
+def chunk_summaries(spark, folder):
+    said = F.expr("CASE doc_id%3 WHEN 0 THEN NULL WHEN 1 THEN '<think>x</think> ' ELSE concat(' ', lang) END")
+    return docs(spark, folder).select(
+        "doc_id", r.chunk_summary(said, F.col("text"), F.col("doc_id") + 1, fixed.MAP_EMPTY_FORMAT).alias("summary")
+    )
+
+
+@check(
+    "p18_evidence_urls",
+    "WITH " + v.TIMELINE + "," + v.OCR + """
+SELECT seq, CASE seq%5 WHEN 0 THEN concat('http://x/', seq) WHEN 1 THEN concat('/media/', recording_id, '/frames/', seq, '.jpg') WHEN 2 THEN concat('/media/', recording_id, '/frames/f', seq, '.png') WHEN 3 THEN concat('/media/', recording_id, '/frames/', seq) END AS url FROM v_ocr""",
+)
+def evidence_urls(spark, folder):
+    path = F.expr("CASE seq%5 WHEN 0 THEN concat('http://x/', seq) WHEN 1 THEN frame_path WHEN 2 THEN concat('C:\\\\a\\\\f', seq, '.png') WHEN 3 THEN string(seq) END")
+    return v.ocr(spark, folder).select("seq", t.evidence_url(path, F.col("recording_id"), "/media").alias("url"))

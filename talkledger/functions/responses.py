@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talkledger import fixed_values as fixed
-from talkledger.functions.text import strip
+from talkledger.functions.text import let, strip
 
 
 def strip_thinking(text: Column) -> Column:
@@ -30,22 +30,29 @@ def _last(text: Column, mark: str) -> Column:
 
 def json_object_text(text: Column) -> Column:
     """first ``{`` to last ``}``."""
-    body = _unfenced(text)
-    opened = F.instr(body, "{")
-    body = F.when(opened > 1, F.substring(body, opened, F.length(body))).otherwise(body)
-    closed = _last(body, "}")
-    return strip(F.when(closed > 0, F.substring(body, F.lit(1), closed)).otherwise(body))
+
+    def opened(body: Column) -> Column:
+        at = F.instr(body, "{")
+        return F.when(at > 1, F.substring(body, at, F.length(body))).otherwise(body)
+
+    def closed(body: Column) -> Column:
+        end = _last(body, "}")
+        return strip(F.when(end > 0, F.substring(body, F.lit(1), end)).otherwise(body))
+
+    return let(_unfenced(text), lambda body: let(opened(body), closed))
 
 
 def json_array_text(text: Column) -> Column:
     """``[`` to ``]`` first, else ``{`` to ``}``, else the trimmed text."""
-    body = _unfenced(text)
 
-    def between(a: str, b: str) -> Column:
+    def between(body: Column, a: str, b: str) -> Column:
         start, end = F.instr(body, a), _last(body, b)
         return F.when((start > 0) & (end > start), F.substring(body, start, end - start + 1))
 
-    return F.coalesce(between("[", "]"), between("{", "}"), body)
+    return let(
+        _unfenced(text),
+        lambda body: F.coalesce(between(body, "[", "]"), between(body, "{", "}"), body),
+    )
 
 
 def field(item: Column, path: str) -> Column:
@@ -97,11 +104,12 @@ def parsed(text: Column) -> Column:
 
 def finding_items(value: Column, wrappers: Sequence[str] = fixed.RESPONSE_WRAPPERS) -> Column:
     """F8: the findings of a response as an array of objects (variant)."""
-    lists = [F.try_variant_get(value, "$", "array<variant>")]
-    lists += [F.try_variant_get(value, f"$.{w}", "array<variant>") for w in wrappers]
-    single = F.when(field(value, "rule_id").isNotNull(), F.array(value))
-    items = F.coalesce(*lists, single)
-    return F.filter(items, lambda v: kind(v).startswith("OBJECT"))
+
+    def items(v: Column) -> Column:
+        lists = [F.try_variant_get(v, path, "array<variant>") for path in ("$", *[f"$.{w}" for w in wrappers])]
+        return F.coalesce(*lists, F.when(field(v, "rule_id").isNotNull(), F.array(v)))
+
+    return F.filter(let(value, items), lambda v: kind(v).startswith("OBJECT"))
 
 
 def finding(item: Column) -> Column:
@@ -124,42 +132,57 @@ def finding(item: Column) -> Column:
 
 def corrections(raw: Column) -> Column:
     """array of (id, text) from a response; null when nothing can be read."""
-    body = strip(strip_thinking(raw))
-    value = parsed(body)
-    listed = F.coalesce(
-        F.try_variant_get(value, "$", "array<variant>"),
-        F.try_variant_get(value, "$.entries", "array<variant>"),
-    )
-    usable = F.filter(
-        listed,
-        lambda v: field(v, "id").isNotNull() & field(v, "text").isNotNull() & (kind(field(v, "id")) == "BIGINT"),
-    )
-    read = F.transform(
-        usable,
-        lambda v: F.struct(
-            F.try_variant_get(v, "$.id", "bigint").alias("id"),
-            F.try_variant_get(v, "$.text", "string").alias("text"),
-        ),
-    )
-    pattern = r'"id"\s*:\s*(\d+)\s*,\s*"text"\s*:\s*"((?:[^"\\]|\\.)*+)"'
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("id"),
-        F.regexp_extract_all(body, F.lit(pattern), F.lit(2)).alias("text"),
-    )
-    by_pattern = F.transform(
-        pairs,
-        lambda p: F.struct(
-            p["id"].try_cast("bigint").alias("id"),
-            F.replace(F.replace(p["text"], F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")).alias("text"),
-        ),
+    pattern = F.lit(r'"id"\s*:\s*(\d+)\s*,\s*"text"\s*:\s*"((?:[^"\\]|\\.)*+)"')
+
+    def read(value: Column) -> Column:
+        listed = F.coalesce(
+            F.try_variant_get(value, "$", "array<variant>"),
+            F.try_variant_get(value, "$.entries", "array<variant>"),
+        )
+        usable = F.filter(
+            listed,
+            lambda v: field(v, "id").isNotNull()
+            & field(v, "text").isNotNull()
+            & (kind(field(v, "id")) == "BIGINT"),
+        )
+        return F.transform(
+            usable,
+            lambda v: F.struct(
+                F.try_variant_get(v, "$.id", "bigint").alias("id"),
+                F.try_variant_get(v, "$.text", "string").alias("text"),
+            ),
+        )
+
+    def by_pattern(body: Column) -> Column:
+        pairs = F.arrays_zip(
+            F.regexp_extract_all(body, pattern, F.lit(1)).alias("id"),
+            F.regexp_extract_all(body, pattern, F.lit(2)).alias("text"),
+        )
+        return F.transform(
+            pairs,
+            lambda p: F.struct(
+                p["id"].try_cast("bigint").alias("id"),
+                F.replace(
+                    F.replace(p["text"], F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")
+                ).alias("text"),
+            ),
+        )
+
+    def chosen(body: Column, value: Column) -> Column:
+        return F.when(value.isNotNull(), read(value)).otherwise(by_pattern(body))
+
+    return let(
+        strip(strip_thinking(raw)),
+        lambda body: F.when(body != "", let(parsed(body), lambda value: chosen(body, value))),
     )
-    return F.when(body == "", None).when(value.isNotNull(), read).otherwise(by_pattern)
 
 
 def evaluation(raw: Column) -> Column:
     """evaluation record with defaults at three levels; null when it cannot be read."""
-    value = parsed(json_object_text(raw))
+    return let(parsed(json_object_text(raw)), _evaluation)
+
 
+def _evaluation(value: Column) -> Column:
     def good(path: str, *kinds: str) -> Column:
         v = field(value, path)
         wanted = F.lit(False)

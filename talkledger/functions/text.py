@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +27,11 @@ def _one_of(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "[]\\^-&" else c for c in chars) + "]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: str | Column) -> Column:
     return F.regexp_replace(_col(text), rf"^{SPACE}+|{SPACE}+\z", "")
 
@@ -35,14 +40,18 @@ def is_blank(text: str | Column) -> Column:
     return ~_col(text).rlike(rf"[^{SPACE[1:]}")
 
 
-def replace_matches(text: Column, pattern: str, change) -> Column:
+def replace_matches(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """Replace every match by ``change(match)``; text without a match is untouched."""
-    between = F.split(text, pattern)
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    pairs = F.zip_with(
-        between, hits, lambda gap, hit: F.concat(gap, F.coalesce(change(hit), F.lit("")))
-    )
-    return F.when(text.rlike(pattern), F.array_join(pairs, "")).otherwise(text)
+
+    def replaced(body: Column) -> Column:
+        between = F.split(body, pattern)
+        hits = F.regexp_extract_all(body, F.lit(f"({pattern})"), F.lit(1))
+        pairs = F.zip_with(
+            between, hits, lambda gap, hit: F.concat(gap, F.coalesce(change(hit), F.lit("")))
+        )
+        return F.when(body.rlike(pattern), F.array_join(pairs, "")).otherwise(body)
+
+    return let(text, replaced)
 
 
 def clean_recognised(text: str | Column) -> Column:
@@ -63,18 +72,21 @@ def is_noise(
 ) -> Column:
     """Only interjections or meaningless syllables."""
     spaced = F.translate(F.lower(strip(text)), punctuation, " " * len(punctuation))
-    cleaned = strip(F.regexp_replace(spaced, f"{SPACE}+", " "))
-    letters = F.array_distinct(F.split(F.replace(cleaned, F.lit(" "), F.lit("")), ""))
-    return (
-        (cleaned == "")
-        | cleaned.isin(*words_cn, *words_en)
-        | (
-            (F.length(cleaned) <= 6)
-            & (F.size(letters) <= 2)
-            & F.forall(letters, lambda c: c.isin(*words_cn))
+
+    def noise(cleaned: Column) -> Column:
+        letters = F.array_distinct(F.split(F.replace(cleaned, F.lit(" "), F.lit("")), ""))
+        return (
+            (cleaned == "")
+            | cleaned.isin(*words_cn, *words_en)
+            | (
+                (F.length(cleaned) <= 6)
+                & (F.size(letters) <= 2)
+                & F.forall(letters, lambda c: c.isin(*words_cn))
+            )
+            | F.forall(F.split(cleaned, " "), lambda w: w.isin(*words_en))
         )
-        | F.forall(F.split(cleaned, " "), lambda w: w.isin(*words_en))
-    )
+
+    return let(strip(F.regexp_replace(spaced, f"{SPACE}+", " ")), noise)
 
 
 def normalise(
@@ -85,30 +97,33 @@ def normalise(
     fillers: Sequence[str] = fixed.FILLERS,
 ) -> Column:
     """Rule-based clean-up; null marks noise."""
-    raw = strip(text)
     noise = (
         rf"(?iu)^(?:{_literal(article)}{SPACE}+)*(?:{'|'.join(map(_literal, noise_words))})"
         rf"{SPACE}*[，。,.]?{SPACE}*\z"
     )
-    out = strip(F.regexp_replace(raw, rf"(?iu)^{SPACE}*(?:{_literal(article)}{SPACE}+)+", ""))
-    for word in repeated:
-        out = F.regexp_replace(out, f"(?:{_literal(word)}){{2,}}", word)
+    singles = "".join(w for w in fillers if len(w) == 1)
 
     def digits(hit: Column) -> Column:
         return F.translate(hit, fixed.CN_DIGITS, fixed.ARABIC_DIGITS)
 
-    out = replace_matches(out, f"{fixed.CN_YEAR_DIGITS}(?={fixed.YEAR_MARK})", digits)
-    out = replace_matches(out, fixed.CN_YEAR_DIGITS, digits)
-    bare = F.translate(out, fixed.BLANK_PUNCTUATION, "")
-    singles = "".join(w for w in fillers if len(w) == 1)
-    empty = (
-        (raw == "")
-        | raw.rlike(noise)
-        | (bare == "")
-        | bare.isin(*fillers)
-        | bare.rlike(rf"^{_one_of(singles)}{{1,2}}\z")
+    def cleaned(raw: Column) -> Column:
+        out = strip(F.regexp_replace(raw, rf"(?iu)^{SPACE}*(?:{_literal(article)}{SPACE}+)+", ""))
+        for word in repeated:
+            out = F.regexp_replace(out, f"(?:{_literal(word)}){{2,}}", word)
+        out = replace_matches(out, f"{fixed.CN_YEAR_DIGITS}(?={fixed.YEAR_MARK})", digits)
+        return replace_matches(out, fixed.CN_YEAR_DIGITS, digits)
+
+    def kept(out: Column) -> Column:
+        return let(
+            F.translate(out, fixed.BLANK_PUNCTUATION, ""),
+            lambda bare: F.when(
+                ~((bare == "") | bare.isin(*fillers) | bare.rlike(rf"^{_one_of(singles)}{{1,2}}\z")), out
+            ),
+        )
+
+    return let(
+        strip(text), lambda raw: F.when(~((raw == "") | raw.rlike(noise)), let(cleaned(raw), kept))
     )
-    return F.when(~empty, out)
 
 
 def dictionary_pattern(words: Sequence[str]) -> str:

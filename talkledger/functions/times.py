@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from talkledger.functions.text import strip
+from talkledger.functions.text import let, strip
 
 
 def _whole(value: Column) -> Column:
@@ -50,10 +50,14 @@ def parse_time(text: Column) -> Column:
         F.split(strip(text), ":"),
         lambda p: F.when(strip(p).rlike(r"^[+-]?[0-9]+\z"), strip(p)).try_cast("bigint"),
     )
-    two = (parts[0] * 60 + parts[1]) * 1000
-    three = (F.get(parts, F.lit(0)) * 3600 + F.get(parts, F.lit(1)) * 60 + F.get(parts, F.lit(2))) * 1000
-    value = F.when(F.size(parts) == 2, two).when(F.size(parts) == 3, three)
-    return F.coalesce(value, F.lit(0))
+
+    def ms(p: Column) -> Column:
+        first, second, third = (F.get(p, F.lit(i)) for i in range(3))
+        return F.when(F.size(p) == 2, (first * 60 + second) * 1000).when(
+            F.size(p) == 3, (first * 3600 + second * 60 + third) * 1000
+        )
+
+    return F.coalesce(let(parts, ms), F.lit(0))
 
 
 def speaker_label(speaker: Column) -> Column:
