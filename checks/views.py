@@ -194,3 +194,8 @@ doc_lines AS (SELECT doc_id AS sheet_id,
   FROM documents),
 sheet_lines AS (SELECT sheet_id, row_idx, string_split(CASE row_idx % 3 WHEN 0 THEN concat(row_idx + 7, ' ', line)
     WHEN 1 THEN line ELSE concat(row_idx, line, ',None, x ,') END, ',') AS cells FROM doc_lines)"""
+
+
+def ocr_like(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings that have screen text."""
+    return table(spark, folder, "events").select(F.col("user_id").alias("recording_id")).where("recording_id % 4 <> 0")

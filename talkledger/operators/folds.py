@@ -164,6 +164,29 @@ def _chain_slice(rule: Rule, row, state: tuple[int, int] | None) -> tuple[tuple[
     return (state[0] + int(total), state[1] + int(n)), 0
 
 
+def _whole_cells(
+    batches: Iterator[pd.DataFrame], columns: Sequence[str]
+) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of a sorted partition, cut so that no cell is split; with the cell starts."""
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        new = np.zeros(len(pdf), dtype=bool)
+        new[0] = True
+        for c in columns:
+            values = pdf[c].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(new)
+        rest = pdf.iloc[starts[-1] :]
+        if len(starts) > 1:
+            yield pdf.iloc[: starts[-1]], starts[:-1]
+    if rest is not None:
+        yield rest, np.zeros(1, dtype=np.int64)
+
+
 def greedy_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -186,15 +209,16 @@ def greedy_groups(
     key_ddl = ", ".join(f"`{k}` {t}" for k, t in df.dtypes if k in keys)
     key_cols = [k for k, _ in df.dtypes if k in keys]
 
-    def read(pdf: pd.DataFrame) -> _Slice:
-        pdf.sort_values(order, inplace=True, kind="stable")
-        return _Slice(rule, pdf["_value"].to_numpy(), pdf["_force"].to_numpy(dtype=bool))
+    def slices(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[int, int, _Slice]]:
+        value, force = pdf["_value"].to_numpy(), pdf["_force"].to_numpy(dtype=bool)
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            yield a, b, _Slice(rule, value[a:b], force[a:b])
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = read(pdf).summary()
-        return pd.DataFrame(
-            [{**{k: pdf[k].iloc[0] for k in key_cols}, "_slice": key[-1], **found}]
-        )
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_cells(batches, [*key_cols, "_slice"]):
+            head = pdf.iloc[starts][[*key_cols, "_slice"]].reset_index(drop=True)
+            found = pd.DataFrame([part.summary() for _, _, part in slices(pdf, starts)])
+            yield pd.concat([head, found], axis=1)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, base, last = None, 0, None
@@ -214,25 +238,30 @@ def greedy_groups(
             if rows_out:
                 yield pd.DataFrame(rows_out)
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = read(pdf)
-        entered = pdf["_x"].iloc[0] if "_x" in pdf else None
-        state = None if entered is None or pd.isna(entered) else (int(entered), int(pdf["_r"].iloc[0]))
-        base = 0 if state is None else int(pdf["_base"].iloc[0])
-        opens = np.zeros(part.n, dtype=np.int64)
-        opens[part.starts(state)] = 1
-        pdf[out] = np.cumsum(opens) + base - 1
-        return pdf[[*key_cols, order, out]]
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_cells(batches, [*key_cols, "_slice"]):
+            numbers = np.empty(len(pdf), dtype=np.int64)
+            entered = pdf["_x"].to_numpy(dtype=float, na_value=np.nan) if "_x" in pdf else None
+            for a, b, part in slices(pdf, starts):
+                state, base = None, 0
+                if entered is not None and not np.isnan(entered[a]):
+                    state = int(pdf["_x"].iloc[a]), int(pdf["_r"].iloc[a])
+                    base = int(pdf["_base"].iloc[a])
+                opens = np.zeros(part.n, dtype=np.int64)
+                opens[part.starts(state)] = 1
+                numbers[a:b] = np.cumsum(opens) + base - 1
+            yield pdf[[*key_cols, order]].assign(**{out: numbers})
+
+    def in_cells(rows_df: DataFrame) -> DataFrame:
+        return rows_df.repartition(*cell).sortWithinPartitions(*cell, order)
 
     order_type = dict(df.dtypes)[order]
     result = f"{key_ddl}, `{order}` {order_type}, `{out}` bigint"
     if rows is None:
-        return narrow.groupBy(*keys).applyInPandas(apply, result)
+        return in_cells(narrow).mapInPandas(apply, result)
     long_keys = narrow.where(F.col("_slice") != 0).select(*keys).distinct()
-    summaries = (
-        narrow.join(long_keys, list(keys), "left_semi")
-        .groupBy(*cell)
-        .applyInPandas(summarise, f"{key_ddl}, `_slice` bigint, {_SUMMARY}")
+    summaries = in_cells(narrow.join(long_keys, list(keys), "left_semi")).mapInPandas(
+        summarise, f"{key_ddl}, `_slice` bigint, {_SUMMARY}"
     )
     entries = (
         summaries.repartition(*keys)
@@ -240,8 +269,4 @@ def greedy_groups(
         .groupBy(*keys)
         .applyInPandas(chain, f"{key_ddl}, `_slice` bigint, _x bigint, _r bigint, _base bigint")
     )
-    return (
-        narrow.join(entries, cell, "left")
-        .groupBy(*cell)
-        .applyInPandas(apply, result)
-    )
+    return in_cells(narrow.join(entries, cell, "left")).mapInPandas(apply, result)
