@@ -1 +1,318 @@
-"""Placeholder."""
+"""Model requests, responses and whole flows."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from checks import findings as fi
+from checks import views as v
+from checks.registry import check
+from talkledger.functions import responses as r
+from talkledger.operators import exchanges, ordered
+from talkledger.plans import audit, evaluation, transcript
+from talkledger.streaming import reviews
+
+
+@check(
+    "a8_full_texts",
+    "WITH " + v.ENTRIES + """
+SELECT recording_id, string_agg(text_corrected, ' ' ORDER BY seq) AS audit_text, string_agg(text_corrected, chr(10) ORDER BY seq) AS evaluation_text FROM v_entries GROUP BY recording_id""",
+)
+def full_texts(spark, folder):
+    n = v.turn_rows(spark, folder)
+    e = v.entries(spark, folder, n)
+    text = F.col("text_corrected")
+    a = ordered.joined_text(e, ["recording_id"], "seq", text, " ", "audit_text", n)
+    b = ordered.joined_text(e, ["recording_id"], "seq", text, "\n", "evaluation_text", n)
+    return a.join(b, "recording_id")
+
+
+def _sheets(spark, folder):
+    return v.table(spark, folder, "conversations").select(F.col("conv_id").alias("recording_id")).distinct().withColumn(
+        "sheet_id", F.col("recording_id") % 2
+    )
+
+
+def _rules(spark, folder):
+    b = v.table(spark, folder, "benchmark")
+    none = F.array().cast("array<string>")
+    return b.select(
+        (F.col("item_id") % 2).alias("sheet_id"), F.col("item_id").alias("rule_no"), F.col("item_id").alias("rule_id"),
+        F.col("text").alias("content"), F.when(F.col("item_id") % 5 == 0, "exact").otherwise("semantic").alias("check_mode"),
+        F.when(F.col("item_id") % 3 == 0, F.array(F.lit("transcript"))).when(F.col("item_id") % 3 == 1, F.array(F.lit("ocr")))
+        .otherwise(F.array(F.lit("transcript"), F.lit("ocr"))).alias("evidence_sources"),
+        F.when(F.col("item_id") % 5 == 0, F.array(F.substring("text", 1, 4))).otherwise(none).alias("keywords"),
+        F.when(F.col("item_id") % 4 == 0, "D").otherwise("").alias("description"),
+        F.lit("high").alias("severity_default"),
+    )
+
+
+def _examples(spark, folder):
+    return v.table(spark, folder, "benchmark").select(
+        (F.col("item_id") % 2).alias("sheet_id"), F.col("item_id").alias("rule_no"), F.lit(0).cast("long").alias("cell_no"),
+        F.substring("text", 1, 30).alias("example"),
+    )
+
+
+def _screens(e):
+    return e.where("recording_id % 4 <> 0").select(
+        "recording_id", "seq", (F.col("timestamp_ms") + 700).alias("timestamp_ms"), F.substring("text", 1, 12).alias("text"),
+        F.lit(0.9).alias("confidence"), F.format_string("/f/%d.jpg", "seq").alias("frame_path"),
+    )
+
+
+@check(
+    "a9_audit_prompts",
+    "WITH " + v.ENTRIES + r""",
+gr AS (SELECT item_id%2 AS sheet_id, CASE item_id%3 WHEN 0 THEN 'transcript' WHEN 1 THEN 'ocr' ELSE 'mixed' END AS group_name,
+  string_agg(concat(item_id, '. [', CASE WHEN item_id%5=0 THEN 'exact' ELSE 'semantic' END, '] ', text, CASE WHEN item_id%4=0 THEN concat(chr(10), '   审核说明：D') ELSE '' END), chr(10) ORDER BY item_id) AS rules_text
+  FROM benchmark GROUP BY 1, 2),
+ex AS (SELECT item_id%2 AS sheet_id, string_agg(concat('- ', substring(text, 1, 30)), chr(10) ORDER BY item_id) AS known
+  FROM (SELECT *, row_number() OVER (PARTITION BY item_id%2 ORDER BY item_id) AS rn FROM benchmark) WHERE rn <= 5 GROUP BY 1),
+oc AS (SELECT recording_id, timestamp_ms + 700 AS t, regexp_replace(substring(text, 1, 12), '^\s+|\s+$', '', 'g') AS k, min(seq) AS seq, arg_min(substring(text, 1, 12), seq) AS text
+  FROM v_entries WHERE recording_id%4<>0 GROUP BY ALL),
+sp AS (SELECT recording_id, chunk_idx, min(timestamp_ms) - 500 AS f, max(end_ms) + 500 AS t FROM v_entries GROUP BY ALL),
+se AS (SELECT sp.recording_id, sp.chunk_idx, string_agg(concat('[', printf('%02d:%02d', oc.t//60000, (oc.t//1000)%60), '] "', oc.text, '"'), chr(10) ORDER BY oc.t, oc.seq) AS seen
+  FROM sp JOIN oc ON oc.recording_id = sp.recording_id AND oc.t BETWEEN sp.f AND sp.t AND oc.k <> '' GROUP BY ALL),
+tr AS (SELECT recording_id, chunk_idx, string_agg(concat('[', "timestamp", '] [', speaker, ']: ', text_corrected), chr(10) ORDER BY seq) AS spoken FROM v_entries GROUP BY ALL),
+nc AS (SELECT recording_id, max(chunk_idx) + 1 AS n FROM v_entries GROUP BY 1)
+SELECT tr.recording_id, tr.chunk_idx, gr.group_name, concat_ws(chr(10)||chr(10), concat('Rules', chr(10), rules_text), concat('Known findings', chr(10), known),
+  CASE WHEN tr.recording_id%4<>0 AND gr.group_name <> 'transcript' AND seen IS NOT NULL THEN concat('Screen text', chr(10), seen) END,
+  concat('Transcript ', tr.chunk_idx + 1, '/', nc.n, chr(10), spoken), 'Answer with a JSON array of findings.') AS prompt
+FROM tr JOIN nc USING (recording_id) JOIN gr ON gr.sheet_id = tr.recording_id%2 LEFT JOIN ex ON ex.sheet_id = tr.recording_id%2
+LEFT JOIN se ON se.recording_id = tr.recording_id AND se.chunk_idx = tr.chunk_idx
+WHERE gr.group_name <> 'ocr' OR tr.recording_id%4<>0""",
+)
+def prompts(spark, folder):
+    e = v.entries(spark, folder, v.turn_rows(spark, folder))
+    found = audit.audit_requests(
+        e, _sheets(spark, folder), _rules(spark, folder), _examples(spark, folder), _screens(e),
+        limits=audit.AuditLimits(ocr_margin_ms=500),
+    )
+    return found.select("recording_id", "chunk_idx", "group_name", "prompt")
+
+
+@check(
+    "a13_best_attempt",
+    """SELECT event_id AS request_id, CASE WHEN event_id%3=0 THEN CASE WHEN event_id%2=0 THEN props END ELSE concat('[', props, ']') END AS raw FROM events""",
+)
+def best_attempt(spark, folder):
+    e = v.table(spark, folder, "events")
+    requests = e.select(F.col("event_id").alias("request_id"))
+    one = e.select(F.col("event_id").alias("request_id"), F.lit(1).alias("attempt"),
+                   F.when(F.col("event_id") % 3 == 0, F.lit("no [json")).otherwise(F.concat(F.lit("["), "props", F.lit("]"))).alias("raw"))
+    two = e.select(F.col("event_id").alias("request_id"), F.lit(2).alias("attempt"),
+                   F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit("{")).alias("raw"))
+    three = e.select(F.col("event_id").alias("request_id"), F.lit(3).alias("attempt"), F.lit("[]").alias("raw"))
+    every = one.unionByName(two).unionByName(three)
+    return exchanges.best_attempts(requests, every, r.parsed(F.col("raw")).isNotNull())
+
+
+@check(
+    "a14_response_assembly",
+    """WITH l AS (SELECT user_id AS request_id, event_id AS line_no, event_type, event_id%10=0 AS done FROM events WHERE event_id%7 NOT IN (0, 1))
+SELECT request_id, string_agg(event_type, '' ORDER BY line_no) AS content, bool_or(done) AS done,
+  max(line_no) FILTER (done) AS eval_count, arg_max(concat('m', event_type), line_no) FILTER (done) AS model FROM l GROUP BY request_id""",
+)
+def assembly(spark, folder):
+    e = v.table(spark, folder, "events")
+    line = (
+        F.when(F.col("event_id") % 7 == 0, F.lit("  "))
+        .when(F.col("event_id") % 7 == 1, F.lit('{"message": '))
+        .when(F.col("event_id") % 10 == 0, F.format_string('{"message":{"content":"%s"},"done":true,"model":"m%s","eval_count":%d,"total_duration":5}', "event_type", "event_type", "event_id"))
+        .otherwise(F.format_string('{"message":{"content":"%s"},"done":false}', "event_type"))
+    )
+    lines = e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("line_no"), line.alias("line"))
+    n = v.event_rows(spark, folder)
+    return exchanges.assembled_responses(lines, n).select("request_id", "content", "done", "eval_count", "model")
+
+
+def _short_upper(prompt: str) -> str:
+    if len(prompt) % 5 == 0:
+        raise TimeoutError("no answer")
+    return prompt[:20].replace("e", "E")
+
+
+@check(
+    "m1_batch_model_call",
+    "SELECT doc_id, CASE WHEN length(text)%5=0 THEN NULL ELSE replace(substring(text, 1, 20), 'e', 'E') END AS response FROM documents",
+)
+def model_call(spark, folder):
+    d = v.table(spark, folder, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return exchanges.call_model(d, _short_upper, delay_s=0.0).select("doc_id", "response")
+
+
+def _same(prompt: str) -> str:
+    return prompt
+
+
+@check(
+    "m3_transcript_correction",
+    "WITH " + v.SEGMENTS + r""",
+g AS (SELECT *, max(confidence) OVER (PARTITION BY recording_id) <= 0 OR confidence < 0.95 AS needs FROM v_segments),
+n AS (SELECT recording_id, seg_idx, text, needs, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^\s*(?:the\s+)+', '', 'i'), '^\s+|\s+$', '', 'g') AS c FROM g)
+SELECT recording_id, seg_idx, CASE WHEN needs THEN array_to_string(list_transform(regexp_extract_all(c, '(?s)[0-9A-Za-z_]+|[^0-9A-Za-z_]'), lambda x: CASE WHEN lower(x) = 'und' THEN 'u.' ELSE x END), '') ELSE text END AS text_corrected FROM n""",
+)
+def transcript_correction(spark, folder):
+    n = v.turn_rows(spark, folder)
+    s = v.segments(spark, folder, n)
+    rows = transcript.correct_transcript(s, {"und": "u."}, _same, slice_rows=n)
+    return rows.select("recording_id", "seg_idx", "text_corrected")
+
+
+@check("m4_text_correction", "SELECT doc_id, CASE WHEN doc_id%9=0 THEN '  ' ELSE text END AS text FROM documents")
+def text_correction(spark, folder):
+    d = v.table(spark, folder, "documents").select("doc_id", F.expr("CASE WHEN doc_id%9=0 THEN '  ' ELSE text END").alias("text"))
+    # the model trims its answer, so it gets and gives back quoted text
+    return transcript.correct_texts(d, "doc_id", _keep_blank_edges)
+
+
+def _keep_blank_edges(prompt: str) -> str:
+    return prompt if prompt == prompt.strip() else ""
+
+
+def _length(chunk: str) -> str:
+    return f"n={len(chunk)}"
+
+
+def _evaluate(prompt: str) -> str:
+    title = prompt if prompt.startswith("【") else str(len(prompt))
+    return "thinking</think> " + json.dumps({"meta": {"title": title}, "summary": "S"})
+
+
+@check(
+    "m5_text_evaluation",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, substring(text, 1, 20000) AS text FROM documents WHERE regexp_matches(text, '\S')),
+ch AS (SELECT doc_id, 0 AS i, 0 AS start, coalesce(3001 + 3000 - nullif(strpos(reverse(translate(substring(text, 3002, 3000), '。！？!?；;' || chr(10), '........')), '.'), 0) + 1, 6000) AS cut, length(text) AS n
+  FROM d WHERE length(text) > 6000
+  UNION ALL SELECT c.doc_id, c.i + 1, c.cut, CASE WHEN c.cut + 6000 >= c.n THEN c.n ELSE c.cut + coalesce(3001 + 3000 - nullif(strpos(reverse(translate(substring(d.text, c.cut + 3002, 3000), '。！？!?；;' || chr(10), '........')), '.'), 0) + 1, 6000) END, c.n
+  FROM ch c JOIN d ON d.doc_id = c.doc_id WHERE c.cut < c.n),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM ch)
+SELECT doc_id, string_agg(concat('【片段 ', i + 1, '/', total, '】', chr(10), 'n=', cut - start), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY i) AS title, 'S' AS summary FROM k GROUP BY doc_id
+UNION ALL SELECT doc_id, CAST(length(text) AS VARCHAR), 'S' FROM d WHERE length(text) <= 6000""",
+)
+def text_evaluation(spark, folder):
+    d = v.table(spark, folder, "documents").select("doc_id", "text")
+    rows = evaluation.evaluate_texts(d, "doc_id", _length, _evaluate, max_chars=20_000)
+    return rows.select("doc_id", F.col("evaluation.meta.title").alias("title"), F.col("evaluation.summary").alias("summary"))
+
+
+CHAIN = fi.v.VIOLATIONS + "," + fi.v.OCR + "," + fi.EXACT + """,
+good AS (SELECT v.recording_id, v.seq, v.rule_id, v.timestamp_ms, v.confidence, v.severity, v.source, v.evidence_text FROM v_violations v LEFT JOIN v_exact x ON x.rule_id = v.rule_id
+  WHERE confidence >= 0.1 AND (x.rule_id IS NULL OR len(list_filter(x.keywords, lambda k: contains(v.original_text, k) OR contains(translate(v.original_text, '9', '7'), translate(k, '9', '7')))) > 0)),
+tx AS (SELECT user_id AS recording_id, string_agg(props, ' ' ORDER BY event_id) AS text FROM events WHERE user_id%3<>0 GROUP BY 1),
+pr AS (SELECT recording_id, rule_id, keywords, text FROM tx, v_exact WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.recording_id = tx.recording_id AND g.rule_id = v_exact.rule_id)),
+ad AS (SELECT recording_id, 1152921504606846976 + rule_id AS seq, rule_id, 0 AS timestamp_ms,
+  CASE WHEN len(list_filter(keywords, lambda k: contains(text, k))) > 0 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence, 'high' AS severity, 'transcript' AS source, NULL AS evidence_text
+  FROM pr WHERE len(list_filter(keywords, lambda k: contains(text, k) OR contains(translate(text, '9', '7'), translate(k, '9', '7')))) > 0),
+al AS (SELECT * FROM good UNION ALL SELECT * FROM ad),
+o AS (SELECT *, row_number() OVER (PARTITION BY recording_id, rule_id ORDER BY timestamp_ms, seq) AS rn FROM al),
+cl AS (SELECT recording_id, rule_id, rn, timestamp_ms AS anchor, confidence AS a_conf, seq AS kept, 0 AS cluster_idx FROM o WHERE rn = 1
+  UNION ALL SELECT o.recording_id, o.rule_id, o.rn,
+    CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN cl.anchor ELSE o.timestamp_ms END,
+    CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN cl.a_conf ELSE o.confidence END,
+    CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN CASE WHEN o.confidence > cl.a_conf THEN o.seq ELSE cl.kept END ELSE o.seq END,
+    CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN cl.cluster_idx ELSE cl.cluster_idx + 1 END
+  FROM cl JOIN o ON o.recording_id = cl.recording_id AND o.rule_id = cl.rule_id AND o.rn = cl.rn + 1),
+kp AS (SELECT recording_id, rule_id, cluster_idx, arg_max(kept, rn) AS seq FROM cl GROUP BY ALL),
+si AS (SELECT al.* FROM al SEMI JOIN kp ON kp.recording_id = al.recording_id AND kp.seq = al.seq),
+ne AS (SELECT s.recording_id, s.seq, o.text, row_number() OVER (PARTITION BY s.recording_id, s.seq ORDER BY abs(o.timestamp_ms - s.timestamp_ms), o.seq) AS r
+  FROM si s JOIN v_ocr o ON o.recording_id = s.recording_id AND abs(o.timestamp_ms - s.timestamp_ms) <= 43200000 WHERE s.source = 'transcript' AND s.evidence_text IS NULL),
+v_chain AS (SELECT s.recording_id, s.seq, s.rule_id, s.timestamp_ms, s.confidence, s.severity, s.source, coalesce(ne.text, s.evidence_text) AS evidence_text
+  FROM si s LEFT JOIN ne ON ne.recording_id = s.recording_id AND ne.seq = s.seq AND ne.r = 1)"""
+
+
+def _chain(spark, folder):
+    none = F.lit(None).cast("string")
+    found = v.violations(spark, folder)
+    found = found.select(
+        *found.columns, F.lit("").alias("timestamp"), F.lit("").alias("speaker"), none.alias("rule_ref"), none.alias("reasoning")
+    )
+    texts = ordered.joined_text(
+        v.table(spark, folder, "events").where("user_id % 3 <> 0").withColumnRenamed("user_id", "recording_id"),
+        ["recording_id"], "event_id", F.col("props"), " ", "text", v.event_rows(spark, folder),
+    ).withColumn("sheet_id", F.lit(1).cast("long"))
+    limits = audit.AuditLimits(confidence=0.1, dedup_window_ms=fi.WEEK, evidence_margin_ms=43_200_000)
+    return audit.filtered(found, fi.exact_table(spark, folder), texts, v.ocr(spark, folder), fi.SOUNDS, limits)
+
+
+@check("m6_filter_chain", "WITH RECURSIVE " + CHAIN + " SELECT * FROM v_chain")
+def filter_chain(spark, folder):
+    return _chain(spark, folder).select(
+        "recording_id", "seq", "rule_id", "timestamp_ms", "confidence", "severity", "source", "evidence_text"
+    )
+
+
+@check(
+    "m6_audit_reports",
+    "WITH RECURSIVE " + CHAIN + """,
+rc AS (SELECT DISTINCT user_id AS recording_id FROM events),
+ct AS (SELECT recording_id, count(*) AS n, count(*) FILTER (severity='high') AS h, count(*) FILTER (severity='medium') AS m, count(*) FILTER (severity='low') AS l,
+  sum(CASE severity WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END) AS lost, count(*) FILTER (source='ocr') AS n_ocr FROM v_chain GROUP BY 1),
+ev AS (SELECT user_id AS recording_id, count(*) AS n_entries FROM events GROUP BY 1)
+SELECT rc.recording_id, 5 AS total_rules, n_entries AS total_segments_checked, greatest(round(100.0 - coalesce(lost, 0), 1), 0)::DOUBLE AS compliance_score,
+  CASE WHEN n IS NULL THEN '审核完成，未发现违规内容。' ELSE concat('发现 ', n, ' 条违规（高风险 ', h, ' 条，中风险 ', m, ' 条，低风险 ', l, ' 条）。') END AS summary,
+  coalesce(n_ocr, 0) AS n_ocr FROM rc LEFT JOIN ct USING (recording_id) LEFT JOIN ev USING (recording_id)""",
+)
+def audit_reports(spark, folder):
+    events = v.timeline(spark, folder).select("recording_id")
+    sheets = events.distinct().withColumn("sheet_id", F.lit(1).cast("long"))
+    rows = audit.reports(sheets, events, fi.exact_table(spark, folder), _chain(spark, folder))
+    return rows.select(
+        "recording_id", "total_rules", "total_segments_checked", "compliance_score", "summary",
+        F.coalesce(F.try_element_at("source_counts", F.lit("ocr")), F.lit(0)).alias("n_ocr"),
+    )
+
+
+def _audit_model(prompt: str) -> str:
+    """Reports the first rule for every transcript line that is a question or shouts EN."""
+    if len(prompt) % 11 == 0:
+        return "sorry"
+    found = []
+    for line in prompt.split("\n"):
+        if line.startswith("[") and "]: " in line and "EN" in line:
+            found.append({
+                "rule_id": 1, "timestamp": line[1:6], "severity": "HIGH", "confidence": "0.9",
+                "original_text": line.split("]: ", 1)[1][:40], "reason": "EN", "speaker": None,
+            })
+    return "<think>hm</think>```json\n" + json.dumps({"violations": found}) + "\n```"
+
+
+@check("m6_compliance_audit")
+def compliance_audit(spark, folder):
+    n = v.turn_rows(spark, folder)
+    e = v.entries(spark, folder, n).drop("chunk_idx")
+    limits = audit.AuditLimits(chunk_chars=900, slice_rows=n, ocr_margin_ms=500)
+    kept, _ = audit.audit(
+        e, _sheets(spark, folder), _rules(spark, folder), _examples(spark, folder), _screens(e), _audit_model, limits=limits
+    )
+    return kept.select("recording_id", "seq", "rule_id", "timestamp_ms", "end_ms", "severity", "confidence", "evidence_text")
+
+
+@check(
+    "e1_recording_to_transcript",
+)
+def recording_to_transcript(spark, folder):
+    n = v.turn_rows(spark, folder)
+    return transcript.transcripts(v.segments(spark, folder, n), {"und": "u."}, _same, slice_rows=n)
+
+
+@check(
+    "s1_debounced_reviews",
+    """WITH u AS (SELECT user_id AS recording_id, event_id - event_id%3 AS seq, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts)//1000, event_id) - 1 AS upd_seq, epoch_us(ts) AS us, CASE event_id%2 WHEN 0 THEN 'confirmed' ELSE 'rejected' END AS status FROM events),
+f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY recording_id ORDER BY upd_seq) >= 21600000000 THEN 1 ELSE 0 END AS opens FROM u),
+b AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY recording_id ORDER BY upd_seq) AS BIGINT) AS burst FROM f)
+SELECT recording_id, burst, seq, max(upd_seq) AS upd_seq, arg_max(status, upd_seq) AS status FROM b GROUP BY recording_id, burst, seq""",
+)
+def debounced(spark, folder):
+    n = v.event_rows(spark, folder)
+    e = v.table(spark, folder, "events").select(
+        F.col("user_id").alias("recording_id"), F.col("event_id").alias("_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.unix_millis(F.col("ts").cast("timestamp")).alias("_ms"),
+        (F.col("event_id") - F.col("event_id") % 3).alias("seq"),
+        F.expr("CASE event_id%2 WHEN 0 THEN 'confirmed' ELSE 'rejected' END").alias("status"),
+    )
+    placed = ordered.positions(e, ["recording_id"], "_ms", "_id", "upd_seq", n)
+    return reviews.bursts(placed, 21_600_000, n)
