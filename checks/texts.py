@@ -55,8 +55,8 @@ SELECT doc_id, lang, count(*) AS n_words, count(*) FILTER (c = '' OR c IN ("""
 )
 def noise_segments(spark, folder):
     words = docs(spark, folder).select("doc_id", "lang", F.explode(F.split("text", " ")).alias("word"))
-    return words.groupBy("doc_id", "lang").agg(
-        F.count(F.lit(1)).alias("n_words"), F.count_if(t.is_noise("word")).alias("n_noise")
+    return t.computed(words, noise=t.is_noise("word")).groupBy("doc_id", "lang").agg(
+        F.count(F.lit(1)).alias("n_words"), F.count_if("noise").alias("n_noise")
     )
 
 

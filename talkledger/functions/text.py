@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkledger import fixed_values as fixed
@@ -32,6 +32,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once: a filter on one is not pushed below it, and its
+    expression is not repeated where it is used."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def strip(text: str | Column) -> Column:
     return F.regexp_replace(_col(text), rf"^{SPACE}+|{SPACE}+\z", "")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talkledger import fixed_values as fixed
 from talkledger.functions import responses as r
+from talkledger.functions import text as t
 from talkledger.operators import evidence, exchanges, ordered, rules, segments, violations
 from talkledger.session import cut_lineage
 
@@ -61,7 +62,8 @@ def read_findings(responses: DataFrame, chunked: DataFrame, enriched: DataFrame)
     found = responses.select(
         "recording_id", "chunk_idx", "sheet_id", "group_name",
         F.posexplode(r.finding_items(value)).alias("_place", "_item"),
-    ).withColumn("_f", r.finding(F.col("_item")))
+    )
+    found = t.computed(found, _f=r.finding(F.col("_item")))
     group = F.array_position(F.array(*[F.lit(g) for g in rules.GROUP_ORDER]), F.col("group_name")) - 1
     found = found.select(
         "recording_id", "chunk_idx", "sheet_id", "group_name",
@@ -97,10 +99,16 @@ def filtered(
     sounds: Mapping[str, str] | None = None,
     limits: AuditLimits = AuditLimits(),
 ) -> DataFrame:
-    """The filter chain: P8, J7, J16, W5, J4."""
-    good = violations.verified(violations.confident(found, limits.confidence), enriched, sounds)
+    """The filter chain: P8, J7, J16, W5, J4.
+
+    Every step reads the findings more than once, so they are written in between; they are
+    few against the texts they come from.
+    """
+    good = cut_lineage(violations.verified(violations.confident(found, limits.confidence), enriched, sounds))
     added = violations.missed_exact(full_texts, good, enriched, sounds)
-    single = violations.deduplicated(good.unionByName(added), limits.dedup_window_ms)
+    every = cut_lineage(good.unionByName(added))
+    slice_ms = ordered.SLICE_MS if ordered.slice_rows(every) else None
+    single = cut_lineage(violations.deduplicated(every, limits.dedup_window_ms, slice_ms=slice_ms))
     return evidence.nearest_screen_text(single, ocr, limits.evidence_margin_ms)
 
 
@@ -145,10 +153,14 @@ def audit(
     chunked = cut_lineage(chunked_entries(entries, limits))
     requests = audit_requests(chunked, sheets, enriched, examples, ocr, words, limits)
     readable = r.parsed(r.json_array_text(r.strip_thinking(F.col("response")))).isNotNull()
-    first = cut_lineage(exchanges.call_model(requests, ask, width=width))
-    again = first.where(~F.coalesce(readable, F.lit(False))).drop("response")
-    second = cut_lineage(exchanges.call_model(again, ask, width=width))
-    answers = first.where(readable).unionByName(second.where(readable))
+
+    def asked(rows: DataFrame) -> DataFrame:
+        answered = exchanges.call_model(rows, ask, width=width)
+        return cut_lineage(t.computed(answered, readable=F.coalesce(readable, F.lit(False))))
+
+    first = asked(requests)
+    second = asked(first.where(~F.col("readable")).drop("response", "readable"))
+    answers = first.unionByName(second).where("readable")
     found = read_findings(answers, chunked, enriched)
     kept = cut_lineage(filtered(found, enriched, full_texts(chunked, sheets, limits), ocr, sounds, limits))
     said = None

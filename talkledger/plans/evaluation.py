@@ -32,8 +32,8 @@ def evaluated_attempts(
     done, open_ = None, requests
     for attempt in range(attempts):
         asked = cut_lineage(
-            exchanges.call_model(open_, ask, width=width).withColumn(
-                "evaluation", r.evaluation(F.col("response"))
+            t.computed(
+                exchanges.call_model(open_, ask, width=width), evaluation=r.evaluation(F.col("response"))
             )
         )
         settled = asked if attempt + 1 == attempts else asked.where(F.col("evaluation").isNotNull())

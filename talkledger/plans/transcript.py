@@ -11,32 +11,37 @@ from talkledger import fixed_values as fixed
 from talkledger.functions import responses as r
 from talkledger.functions import text as t
 from talkledger.operators import chunks, exchanges, ordered, segments
+from talkledger.operators.folds import Rule, greedy_groups
 from talkledger.session import cut_lineage
 
 
+def prepared_rows(rows: DataFrame, dictionary: Mapping[str, str]) -> DataFrame:
+    """(recording_id, seg_idx, prepared) of (recording_id, seg_idx, text); null for noise."""
+    made = t.computed(rows.select("recording_id", "seg_idx", "text"), _n=t.normalise("text"))
+    return t.computed(made, prepared=t.replace_words("_n", dictionary)).select(
+        "recording_id", "seg_idx", "prepared"
+    )
+
+
 def correction_requests(
-    rows: DataFrame,
-    dictionary: Mapping[str, str],
+    prepared: DataFrame,
     max_rows: int = fixed.BATCH_ROWS,
     max_chars: int = fixed.BATCH_CHARS,
     slice_rows: int | None = ordered.SLICE_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows to (prepared rows with ``batch_idx``, one request per batch).
-
-    ``rows`` is (recording_id, seg_idx, text). Noise rows have prepared text null.
-    """
-    prepared = rows.select("recording_id", "seg_idx", t.normalise("text").alias("_n")).select(
-        "recording_id", "seg_idx", t.replace_words("_n", dictionary).alias("prepared")
-    )
+    """(prepared rows with ``batch_idx``, one request per batch). Noise is in none."""
     live = prepared.where(F.col("prepared").isNotNull())
-    batched = segments.batch_rows(live, "seg_idx", "prepared", max_rows, max_chars, rows=slice_rows)
+    rule = Rule(max_chars, max_rows=max_rows)
+    groups = greedy_groups(
+        live, ["recording_id"], "seg_idx", F.length("prepared"), rule, rows=slice_rows, out="batch_idx"
+    )
+    batched = prepared.join(groups, ["recording_id", "seg_idx"], "left")
     item = F.struct(F.col("seg_idx").alias("id"), F.col("prepared").alias("text"))
-    requests = batched.groupBy("recording_id", "batch_idx").agg(
+    requests = batched.where(F.col("batch_idx").isNotNull()).groupBy("recording_id", "batch_idx").agg(
         F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("entries"))).alias("prompt"),
         r.output_budget(F.sum(F.length("prepared"))).alias("max_tokens"),
     )
-    noise = prepared.where(F.col("prepared").isNull()).withColumn("batch_idx", F.lit(None).cast("long"))
-    return batched.unionByName(noise), requests
+    return batched, requests
 
 
 def corrected_rows(prepared: DataFrame, responses: DataFrame) -> DataFrame:
@@ -71,11 +76,11 @@ def correct_transcript(
     must not call the model again.
     """
     gated = segments.needs_correction(merged, threshold).where("needs_correction")
-    prepared, requests = correction_requests(gated, dictionary, slice_rows=slice_rows)
-    responses = exchanges.call_model(requests, ask, width=width)
-    if keep_responses:
-        responses = cut_lineage(responses)
-    return segments.overlay_corrections(merged, corrected_rows(prepared, responses))
+    keep = cut_lineage if keep_responses else (lambda df: df)
+    prepared = keep(prepared_rows(gated, dictionary))
+    batched, requests = correction_requests(prepared, slice_rows=slice_rows)
+    responses = keep(exchanges.call_model(requests, ask, width=width))
+    return segments.overlay_corrections(merged, corrected_rows(batched, responses))
 
 
 def correct_texts(
@@ -93,7 +98,7 @@ def correct_texts(
     if keep_responses:
         parts = cut_lineage(parts)
     said = t.strip(r.strip_thinking(F.col("response")))
-    parts = parts.withColumn("chunk", F.coalesce(F.nullif(said, F.lit("")), "chunk"))
+    parts = t.computed(parts, _said=said).withColumn("chunk", F.coalesce(F.nullif("_said", F.lit("")), "chunk"))
     merged = chunks.merge_chunks(parts, key, "chunk", overlap)
     return merged.unionByName(texts.where(t.is_blank("text")).select(key, "text"))
 
