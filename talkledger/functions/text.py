@@ -14,6 +14,12 @@ from talkledger import fixed_values as fixed
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+_SPACES = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def _col(text: str | Column) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
@@ -40,25 +46,40 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def strip(text: str | Column) -> Column:
-    return F.regexp_replace(_col(text), rf"^{SPACE}+|{SPACE}+\z", "")
+    """Trim white space as Python's ``str.strip`` does."""
+    return F.btrim(_col(text), F.lit(_SPACES))
 
 
 def is_blank(text: str | Column) -> Column:
-    return ~_col(text).rlike(rf"[^{SPACE[1:]}")
+    return strip(text) == ""
+
+
+#: Put around matches while they are changed; not a character (a text that has it all the
+#: same takes the two-pass way).
+_MARK = chr(0x10FFFE)
 
 
 def replace_matches(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
-    """Replace every match by ``change(match)``; text without a match is untouched."""
+    """Replace every match by ``change(match)``.
+
+    One pass of the pattern marks the matches, a plain split then sets them apart.
+    """
+
+    def marked(body: Column) -> Column:
+        parts = F.split(F.regexp_replace(body, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+        changed = F.transform(parts, lambda part, i: F.when(i % 2 == 1, change(part)).otherwise(part))
+        return F.array_join(changed, "")
 
-    def replaced(body: Column) -> Column:
-        between = F.split(body, pattern)
+    def twice(body: Column) -> Column:
         hits = F.regexp_extract_all(body, F.lit(f"({pattern})"), F.lit(1))
         pairs = F.zip_with(
-            between, hits, lambda gap, hit: F.concat(gap, F.coalesce(change(hit), F.lit("")))
+            F.split(body, pattern), hits, lambda gap, hit: F.concat(gap, F.coalesce(change(hit), F.lit("")))
         )
-        return F.when(body.rlike(pattern), F.array_join(pairs, "")).otherwise(body)
+        return F.array_join(pairs, "")
 
-    return let(text, replaced)
+    return let(
+        text, lambda body: F.when(F.contains(body, F.lit(_MARK)), twice(body)).otherwise(marked(body))
+    )
 
 
 def clean_recognised(text: str | Column) -> Column:
@@ -78,22 +99,24 @@ def is_noise(
     punctuation: str = fixed.NOISE_PUNCTUATION,
 ) -> Column:
     """Only interjections or meaningless syllables."""
-    spaced = F.translate(F.lower(strip(text)), punctuation, " " * len(punctuation))
-
-    def noise(cleaned: Column) -> Column:
-        letters = F.array_distinct(F.split(F.replace(cleaned, F.lit(" "), F.lit("")), ""))
-        return (
-            (cleaned == "")
-            | cleaned.isin(*words_cn, *words_en)
-            | (
-                (F.length(cleaned) <= 6)
-                & (F.size(letters) <= 2)
-                & F.forall(letters, lambda c: c.isin(*words_cn))
-            )
-            | F.forall(F.split(cleaned, " "), lambda w: w.isin(*words_en))
-        )
-
-    return let(strip(F.regexp_replace(spaced, f"{SPACE}+", " ")), noise)
+    spaced = F.translate(F.lower(_col(text)), punctuation, " " * len(punctuation))
+    cleaned = F.trim(F.regexp_replace(spaced, f"{SPACE}+", " "))
+    listed = "|".join(_literal(w) for w in (*words_cn, *words_en))
+    sound = _one_of("".join(w for w in words_cn if len(w) == 1))
+    words = "|".join(_literal(w) for w in words_en if " " not in w)
+    few_sounds = rf"(?=.{{1,6}}\z)({sound})(?: |\1)*(?:({sound})(?: |\1|\2)*)?"
+    return cleaned.rlike(rf"^(?:|{listed}|{few_sounds}|(?:{words})(?: (?:{words}))*)\z")
+
+
+def _repeat_patterns(words: Sequence[str]) -> list[str]:
+    """One pattern for all words where none can overlap another, else one per word."""
+    overlap = any(
+        u != v and (u in v or any(u.endswith(v[:n]) for n in range(1, min(len(u), len(v)) + 1)))
+        for u in words
+        for v in words
+    )
+    groups = [[w] for w in words] if overlap else [list(words)]
+    return [f"({'|'.join(map(_literal, g))})\\1+" for g in groups if g]
 
 
 def normalise(
@@ -113,12 +136,16 @@ def normalise(
     def digits(hit: Column) -> Column:
         return F.translate(hit, fixed.CN_DIGITS, fixed.ARABIC_DIGITS)
 
+    def dated(body: Column) -> Column:
+        years = replace_matches(body, f"{fixed.CN_YEAR_DIGITS}(?={fixed.YEAR_MARK})", digits)
+        every = replace_matches(years, fixed.CN_YEAR_DIGITS, digits)
+        return F.when(body.rlike(fixed.CN_YEAR_DIGITS), every).otherwise(body)
+
     def cleaned(raw: Column) -> Column:
-        out = strip(F.regexp_replace(raw, rf"(?iu)^{SPACE}*(?:{_literal(article)}{SPACE}+)+", ""))
-        for word in repeated:
-            out = F.regexp_replace(out, f"(?:{_literal(word)}){{2,}}", word)
-        out = replace_matches(out, f"{fixed.CN_YEAR_DIGITS}(?={fixed.YEAR_MARK})", digits)
-        return replace_matches(out, fixed.CN_YEAR_DIGITS, digits)
+        out = strip(F.regexp_replace(raw, rf"(?iu)^(?:{_literal(article)}{SPACE}+)+", ""))
+        for pattern in _repeat_patterns(repeated):
+            out = F.regexp_replace(out, pattern, "$1")
+        return let(out, dated)
 
     def kept(out: Column) -> Column:
         return let(
@@ -136,11 +163,13 @@ def normalise(
 def dictionary_pattern(words: Sequence[str]) -> str:
     """Longest word first. No match may run into an ASCII word character after it; a word
     that begins with one may not follow one either."""
-    parts = []
-    for word in sorted(set(words), key=lambda w: (-len(w), w)):
-        guard = "(?<![0-9A-Za-z_])" if re.match(r"[0-9A-Za-z_]", word) else ""
-        parts.append(f"{guard}{_literal(word)}(?![0-9A-Za-z_])")
-    return "(?iu)(?:" + "|".join(parts) + ")"
+    ranked = [_literal(w) for w in sorted(set(words), key=lambda w: (-len(w), w))]
+    guarded = [w for w in ranked if re.match(r"[0-9A-Za-z_]", w)]
+    free = [w for w in ranked if w not in guarded]
+    ways = [f"(?<![0-9A-Za-z_])(?:{'|'.join(guarded)})"] if guarded else []
+    ways += free
+    cased = any(c.lower() != c.upper() for w in words for c in w if not c.isascii())
+    return f"(?{'iu' if cased else 'i'})(?:{'|'.join(ways)})(?![0-9A-Za-z_])"
 
 
 def replace_words(text: str | Column, dictionary: Mapping[str, str]) -> Column:
