@@ -302,7 +302,7 @@ def recording_to_transcript(spark, folder):
 @check(
     "s1_debounced_reviews",
     """WITH u AS (SELECT user_id AS recording_id, event_id - event_id%3 AS seq, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts)//1000, event_id) - 1 AS upd_seq, epoch_us(ts) AS us, CASE event_id%2 WHEN 0 THEN 'confirmed' ELSE 'rejected' END AS status FROM events),
-f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY recording_id ORDER BY upd_seq) >= 21600000000 THEN 1 ELSE 0 END AS opens FROM u),
+f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY recording_id ORDER BY upd_seq) > 21600000000 THEN 1 ELSE 0 END AS opens FROM u),
 b AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY recording_id ORDER BY upd_seq) AS BIGINT) AS burst FROM f)
 SELECT recording_id, burst, seq, max(upd_seq) AS upd_seq, arg_max(status, upd_seq) AS status FROM b GROUP BY recording_id, burst, seq""",
 )

@@ -59,13 +59,14 @@ def start_reviews(
 def bursts(
     updates: DataFrame, quiet_ms: int = fixed.QUIET_MS, rows: int | None = o.SLICE_ROWS
 ) -> DataFrame:
-    """Batch twin: (recording_id, burst, seq, upd_seq, status), last status per finding.
+    """Batch twin: (recording_id, burst, seq, upd_seq, status), last status per finding. As in
+    the stream, an update at exactly the quiet time still belongs to the burst.
 
     ``upd_seq`` is the arrival order inside a recording, ``ts_us`` its time in microseconds.
     """
     runs = o.islands(
         updates, ["recording_id"], "upd_seq", ["ts_us"],
-        lambda b, h: h("ts_us") - b("ts_us") >= quiet_ms * 1000, "burst", rows,
+        lambda b, h: h("ts_us") - b("ts_us") > quiet_ms * 1000, "burst", rows,
     )
     return runs.groupBy("recording_id", "burst", "seq").agg(
         F.max("upd_seq").alias("upd_seq"), F.max_by("status", "upd_seq").alias("status")
