@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views as v
-from checks.registry import check
+from checks.registry import SQL, check
 from talkledger.functions import text as t
 from talkledger.functions import times
 from talkledger.operators import chunks, ordered, segments, speakers, visual
@@ -533,3 +533,25 @@ def merge_totals(spark, folder):
     n = v.turn_rows(spark, folder)
     s = v.segments(spark, folder, n)
     return totals({"before": s, "after": segments.merge_segments(s, 1000, n)}, "text")
+
+
+# --- the form long recordings take: the same operators in slices of a few rows ---
+
+for _name, _query in {
+    "w1_segment_premerge_in_slices": lambda spark, folder: segments.merge_segments(v.segments(spark, folder, 3), 1000, 3).select(
+        "recording_id", "seg_idx", "text", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"),
+        "speaker", F.size("sub_sentences").cast("long").alias("n_subs"),
+    ),
+    "w4_speaker_smoothing_in_slices": lambda spark, folder: segments.smooth_speakers(v.segments(spark, folder, 3), rows=3).select(
+        "recording_id", "seg_idx", "speaker"
+    ),
+    "w6_pack_by_chars_in_slices": lambda spark, folder: segments.pack_by_chars(
+        v.entries(spark, folder, 2).drop("chunk_idx"), "seq", "text_corrected", 900, rows=2
+    ).select("recording_id", "seq", "chunk_idx"),
+    "w7_batches_by_rows_and_chars_in_slices": lambda spark, folder: segments.batch_rows(
+        v.entries(spark, folder, 2), "seq", "text", max_rows=3, rows=2
+    ).select("recording_id", "seq", "batch_idx"),
+    "w8_face_timeline_in_slices": lambda spark, folder: visual.face_timeline(v.frames(spark, folder), 1000, 7_200_000, 16),
+    "w9_speaker_turns_in_slices": lambda spark, folder: speakers.speaker_turns(v.windows(spark, folder), 8),
+}.items():
+    check(_name, SQL[_name.removesuffix("_in_slices")])(_query)

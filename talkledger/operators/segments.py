@@ -195,8 +195,11 @@ def within_budget(
     return summed.where(F.col("_chars") <= budget).drop("_chars")
 
 
-def corrected_fragments(segments: DataFrame, corrected: str = "text_corrected") -> DataFrame:
-    """Corrected text cut at sentence marks, time shared out by length."""
+def corrected_fragments(
+    segments: DataFrame, corrected: str = "text_corrected", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Corrected text cut at sentence marks, time shared out by length. Columns named in
+    ``carry`` come along."""
     subs, text = F.col("sub_sentences"), F.col(corrected)
     plain = F.coalesce(F.size(subs) < 1, F.lit(True)) | t.is_blank(text)
     single = F.size(subs) == 1
@@ -205,6 +208,7 @@ def corrected_fragments(segments: DataFrame, corrected: str = "text_corrected")
     cut = segments.select(
         "recording_id",
         "seg_idx",
+        *carry,
         begin.cast("long").alias("_from"),
         finish.cast("long").alias("_to"),
         F.when(plain | single, F.array(text)).otherwise(t.sentences(text)).alias("_parts"),
@@ -221,6 +225,7 @@ def corrected_fragments(segments: DataFrame, corrected: str = "text_corrected")
     return rows.select(
         "recording_id",
         "seg_idx",
+        *carry,
         "pos",
         "fragment",
         (F.col("_from") + F.col("_passed") - F.col("_share")).alias("start_ms"),
@@ -281,9 +286,8 @@ def transcript_entries(
     kept = kept.withColumn("_seq", F.col("_upto") - count)
     split = kept.where(many)
     pieces = (
-        corrected_fragments(split, corrected)
+        corrected_fragments(split, corrected, ("speaker", "_seq"))
         .join(original_fragments(split), ["recording_id", "seg_idx", "pos"], "left")
-        .join(split.select("recording_id", "seg_idx", "speaker", "_seq"), ["recording_id", "seg_idx"])
         .select(
             "recording_id",
             (F.col("_seq") + F.col("pos")).alias("seq"),
