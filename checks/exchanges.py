@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks import findings as fi
 from checks import views as v
 from checks.registry import check
+from checks.sequences import LONG_RUNS, SMOOTHED, merged_sql
 from talkledger.functions import responses as r
 from talkledger.operators import exchanges, ordered
 from talkledger.plans import audit, evaluation, transcript
@@ -291,8 +292,22 @@ def compliance_audit(spark, folder):
     return kept.select("recording_id", "seq", "rule_id", "timestamp_ms", "end_ms", "severity", "confidence", "evidence_text")
 
 
+PLAIN = r"regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^\s*(?:the\s+)+', '', 'i'), '^\s+|\s+$', '', 'g')"
+
+
 @check(
     "e1_recording_to_transcript",
+    "WITH RECURSIVE " + SMOOTHED + "," + merged_sql("smoothed", 1000) + """,
+gated AS (SELECT *, max(confidence) OVER (PARTITION BY recording_id) <= 0 OR confidence < 0.95 AS needs FROM v_merged),
+corrected AS (SELECT *, CASE WHEN needs THEN array_to_string(list_transform(regexp_extract_all(""" + PLAIN + """, '(?s)[0-9A-Za-z_]+|[^0-9A-Za-z_]'),
+  lambda x: CASE WHEN lower(x) = 'und' THEN 'u.' ELSE x END), '') ELSE text END AS text_corrected FROM gated),
+""" + LONG_RUNS[LONG_RUNS.index("parts AS"):] + """,
+e AS (SELECT f.recording_id, f.seg_idx, f.pos, f.start_ms, f.end_ms, c.speaker, f.fragment AS text_corrected,
+  CASE WHEN c.n_subs = 1 THEN c.text ELSE coalesce(c.subs[f.pos+1], f.fragment) END AS text
+  FROM v_fragments f JOIN corrected c USING (recording_id, seg_idx) WHERE c.text_corrected <> '')
+SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx, pos) - 1 AS seq,
+  printf('%02d:%02d', start_ms//60000, (start_ms//1000)%60) AS "timestamp", start_ms AS timestamp_ms, end_ms,
+  concat('Speaker ', speaker+1) AS speaker, text, text_corrected FROM e""",
 )
 def recording_to_transcript(spark, folder):
     n = v.turn_rows(spark, folder)

@@ -443,7 +443,19 @@ def budget(spark, folder):
     return kept.select("recording_id", "seq", F.length("text_corrected").cast("long").alias("n_chars"))
 
 
-@check("w19_long_segment_split")
+@check(
+    "w19_long_segment_split",
+    "WITH RECURSIVE " + v.SEGMENTS + r""",
+c AS (SELECT recording_id, seg_idx, text, length(text) AS n, 0 AS start, CASE WHEN 166 >= length(text) THEN length(text)
+    ELSE coalesce(168 - nullif(strpos(reverse(translate(substring(text, 2, 166), '。！？；，、：!?;,:', '............')), '.'), 0), 166) END AS cut
+  FROM v_segments WHERE (length(text)-1)*90+80 > 15000
+  UNION ALL SELECT recording_id, seg_idx, text, n, cut, CASE WHEN cut + 166 >= n THEN n
+    ELSE cut + coalesce(168 - nullif(strpos(reverse(translate(substring(text, cut + 2, 166), '。！？；，、：!?;,:', '............')), '.'), 0), 166) END
+  FROM c WHERE cut < n),
+k AS (SELECT recording_id, seg_idx, start, cut, regexp_replace(substring(text, start + 1, cut - start), '^\s+|\s+$', '', 'g') AS text FROM c)
+SELECT recording_id, seg_idx, row_number() OVER (PARTITION BY recording_id, seg_idx ORDER BY start) - 1 AS part, text, CAST(start*90 AS BIGINT) AS start_ms, CAST((cut-1)*90+80 AS BIGINT) AS end_ms FROM k WHERE text <> ''
+UNION ALL SELECT recording_id, seg_idx, 0, text, 0, (length(text)-1)*90+80 FROM v_segments WHERE length(text) > 0 AND (length(text)-1)*90+80 <= 15000""",
+)
 def long_split(spark, folder):
     stamps = F.transform(
         F.sequence(F.lit(0), F.length("text") - 1),

@@ -231,10 +231,11 @@ def first_sounding_keyword(
     text: str | Column, keywords: Column, sounds: Mapping[str, str]
 ) -> Column:
     """The first keyword *in list order* that is heard in the text; else null."""
-    heard = spoken(text, sounds)
-    return F.try_element_at(
-        F.filter(keywords, lambda k: F.contains(heard, spoken(k, sounds))), F.lit(1)
-    )
+
+    def first(heard: Column) -> Column:
+        return F.get(F.filter(keywords, lambda k: F.contains(heard, spoken(k, sounds))), F.lit(0))
+
+    return let(spoken(text, sounds), first)
 
 
 def around(text: str | Column, at: Column, radius: int = fixed.CONTEXT_CHARS) -> Column:
