@@ -31,8 +31,15 @@ _SLICE = "_slice"
 
 
 def _div(order: str | Column, rows: int) -> Column:
+    """Whole-number division, rounded down, without a detour over doubles."""
     order = F.col(order) if isinstance(order, str) else order
-    return F.floor(order / F.lit(rows)).cast("long")
+    return F.call_function("div", order - F.pmod(order, F.lit(rows)), F.lit(rows)).cast("long")
+
+
+def sliced(df: DataFrame, order: str, rows: int | None) -> DataFrame:
+    """Name the slices ahead of several scans in one order: they keep the column, and with
+    it the partitioning, so the rows are shuffled once."""
+    return df if rows is None or _SLICE in df.columns else df.withColumn(_SLICE, _div(order, rows))
 
 
 def slice_rows(df: DataFrame, keys: Sequence[str] = ("recording_id",), rows: int = SLICE_ROWS) -> int | None:
@@ -197,7 +204,7 @@ def scan(
     if rows is None:
         return df.select(*df.columns, *[_whole(c, keys, pos).alias(out) for out, c in carries.items()])
     names = {out: f"_edge_{i}" for i, out in enumerate(carries)}
-    cut = df.withColumn(_SLICE, _div(pos, rows))
+    cut = sliced(df, order, rows)
     edges = cut.groupBy(*cell).agg(
         *[p for out, c in carries.items() for p in _partials(c, names[out], pos)]
     )
@@ -247,7 +254,7 @@ def islands(
         )
         number = F.sum("_opens").over(key.rowsBetween(Window.unboundedPreceding, 0))
         return flags.withColumn(out, number).drop("_opens")
-    cut = df.withColumn(_SLICE, _div(pos, rows))
+    cut = sliced(df, order, rows)
     # 0 for the first row of a slice: whether it opens a run is known on the edges
     flagged = cut.withColumn(
         "_opens",

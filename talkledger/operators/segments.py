@@ -28,7 +28,7 @@ def smooth_speakers(
     of the run so far and no sequential pass.
     """
     seen = o.scan(
-        segments,
+        o.sliced(segments, "seg_idx", rows),
         RECORDING,
         "seg_idx",
         {
