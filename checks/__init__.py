@@ -1,0 +1,7 @@
+"""One query per operator, with the SQL it is compared with."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
