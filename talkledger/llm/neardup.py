@@ -23,9 +23,11 @@ SHINGLE = 5
 #: Partial keys in each collection and minhashes in a partial key. A pair of similarity 0.75 shares a
 #: table with probability (1 - (1 - 0.75**2)**14)**2 = 0.99998.
 KEYS, ROWS = 14, 2
-#: Agreeing minhashes, of 2 * KEYS * ROWS, below which a candidate is not confirmed on full sets. A
-#: pair of similarity 0.75 has 42 on average; fewer than 27 come with probability 1e-5.
-LEAST_AGREEING = 27
+#: Bins of the sample of a set that travels with it, and how many standard deviations below its
+#: expectation a candidate may agree: 4 lose a pair at the very limit with probability 3e-5.
+BINS, TOLERANCE = 256, 4.0
+#: Shingles of the sets that a task keeps at hand while it compares pairs.
+KEPT_SHINGLES = 4_000_000
 
 
 def shingles(raw: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -61,6 +63,41 @@ def _partial_keys(least: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _sample(values: np.ndarray, least: np.ndarray, keys: np.ndarray) -> bytes:
+    """What candidates are compared by: low byte of every minhash, a byte for the smallest member of
+    every bin (0: empty bin), half of every partial key, size of the set."""
+    bins, first = np.unique(values >> np.uint64(56), return_index=True)
+    marks = np.zeros(BINS, np.uint8)
+    marks[bins.astype(np.int64)] = (values[first] & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1)
+    return (least & np.uint64(255)).astype(np.uint8).tobytes() + marks.tobytes() + keys.astype(np.uint32).tobytes() + np.uint32(len(values)).tobytes()
+
+
+def _samples(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Minhash bytes, bin bytes, sizes and partial keys of packed samples."""
+    hashes, end = 2 * KEYS * ROWS, 4 + 8 * KEYS
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, hashes + BINS + end)
+    numbers = raw[:, -end:].copy().view(np.uint32)
+    return [raw[:, :hashes], raw[:, hashes:-end], numbers[:, -1].astype(np.float64), numbers[:, :-1]]
+
+
+def _plausible(percent: int, one, other) -> np.ndarray:
+    """Whether pairs of samples may share ``percent`` % of their union.
+
+    Sizes decide exactly. Minhashes and bins estimate the share; bins draw members of the union
+    without replacement, so the estimate is the better the more of the union they hold.
+    """
+    (hash_a, bin_a, size_a), (hash_b, bin_b, size_b) = one[:3], other[:3]
+    share = percent / 100
+    good = np.minimum(size_a, size_b) >= share * np.maximum(size_a, size_b)
+    n = hash_a.shape[-1]
+    good &= (hash_a == hash_b).sum(axis=-1) >= n * share - TOLERANCE * np.sqrt(n * share * (1 - share))
+    drawn = ((bin_a | bin_b) != 0).sum(axis=-1)
+    same = ((bin_a == bin_b) & (bin_a != 0)).sum(axis=-1)
+    union = np.maximum((size_a + size_b) / (1 + share), drawn)
+    spread = np.sqrt(drawn * share * (1 - share) * np.maximum(union - drawn, 0) / np.maximum(union - 1, 1))
+    return good & (same >= drawn * share - TOLERANCE * spread - 1)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["_id", "n_shingles", "_set", "_first", "_second", "_marks"]
     for batch in batches:
@@ -76,7 +113,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = _partial_keys(least)
             sets.append(xxhash.xxh3_128_digest(values.tobytes()))
             first.append(keys[:KEYS]), second.append(keys[KEYS:])
-            marks.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+            marks.append(_sample(values, least, keys))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), long_lists(first),
@@ -87,54 +124,76 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Per row: id, set size, digest of the set (null: empty), partial keys, low byte of every minhash."""
+    """Per row: id, set size, digest of the set (null: empty), partial keys, sample of the set."""
     return df.select(F.col(f"`{id_column}`").cast("long").alias("_id"), text_bytes(text_column).alias("_raw")).mapInArrow(
         _sketched, "_id long, n_shingles long, _set binary, _first array<long>, _second array<long>, _marks binary"
     )
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose minhashes agree often enough to be confirmed."""
-    for batch in batches:
-        if batch.num_rows:
-            left, right = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3)
-            )
-            good = (left == right).sum(axis=1) >= LEAST_AGREEING
-            yield batch.select([0, 1]).filter(pa.array(good))
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one table entry that lie in different components and agree often enough."""
-    for table in runs(batches, "_cell"):
-        ids, comps = table.column("_id").to_numpy(), table.column("_comp").to_numpy()
-        blocks, low, high = (table.column(c).to_numpy() for c in ("_block", "_low", "_high"))
-        marks = np.frombuffer(b"".join(table.column("_marks").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left, right = [], []
-        for k in range(len(ids)):
-            later = np.arange(k + 1, len(ids)) if low[k] == high[k] else np.flatnonzero(blocks > blocks[k])
-            later = later[comps[later] != comps[k]]
-            if len(later):
-                later = later[(marks[later] == marks[k]).sum(axis=1) >= LEAST_AGREEING]
+def _alike(percent: int):
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that are worth comparing on full sets."""
+        for batch in batches:
+            if batch.num_rows:
+                good = _plausible(percent, _samples(batch.column(2)), _samples(batch.column(3)))
+                yield batch.select([0, 1]).filter(pa.array(good))
+
+    return alike
+
+
+def _across(percent: int):
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Plausible pairs of one table entry that lie in different components.
+
+        A pair that meets in several tables comes from the first of them.
+        """
+        for table in runs(batches, "_cell"):
+            ids, comps = table.column("_id").to_numpy(), table.column("_comp").to_numpy()
+            blocks, low, high = (table.column(c).to_numpy() for c in ("_block", "_low", "_high"))
+            first, second = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+            samples = _samples(table.column("_marks"))
+            sizes, keys = samples[2:]
+            left, right = [], []
+            for k in range(len(ids)):
+                later = np.arange(k + 1, len(ids)) if low[k] == high[k] else np.flatnonzero(blocks > blocks[k])
+                later = later[comps[later] != comps[k]]
+                later = later[np.minimum(sizes[later], sizes[k]) * 100 >= percent * np.maximum(sizes[later], sizes[k])]
+                if len(later):
+                    later = later[_plausible(percent, [x[k] for x in samples], [x[later] for x in samples])]
+                if len(later):
+                    met = keys[later] == keys[k]
+                    later = later[(met[:, :KEYS].argmax(axis=1) == first) & (met[:, KEYS:].argmax(axis=1) == second)]
                 left.append(np.minimum(ids[k], ids[later]))
                 right.append(np.maximum(ids[k], ids[later]))
-        if left:
             pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return across
 
 
 def _confirmed(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.empty(0, np.uint64)
+        kept: dict[bytes, np.ndarray] = {}
+        room = KEPT_SHINGLES
+
+        def of(raw: bytes) -> np.ndarray:
+            nonlocal room
+            if raw not in kept:
+                values = shingles(raw)
+                room -= len(values) + len(raw) // 8
+                if room < 0:
+                    kept.clear()
+                    room = KEPT_SHINGLES
+                kept[raw] = values
+            return kept[raw]
+
         for batch in batches:
             good = []
             for left, right in zip(batch.column(2), batch.column(3)):
-                raw = left.as_py()
-                if raw != last:
-                    last, own = raw, shingles(raw)
-                other = shingles(right.as_py())
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                good.append(100 * shared >= percent * (len(own) + len(other) - shared))
+                one, other = of(left.as_py()), of(right.as_py())
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                good.append(100 * shared >= percent * (len(one) + len(other) - shared))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return confirm
@@ -142,7 +201,7 @@ def _confirmed(percent: int):
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose full sets share ``percent`` % of their union; ``texts`` is (_doc, _raw)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("_end")).distinct()
+    ends = pairs.select(F.col("a").alias("_end")).union(pairs.select("b")).distinct()
     texts = stored(texts.join(stored(ends, "ends"), F.col("_doc") == F.col("_end"), "left_semi"), "texts")
     left = texts.select(F.col("_doc").alias("_a"), F.col("_raw").alias("_left"))
     right = texts.select(F.col("_doc").alias("_b"), F.col("_raw").alias("_right"))
@@ -177,13 +236,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _tables(reps: DataFrame) -> DataFrame:
-    """(_key, _id) of every table entry that a node may share with another node."""
-    first = reps.select(F.col("_id"), F.explode("_first").alias("_part"))
+    """(_key, _id, _i, _j) of every table entry that a node may share with another node."""
+    first = reps.select("_id", F.posexplode("_first").alias("_i", "_part"))
     shared = stored(first.groupBy("_part").agg(F.count("*").alias("_n")).where("_n > 1").select("_part"), "parts")
-    kept = first.join(shared, "_part", "left_semi").groupBy(F.col("_id").alias("_doc")).agg(F.collect_set("_part").alias("_parts"))
+    kept = first.join(shared, "_part", "left_semi").groupBy(F.col("_id").alias("_doc")).agg(
+        F.collect_set(F.struct("_i", "_part")).alias("_parts")
+    )
     paired = reps.select("_id", "_second").join(kept, F.col("_id") == F.col("_doc"))
-    entries = paired.select("_id", "_second", F.explode("_parts").alias("_part")).select("_id", "_part", F.explode("_second").alias("_other"))
-    return entries.select(F.xxhash64("_part", "_other").alias("_key"), "_id")
+    entries = paired.select("_id", "_second", F.explode("_parts").alias("_p")).select("_id", "_p.*", F.posexplode("_second").alias("_j", "_other"))
+    return entries.select(F.xxhash64("_part", "_other").alias("_key"), "_id", "_i", "_j")
 
 
 def _cells(mixed_entries: DataFrame, block_rows: int) -> DataFrame:
@@ -219,7 +280,7 @@ def near_duplicates(
         entries.groupBy("_key").agg(F.min("_id").alias("_lead"), F.max("_id").alias("_last"), F.count("*").alias("_n"))
         .where("_lead < _last").select("_key", "_lead", "_n"), "keys",
     )
-    met = stored(entries.join(keys, "_key").select("_key", "_id", "_lead", "_n"), "met")
+    met = stored(entries.join(keys, "_key").select("_key", "_id", "_i", "_j", "_lead", "_n"), "met")
     marks = reps.select(F.col("_id").alias("_m"), "_marks")
     texts = df.select(F.col(f"`{id_column}`").cast("long").alias("_doc"), text_bytes(text_column).alias("_raw"))
 
@@ -229,22 +290,21 @@ def near_duplicates(
         stars.join(marks.withColumnRenamed("_marks", "_right"), F.col("b") == F.col("_m")).drop("_m")
         .join(marks.withColumnRenamed("_marks", "_left"), F.col("a") == F.col("_m")).select("a", "b", "_left", "_right")
     )
-    pairs = stored(rated.mapInArrow(_alike, "a long, b long").distinct(), "pairs")
+    pairs = stored(rated.mapInArrow(_alike(percent), "a long, b long").distinct(), "pairs")
     links = confirmed(pairs, texts, percent)
     near = components(links)
 
-    # then entries that still span several components: all pairs across them
+    # then entries that still span several components: all plausible pairs across them
     spread = met.join(near, F.col("_id") == F.col("_node"), "left").select(
-        "_key", "_id", "_n", F.coalesce("_comp", "_id").alias("_comp")
+        "_key", "_id", "_i", "_j", "_n", F.coalesce("_comp", "_id").alias("_comp")
     )
     spread = stored(spread, "spread")
-    open_keys = stored(
-        spread.groupBy("_key").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).where("_x < _y").select(F.col("_key").alias("_k")), "open"
-    )
+    open_keys = spread.groupBy("_key").agg(F.min("_comp").alias("_x"), F.max("_comp").alias("_y")).where("_x < _y")
+    open_keys = stored(open_keys.select(F.col("_key").alias("_k")), "open")
     cells = _cells(spread.join(open_keys, F.col("_key") == F.col("_k"), "left_semi"), block_rows)
-    cells = cells.join(marks, F.col("_id") == F.col("_m")).select("_cell", "_id", "_comp", "_block", "_low", "_high", "_marks")
+    cells = cells.join(marks, F.col("_id") == F.col("_m")).select("_cell", "_id", "_comp", "_i", "_j", "_block", "_low", "_high", "_marks")
     cells = cells.repartition("_cell").sortWithinPartitions("_cell", "_id")
-    rest = cells.mapInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = cells.mapInArrow(_across(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     rest = stored(rest, "rest")
     if rest.limit(1).count():
         more = confirmed(rest, texts, percent)
