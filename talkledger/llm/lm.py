@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from talkledger.llm.common import pack, remainder, stored, text_bytes, unpack, words
 
 #: Bytes of context, text bytes in a block, and divisor and remainder of what is held out.
-DEPTH, BLOCK_BYTES, DIVISOR, HELD_OUT = 4, 16 << 20, 7, 2
+DEPTH, BLOCK_BYTES, DIVISOR, HELD_OUT = 4, 12 << 20, 7, 2
 #: UTF-8 holds no such byte: it ends a text, so that the chances of all texts sum to one.
 END = b"\xff"
 ODD = np.uint64(0x9E3779B97F4A7C15)
