@@ -316,7 +316,9 @@ def near_duplicates(
         sketch.select("_id", "n_shingles", "_set").join(known, F.col("_set") == F.col("_s"), "left")
         .select("_id", "n_shingles", F.coalesce("_rep", "_id").alias("_rep")), "members",
     )
-    found = nodes.join(near, F.col("_rep") == F.col("_node"), "left").select("_id", "n_shingles", F.coalesce("_comp", "_rep").alias("_comp"))
+    found = nodes.join(near, F.col("_rep") == F.col("_node"), "left").select(
+        "_id", "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("_comp", "_rep")).alias("_comp")
+    )
     return found.select(
         F.col("_id").alias(id_column), "n_shingles", F.col("_comp").alias("component_id"),
         (F.col("_id").isNull() | (F.col("_id") == F.col("_comp"))).alias("kept"),

@@ -24,6 +24,15 @@ from talkledger.llm.common import stored, text_bytes
 MAGIC = b"\x1f\x8b\x08"
 #: Fixed value: a gzip member without content; it ends in zero bytes.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
+#: Files named *.gz are to be read as they are, in byte ranges. Hadoop looks a codec up under the last
+#: suffix that sorts before the (reversed) name; one that sorts just behind ".gz" and fits no name
+#: stands in its way.
+RAW = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    # the option's name in Hadoop itself and in the relocated client that Spark ships
+    "io.compress.passthrough.extension": ".!.gz",
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": ".!.gz",
+}
 VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = (
@@ -209,7 +218,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     together, per file; they are a handful in a file.
     """
     pieces = (
-        spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
+        spark.read.options(**RAW).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
         .select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("value"))
     )
     rows = pieces.mapInArrow(_records, f"{RECORD}, _file string, _range long, _place long, _loose binary")
