@@ -182,7 +182,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where, reader, begun, place = (file, begin), Members(), False, 0
         place += 1
         raw = MAGIC + piece
-        if not piece and place == 1:
+        if not piece and place == 1 and begin == 0:
             continue  # what stands before the first magic of a file
         begun = begun or reader.starts(raw)
         if not begun:
