@@ -185,7 +185,7 @@ def _evaluate(prompt: str) -> str:
 
 @check(
     "m5_text_evaluation",
-    r"""WITH RECURSIVE d AS (SELECT doc_id, substring(text, 1, 20000) AS text FROM documents WHERE regexp_matches(text, '\S')),
+    r"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\S')),
 ch AS (SELECT doc_id, 0 AS i, 0 AS start, coalesce(3001 + 3000 - nullif(strpos(reverse(translate(substring(text, 3002, 3000), '。！？!?；;' || chr(10), '........')), '.'), 0) + 1, 6000) AS cut, length(text) AS n
   FROM d WHERE length(text) > 6000
   UNION ALL SELECT c.doc_id, c.i + 1, c.cut, CASE WHEN c.cut + 6000 >= c.n THEN c.n ELSE c.cut + coalesce(3001 + 3000 - nullif(strpos(reverse(translate(substring(d.text, c.cut + 3002, 3000), '。！？!?；;' || chr(10), '........')), '.'), 0) + 1, 6000) END, c.n
@@ -196,7 +196,7 @@ UNION ALL SELECT doc_id, CAST(length(text) AS VARCHAR), 'S' FROM d WHERE length(
 )
 def text_evaluation(spark, folder):
     d = v.table(spark, folder, "documents").select("doc_id", "text")
-    rows = evaluation.evaluate_texts(d, "doc_id", _length, _evaluate, max_chars=20_000)
+    rows = evaluation.evaluate_texts(d, "doc_id", _length, _evaluate)
     return rows.select("doc_id", F.col("evaluation.meta.title").alias("title"), F.col("evaluation.summary").alias("summary"))
 
 

@@ -36,11 +36,14 @@ class Rule:
     ``anchored``: at the first row whose value is ``limit`` or more past the value of
     the group's first row, or whose ``force`` is set.
     otherwise: when the summed values would pass ``limit``, or the group has ``max_rows``.
+    ``rising``: the caller vouches that the values never fall along the whole key, so that an
+    anchor from an earlier slice is not above a slice's first value.
     """
 
     limit: int
     anchored: bool = False
     max_rows: int = _NO_ROWS
+    rising: bool = False
 
 
 class _Slice:
@@ -95,7 +98,7 @@ class _Slice:
             if self.rule.max_rows < _NO_ROWS:
                 rows = np.arange(min(self.n, self.rule.max_rows))
                 marks = self.mark[rows]
-        elif self.sorted:
+        elif self.rule.rising:
             keep = int(np.searchsorted(marks, self.value[0] + self.rule.limit, "left")) + 1
             rows, marks = rows[:keep], marks[:keep]
         ends: dict[int, tuple[int, int, int]] = {}

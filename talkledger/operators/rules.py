@@ -16,6 +16,10 @@ from talkledger.functions import text as t
 from talkledger.operators import ordered as o
 
 
+#: Full-width digits, common in Chinese sheets.
+WIDE_DIGITS = "０１２３４５６７８９"
+
+
 def _accepted_rows(
     rows: DataFrame, header_words: Sequence[str], stop_word: str, slice_rows: int
 ) -> DataFrame:
@@ -29,9 +33,9 @@ def _accepted_rows(
         live, ["sheet_id"], "row_idx",
         {"_stopped": o.latest(F.when(stop, F.lit(1))), "_place": o.running(F.lit(1))}, slice_rows,
     ).where(F.col("_stopped").isNull())
-    pattern = rf"(?s)^([0-9]+){t.SPACE}*(.+)"
+    pattern = rf"(?s)^([0-9{WIDE_DIGITS}]+){t.SPACE}*(.+)"
     numbered = F.col("_a").rlike(pattern)
-    number = F.regexp_extract("_a", pattern, 1).try_cast("bigint")
+    number = F.translate(F.regexp_extract("_a", pattern, 1), WIDE_DIGITS, "0123456789").try_cast("bigint")
     return live.select(
         "sheet_id",
         F.col("_place").alias("rule_no"),

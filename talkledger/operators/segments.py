@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -402,28 +403,41 @@ def scored_characters(text: str | Column) -> Column:
     return F.length(F.translate(text, fixed.UNSCORED_MARKS, ""))
 
 
-def _cuts(text: str, times_ms: Sequence, max_ms: int) -> list[tuple[str, int, int]]:
-    if times_ms is None or len(times_ms) < 2:
+def _boundaries(starts: np.ndarray, ends: np.ndarray, marks: np.ndarray, max_ms: int) -> list[tuple[int, int]]:
+    """(first character, its time) of every piece.
+
+    The next overdue character is looked up in the array of ends, the punctuation before it among
+    the sorted places of marks.
+    """
+    opened, overdue = [(0, int(starts[0]))], -1
+    while True:
+        place, time = opened[-1]
+        late = np.flatnonzero(ends[overdue + 1 :] >= time + max_ms)
+        if not len(late):
+            return opened
+        overdue += 1 + int(late[0])
+        mark = int(np.searchsorted(marks, overdue, "right")) - 1
+        after = int(marks[mark]) + 1 if mark >= 0 and marks[mark] > place else overdue
+        opened.append((after, int(starts[after]) if after < len(starts) else time))
+
+
+def _times(stamps: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.fromiter((s[k] for s in stamps), np.int64, len(stamps)) for k in ("start", "end"))
+
+
+def _pieces(text: str, starts: np.ndarray, ends: np.ndarray, max_ms: int) -> list[tuple[str, int, int]]:
+    """(text, start, end) of an over-long segment's parts; blank parts are left out."""
+    if len(starts) < 2:
         return [(text, 0, 0)]
-    marks = set(fixed.SPLIT_MARKS)
-    stamps = [(int(s["start"]), int(s["end"])) for s in times_ms]
-    pieces: list[tuple[str, int, int]] = []
-    begin, begin_ms = 0, stamps[0][0]
-    for i, (_, end_ms) in enumerate(stamps):
-        if end_ms - begin_ms < max_ms:
-            continue
-        back = (j + 1 for j in range(i, begin, -1) if j < len(text) and text[j] in marks)
-        cut = next(back, i)
-        piece = text[begin:cut].strip()
-        if piece:
-            pieces.append((piece, begin_ms, stamps[min(cut - 1, len(stamps) - 1)][1]))
-        begin = cut
-        if cut < len(stamps):
-            begin_ms = stamps[cut][0]
-    rest = text[begin:].strip()
-    if begin < len(text) and rest:
-        pieces.append((rest, begin_ms, stamps[-1][1]))
-    return pieces or [(text, stamps[0][0], stamps[-1][1])]
+    marks = np.flatnonzero(np.isin(np.array(list(text), dtype="U1"), list(fixed.SPLIT_MARKS)))
+    opened = _boundaries(starts, ends, marks, max_ms)
+    closed = [place for place, _ in opened[1:]] + [len(text)]
+    last = len(ends) - 1
+    parts = [
+        (text[place:stop].strip(), time, int(ends[last if stop == len(text) and k + 1 == len(opened) else min(stop - 1, last)]))
+        for k, ((place, time), stop) in enumerate(zip(opened, closed))
+    ]
+    return [p for p in parts if p[0]] or [(text, int(starts[0]), int(ends[-1]))]
 
 
 def split_long_segments(segments: DataFrame, max_ms: int = fixed.LONG_SEGMENT_MS) -> DataFrame:
@@ -444,7 +458,7 @@ def split_long_segments(segments: DataFrame, max_ms: int = fixed.LONG_SEGMENT_MS
             rows = [
                 (r.recording_id, r.seg_idx, k, *piece)
                 for r in pdf.itertuples(index=False)
-                for k, piece in enumerate(_cuts(r.text, r.timestamps, max_ms))
+                for k, piece in enumerate(_pieces(r.text, *_times(r.timestamps), max_ms))
             ]
             yield pd.DataFrame(
                 rows, columns=["recording_id", "seg_idx", "part", "text", "start_ms", "end_ms"]

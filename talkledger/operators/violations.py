@@ -102,7 +102,7 @@ def clusters(
     distinct = violations.select(*keys, "timestamp_ms").distinct()
     # a slice spans several windows, so that few of its times can be the first cut
     width = None if slice_ms is None else max(8 * window_ms, slice_ms)
-    rule = Rule(window_ms, anchored=True)
+    rule = Rule(window_ms, anchored=True, rising=True)
     return greedy_groups(
         distinct, keys, "timestamp_ms", F.col("timestamp_ms"), rule, rows=width, out="cluster_idx"
     )

@@ -17,7 +17,8 @@ from talkledger.session import cut_lineage
 
 @dataclass(frozen=True)
 class AuditLimits:
-    max_chars: int = fixed.MAX_TEXT_CHARS
+    #: Characters of a recording that are looked at; None: all.
+    max_chars: int | None = None
     chunk_chars: int = fixed.AUDIT_CHUNK_CHARS
     ocr_margin_ms: int = fixed.OCR_MARGIN_MS
     evidence_margin_ms: int = fixed.EVIDENCE_MARGIN_MS
@@ -28,8 +29,10 @@ class AuditLimits:
 
 
 def chunked_entries(entries: DataFrame, limits: AuditLimits = AuditLimits()) -> DataFrame:
-    """W15, W6."""
-    kept = segments.within_budget(entries, budget=limits.max_chars, rows=limits.slice_rows)
+    """W6, after W15 where the limits name a budget."""
+    kept = entries
+    if limits.max_chars is not None:
+        kept = segments.within_budget(entries, budget=limits.max_chars, rows=limits.slice_rows)
     return segments.pack_by_chars(kept, "seq", "text_corrected", limits.chunk_chars, rows=limits.slice_rows)
 
 
@@ -176,6 +179,6 @@ def audit(
             ).alias("prompt")
         )
         said = cut_lineage(exchanges.call_model(rows, summarise, width=width)).select(
-            "recording_id", F.trim(r.strip_thinking(F.col("response"))).alias("text")
+            "recording_id", t.strip(r.strip_thinking(F.col("response"))).alias("text")
         )
     return kept, reports(sheets, chunked, enriched, kept, said)

@@ -47,12 +47,15 @@ def evaluate_texts(
     key: str,
     summarise: Callable[[str], str],
     evaluate: Callable[[str], str],
-    max_chars: int = fixed.MAX_TEXT_CHARS,
+    max_chars: int | None = None,
     size: int = fixed.EVALUATION_CHUNK_CHARS,
     width: int | None = None,
 ) -> DataFrame:
-    """M5: short texts in one request, long ones chunk by chunk and then as a whole."""
-    cut = texts.where(~t.is_blank("text")).select(key, t.truncated("text", max_chars).alias("text"))
+    """M5: texts of up to ``size`` characters in one request, longer ones chunk by chunk and then as a
+    whole, so ``size`` also decides which prompts a text gets. Texts are whole unless ``max_chars``
+    is given (P17)."""
+    whole = F.col("text") if max_chars is None else t.truncated("text", max_chars)
+    cut = texts.where(~t.is_blank("text")).select(key, whole.alias("text"))
     short = cut.where(F.length("text") <= size).select(key, F.col("text").alias("prompt"))
     parts = chunks.chunk_texts(cut.where(F.length("text") > size), key, "text", size, 0)
     summed = cut_lineage(exchanges.call_model(parts, summarise, "chunk", width=width))

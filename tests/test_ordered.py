@@ -96,11 +96,11 @@ def _anchored(values, window, forced):
 
 
 @pytest.mark.parametrize("rows", [1, 2, 5, 17, 1000])
-@pytest.mark.parametrize("kind", ["chars", "batch", "sorted", "unsorted"])
+@pytest.mark.parametrize("kind", ["chars", "batch", "sorted", "unsorted", "nearly"])
 def test_greedy_groups(spark, rows, kind):
-    rnd = random.Random(hash((rows, kind)) % 1000)
+    rnd = random.Random(1000 * rows + ["chars", "batch", "sorted", "unsorted", "nearly"].index(kind))
     data, want = [], {}
-    for k in range(12):
+    for k in range(200):
         n = rnd.randint(1, 80)
         if kind in ("chars", "batch"):
             vals = [rnd.choice([0, 1, 3, 8, 25, 60]) for _ in range(n)]
@@ -108,8 +108,10 @@ def test_greedy_groups(spark, rows, kind):
             expect = _packed(vals, 40, 4 if kind == "batch" else 10**9)
         else:
             vals = [rnd.randint(0, 400) for _ in range(n)]
-            if kind == "sorted":
+            if kind != "unsorted":
                 vals.sort()
+            if kind == "nearly":
+                vals = [max(0, x + rnd.randint(-60, 60)) for x in vals]
             forced = [kind == "unsorted" and rnd.random() < 0.1 for _ in range(n)]
             expect = _anchored(vals, 50, forced)
         for i, v in enumerate(vals):
@@ -118,7 +120,7 @@ def test_greedy_groups(spark, rows, kind):
     df = spark.createDataFrame(data, "k string, i long, v long, f boolean")
     rule = {
         "chars": Rule(40), "batch": Rule(40, max_rows=4),
-        "sorted": Rule(50, anchored=True), "unsorted": Rule(50, anchored=True),
+        "sorted": Rule(50, anchored=True, rising=True), "unsorted": Rule(50, anchored=True), "nearly": Rule(50, anchored=True),
     }[kind]
     got = {(r.k, r.i): r.group_idx for r in greedy_groups(df, ["k"], "i", F.col("v"), rule, F.col("f"), rows).collect()}
     assert got == want
