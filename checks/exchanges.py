@@ -22,7 +22,7 @@ from talkledger.streaming import reviews
 SELECT recording_id, string_agg(text_corrected, ' ' ORDER BY seq) AS audit_text, string_agg(text_corrected, chr(10) ORDER BY seq) AS evaluation_text FROM v_entries GROUP BY recording_id""",
 )
 def full_texts(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     e = v.entries(spark, folder, n)
     text = F.col("text_corrected")
     a = ordered.joined_text(e, ["recording_id"], "seq", text, " ", "audit_text", n)
@@ -87,7 +87,7 @@ LEFT JOIN se ON se.recording_id = tr.recording_id AND se.chunk_idx = tr.chunk_id
 WHERE gr.group_name <> 'ocr' OR tr.recording_id%4<>0""",
 )
 def prompts(spark, folder):
-    e = v.entries(spark, folder, v.turn_rows(spark, folder))
+    e = v.entries(spark, folder, v.SLICE)
     found = audit.audit_requests(
         e, _sheets(spark, folder), _rules(spark, folder), _examples(spark, folder), _screens(e),
         limits=audit.AuditLimits(ocr_margin_ms=500),
@@ -126,7 +126,7 @@ def assembly(spark, folder):
         .otherwise(F.format_string('{"message":{"content":"%s"},"done":false}', "event_type"))
     )
     lines = e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("line_no"), line.alias("line"))
-    n = v.event_rows(spark, folder)
+    n = v.SLICE
     return exchanges.assembled_responses(lines, n).select("request_id", "content", "done", "eval_count", "model")
 
 
@@ -157,7 +157,7 @@ n AS (SELECT recording_id, seg_idx, text, needs, regexp_replace(regexp_replace(r
 SELECT recording_id, seg_idx, CASE WHEN needs THEN array_to_string(list_transform(regexp_extract_all(c, '(?s)[0-9A-Za-z_]+|[^0-9A-Za-z_]'), lambda x: CASE WHEN lower(x) = 'und' THEN 'u.' ELSE x END), '') ELSE text END AS text_corrected FROM n""",
 )
 def transcript_correction(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     s = v.segments(spark, folder, n)
     rows = transcript.correct_transcript(s, {"und": "u."}, _same, slice_rows=n)
     return rows.select("recording_id", "seg_idx", "text_corrected")
@@ -233,7 +233,7 @@ def _chain(spark, folder):
     )
     texts = ordered.joined_text(
         v.table(spark, folder, "events").where("user_id % 3 <> 0").withColumnRenamed("user_id", "recording_id"),
-        ["recording_id"], "event_id", F.col("props"), " ", "text", v.event_rows(spark, folder),
+        ["recording_id"], "event_id", F.col("props"), " ", "text", v.SLICE,
     ).withColumn("sheet_id", F.lit(1).cast("long"))
     limits = audit.AuditLimits(confidence=0.1, dedup_window_ms=fi.WEEK, evidence_margin_ms=43_200_000)
     return audit.filtered(found, fi.exact_table(spark, folder), texts, v.ocr(spark, folder), fi.SOUNDS, limits)
@@ -283,7 +283,7 @@ def _audit_model(prompt: str) -> str:
 
 @check("m6_compliance_audit")
 def compliance_audit(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     e = v.entries(spark, folder, n).drop("chunk_idx")
     limits = audit.AuditLimits(chunk_chars=900, slice_rows=n, ocr_margin_ms=500)
     kept, _ = audit.audit(
@@ -310,7 +310,7 @@ SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg_i
   concat('Speaker ', speaker+1) AS speaker, text, text_corrected FROM e""",
 )
 def recording_to_transcript(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     return transcript.transcripts(v.segments(spark, folder, n), {"und": "u."}, _same, slice_rows=n)
 
 
@@ -322,7 +322,7 @@ b AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY recording_id ORDER BY upd_seq
 SELECT recording_id, burst, seq, max(upd_seq) AS upd_seq, arg_max(status, upd_seq) AS status FROM b GROUP BY recording_id, burst, seq""",
 )
 def debounced(spark, folder):
-    n = v.event_rows(spark, folder)
+    n = v.SLICE
     e = v.table(spark, folder, "events").select(
         F.col("user_id").alias("recording_id"), F.col("event_id").alias("_id"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.unix_millis(F.col("ts").cast("timestamp")).alias("_ms"),

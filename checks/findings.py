@@ -119,7 +119,7 @@ k AS (SELECT recording_id, rule_id, cluster_idx, arg_max(kept, rn) AS seq FROM c
 SELECT v.recording_id, v.rule_id, v.seq, v.timestamp_ms, v.confidence FROM v_violations v SEMI JOIN k ON k.recording_id = v.recording_id AND k.seq = v.seq""",
 )
 def dedup(spark, folder):
-    size = None if v.event_rows(spark, folder) is None else ordered.SLICE_MS
+    size = ordered.SLICE_MS
     return violations.deduplicated(v.violations(spark, folder), WEEK, slice_ms=size).select(
         "recording_id", "rule_id", "seq", "timestamp_ms", "confidence"
     )
@@ -146,7 +146,7 @@ SELECT v.recording_id, v.seq, coalesce(n.text, v.evidence_text) AS evidence_text
 FROM v_violations v LEFT JOIN n ON n.recording_id = v.recording_id AND n.seq = v.seq AND n.r = 1""",
 )
 def nearest(spark, folder):
-    size = None if v.event_rows(spark, folder) is None else ordered.SLICE_MS
+    size = ordered.SLICE_MS
     return evidence.nearest_screen_text(v.violations(spark, folder), v.ocr(spark, folder), 43_200_000, size).select(
         "recording_id", "seq", "evidence_text", "evidence_url"
     )
@@ -252,7 +252,7 @@ FROM q JOIN f ON f.recording_id=q.recording_id AND f.timestamp_ms=q.t JOIN e ON
 def context(spark, folder):
     day = F.floor(F.col("timestamp_ms") / 86_400_000)
     t = v.timeline(spark, folder)
-    e = ordered.positions(t.withColumnRenamed("seq", "_s"), ["recording_id"], "timestamp_ms", "_s", "seq", v.event_rows(spark, folder))
+    e = ordered.positions(t.withColumnRenamed("seq", "_s"), ["recording_id"], "timestamp_ms", "_s", "seq", v.SLICE)
     e = e.withColumn("timestamp_ms", day).select("recording_id", "seq", "timestamp_ms")
     found = v.violations(spark, folder).withColumn("timestamp_ms", day)
     return evidence.entry_context(found, e).select("recording_id", "violation_seq", "seq", "is_current")
@@ -264,7 +264,7 @@ def context(spark, folder):
 SELECT recording_id, seq, row_number() OVER (PARTITION BY recording_id ORDER BY timestamp_ms, rule_id, seq) AS place FROM v_violations""",
 )
 def in_order(spark, folder):
-    n = v.event_rows(spark, folder)
+    n = v.SLICE
     rows = violations.in_time_order(v.violations(spark, folder))
     placed = ordered.positions(rows, ["recording_id"], "timestamp_ms", "seq", "place", n)
     return placed.select("recording_id", "seq", (F.col("place") + 1).alias("place"))

@@ -11,16 +11,16 @@ from talkledger.operators import evidence, exchanges, ordered, segments, visual
 
 
 def _entries(spark, folder):
-    return v.entries(spark, folder, v.turn_rows(spark, folder))
+    return v.entries(spark, folder, v.SLICE)
 
 
 def _blocked(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     return segments.with_blocks(v.entries(spark, folder, n), 2000, n)
 
 
 def _blocks(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     return segments.view_blocks(v.entries(spark, folder, n), 2000, n)
 
 
@@ -31,7 +31,7 @@ x AS (SELECT recording_id, seg_idx, CASE WHEN recording_id%6=0 THEN 0 ELSE confi
 SELECT recording_id, seg_idx, max(confidence) OVER (PARTITION BY recording_id) <= 0 OR confidence < 0.95 AS needs_correction FROM x""",
 )
 def gate(spark, folder):
-    s = v.segments(spark, folder, v.turn_rows(spark, folder))
+    s = v.segments(spark, folder, v.SLICE)
     s = s.withColumn("confidence", F.when(F.col("recording_id") % 6 == 0, 0.0).otherwise(F.col("confidence")))
     return segments.needs_correction(s).select("recording_id", "seg_idx", "needs_correction")
 
@@ -144,7 +144,7 @@ a AS (SELECT p.recording_id, p.probe, p.time_ms, b.block_idx FROM v_probes p ASO
 SELECT recording_id, probe, time_ms, coalesce(block_idx, -1) AS block_idx FROM a""",
 )
 def active_block(spark, folder):
-    size = None if v.turn_rows(spark, folder) is None else ordered.SLICE_MS
+    size = ordered.SLICE_MS
     return evidence.active_block(_probes(spark, folder), _blocks(spark, folder), size).select("recording_id", "probe", "time_ms", "block_idx")
 
 
@@ -188,7 +188,7 @@ def rename(spark, folder):
 SELECT recording_id, seg_idx, CASE WHEN seg_idx%2=0 THEN concat(text, '!') ELSE text END AS text_corrected FROM v_segments""",
 )
 def overlay(spark, folder):
-    s = v.segments(spark, folder, v.turn_rows(spark, folder))
+    s = v.segments(spark, folder, v.SLICE)
     fixes = s.where("seg_idx % 2 = 0").select("recording_id", "seg_idx", F.concat("text", F.lit("!")).alias("text"))
     return segments.overlay_corrections(s, fixes).select("recording_id", "seg_idx", "text_corrected")
 

@@ -46,7 +46,7 @@ SELECT recording_id, concat('Speaker ', speaker + 1) AS speaker, count(*) AS n_t
 FROM v_merged GROUP BY recording_id, speaker""",
 )
 def speaker_turn_counts(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     merged = segments.merge_segments(segments.smooth_speakers(v.segments(spark, folder, n), rows=n), 1000, n)
     return merged.groupBy("recording_id", times.speaker_label(F.col("speaker")).alias("speaker")).agg(
         F.count(F.lit(1)).alias("n_turns"),
@@ -61,7 +61,7 @@ def speaker_turn_counts(spark, folder):
 SELECT recording_id, seg_idx, text, start_ms, end_ms, round(confidence, 6) AS confidence, speaker, n_subs FROM v_merged""",
 )
 def premerge(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     return segments.merge_segments(v.segments(spark, folder, n), 1000, n).select(
         "recording_id", "seg_idx", "text", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"),
         "speaker", F.size("sub_sentences").cast("long").alias("n_subs"),
@@ -85,7 +85,7 @@ v_blocks AS (SELECT recording_id, block_idx, arg_min(speaker, seq) AS speaker, a
 SELECT recording_id, block_idx, speaker, start_ms, end_ms, n_sentences FROM v_blocks""",
 )
 def view_blocks(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     return segments.view_blocks(v.entries(spark, folder, n), 2000, n).withColumn(
         "n_sentences", F.size("sentences").cast("long")
     ).drop("sentences")
@@ -105,7 +105,7 @@ SELECT g.recording_id, CAST(group_idx AS BIGINT) AS group_idx, min(g.seq) AS seq
 FROM g JOIN e ON e.recording_id = g.recording_id AND e.seq = g.seq GROUP BY g.recording_id, group_idx""",
 )
 def entry_merge(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     e = v.entries(spark, folder, n).withColumn(
         "speaker", times.speaker_label(F.col("chunk_idx") % 2)
     )
@@ -119,7 +119,7 @@ def entry_merge(spark, folder):
     "WITH RECURSIVE " + SMOOTHED + " SELECT recording_id, seg_idx, speaker FROM smoothed",
 )
 def smoothing(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     return segments.smooth_speakers(v.segments(spark, folder, n), rows=n).select("recording_id", "seg_idx", "speaker")
 
 
@@ -136,7 +136,7 @@ p AS (SELECT recording_id, seq, length(text_corrected) AS chars, 0 AS chunk FROM
     "WITH RECURSIVE " + PACKED + " SELECT recording_id, seq, CAST(chunk AS BIGINT) AS chunk_idx FROM p",
 )
 def pack(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     e = v.entries(spark, folder, n).drop("chunk_idx")
     return segments.pack_by_chars(e, "seq", "text_corrected", 900, rows=n).select("recording_id", "seq", "chunk_idx")
 
@@ -153,7 +153,7 @@ b AS (SELECT recording_id, seq, length(text) AS chars, 1 AS n, 0 AS batch FROM v
 SELECT recording_id, seq, CAST(batch AS BIGINT) AS batch_idx FROM b""",
 )
 def batches(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     return segments.batch_rows(v.entries(spark, folder, n), "seq", "text", max_rows=3, rows=n).select(
         "recording_id", "seq", "batch_idx"
     )
@@ -176,12 +176,12 @@ SELECT recording_id, CAST(island AS BIGINT) AS island, CASE WHEN seen THEN 'face
 FROM n WHERE seen OR end_ms - start_ms >= 7200000""",
 )
 def face_timeline(spark, folder):
-    n = v.event_rows(spark, folder)
+    n = v.SLICE
     return visual.face_timeline(v.frames(spark, folder), 1000, 7_200_000, n)
 
 
 def _placed(spark, folder):
-    n = v.event_rows(spark, folder)
+    n = v.SLICE
     return ordered.positions(v.frames(spark, folder), ["recording_id"], "timestamp_ms", "seq", "frame_idx", n)
 
 
@@ -252,7 +252,7 @@ v_turns AS (SELECT recording_id, turn_idx, arg_min(label, rn) AS speaker, min(st
 @check("w9_speaker_turns", "WITH " + TURNS + " SELECT * FROM v_turns")
 def turns(spark, folder):
     w = v.windows(spark, folder)
-    return speakers.speaker_turns(w, ordered.slice_rows(w))
+    return speakers.speaker_turns(w, v.SLICE)
 
 
 @check(
@@ -273,7 +273,7 @@ def text_over_turns(spark, folder):
     )
     w = v.windows(spark, folder)
     docs = docs.join(w.select("recording_id").distinct(), "recording_id", "left_semi")
-    n = ordered.slice_rows(w)
+    n = v.SLICE
     return speakers.split_text_over_turns(speakers.speaker_turns(w, n), docs, n)
 
 
@@ -287,11 +287,11 @@ FROM n LEFT JOIN tok t ON t.recording_id = n.recording_id AND t.tok_idx >= upto
 GROUP BY n.recording_id, n.seg_idx""",
 )
 def token_confidence(spark, folder):
-    n, m = v.turn_rows(spark, folder), v.event_rows(spark, folder)
+    n, m = v.SLICE, v.SLICE
     tokens = ordered.positions(v.timeline(spark, folder), ["recording_id"], "timestamp_ms", "seq", "tok_idx", m).select(
         "recording_id", "tok_idx", (F.col("value") / 500).alias("confidence")
     )
-    both = None if n is None and m is None else ordered.SLICE_ROWS
+    both = v.SLICE
     found = segments.allocate_confidence(v.segments(spark, folder, n), tokens, F.length("text") % 20, both)
     return found.select("recording_id", "seg_idx", F.round("confidence", 9).alias("confidence"))
 
@@ -325,7 +325,7 @@ SELECT recording_id, seg_idx, start_ms, CASE WHEN slides THEN least(start_ms+150
 WHERE CASE WHEN slides THEN least(start_ms+1500, e) ELSE e END - start_ms >= 500""",
 )
 def analysis_windows(spark, folder):
-    s = v.segments(spark, folder, v.turn_rows(spark, folder))
+    s = v.segments(spark, folder, v.SLICE)
     lone = F.col("recording_id") % 10 == 0
     zero = lone | ((F.col("recording_id") + F.col("seg_idx")) % 11 == 0)
     lengths = s.groupBy("recording_id").agg(
@@ -353,19 +353,12 @@ def majority(spark, folder):
     return speakers.vote_speakers(segs, w.where("win_idx % 7 <> 0"), "seg_key")
 
 
-@check("m2_speaker_clusters")
-def clusters(spark, folder):
-    return speakers.cluster_speakers(v.windows(spark, folder).select("recording_id", "win_idx", "embedding"), 0.5).select(
-        "recording_id", "win_idx", "label"
-    )
-
-
 # --- splitting -------------------------------------------------------------------
 
 
 def _long_runs(spark, folder):
     """Segments merged from up to three turns, with a corrected text."""
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     s = v.segments(spark, folder, n).withColumn("speaker", (F.col("seg_idx") / 3).cast("int") % 2)
     merged = segments.merge_segments(s, 3001, n)
     noise = (F.col("recording_id") + F.col("seg_idx")) % 13 == 0
@@ -428,7 +421,7 @@ SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg_i
   concat('Speaker ', speaker+1) AS speaker, text, text_corrected FROM e""",
 )
 def transcript_entries(spark, folder):
-    return segments.transcript_entries(_long_runs(spark, folder), rows=v.turn_rows(spark, folder))
+    return segments.transcript_entries(_long_runs(spark, folder), rows=v.SLICE)
 
 
 @check(
@@ -438,7 +431,7 @@ r AS (SELECT *, sum(length(text_corrected)) OVER (PARTITION BY recording_id ORDE
 SELECT recording_id, seq, length(text_corrected) AS n_chars FROM r WHERE upto <= 1500""",
 )
 def budget(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     kept = segments.within_budget(v.entries(spark, folder, n), budget=1500, rows=n)
     return kept.select("recording_id", "seq", F.length("text_corrected").cast("long").alias("n_chars"))
 
@@ -461,7 +454,7 @@ def long_split(spark, folder):
         F.sequence(F.lit(0), F.length("text") - 1),
         lambda i: F.struct((i * 90).cast("long").alias("start"), (i * 90 + 80).cast("long").alias("end")),
     )
-    s = v.segments(spark, folder, v.turn_rows(spark, folder)).where(F.length("text") > 0)
+    s = v.segments(spark, folder, v.SLICE).where(F.length("text") > 0)
     return segments.split_long_segments(s.withColumn("timestamps", stamps))
 
 
@@ -516,7 +509,7 @@ f AS (SELECT recording_id, arg_min(confidence, seg_idx) AS c0, min(confidence) A
 SELECT * EXCLUDE (c0) FROM f WHERE c0 <> 0""",
 )
 def confidence_stats(spark, folder):
-    return segments.confidence_stats(v.segments(spark, folder, v.turn_rows(spark, folder))).withColumn(
+    return segments.confidence_stats(v.segments(spark, folder, v.SLICE)).withColumn(
         "avg_confidence", F.round("avg_confidence", 9)
     )
 
@@ -530,7 +523,7 @@ SELECT recording_id, speaker, first_seq, row_number() OVER (PARTITION BY recordi
 def speakers_in_order(spark, folder):
     from talkledger.operators.reports import distinct_speakers
 
-    return distinct_speakers(v.entries(spark, folder, v.turn_rows(spark, folder)))
+    return distinct_speakers(v.entries(spark, folder, v.SLICE))
 
 
 @check(
@@ -542,7 +535,7 @@ UNION ALL SELECT 'before', count(*), CAST(sum(length(text)) AS BIGINT) FROM v_se
 def merge_totals(spark, folder):
     from talkledger.operators.reports import totals
 
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     s = v.segments(spark, folder, n)
     return totals({"before": s, "after": segments.merge_segments(s, 1000, n)}, "text")
 

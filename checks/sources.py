@@ -38,13 +38,9 @@ v_rules AS (SELECT sheet_id, rule_no, cells, CAST(CASE WHEN regexp_matches(a, '(
   CASE WHEN regexp_matches(a, '(?s)^[0-9]+\s*.') THEN regexp_replace(regexp_extract(a, '(?s)^([0-9]+)\s*(.+)', 2), '^\s+|\s+$', '', 'g') ELSE a END AS content FROM ac)"""
 
 
-def _sheet_size(spark, folder):
-    return ordered.slice_rows(v.sheet_lines(spark, folder), ["sheet_id"])
-
-
 @check("src2_sheet_rules", "WITH " + ACCEPTED + " SELECT sheet_id, rule_no, rule_id, content FROM v_rules")
 def sheet_rules(spark, folder):
-    return rules.sheet_rules(v.sheet_lines(spark, folder), HEADERS, STOP, _sheet_size(spark, folder)).withColumn(
+    return rules.sheet_rules(v.sheet_lines(spark, folder), HEADERS, STOP, v.SLICE).withColumn(
         "rule_no", F.col("rule_no").cast("long")
     )
 
@@ -57,7 +53,7 @@ v_examples AS (SELECT sheet_id, rule_no, cell_no, concat('规则', rule_id, '(',
 
 @check("src2_sheet_examples", "WITH " + EXAMPLES + " SELECT * FROM v_examples")
 def sheet_examples(spark, folder):
-    rows = rules.sheet_examples(v.sheet_lines(spark, folder), HEADERS, STOP, slice_rows=_sheet_size(spark, folder))
+    rows = rules.sheet_examples(v.sheet_lines(spark, folder), HEADERS, STOP, slice_rows=v.SLICE)
     return rows.select("sheet_id", F.col("rule_no").cast("long"), F.col("cell_no").cast("long"), "example")
 
 
@@ -68,12 +64,12 @@ f AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY rule_no, cell_
 SELECT sheet_id, string_agg(example, '|' ORDER BY r) AS examples FROM f WHERE r <= 5 GROUP BY sheet_id""",
 )
 def first_examples(spark, folder):
-    rows = rules.sheet_examples(v.sheet_lines(spark, folder), HEADERS, STOP, slice_rows=_sheet_size(spark, folder))
+    rows = rules.sheet_examples(v.sheet_lines(spark, folder), HEADERS, STOP, slice_rows=v.SLICE)
     return rules.first_examples(rows).select("sheet_id", F.array_join("examples", "|").alias("examples"))
 
 
 def _transcript_files(spark, folder):
-    e = v.entries(spark, folder, v.turn_rows(spark, folder))
+    e = v.entries(spark, folder, v.SLICE)
     item = F.struct("timestamp", "timestamp_ms", "end_ms", "speaker", "text", "text_corrected")
     listed = e.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("_l"))
     body = F.to_json(F.struct(F.transform("_l", lambda x: x["item"]).alias("transcript"), F.lit(1.5).alias("processing_time_ms")))
@@ -254,15 +250,14 @@ def validation(spark, folder):
     "WITH " + v.ENTRIES + """ SELECT recording_id, seq, CASE WHEN recording_id%3=0 THEN 'second' ELSE 'first' END AS version FROM v_entries WHERE recording_id%3<>0 OR seq > 0""",
 )
 def run_artifacts(spark, folder):
-    e = v.entries(spark, folder, v.turn_rows(spark, folder)).select("recording_id", "seq")
+    e = v.entries(spark, folder, v.SLICE).select("recording_id", "seq")
     path = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
-    writers.write_artifacts(e.withColumn("version", F.lit("first")), path, "run-1")
-    again = e.where("recording_id % 3 = 0 AND seq > 0").withColumn("version", F.lit("second"))
+    writers.write_artifacts(e.withColumn("version", F.lit("first")), path, 9)
+    covered = e.where("recording_id % 3 = 0")
+    again = covered.where("seq > 0").withColumn("version", F.lit("second"))
     for _ in range(2):  # writing a run twice changes nothing
-        writers.write_artifacts(again, path, "run-2")
-    # a recording without rows in the second run keeps the first
-    lone = e.groupBy("recording_id").agg(F.max("seq").alias("_m")).where("recording_id % 3 = 0 AND _m = 0")
-    return writers.read_written(spark, path).drop("run").join(lone, "recording_id", "left_anti")
+        writers.write_artifacts(again, path, 10, covered)
+    return writers.read_written(spark, path)
 
 
 @check(
@@ -273,7 +268,7 @@ SELECT recording_id, cue, concat(cue, chr(10), printf('%02d:%02d:%02d,%03d', tim
   printf('%02d:%02d:%02d,%03d', e//3600000, (e//60000)%60, (e//1000)%60, e%1000), chr(10), speaker, ': ', text_corrected, chr(10)) AS block FROM c""",
 )
 def cues(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     return writers.subtitle_cues(v.entries(spark, folder, n), rows=n).withColumn("cue", F.col("cue").cast("long"))
 
 
@@ -301,7 +296,7 @@ SELECT recording_id, block_idx, CASE WHEN recording_id%3<>0 AND speaker='Speaker
   CASE WHEN t >= 3600000 THEN printf('%02d:%02d:%02d', t//3600000, (t//60000)%60, (t//1000)%60) ELSE printf('%02d:%02d', t//60000, (t//1000)%60) END AS time, text FROM g""",
 )
 def documents(spark, folder):
-    n = v.turn_rows(spark, folder)
+    n = v.SLICE
     return writers.document_blocks(v.entries(spark, folder, n), names(spark, folder), rows=n)
 
 

@@ -127,7 +127,7 @@ def truncated(spark, folder):
 SELECT recording_id, seg_idx, CASE WHEN speaker - 1 >= 0 THEN concat('Speaker ', speaker) ELSE 'Speaker 1' END AS label FROM v_segments""",
 )
 def labels(spark, folder):
-    s = v.segments(spark, folder, v.turn_rows(spark, folder))
+    s = v.segments(spark, folder, v.SLICE)
     return s.select("recording_id", "seg_idx", times.speaker_label(F.col("speaker") - 1).alias("label"))
 
 

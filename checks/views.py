@@ -9,6 +9,7 @@ from talkledger.functions import times
 from talkledger.operators import ordered as o
 
 START_MS = 1_704_067_200_000
+SLICE = o.SLICE_ROWS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,20 +17,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def rows(spark: SparkSession, folder: str, name: str, key: str) -> int | None:
-    """Slice size for the recordings of a table: None once a count shows all are short."""
-    return o.slice_rows(table(spark, folder, name), [key])
-
-
-def turn_rows(spark: SparkSession, folder: str) -> int | None:
-    return rows(spark, folder, "conversations", "conv_id")
-
-
-def event_rows(spark: SparkSession, folder: str) -> int | None:
-    return rows(spark, folder, "events", "user_id")
-
-
-def segments(spark: SparkSession, folder: str, size: int | None = o.SLICE_ROWS) -> DataFrame:
+def segments(spark: SparkSession, folder: str, size: int = o.SLICE_ROWS) -> DataFrame:
     """Turns of a conversation as segments of a recording."""
     x = table(spark, folder, "conversations").select(
         F.col("conv_id").alias("recording_id"),
@@ -57,7 +45,7 @@ v_segments AS (SELECT recording_id, seg_idx, speaker, text, confidence,
   CAST(SUM(dur_ms+gap_ms) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS BIGINT) AS end_ms FROM seg_x)"""
 
 
-def entries(spark: SparkSession, folder: str, size: int | None = o.SLICE_ROWS) -> DataFrame:
+def entries(spark: SparkSession, folder: str, size: int = o.SLICE_ROWS) -> DataFrame:
     """Every segment as a transcript entry; some without an end."""
     s = segments(spark, folder, size)
     return s.select(

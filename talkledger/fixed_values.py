@@ -71,7 +71,8 @@ SPEAKER_STEP_MS = 750
 SPEAKER_MIN_WINDOW_MS = 500
 SPEAKER_LONG_MS = 3000
 SPEAKER_MAX_WINDOWS = 500
-SPEAKER_DISTANCE = 0.5
+OUTPUT_TOKENS = 4096
+FAILED_SUMMARY_CHARS = 500
 EXAMPLES_PER_PROMPT = 5
 CONTEXT_CHARS = 80
 CONTEXT_ENTRIES = 3

@@ -230,15 +230,17 @@ def _evaluation(value: Column) -> Column:
     return F.when(valid, record)
 
 
-def output_budget(chars: Column) -> Column:
-    """F11."""
-    return F.least(F.lit(4096), chars * 2 + 1024)
+def output_budget(chars: Column, most: int = fixed.OUTPUT_TOKENS) -> Column:
+    """output tokens a model is given, ``most`` at most."""
+    return F.least(F.lit(most), chars * 2 + 1024)
 
 
-def chunk_summary(response: Column, chunk: Column, number: Column, empty_text: str) -> Column:
-    """model summary; a placeholder when it is blank, the first 500 characters of the
-    chunk when the call failed (null response)."""
+def chunk_summary(
+    response: Column, chunk: Column, number: Column, empty_text: str, shown_chars: int = fixed.FAILED_SUMMARY_CHARS
+) -> Column:
+    """model summary; a placeholder when it is blank, the first ``shown_chars`` characters of
+    the chunk when the call failed (null response)."""
     said = strip(strip_thinking(response))
-    return F.when(response.isNull(), F.substring(chunk, 1, 500)).otherwise(
+    return F.when(response.isNull(), F.substring(chunk, 1, shown_chars)).otherwise(
         F.when(said == "", F.format_string(empty_text, number)).otherwise(said)
     )

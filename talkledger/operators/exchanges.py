@@ -16,7 +16,7 @@ from talkledger.functions import times
 from talkledger.operators import ordered as o
 
 
-def assembled_responses(lines: DataFrame, rows: int | None = o.SLICE_ROWS) -> DataFrame:
+def assembled_responses(lines: DataFrame, rows: int = o.SLICE_ROWS) -> DataFrame:
     """(request_id, line_no, line) token chunks to one response row per request.
 
     Blank and unreadable lines are skipped; model, duration and token count come from the
@@ -107,6 +107,8 @@ class PromptWords:
     screen: str = "Screen text\n%s"
     transcript: str = "Transcript %d/%d\n%s"
     closing: str = "Answer with a JSON array of findings."
+    #: Added to the prompt of a further attempt.
+    again: str = "The last answer could not be read. Answer with the JSON array alone, without any other text."
 
 
 def audit_prompts(

@@ -12,9 +12,6 @@ task, so the scans here work in two levels:
 
 The order column is an integer, unique inside its keys (a list position, or a
 distinct millisecond), which bounds every slice by ``rows``.
-
-Where a count has shown that no key holds more than one slice of rows
-(:func:`slice_rows`), ``rows=None`` asks for the plain one-level window instead.
 """
 
 from __future__ import annotations
@@ -36,20 +33,10 @@ def _div(order: str | Column, rows: int) -> Column:
     return F.call_function("div", order - F.pmod(order, F.lit(rows)), F.lit(rows)).cast("long")
 
 
-def sliced(df: DataFrame, order: str, rows: int | None) -> DataFrame:
+def sliced(df: DataFrame, order: str, rows: int) -> DataFrame:
     """Name the slices ahead of several scans in one order: they keep the column, and with
     it the partitioning, so the rows are shuffled once."""
-    return df if rows is None or _SLICE in df.columns else df.withColumn(_SLICE, _div(order, rows))
-
-
-def slice_rows(df: DataFrame, keys: Sequence[str] = ("recording_id",), rows: int = SLICE_ROWS) -> int | None:
-    """None when no key has more than ``rows`` rows, else ``rows``.
-
-    Run it once on a base table: it reads the key columns only and counts before it
-    shuffles. Operators that keep or shrink the rows of a key can take over the answer.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return None if counts.where(F.col("_n") > rows).isEmpty() else rows
+    return df if _SLICE in df.columns else df.withColumn(_SLICE, _div(order, rows))
 
 
 @dataclass(frozen=True)
@@ -169,40 +156,16 @@ def _local(carry: Carry, name: str, cell: Sequence[str], order: Column) -> Colum
             return edge
 
 
-def _whole(carry: Carry, keys: Sequence[str], order: Column) -> Column:
-    """A carry as a plain window over a key of proven size."""
-    v, key = carry.value, Window.partitionBy(*keys)
-    over, back = key.orderBy(order), key.orderBy(order.desc())
-    past = Window.unboundedPreceding
-    match carry.kind:
-        case "previous":
-            return F.lag(v).over(over)
-        case "following":
-            return F.lead(v).over(over)
-        case "running":
-            return F.sum(v).over(over.rowsBetween(past, 0))
-        case "latest":
-            return F.last(v, ignorenulls=True).over(over.rowsBetween(past, 0))
-        case "soonest":
-            return F.last(v, ignorenulls=True).over(back.rowsBetween(past, 0))
-        case "final":
-            return F.last(v).over(over.rowsBetween(past, Window.unboundedFollowing))
-        case kind:
-            return {"sum": F.sum, "min": F.min, "max": F.max}[kind](v).over(key)
-
-
 def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     carries: Mapping[str, Carry],
-    rows: int | None = SLICE_ROWS,
+    rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add one column per carry, in ``order`` inside ``keys``."""
     cell = [*keys, _SLICE]
     pos = F.col(order)
-    if rows is None:
-        return df.select(*df.columns, *[_whole(c, keys, pos).alias(out) for out, c in carries.items()])
     names = {out: f"_edge_{i}" for i, out in enumerate(carries)}
     cut = sliced(df, order, rows)
     edges = cut.groupBy(*cell).agg(
@@ -224,7 +187,7 @@ def islands(
     fields: Sequence[str],
     breaks: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     out: str = "island",
-    rows: int | None = SLICE_ROWS,
+    rows: int = SLICE_ROWS,
     carries: Mapping[str, Carry] | None = None,
 ) -> DataFrame:
     """Number the runs of rows, from 0; ``breaks(before, here)`` opens a new run.
@@ -243,17 +206,6 @@ def islands(
     def opened(before: Callable[[str], Column], here: Callable[[str], Column]) -> Column:
         return F.when(breaks(before, here), 1).otherwise(0)
 
-    if rows is None:
-        key = Window.partitionBy(*keys).orderBy(pos)
-        flags = df.select(
-            *df.columns,
-            *[_whole(carry, keys, pos).alias(c) for c, carry in carries.items()],
-            F.when(F.row_number().over(key) == 1, 0)
-            .otherwise(opened(lambda c: F.lag(c).over(key), F.col))
-            .alias("_opens"),
-        )
-        number = F.sum("_opens").over(key.rowsBetween(Window.unboundedPreceding, 0))
-        return flags.withColumn(out, number).drop("_opens")
     cut = sliced(df, order, rows)
     # 0 for the first row of a slice: whether it opens a run is known on the edges
     flagged = cut.withColumn(
@@ -297,7 +249,7 @@ def positions(
     time: str,
     seq: str,
     out: str = "pos",
-    rows: int | None = SLICE_ROWS,
+    rows: int = SLICE_ROWS,
     span_ms: int = SLICE_MS,
 ) -> DataFrame:
     """Rank from 0 by (time, seq) inside ``keys``, for tables not listed in time order.
@@ -306,9 +258,6 @@ def positions(
     counts are added up over those cells, and ranks are taken inside a cell only, so a
     millisecond that holds a third of the table is still cut into blocks of ``rows``.
     """
-    if rows is None:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(time, seq)) - 1
-        return df.select(*df.columns, place.cast("long").alias(out))
     numbered = df.withColumn("_block", _div(seq, rows))
     cell = [*keys, time, "_block"]
     counts = numbered.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
@@ -340,12 +289,9 @@ def joined_text(
     text: Column,
     separator: str,
     out: str,
-    rows: int | None = SLICE_ROWS,
+    rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """One text per key: parts in order, put together per slice first."""
-    if rows is None:
-        joined = F.expr(f"listagg(_part, '{_quoted(separator)}') WITHIN GROUP (ORDER BY {order})")
-        return df.withColumn("_part", text).groupBy(*keys).agg(joined.alias(out))
     pieces = (
         df.withColumn(_SLICE, _div(order, rows))
         .withColumn("_part", text)
@@ -361,8 +307,8 @@ def _quoted(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
 
 
-#: Interval length classes, as powers of two of a millisecond (4 s to 8.9 years).
-_CLASSES = (12, 16, 20, 24, 28, 32, 38)
+#: Interval length classes, as powers of two of a millisecond: 4 s to 8.9 years, and one for all that is longer.
+_CLASSES = (12, 16, 20, 24, 28, 32, 38, 62)
 
 
 def _cells(level: int, value: Column) -> Column:

@@ -1,9 +1,7 @@
-"""Who speaks when: analysis windows, clustering, votes, turns."""
+"""Who speaks when: analysis windows, votes, turns; window labels are a table a model wrote."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,77 +55,6 @@ def analysis_windows(
     )
 
 
-def _chain_clusters(vectors: np.ndarray, weights: np.ndarray, cut: float) -> np.ndarray:
-    """Average linkage on cosine distance by nearest-neighbour chains.
-
-    The mean distance of two clusters is 1 - S_a.S_b / (n_a n_b), S the sum of their unit
-    vectors, so no distance matrix is kept: memory is one vector per cluster.
-    """
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    sums = vectors / np.where(norm == 0, 1, norm) * weights[:, None]
-    size = weights.astype(float).copy()
-    parent = np.arange(len(sums))
-    alive = np.ones(len(sums), dtype=bool)
-    merges: list[tuple[float, int, int]] = []
-    chain: list[int] = []
-    while alive.sum() > 1:
-        if not chain:
-            chain.append(int(np.flatnonzero(alive)[0]))
-        tip = chain[-1]
-        distance = 1 - sums @ sums[tip] / (size * size[tip])
-        distance[~alive] = np.inf
-        distance[tip] = np.inf
-        near = int(np.argmin(distance))
-        if len(chain) > 1 and distance[chain[-2]] <= distance[near]:
-            near = chain[-2]
-            merges.append((float(distance[near]), near, tip))
-            sums[near] += sums[tip]
-            size[near] += size[tip]
-            alive[tip] = False
-            chain = chain[:-2]
-        else:
-            chain.append(near)
-    # average linkage never inverts, so all merges below the cut form the flat clusters
-    for height, a, b in merges:
-        if height < cut:
-            parent[b] = a
-    labels = np.arange(len(parent))
-    for i in range(len(parent)):
-        root = i
-        while parent[root] != root:
-            root = parent[root]
-        labels[i] = root
-    return labels
-
-
-def cluster_speakers(
-    windows: DataFrame, distance: float = fixed.SPEAKER_DISTANCE
-) -> DataFrame:
-    """M2: speaker label of every window, numbered by first appearance.
-
-    Equal vectors are grouped before the shuffle and enter once, with their count. The
-    distinct windows of one recording are bounded by its length over the window step.
-    """
-    rid = dict(windows.dtypes)["recording_id"]
-    distinct = windows.groupBy("recording_id", "embedding").agg(
-        F.min("win_idx").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_first", kind="stable")
-        vectors = np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)
-        roots = _chain_clusters(vectors, pdf["_n"].to_numpy(dtype=float), distance)
-        return pdf.assign(label=pd.factorize(roots)[0].astype(np.int64))[
-            ["recording_id", "_first", "label"]
-        ]
-
-    labels = distinct.groupBy("recording_id").applyInPandas(
-        cluster, f"recording_id {rid}, _first bigint, label bigint"
-    )
-    named = distinct.join(labels, ["recording_id", "_first"]).select("recording_id", "embedding", "label")
-    return windows.join(named, ["recording_id", "embedding"])
-
-
 def vote_speakers(segments: DataFrame, windows: DataFrame, segment_key: str = "seg_idx") -> DataFrame:
     """The label most windows of a segment carry, ties to the label seen first."""
     counts = windows.groupBy("recording_id", segment_key, "label").agg(
@@ -144,7 +71,7 @@ def vote_speakers(segments: DataFrame, windows: DataFrame, segment_key: str = "s
     )
 
 
-def speaker_turns(windows: DataFrame, rows: int | None = o.SLICE_ROWS) -> DataFrame:
+def speaker_turns(windows: DataFrame, rows: int = o.SLICE_ROWS) -> DataFrame:
     """Runs of one label over windows in time order."""
     ordered = o.positions(windows, RECORDING, "start_ms", "win_idx", rows=rows)
     runs = o.islands(
@@ -158,7 +85,7 @@ def speaker_turns(windows: DataFrame, rows: int | None = o.SLICE_ROWS) -> DataFr
 
 
 def split_text_over_turns(
-    turns: DataFrame, texts: DataFrame, rows: int | None = o.SLICE_ROWS
+    turns: DataFrame, texts: DataFrame, rows: int = o.SLICE_ROWS
 ) -> DataFrame:
     """A recording's text shared out over its turns by duration.
 

@@ -91,7 +91,7 @@ def missed_exact(
 
 
 def clusters(
-    violations: DataFrame, window_ms: int = fixed.DEDUP_WINDOW_MS, slice_ms: int | None = o.SLICE_MS
+    violations: DataFrame, window_ms: int = fixed.DEDUP_WINDOW_MS, slice_ms: int = o.SLICE_MS
 ) -> DataFrame:
     """Anchored clusters of one rule's findings: (recording, rule, time) to ``cluster_idx``.
 
@@ -101,7 +101,7 @@ def clusters(
     keys = ["recording_id", "rule_id"]
     distinct = violations.select(*keys, "timestamp_ms").distinct()
     # a slice spans several windows, so that few of its times can be the first cut
-    width = None if slice_ms is None else max(8 * window_ms, slice_ms)
+    width = max(8 * window_ms, slice_ms)
     rule = Rule(window_ms, anchored=True, rising=True)
     return greedy_groups(
         distinct, keys, "timestamp_ms", F.col("timestamp_ms"), rule, rows=width, out="cluster_idx"
@@ -112,7 +112,7 @@ def deduplicated(
     violations: DataFrame,
     window_ms: int = fixed.DEDUP_WINDOW_MS,
     keep: str = "last_above_anchor",
-    slice_ms: int | None = o.SLICE_MS,
+    slice_ms: int = o.SLICE_MS,
 ) -> DataFrame:
     """One finding per cluster. ``last_above_anchor``: the last one more confident than
     the cluster's first, else the first. ``max_confidence``: the most confident one."""

@@ -25,7 +25,9 @@ class AuditLimits:
     confidence: float = fixed.VIOLATION_CONFIDENCE
     dedup_window_ms: int = fixed.DEDUP_WINDOW_MS
     group_by_source: bool = True
-    slice_rows: int | None = ordered.SLICE_ROWS
+    #: How often a prompt is asked while its answer cannot be read.
+    attempts: int = 2
+    slice_rows: int = ordered.SLICE_ROWS
 
 
 def chunked_entries(entries: DataFrame, limits: AuditLimits = AuditLimits()) -> DataFrame:
@@ -110,8 +112,7 @@ def filtered(
     good = cut_lineage(violations.verified(violations.confident(found, limits.confidence), enriched, sounds))
     added = violations.missed_exact(full_texts, good, enriched, sounds)
     every = cut_lineage(good.unionByName(added))
-    slice_ms = ordered.SLICE_MS if ordered.slice_rows(every) else None
-    single = cut_lineage(violations.deduplicated(every, limits.dedup_window_ms, slice_ms=slice_ms))
+    single = cut_lineage(violations.deduplicated(every, limits.dedup_window_ms))
     return evidence.nearest_screen_text(single, ocr, limits.evidence_margin_ms)
 
 
@@ -161,9 +162,14 @@ def audit(
         answered = exchanges.call_model(rows, ask, width=width)
         return cut_lineage(t.computed(answered, readable=F.coalesce(readable, F.lit(False))))
 
-    first = asked(requests)
-    second = asked(first.where(~F.col("readable")).drop("response", "readable"))
-    answers = first.unionByName(second).where("readable")
+    last = asked(requests)
+    answers = last.where("readable")
+    for k in range(1, limits.attempts):
+        unread = last.where(~F.col("readable")).drop("response", "readable")
+        if k == 1:
+            unread = unread.withColumn("prompt", F.concat_ws("\n\n", "prompt", F.lit(words.again)))
+        last = asked(unread)
+        answers = answers.unionByName(last.where("readable"))
     found = read_findings(answers, chunked, enriched)
     kept = cut_lineage(filtered(found, enriched, full_texts(chunked, sheets, limits), ocr, sounds, limits))
     said = None

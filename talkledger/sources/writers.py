@@ -14,29 +14,23 @@ from talkledger.operators.evidence import rename_speakers
 from talkledger.operators.segments import with_blocks
 
 
-def write_artifacts(df: DataFrame, path: str, run: str) -> None:
-    """SNK1: replace what run ``run`` wrote, leave all other runs untouched.
+def write_artifacts(df: DataFrame, path: str, run: int, recordings: DataFrame | None = None) -> None:
+    """SNK1: replace what run number ``run`` wrote, leave all other runs untouched.
 
-    One folder per run, not per recording: the number of files follows the data, and a
-    repeated run replaces its folder as a whole (Spark's commit makes that all or nothing).
+    ``recordings`` names every recording the run covered, those without a row in ``df`` as well;
+    None: those with rows. One folder per run, not per recording: the number of files follows the
+    data. The manifest is written after the rows, so a run that broke off in between is not read.
     """
-    (
-        df.withColumn("run", F.lit(run))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run")
-        .parquet(path)
-    )
-
-
-def latest_artifacts(df: DataFrame) -> DataFrame:
-    """Rows of the newest run of every recording."""
-    newest = df.groupBy("recording_id").agg(F.max("run").alias("run"))
-    return df.join(newest, ["recording_id", "run"], "left_semi")
+    df.write.mode("overwrite").parquet(f"{path}/rows/run={run}")
+    covered = (df if recordings is None else recordings).select("recording_id").distinct()
+    covered.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/manifest/run={run}")
 
 
 def read_written(spark: SparkSession, path: str) -> DataFrame:
-    return latest_artifacts(spark.read.parquet(path))
+    """SNK1: for every recording the rows of the highest run that covered it; none where that run
+    found nothing."""
+    newest = spark.read.parquet(f"{path}/manifest").groupBy("recording_id").agg(F.max("run").alias("run"))
+    return spark.read.parquet(f"{path}/rows").join(newest, ["recording_id", "run"], "left_semi").drop("run")
 
 
 def invalidated(
@@ -54,7 +48,7 @@ def subtitle_cues(
     entries: DataFrame,
     corrected: bool = True,
     cue_ms: int = fixed.DEFAULT_CUE_MS,
-    rows: int | None = o.SLICE_ROWS,
+    rows: int = o.SLICE_ROWS,
 ) -> DataFrame:
     """SNK2: one row per cue, with its text block."""
     seen = o.scan(
@@ -74,14 +68,14 @@ def subtitle_cues(
     )
 
 
-def subtitle_files(entries: DataFrame, corrected: bool = True, rows: int | None = o.SLICE_ROWS) -> DataFrame:
+def subtitle_files(entries: DataFrame, corrected: bool = True, rows: int = o.SLICE_ROWS) -> DataFrame:
     """SNK2: one subtitle text per recording."""
     cues = subtitle_cues(entries, corrected, rows=rows)
     return o.joined_text(cues, ["recording_id"], "cue", F.col("block"), "\n", "srt", rows)
 
 
 def document_blocks(
-    entries: DataFrame, names: DataFrame, corrected: bool = True, rows: int | None = o.SLICE_ROWS
+    entries: DataFrame, names: DataFrame, corrected: bool = True, rows: int = o.SLICE_ROWS
 ) -> DataFrame:
     """SNK3: speaker (renamed), time and text of every display block."""
     blocks = (

@@ -15,7 +15,8 @@ def burst_stream(
     updates: DataFrame, quiet_ms: int = fixed.QUIET_MS, delay: str = "10 seconds"
 ) -> DataFrame:
     """Streaming form: the updates of each burst, once no update of the recording came for
-    ``quiet_ms``. ``updates`` is (recording_id, ts, upd_seq, seq, status)."""
+    ``quiet_ms``. ``updates`` is (recording_id, ts, upd_seq, seq, status). Updates that come later
+    than ``delay`` are not in it; ``late_updates`` finds them in the log."""
     window = F.session_window("ts", f"{quiet_ms} milliseconds")
     return (
         updates.withWatermark("ts", delay)
@@ -35,6 +36,7 @@ def start_reviews(
     flush: Callable[[DataFrame, int], None],
     checkpoint: str,
     quiet_ms: int = fixed.QUIET_MS,
+    delay: str = "10 seconds",
     **trigger,
 ):
     """Run the stream; ``flush`` gets the last status of every finding of closed bursts, as
@@ -47,7 +49,7 @@ def start_reviews(
         flush(settled, batch_id)
 
     return (
-        burst_stream(updates, quiet_ms)
+        burst_stream(updates, quiet_ms, delay)
         .writeStream.foreachBatch(last)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
@@ -57,7 +59,7 @@ def start_reviews(
 
 
 def bursts(
-    updates: DataFrame, quiet_ms: int = fixed.QUIET_MS, rows: int | None = o.SLICE_ROWS
+    updates: DataFrame, quiet_ms: int = fixed.QUIET_MS, rows: int = o.SLICE_ROWS
 ) -> DataFrame:
     """Batch twin: (recording_id, burst, seq, upd_seq, status), last status per finding. As in
     the stream, an update at exactly the quiet time still belongs to the burst.
@@ -71,3 +73,15 @@ def bursts(
     return runs.groupBy("recording_id", "burst", "seq").agg(
         F.max("upd_seq").alias("upd_seq"), F.max_by("status", "upd_seq").alias("status")
     )
+
+
+def late_updates(log: DataFrame, flushed: DataFrame) -> DataFrame:
+    """Last status of every finding whose newest update never left the stream.
+
+    ``log`` is the batch read of the updates, ``flushed`` what ``flush`` was given. Applied by
+    ``apply_review``, where the highest ``upd_seq`` wins, so a repeat does no harm.
+    """
+    finding = ["recording_id", "seq"]
+    last = log.groupBy(*finding).agg(F.max("upd_seq").alias("upd_seq"), F.max_by("status", "upd_seq").alias("status"))
+    done = flushed.groupBy(*finding).agg(F.max("upd_seq").alias("_done"))
+    return last.join(done, finding, "left").where("_done IS NULL OR _done < upd_seq").drop("_done")

@@ -72,3 +72,7 @@ def test_audit_without_readable_answers(spark):
     ocr = spark.createDataFrame([], "recording_id long, seq long, timestamp_ms long, text string, confidence double, frame_path string")
     kept, reports = audit.audit(entries, sheets, rules, examples, ocr, lambda prompt: "no json")
     assert kept.count() == 0 and reports.first().compliance_score == 100.0
+    finding = '[{"rule_id": 5, "timestamp_ms": 30000, "confidence": 0.9, "original_text": "一切正常"}]'
+    asked_again = lambda prompt: finding if prompt.endswith("any other text.") and "5. [semantic]" in prompt else "no json"
+    kept, _ = audit.audit(entries, sheets, rules, examples, ocr, asked_again)
+    assert [x.rule_id for x in kept.collect()] == [5]

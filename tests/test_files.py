@@ -64,10 +64,15 @@ def test_artifacts_and_inventory(spark, tmp_path):
 def test_a_repeated_run_replaces_only_itself(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "recording_id long, v string")
-    writers.write_artifacts(df, path, "run-1")
-    writers.write_artifacts(df.where("recording_id = 2").withColumn("v", F.lit("new")), path, "run-2")
-    writers.write_artifacts(df.where("recording_id = 2").withColumn("v", F.lit("newer")), path, "run-2")
+    two = df.where("recording_id = 2")
+    writers.write_artifacts(df, path, 9)
+    writers.write_artifacts(two.withColumn("v", F.lit("new")), path, 10)
+    writers.write_artifacts(two.withColumn("v", F.lit("newer")), path, 10)
     assert {(r.recording_id, r.v) for r in writers.read_written(spark, path).collect()} == {(1, "a"), (2, "newer")}
+    writers.write_artifacts(df.where("false"), path, 11, two)
+    assert {(r.recording_id, r.v) for r in writers.read_written(spark, path).collect()} == {(1, "a")}
+    writers.write_artifacts(df.where("false"), path, 9, df)
+    assert writers.read_written(spark, path).count() == 0
 
 
 def test_media_hash(spark, tmp_path):

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from talkledger.operators.evidence import apply_review
+from talkledger.operators.ordered import SLICE_ROWS
 from talkledger.streaming import reviews, tokens
 
 START = datetime(2024, 1, 1)
@@ -41,10 +42,21 @@ def test_debounced_reviews(spark, tmp_path):
     assert [r.status for r in apply_review(found, burst).orderBy("seq").collect()] == ["rejected", "confirmed"]
 
 
+def test_late_updates_are_found_in_the_log(spark):
+    log = spark.createDataFrame(
+        [(1, 0, 5, "confirmed"), (1, 1, 5, "rejected"), (1, 2, 6, "confirmed"), (2, 0, 5, "pending"), (2, 1, 7, "rejected")],
+        "recording_id long, upd_seq long, seq long, status string",
+    )
+    flushed = log.where("upd_seq = 0 OR seq = 6")
+    got = sorted((r.recording_id, r.seq, r.upd_seq, r.status) for r in reviews.late_updates(log, flushed).collect())
+    assert got == [(1, 5, 1, "rejected"), (2, 7, 1, "rejected")]
+    assert reviews.late_updates(log, log).count() == 0
+
+
 def test_stream_and_batch_agree_on_bursts(spark):
     rows = [(1, 0, 5, 0, "a"), (1, 1, 5, 499_999, "b"), (1, 2, 6, 999_999, "c"), (1, 3, 5, 1_500_000, "d")]
     df = spark.createDataFrame(rows, "recording_id long, upd_seq long, seq long, ts_us long, status string")
-    for size in (None, 2):
+    for size in (SLICE_ROWS, 2):
         got = sorted((r.burst, r.seq, r.status) for r in reviews.bursts(df, rows=size).collect())
         assert got == [(0, 5, "b"), (0, 6, "c"), (1, 5, "d")]
 
