@@ -27,6 +27,8 @@ from talkledger.llm.common import pack, remainder, stored, text_bytes, unpack, w
 
 #: Bytes of context, text bytes in a block, and divisor and remainder of what is held out.
 DEPTH, BLOCK_BYTES, DIVISOR, HELD_OUT = 4, 12 << 20, 7, 2
+#: Text bytes whose contexts a task works on at a time.
+PIECE_BYTES = 1 << 20
 #: UTF-8 holds no such byte: it ends a text, so that the chances of all texts sum to one.
 END = b"\xff"
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -55,17 +57,21 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, back[np.array(places, np.int64)] if places else np.empty(0, np.int64), np.array(counts, np.int64)
 
 
+def _codes(raw: np.ndarray, depth: int) -> np.ndarray:
+    codes = np.zeros(max(0, len(raw) - depth), np.uint64)
+    for k in range(depth + 1):
+        codes = (codes << np.uint64(8)) | raw[k : len(raw) - depth + k]
+    return codes
+
+
 def gram_codes(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Every byte with the ``depth`` bytes before it as one number, and how many each text has.
 
     A text is lower-cased (A-Z), preceded by zero bytes and followed by END.
     """
     pad = b"\x00" * depth
-    joined = np.frombuffer(b"".join(pad + t.lower() + END for t in texts), np.uint8)
+    codes = _codes(np.frombuffer(b"".join(pad + t.lower() + END for t in texts), np.uint8), depth)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    codes = np.zeros(max(0, len(joined) - depth), np.uint64)
-    for k in range(depth + 1):
-        codes = (codes << np.uint64(8)) | joined[k : len(joined) - depth + k]
     # what ends inside the zero bytes of the next text is no position
     real = np.ones(len(codes), bool)
     after = np.cumsum(sizes + depth)[:-1] - depth
@@ -74,11 +80,37 @@ def gram_codes(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.n
     return codes[real], sizes
 
 
-def _counts(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    found, n = np.unique(values, return_counts=True)
-    out = np.zeros(len(keys), np.int64)
-    out[np.searchsorted(keys, found)] = n
-    return out
+def gram_pieces(texts: list[bytes], depth: int = DEPTH, piece: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``gram_codes`` of some texts at a time, with the place of the first; a long text comes in several pieces."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) >= piece:
+            yield first, *gram_codes(texts[first:k], depth)
+            first, size = k, 0
+        if len(text) >= piece:
+            whole = np.frombuffer(b"\x00" * depth + text.lower() + END, np.uint8)
+            for at in range(0, len(text) + 1, piece):
+                codes = _codes(whole[at : at + piece + depth], depth)
+                yield k, codes, np.array([len(codes)], np.int64)
+            first = k + 1
+        else:
+            size += len(text) + 1
+    if first < len(texts):
+        yield first, *gram_codes(texts[first:], depth)
+
+
+def gram_counts(texts: list[bytes], learned: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes of the texts and how often each stands in those to learn from."""
+    found, counts = [], []
+    for first, codes, sizes in gram_pieces(texts, depth):
+        own, back = np.unique(codes, return_inverse=True)
+        found.append(own)
+        counts.append(np.bincount(back[np.repeat(learned[first : first + len(sizes)], sizes)], minlength=len(own)))
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, back = np.unique(np.concatenate(found), return_inverse=True)
+    # float sums of counts are exact below 2**53
+    return keys, np.bincount(back, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
 
 
 def _block_rows(name: str, rows: list[tuple], buckets: int, depth: int) -> pa.RecordBatch:
@@ -86,12 +118,11 @@ def _block_rows(name: str, rows: list[tuple], buckets: int, depth: int) -> pa.Re
     texts = [r[2] for r in rows]
     learned = np.array([not r[1] for r in rows], bool)
     keys, places, sizes = word_ids(texts)
-    codes, lengths = gram_codes(texts, depth)
-    grams = np.unique(codes)
+    grams, n_grams = gram_counts(texts, learned, depth)
     out = [(name, 0, -1, pack(grams, True), None, pa.Codec("zstd").compress(b"".join(texts), asbytes=True))]
     for kind, own, n in (
         (WORDS, keys, np.bincount(places[np.repeat(learned, sizes)], minlength=len(keys)).astype(np.int64)),
-        (GRAMS, grams, _counts(grams, codes[np.repeat(learned, lengths)])),
+        (GRAMS, grams, n_grams),
     ):
         bucket = buckets_of(own, buckets)
         for b in np.unique(bucket):
@@ -113,9 +144,10 @@ def _blocked(buckets: int, depth: int, block_bytes: int):
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row)
-                size += len(row[2])
+            ids, outside, raw = batch.columns
+            for k in range(batch.num_rows):
+                held.append((ids[k].as_py(), outside[k].as_py(), raw[k].as_py()))
+                size += len(held[-1][2])
                 if size >= block_bytes:
                     yield _block_rows(f"{task}-{count}", held, buckets, depth)
                     count, held, size = count + 1, [], 0
@@ -252,14 +284,12 @@ def _scored(buckets: int, depth: int, total: int, known: int):
         texts = [joined[e - s : e] for s, e in zip(sizes, ends)]
         keys, places, counts = word_ids(texts)
         seen = _answers(group, WORDS, keys, buckets, np.int64)[places]
-        codes, lengths = gram_codes(texts, depth)
         grams = unpack(row["values"], np.uint64, True)
         chance = _answers(group, GRAMS, grams, buckets, np.float64)
-        first, start = np.cumsum(counts) - counts, np.cumsum(lengths) - lengths
-        by_text = np.empty(len(texts))
-        for k in range(0, len(texts), 256):  # some texts at a time: the places of a whole block are large
-            a, b = start[k], start[min(k + 256, len(texts)) - 1] + lengths[min(k + 256, len(texts)) - 1]
-            by_text[k : k + 256] = np.add.reduceat(chance[np.searchsorted(grams, codes[a:b])], start[k : k + 256] - a)
+        first = np.cumsum(counts) - counts
+        by_text = np.zeros(len(texts))
+        for k, codes, lengths in gram_pieces(texts, depth):
+            by_text[k : k + len(lengths)] += np.add.reduceat(chance[np.searchsorted(grams, codes)], np.cumsum(lengths) - lengths)
         return pd.DataFrame(
             {
                 "_id": pd.array([None if x is None or x != x else int(x) for x in row["ids"]], "Int64"), "held_out": np.array(row["held"], bool),

@@ -236,6 +236,19 @@ def test_language_model(spark):
     assert lm.scores(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3, 7, 50, 1000])
+def test_contexts_in_pieces(piece):
+    rnd = random.Random(piece)
+    texts = [bytes(rnd.choice(b"abCD e") for _ in range(rnd.choice([0, 0, 1, 2, 6, 7, 8, 30, 200]))) for _ in range(60)]
+    want = [(b"\0\0" + t.lower() + lm.END)[k : k + 3] for t in texts for k in range(len(t) + 1)]
+    got, sizes = [], [0] * len(texts)
+    for first, codes, lengths in lm.gram_pieces(texts, 2, piece):
+        got += [int(c).to_bytes(3, "big") for c in codes]
+        for k, n in enumerate(lengths):
+            sizes[first + k] += int(n)
+    assert got == want and sizes == [len(t) + 1 for t in texts]
+
+
 def test_near_duplicates(spark):
     rows = awkward()
     got = neardup.near_duplicates(frame(spark, rows)).collect()
