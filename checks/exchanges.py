@@ -53,13 +53,13 @@ def _rules(spark, folder):
 def _examples(spark, folder):
     return v.table(spark, folder, "benchmark").select(
         (F.col("item_id") % 2).alias("sheet_id"), F.col("item_id").alias("rule_no"), F.lit(0).cast("long").alias("cell_no"),
-        F.substring("text", 1, 30).alias("example"),
+        F.col("text").alias("example"),
     )
 
 
 def _screens(e):
     return e.where("recording_id % 4 <> 0").select(
-        "recording_id", "seq", (F.col("timestamp_ms") + 700).alias("timestamp_ms"), F.substring("text", 1, 12).alias("text"),
+        "recording_id", "seq", (F.col("timestamp_ms") + 700).alias("timestamp_ms"), "text",
         F.lit(0.9).alias("confidence"), F.format_string("/f/%d.jpg", "seq").alias("frame_path"),
     )
 
@@ -70,9 +70,9 @@ def _screens(e):
 gr AS (SELECT item_id%2 AS sheet_id, CASE item_id%3 WHEN 0 THEN 'transcript' WHEN 1 THEN 'ocr' ELSE 'mixed' END AS group_name,
   string_agg(concat(item_id, '. [', CASE WHEN item_id%5=0 THEN 'exact' ELSE 'semantic' END, '] ', text, CASE WHEN item_id%4=0 THEN concat(chr(10), '   审核说明：D') ELSE '' END), chr(10) ORDER BY item_id) AS rules_text
   FROM benchmark GROUP BY 1, 2),
-ex AS (SELECT item_id%2 AS sheet_id, string_agg(concat('- ', substring(text, 1, 30)), chr(10) ORDER BY item_id) AS known
+ex AS (SELECT item_id%2 AS sheet_id, string_agg(concat('- ', text), chr(10) ORDER BY item_id) AS known
   FROM (SELECT *, row_number() OVER (PARTITION BY item_id%2 ORDER BY item_id) AS rn FROM benchmark) WHERE rn <= 5 GROUP BY 1),
-oc AS (SELECT recording_id, timestamp_ms + 700 AS t, regexp_replace(substring(text, 1, 12), '^\s+|\s+$', '', 'g') AS k, min(seq) AS seq, arg_min(substring(text, 1, 12), seq) AS text
+oc AS (SELECT recording_id, timestamp_ms + 700 AS t, regexp_replace(text, '^\s+|\s+$', '', 'g') AS k, min(seq) AS seq, arg_min(text, seq) AS text
   FROM v_entries WHERE recording_id%4<>0 GROUP BY ALL),
 sp AS (SELECT recording_id, chunk_idx, min(timestamp_ms) - 500 AS f, max(end_ms) + 500 AS t FROM v_entries GROUP BY ALL),
 se AS (SELECT sp.recording_id, sp.chunk_idx, string_agg(concat('[', printf('%02d:%02d', oc.t//60000, (oc.t//1000)%60), '] "', oc.text, '"'), chr(10) ORDER BY oc.t, oc.seq) AS seen
@@ -130,19 +130,19 @@ def assembly(spark, folder):
     return exchanges.assembled_responses(lines, n).select("request_id", "content", "done", "eval_count", "model")
 
 
-def _short_upper(prompt: str) -> str:
+def _upper(prompt: str) -> str:
     if len(prompt) % 5 == 0:
         raise TimeoutError("no answer")
-    return prompt[:20].replace("e", "E")
+    return prompt.replace("e", "E")
 
 
 @check(
     "m1_batch_model_call",
-    "SELECT doc_id, CASE WHEN length(text)%5=0 THEN NULL ELSE replace(substring(text, 1, 20), 'e', 'E') END AS response FROM documents",
+    "SELECT doc_id, CASE WHEN length(text)%5=0 THEN NULL ELSE replace(text, 'e', 'E') END AS response FROM documents",
 )
 def model_call(spark, folder):
     d = v.table(spark, folder, "documents").select("doc_id", F.col("text").alias("prompt"))
-    return exchanges.call_model(d, _short_upper, delay_s=0.0).select("doc_id", "response")
+    return exchanges.call_model(d, _upper, delay_s=0.0).select("doc_id", "response")
 
 
 def _same(prompt: str) -> str:
@@ -203,7 +203,7 @@ def text_evaluation(spark, folder):
 CHAIN = fi.v.VIOLATIONS + "," + fi.v.OCR + "," + fi.EXACT + """,
 good AS (SELECT v.recording_id, v.seq, v.rule_id, v.timestamp_ms, v.confidence, v.severity, v.source, v.evidence_text FROM v_violations v LEFT JOIN v_exact x ON x.rule_id = v.rule_id
   WHERE confidence >= 0.1 AND (x.rule_id IS NULL OR len(list_filter(x.keywords, lambda k: contains(v.original_text, k) OR contains(translate(v.original_text, '9', '7'), translate(k, '9', '7')))) > 0)),
-tx AS (SELECT user_id AS recording_id, string_agg(props, ' ' ORDER BY event_id) AS text FROM events WHERE user_id%3<>0 GROUP BY 1),
+tx AS (SELECT user_id AS recording_id, string_agg(props, ' ' ORDER BY event_id) AS text FROM events GROUP BY 1),
 pr AS (SELECT recording_id, rule_id, keywords, text FROM tx, v_exact WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.recording_id = tx.recording_id AND g.rule_id = v_exact.rule_id)),
 ad AS (SELECT recording_id, 1152921504606846976 + rule_id AS seq, rule_id, 0 AS timestamp_ms,
   CASE WHEN len(list_filter(keywords, lambda k: contains(text, k))) > 0 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence, 'high' AS severity, 'transcript' AS source, NULL AS evidence_text
@@ -232,7 +232,7 @@ def _chain(spark, folder):
         *found.columns, F.lit("").alias("timestamp"), F.lit("").alias("speaker"), none.alias("rule_ref"), none.alias("reasoning")
     )
     texts = ordered.joined_text(
-        v.table(spark, folder, "events").where("user_id % 3 <> 0").withColumnRenamed("user_id", "recording_id"),
+        v.table(spark, folder, "events").withColumnRenamed("user_id", "recording_id"),
         ["recording_id"], "event_id", F.col("props"), " ", "text", v.SLICE,
     ).withColumn("sheet_id", F.lit(1).cast("long"))
     limits = audit.AuditLimits(confidence=0.1, dedup_window_ms=fi.WEEK, evidence_margin_ms=43_200_000)

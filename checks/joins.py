@@ -105,7 +105,7 @@ def precise(spark, folder):
 
 def _chunked_timeline(spark, folder):
     """Events as entries of a day long chunk."""
-    t = v.timeline(spark, folder).where("seq % 3 = 0")
+    t = v.timeline(spark, folder)
     return t.select(
         "recording_id", F.floor(F.col("timestamp_ms") / 86_400_000).alias("chunk_idx"), "timestamp_ms",
         (F.col("timestamp_ms") + F.col("seq") % 7 * 60_000).alias("end_ms"),
@@ -115,7 +115,7 @@ def _chunked_timeline(spark, folder):
 @check(
     "j3_screen_text_of_chunks",
     "WITH " + v.TIMELINE + "," + v.OCR + """,
-c AS (SELECT recording_id, timestamp_ms//86400000 AS chunk_idx, min(timestamp_ms) - 7200000 AS f, max(timestamp_ms + seq%7*60000) + 7200000 AS t FROM v_timeline WHERE seq%3=0 GROUP BY ALL),
+c AS (SELECT recording_id, timestamp_ms//86400000 AS chunk_idx, min(timestamp_ms) - 7200000 AS f, max(timestamp_ms + seq%7*60000) + 7200000 AS t FROM v_timeline GROUP BY ALL),
 d AS (SELECT recording_id, timestamp_ms, trim(text) AS k, min(seq) AS seq FROM v_ocr GROUP BY ALL)
 SELECT c.recording_id, c.chunk_idx, d.timestamp_ms, d.seq FROM c JOIN d ON d.recording_id = c.recording_id AND d.timestamp_ms BETWEEN c.f AND c.t""",
 )

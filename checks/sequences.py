@@ -309,10 +309,11 @@ def scored_characters(spark, folder):
 @check(
     "w18_analysis_windows",
     "WITH " + v.SEGMENTS + """,
-d AS (SELECT recording_id, max(end_ms) * CASE WHEN recording_id%10=0 THEN 90 ELSE 1 END AS duration_ms FROM v_segments GROUP BY recording_id),
-s AS (SELECT recording_id, seg_idx, CASE WHEN recording_id%10=0 OR (recording_id+seg_idx)%11=0 THEN 0 ELSE start_ms END AS start_ms,
-  CASE WHEN recording_id%10=0 OR (recording_id+seg_idx)%11=0 THEN 0 ELSE end_ms END AS end_ms
-  FROM v_segments WHERE recording_id%10<>0 OR seg_idx=0),
+d AS (SELECT recording_id, max(end_ms) AS duration_ms FROM v_segments GROUP BY recording_id
+  UNION ALL SELECT -1-recording_id, max(end_ms) * 90 FROM v_segments GROUP BY recording_id),
+s AS (SELECT recording_id, seg_idx, CASE WHEN (recording_id+seg_idx)%11=0 THEN 0 ELSE start_ms END AS start_ms,
+  CASE WHEN (recording_id+seg_idx)%11=0 THEN 0 ELSE end_ms END AS end_ms FROM v_segments
+  UNION ALL SELECT -1-recording_id, 0, 0, 0 FROM (SELECT DISTINCT recording_id FROM v_segments)),
 l AS (SELECT recording_id, count(*)=1 AND bool_and(start_ms=0 AND end_ms=0) AS lone FROM s GROUP BY recording_id),
 x AS (SELECT s.recording_id, seg_idx, lone,
   CASE WHEN lone OR (start_ms=0 AND end_ms=0) THEN 0 ELSE start_ms END AS b,
@@ -326,17 +327,19 @@ WHERE CASE WHEN slides THEN least(start_ms+1500, e) ELSE e END - start_ms >= 500
 )
 def analysis_windows(spark, folder):
     s = v.segments(spark, folder, v.SLICE)
-    lone = F.col("recording_id") % 10 == 0
-    zero = lone | ((F.col("recording_id") + F.col("seg_idx")) % 11 == 0)
-    lengths = s.groupBy("recording_id").agg(
-        (F.max("end_ms") * F.when(lone, 90).otherwise(1)).alias("duration_ms")
-    )
-    s = s.where(~lone | (F.col("seg_idx") == 0)).select(
+    zero = (F.col("recording_id") + F.col("seg_idx")) % 11 == 0
+    lengths = s.groupBy("recording_id").agg(F.max("end_ms").alias("duration_ms"))
+    s = s.select(
         "recording_id", "seg_idx", "text",
         F.when(zero, 0).otherwise(F.col("start_ms")).alias("start_ms"),
         F.when(zero, 0).otherwise(F.col("end_ms")).alias("end_ms"),
     )
-    return speakers.analysis_windows(s, lengths)
+    # beside every recording one of a single segment without times and 90 times its length
+    other = (-1 - F.col("recording_id")).alias("recording_id")
+    nothing = F.lit(0).cast("long")
+    lone = lengths.select(other, nothing.alias("seg_idx"), F.lit("").alias("text"), nothing.alias("start_ms"), nothing.alias("end_ms"))
+    lengths = lengths.unionByName(lengths.select(other, (F.col("duration_ms") * 90).alias("duration_ms")))
+    return speakers.analysis_windows(s.unionByName(lone), lengths)
 
 
 @check(

@@ -29,17 +29,18 @@ def _sql_list(words):
 @check(
     "p1_recogniser_text",
     r"""WITH x AS (SELECT doc_id, CASE doc_id%4 WHEN 0 THEN concat('<|en|><|NEUTRAL|>', replace(text, ', ', '，、')) WHEN 1 THEN replace(text, ' ', '😀🚀')
-  WHEN 2 THEN ' 。，！ ' ELSE replace(text, '.', '。。！') END AS text FROM documents)
+  ELSE replace(text, '.', '。。！') END AS text FROM documents UNION ALL SELECT -1-doc_id, ' 。，！ ' FROM documents)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<\|[^|]+\|>', '', 'g'),
   '[\x{1F300}-\x{1F9FF}\x{2600}-\x{27BF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}]+', '', 'g'), '[。，、！？；：]{2,}', '。', 'g'),
   '^\s*[。，、！？；：]+\s*$', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM x""",
 )
 def recogniser_text(spark, folder):
-    x = docs(spark, folder).select(
+    d = docs(spark, folder)
+    x = d.select(
         "doc_id",
         F.expr("CASE doc_id%4 WHEN 0 THEN concat('<|en|><|NEUTRAL|>', replace(text, ', ', '，、')) "
-               "WHEN 1 THEN replace(text, ' ', '😀🚀') WHEN 2 THEN ' 。，！ ' ELSE replace(text, '.', '。。！') END").alias("text"),
-    )
+               "WHEN 1 THEN replace(text, ' ', '😀🚀') ELSE replace(text, '.', '。。！') END").alias("text"),
+    ).unionByName(d.select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(" 。，！ ").alias("text")))
     return x.select("doc_id", t.clean_recognised("text").alias("text"))
 
 
@@ -63,7 +64,7 @@ def noise_segments(spark, folder):
 @check(
     "p3_normalised_text",
     r"""WITH x AS (SELECT doc_id, CASE doc_id%5 WHEN 0 THEN concat('the The ', text) WHEN 1 THEN replace(text, 'e', '嗯嗯') WHEN 2 THEN replace(text, '. ', ' 二零二五年那个那个 ')
-   WHEN 3 THEN substring('Um, 嗯啊 the okay.', 1 + doc_id%7) ELSE '嗯啊。' END AS text FROM documents),
+   ELSE text END AS text FROM documents UNION ALL SELECT -1-doc_id, CASE doc_id%2 WHEN 0 THEN substring('Um, 嗯啊 the okay.', 1 + doc_id%7) ELSE '嗯啊。' END FROM documents),
 s AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS raw FROM x),
 a AS (SELECT doc_id, raw, regexp_replace(regexp_replace(raw, '^\s*(?:the\s+)+', '', 'i'), '^\s+|\s+$', '', 'g') AS c FROM s),
 b AS (SELECT doc_id, raw, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(?:那个){2,}', '那个', 'g'), '嗯{2,}', '嗯', 'g'), '啊{2,}', '啊', 'g'), '哦{2,}', '哦', 'g'), '呃{2,}', '呃', 'g'), '二零二五', '2025') AS c FROM a),
@@ -72,12 +73,16 @@ SELECT doc_id, CASE WHEN raw = '' OR regexp_matches(raw, '(?i)^(?:the\s+)*(?:the
   OR bare = '' OR regexp_matches(bare, '^[嗯啊哦呃唔嘿哈呵噢喔诶哎唉呀]{1,2}$') THEN NULL ELSE c END AS text FROM d""",
 )
 def normalised(spark, folder):
-    x = docs(spark, folder).select(
+    d = docs(spark, folder)
+    x = d.select(
         "doc_id",
         F.expr("CASE doc_id%5 WHEN 0 THEN concat('the The ', text) WHEN 1 THEN replace(text, 'e', '嗯嗯') "
                "WHEN 2 THEN replace(text, '. ', ' 二零二五年那个那个 ') "
-               "WHEN 3 THEN substring('Um, 嗯啊 the okay.', 1 + doc_id%7) ELSE '嗯啊。' END").alias("text"),
-    )
+               "ELSE text END").alias("text"),
+    ).unionByName(d.select(
+        (-1 - F.col("doc_id")).alias("doc_id"),
+        F.expr("CASE doc_id%2 WHEN 0 THEN substring('Um, 嗯啊 the okay.', 1 + doc_id%7) ELSE '嗯啊。' END").alias("text"),
+    ))
     return x.select("doc_id", t.normalise("text").alias("text"))
 
 
