@@ -138,11 +138,11 @@ def _upper(prompt: str) -> str:
 
 @check(
     "m1_batch_model_call",
-    "SELECT doc_id, CASE WHEN length(text)%5=0 THEN NULL ELSE replace(text, 'e', 'E') END AS response FROM documents",
+    "SELECT doc_id, CASE WHEN length(text)%5=0 THEN NULL ELSE replace(text, 'e', 'E') END AS response, CASE WHEN length(text)%5=0 THEN 'TimeoutError: no answer' END AS error FROM documents",
 )
 def model_call(spark, folder):
     d = v.table(spark, folder, "documents").select("doc_id", F.col("text").alias("prompt"))
-    return exchanges.call_model(d, _upper, delay_s=0.0).select("doc_id", "response")
+    return exchanges.call_model(d, _upper, delay_s=0.0, error="error").select("doc_id", "response", "error")
 
 
 def _same(prompt: str) -> str:

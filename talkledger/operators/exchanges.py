@@ -63,26 +63,32 @@ def call_model(
     width: int | None = None,
     retries: int = 2,
     delay_s: float = 2.0,
+    error: str | None = None,
 ) -> DataFrame:
     """M1: call ``ask`` on every prompt, retry with a doubling pause, null after the last
-    failure. ``width`` bounds the calls in flight (one per partition)."""
+    failure. ``width`` bounds the calls in flight (one per partition); ``error`` names a column
+    that says why the last call failed (null where it did not)."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
 
-    def one(text: str) -> str | None:
+    def one(text: str) -> tuple[str | None, str | None]:
+        reason = None
         for attempt in range(retries + 1):
             try:
-                return ask(text)
-            except Exception:  # the row falls back, the job goes on
+                return ask(text), None
+            except Exception as e:  # the row falls back, the job goes on
+                reason = f"{type(e).__name__}: {e}"
                 if attempt < retries:
                     time.sleep(delay_s * 2**attempt)
-        return None
+        return None, reason
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(**{out: [one(p) for p in pdf[prompt]]})
+            said = [one(p) for p in pdf[prompt]]
+            columns = {out: [s[0] for s in said]} | ({error: [s[1] for s in said]} if error else {})
+            yield pdf.assign(**columns)
 
     rows = requests.repartition(width) if width else requests
-    return rows.mapInPandas(run, f"{schema}, `{out}` string")
+    return rows.mapInPandas(run, f"{schema}, `{out}` string" + (f", `{error}` string" if error else ""))
 
 
 def audit_work(chunks: DataFrame, groups: DataFrame, ocr: DataFrame) -> DataFrame:
