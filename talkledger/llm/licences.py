@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import textwrap
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +30,6 @@ NOTICES = {
         "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
         "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ],
-    "0BSD": [
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
-    ],
 }
 
 #: Spellings that mean the same in a licence; the left word becomes the right one.
@@ -44,6 +45,61 @@ SPELLINGS = {
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*"
 CLAIMS = ("copyright", "(c)", "©", "all rights reserved")
 
+#: Lines that stand over a short text whose file has none.
+TITLES = {
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License", "Zero-Clause BSD License", "BSD 0-Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": [
+        "BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License',
+    ],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License, Version 1.0"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng license"],
+}
+#: Wordings of a short text that are in use beside the published one.
+WORDINGS = {
+    "BSD-2-Clause": ("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"),
+    "BSD-3-Clause": ("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"),
+    "ISC": ("and/or distribute", "and distribute"),
+    "MIT": ("this permission notice shall", "this permission notice (including the next paragraph) shall"),
+    "Unlicense": ("http://unlicense.org/", "https://unlicense.org"),
+}
+#: Where the terms of a long text end and hints on its use begin.
+END = "END OF TERMS AND CONDITIONS"
+#: Line lengths at which a short text may be cut.
+WIDTHS = range(50, 121)
+
+
+def _layouts(text: str, widths: range) -> list[str]:
+    """The text as it is, with a line per paragraph, and cut at ``widths``; one of those that are left with
+    the same words, as it depends on where lines begin which of them COPYRIGHT_LINE takes away."""
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+    cut = [text, "\n\n".join(paragraphs)]
+    cut += ["\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in paragraphs) for w in widths]
+    return list({" ".join(re.sub(COPYRIGHT_LINE, r"\1", c.lower()).split()): c for c in reversed(cut)}.values())
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files in ``licence_texts`` in all their forms: a file is named after its
+    licence, with "@" and a word where there are several of one. Short texts come with and without titles and item
+    numbers, in their other wording and at every line length; long ones whole and up to END."""
+    out = []
+    for file in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        if not file.name.endswith(".txt"):
+            continue
+        licence, text = file.name.removesuffix(".txt").partition("@")[0], file.read_text(encoding="utf-8")
+        if licence in TITLES:
+            bodies = [text, text.replace(*WORDINGS.get(licence, ("", "")))]
+            bodies += [re.sub(r"(?m)^ *[0-9]\. ", "", b) for b in bodies]
+            forms = [f for b in dict.fromkeys(bodies) for f in _layouts(b, WIDTHS)]
+            forms += [f"{title}\n\n{f}" for title in TITLES[licence] for f in forms]
+        else:
+            forms = [f for b in {text, text.partition(END)[0] + END if END in text else text} for f in _layouts(b, range(0))]
+        out += [(licence, f) for f in sorted(set(forms))]
+    return out
+
 
 def canonical_lines(text: Column) -> Column:
     """Text with its line breaks, but in canonical form: lower case, lines that claim copyright
@@ -85,8 +141,12 @@ def known_digests(known: DataFrame) -> DataFrame:
     return rows.groupBy(digest(F.col("_canonical")).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
+for _licence, _text in whole_texts():
+    NOTICES.setdefault(_licence, []).append(_text)
+
+
 def published(spark: SparkSession) -> DataFrame:
-    """The licences of NOTICES as (licence, text) rows."""
+    """The licences of NOTICES, one-line notices and whole texts, as (licence, text) rows."""
     pairs = [F.struct(F.lit(k).alias("licence"), F.lit(t).alias("text")) for k, texts in NOTICES.items() for t in texts]
     return spark.range(1).select(F.inline(F.array(*pairs)))
 

@@ -329,6 +329,30 @@ def test_licences(spark):
     assert licences.scan(frame(spark, []), known).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    import textwrap
+    from pathlib import Path
+
+    files = {f.stem.partition("@")[0]: f.read_text() for f in sorted(Path(licences.__file__).parent.joinpath("licence_texts").glob("*.txt"), reverse=True)}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0", "0BSD", "ISC", "Zlib"} <= set(files)
+    docs, want = [], {}
+    for licence, text in files.items():
+        forms = [text, text.upper().replace(" ", "   ")]
+        if licence in licences.TITLES:
+            cut = "\n\n".join(textwrap.fill(" ".join(p.split()), 66) for p in text.split("\n\n"))
+            forms += [f"{t}\n\nCopyright (c) 2020 Someone\n\n{f}" for t in licences.TITLES[licence] for f in (text, cut)]
+        if licences.END in text:
+            forms.append(text[: text.index(licences.END) + len(licences.END)] + "\n")
+        for form in forms:
+            want[len(docs)] = licence
+            docs.append((len(docs), form, "a"))
+    for part in (files["0BSD"].split("\n\n")[0], files["MIT"] + "\nand more", files["GPL-3.0"][:-200]):
+        want[len(docs)] = None
+        docs.append((len(docs), part, "a"))
+    got = licences.scan(frame(spark, docs), licences.published(spark)).collect()
+    assert {r.doc_id: r.licence for r in got} == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
