@@ -4,8 +4,8 @@ The patterns are the base and always stay. The field reads the words around anch
 spelled-out "at" and "dot"), gives every candidate segment of a few words a score from features of
 the whole segment, and picks the best set of segments and types by dynamic programming over at
 most MOST_WORDS words per entity. It is trained by gradient steps on its likelihood, on a bounded
-sample of documents whose base spans are the labels, also in spellings that the patterns miss, and on
-numbers that are nobody's data.
+sample of the different base spans of all documents, which are the labels, also in spellings that the
+patterns miss, and on numbers that are nobody's data.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkledger.llm.common import stored
+
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose base spans the field learns from, and excerpts taken of them, at most.
-SAMPLE_DOCUMENTS, SAMPLE_EXCERPTS = 2_000, 600
+#: Excerpts around base spans that the field learns from, at most, over all kinds.
+SAMPLE_EXCERPTS = 600
 #: Words of one entity at most, words around an anchor that the field reads.
 MOST_WORDS, AROUND = 8, 4
 STEPS, RATE, SHRINK = 12, 0.15, 1e-3
@@ -334,13 +336,14 @@ def _excerpted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "before", "span", "after"])
 
 
-def fit(df: DataFrame, text_column: str = "text", documents: int = SAMPLE_DOCUMENTS, lines: int = SAMPLE_EXCERPTS) -> np.ndarray:
-    """The field's weights from at most ``documents`` texts that hold digits or "@", those with the
-    smallest hash, and at most ``lines`` excerpts of them, evenly by kind."""
+def fit(df: DataFrame, text_column: str = "text", lines: int = SAMPLE_EXCERPTS) -> np.ndarray:
+    """The field's weights from at most ``lines`` excerpts around the base spans of all texts, evenly by
+    kind: of every kind the different ones with the smallest hash, however often they are repeated and
+    however many texts have none. Every text is read whole."""
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
-    own = df.select(text.alias("_text")).where(F.col("_text").rlike("[0-9@]") & (F.length("_text") < 100_000))
-    sample = own.orderBy(F.xxhash64("_text"), "_text").limit(documents)
-    found = sample.mapInArrow(_excerpted, "kind string, before string, span string, after string")
+    own = df.select(text.alias("_text")).where(F.col("_text").rlike("[0-9@]"))
+    found = own.mapInArrow(_excerpted, "kind string, before string, span string, after string")
+    found = stored(found.distinct(), "excerpts")
     each = [
         found.where(F.col("kind") == k).orderBy(F.xxhash64("before", "span", "after"), "span", "before", "after").limit(lines // len(KINDS))
         for k in KINDS

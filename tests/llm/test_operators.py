@@ -173,6 +173,20 @@ def test_personal_data(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_field_learns_from_all_texts(spark):
+    rows = [(k, f"{plain(k)} call +1 (741) 555-{1000 + k} {plain(k + 2)} from 10.0.{k}.7 {plain(k + 3)} write to n{k}.x@mail{k}.example.org", "a") for k in range(40)]
+    rows.append((40, f"{plain(9)} pay 4539148803436467 {plain(8)}" + " sun" * 40_000, "a"))
+    want = pii.fit(frame(spark, rows))
+    assert (want[pii.KINDS.index("card")] > 0).any()
+    hashes = spark.createDataFrame([(f"room {k} today",) for k in range(3000)] + [(t,) for _, t, _ in rows], "t string").select("t", F.xxhash64("t").alias("h"))
+    hot = hashes.orderBy("h").first().t
+    assert hot.startswith("room")
+    for more in ([(50, hot, "b")] * 2100, [(100 + k, f"room {k} today", "b") for k in range(3000)], [rows[3]] * 2100):
+        assert np.array_equal(pii.fit(frame(spark, rows + more)), want)
+    found = pii.find(frame(spark, rows + [(50, hot, "b")] * 2100 + [(60, "call (741) 555-3069 today", "b")]))
+    assert found.where("doc_id = 60").first().spans == "phone:5:19"
+
+
 def test_best_segments_against_all_cuts():
     rnd = np.random.default_rng(1)
     segments = [(i, j, 0, 0) for i in range(5) for j in range(i + 1, min(5, i + 3) + 1)]
