@@ -256,6 +256,16 @@ def _cells(mixed_entries: DataFrame, block_rows: int) -> DataFrame:
     return x.withColumn("_cell", F.xxhash64("_key", "_low", "_high"))
 
 
+def _same_ids(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of every class and every id of several texts that is in it under a smaller id; an empty text counts."""
+    marked = sketch.where("_id is not null").select("_id", F.xxhash64("_set").alias("_x"))
+    several = marked.groupBy("_id").agg(F.min("_x").alias("_x"), F.max("_x").alias("_y")).where("_x <> _y")
+    several = stored(several.select(F.col("_id").alias("_several")), "several")
+    own = sketch.where("n_shingles > 0").select("_id", F.col("_set").alias("_own")).join(several, F.col("_id") == F.col("_several"), "left_semi")
+    shared = classes.where("_copies > 1").select("_set", "_rep")
+    return own.distinct().join(shared, F.col("_own") == F.col("_set")).where("_rep <> _id").select(F.col("_rep").alias("a"), F.col("_id").alias("b"))
+
+
 def near_duplicates(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 75, block_rows: int = 1_000
 ) -> DataFrame:
@@ -291,7 +301,7 @@ def near_duplicates(
         .join(marks.withColumnRenamed("_marks", "_left"), F.col("a") == F.col("_m")).select("a", "b", "_left", "_right")
     )
     pairs = stored(rated.mapInArrow(_alike(percent), "a long, b long").distinct(), "pairs")
-    links = confirmed(pairs, texts, percent)
+    links = stored(confirmed(pairs, texts, percent).union(_same_ids(sketch, classes)).distinct(), "links")
     near = components(links)
 
     # then entries that still span several components: all plausible pairs across them

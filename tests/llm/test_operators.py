@@ -285,6 +285,15 @@ def test_hot_groups_are_linked_whole(spark):
     assert got == brute.components([(i, t) for i, t, _ in rows])
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    text = [prose(60 + k, 80) for k in range(6)]
+    rows = [(3, text[0], "a"), (5, text[0], "a"), (5, text[1], "a"), (7, text[1] + " more", "a"), (8, text[2], "a"), (9, text[3], "a"), (10, text[2], "a"),
+            (10, text[3], "a"), (11, text[4], "a"), (12, text[4], "a"), (12, "", "a"), (13, text[5], "a"), (None, text[0], "a"), (14, text[0], "a"), (14, text[0], "a")]
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8), (10, 8), (11, 11), (12, 11), (13, 13), (None, None), (14, 3)}
+
+
 def test_components_of_a_path(spark):
     path = spark.range(60).selectExpr("(id * 37) % 61 a", "((id + 1) * 37) % 61 b")
     assert {r._comp for r in neardup.components(path).collect()} == {0}
