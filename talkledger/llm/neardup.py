@@ -24,8 +24,9 @@ SHINGLE = 5
 #: table with probability (1 - (1 - 0.75**2)**14)**2 = 0.99998.
 KEYS, ROWS = 14, 2
 #: Bins of the sample of a set that travels with it, and how many standard deviations below its
-#: expectation a candidate may agree: 4 lose a pair at the very limit with probability 3e-5.
-BINS, TOLERANCE = 256, 4.0
+#: expectation a candidate may agree: 5 lose a pair at the very limit with probability 2e-6 (exact
+#: binomial tails: 1.2e-6 by the minhashes, 5e-7 by the bins).
+BINS, TOLERANCE = 256, 5.0
 #: Shingles of the sets that a task keeps at hand while it compares pairs.
 KEPT_SHINGLES = 4_000_000
 

@@ -285,6 +285,25 @@ def test_hot_groups_are_linked_whole(spark):
     assert got == brute.components([(i, t) for i, t, _ in rows])
 
 
+def test_few_pairs_at_the_limit_are_implausible():
+    from math import comb
+
+    def lost(n, agree):
+        """Chance that a pair at 0.75 agrees in so few of n places that ``agree`` turns it down."""
+        return sum(comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(n + 1) if not agree(k))
+
+    # one set of 10^6 members against another that agrees in the first k places
+    n, size = 2 * neardup.KEYS * neardup.ROWS, np.array([1e6])
+    full = [np.ones((1, n), np.uint8), np.ones((1, neardup.BINS), np.uint8), size]
+
+    def other(width, k):
+        return np.where(np.arange(width) < k, 1, 2).astype(np.uint8)[None]
+
+    by_hashes = lost(n, lambda k: neardup._plausible(75, full, [other(n, k), full[1], size])[0])
+    by_bins = lost(neardup.BINS, lambda k: neardup._plausible(75, full, [full[0], other(neardup.BINS, k), size])[0])
+    assert by_hashes + by_bins < 3e-5
+
+
 def test_an_id_with_several_texts_is_one_document(spark):
     text = [prose(60 + k, 80) for k in range(6)]
     rows = [(3, text[0], "a"), (5, text[0], "a"), (5, text[1], "a"), (7, text[1] + " more", "a"), (8, text[2], "a"), (9, text[3], "a"), (10, text[2], "a"),
