@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkledger.llm import decontam, licences, lm, mixing, neardup, pii, quality, sharding, topk, warc
+from talkledger.llm import decontam, licences, lm, mixing, neardup, passages, pii, quality, search, sharding, topk, variants, warc
 from talkledger.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,74 @@ FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN found f ON f.doc
 @query("op10_licence_scan", OP10)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"), licences.published(spark))
+
+
+# one deleted letter leads to the same rest at the same place (replaced) or to the other word (inserted)
+OP11 = r"""
+WITH RECURSIVE table_steps AS (SELECT range AS i, range AS v, 0 AS k FROM range(256) UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1 FROM table_steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM table_steps WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2),
+    lambda k: CAST(('0x' || substr(x, CAST(2 * k + 1 AS INTEGER), 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS INTEGER) + 1]))) AS h
+  FROM counted, crc_table),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word,
+  n FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, CAST(i AS INTEGER) - 1) || substr(word, CAST(i AS INTEGER) + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN vocabulary b ON a.rest = b.word),
+best AS (SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS r FROM near),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * v.n THEN other END AS form, CASE WHEN b.n >= 10 * v.n THEN b.n END AS form_n
+  FROM vocabulary v LEFT JOIN best b ON b.word = v.word AND r = 1),
+chains AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, root FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN ends USING (word)"""
+
+
+@query("op11_spelling_variants", OP11)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(table(spark, folder, "documents"))
+
+
+OP12 = r"""
+WITH tokens AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM tokens WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+gone AS (SELECT doc_id, i FROM windows JOIN firsts USING (g) WHERE first < doc_id),
+places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM tokens),
+last AS (SELECT p.doc_id, p.word, p.i, max(g.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS begun
+  FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM last WHERE begun IS NULL OR i - begun >= 50 GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM tokens t LEFT JOIN kept k ON k.doc_id = t.doc_id"""
+
+
+@query("op12_repeated_passages", OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.without_repeats(table(spark, folder, "documents"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+lengths AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+totals AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+items AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals GROUP BY term, documents),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // length)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50"""
+
+
+@query("op13_lexical_search", OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
