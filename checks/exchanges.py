@@ -30,10 +30,20 @@ def full_texts(spark, folder):
     return a.join(b, "recording_id")
 
 
-def _sheets(spark, folder):
-    return v.table(spark, folder, "conversations").select(F.col("conv_id").alias("recording_id")).distinct().withColumn(
-        "sheet_id", F.col("recording_id") % 2
-    )
+def _every_entry(e):
+    """All entries, and copies of every fourth recording that have no screen text."""
+    return e.unionByName(e.where("recording_id % 4 = 0").withColumn("recording_id", -1 - F.col("recording_id")))
+
+
+EVERY_ENTRY = """
+v_every AS (SELECT * FROM v_entries UNION ALL SELECT -1 - recording_id, * EXCLUDE (recording_id) FROM v_entries WHERE recording_id%4=0)"""
+
+
+def _sheets(e):
+    """A sheet for every recording, and the other one too for every third."""
+    own = F.abs(F.col("recording_id")) % 2
+    listed = F.when(F.abs(F.col("recording_id")) % 3 == 0, F.array(own, 1 - own)).otherwise(F.array(own))
+    return e.select("recording_id").distinct().select("recording_id", F.explode(listed).alias("sheet_id"))
 
 
 def _rules(spark, folder):
@@ -44,7 +54,7 @@ def _rules(spark, folder):
         F.col("text").alias("content"), F.when(F.col("item_id") % 5 == 0, "exact").otherwise("semantic").alias("check_mode"),
         F.when(F.col("item_id") % 3 == 0, F.array(F.lit("transcript"))).when(F.col("item_id") % 3 == 1, F.array(F.lit("ocr")))
         .otherwise(F.array(F.lit("transcript"), F.lit("ocr"))).alias("evidence_sources"),
-        F.when(F.col("item_id") % 5 == 0, F.array(F.substring("text", 1, 4))).otherwise(none).alias("keywords"),
+        F.when(F.col("item_id") % 5 == 0, F.array(F.substring("text", 2, 3))).otherwise(none).alias("keywords"),
         F.when(F.col("item_id") % 4 == 0, "D").otherwise("").alias("description"),
         F.lit("high").alias("severity_default"),
     )
@@ -58,41 +68,46 @@ def _examples(spark, folder):
 
 
 def _screens(e):
-    return e.where("recording_id % 4 <> 0").select(
+    return e.where("recording_id >= 0").select(
         "recording_id", "seq", (F.col("timestamp_ms") + 700).alias("timestamp_ms"), "text",
         F.lit(0.9).alias("confidence"), F.format_string("/f/%d.jpg", "seq").alias("frame_path"),
     )
 
 
-@check(
-    "a9_audit_prompts",
-    "WITH " + v.ENTRIES + r""",
+PROMPTS = r"""
+v_sheets AS (SELECT DISTINCT recording_id, abs(recording_id)%2 AS sheet_id FROM v_every UNION SELECT DISTINCT recording_id, 1 - abs(recording_id)%2 FROM v_every WHERE abs(recording_id)%3=0),
 gr AS (SELECT item_id%2 AS sheet_id, CASE item_id%3 WHEN 0 THEN 'transcript' WHEN 1 THEN 'ocr' ELSE 'mixed' END AS group_name,
   string_agg(concat(item_id, '. [', CASE WHEN item_id%5=0 THEN 'exact' ELSE 'semantic' END, '] ', text, CASE WHEN item_id%4=0 THEN concat(chr(10), '   审核说明：D') ELSE '' END), chr(10) ORDER BY item_id) AS rules_text
   FROM benchmark GROUP BY 1, 2),
 ex AS (SELECT item_id%2 AS sheet_id, string_agg(concat('- ', text), chr(10) ORDER BY item_id) AS known
   FROM (SELECT *, row_number() OVER (PARTITION BY item_id%2 ORDER BY item_id) AS rn FROM benchmark) WHERE rn <= 5 GROUP BY 1),
 oc AS (SELECT recording_id, timestamp_ms + 700 AS t, regexp_replace(text, '^\s+|\s+$', '', 'g') AS k, min(seq) AS seq, arg_min(text, seq) AS text
-  FROM v_entries WHERE recording_id%4<>0 GROUP BY ALL),
-sp AS (SELECT recording_id, chunk_idx, min(timestamp_ms) - 500 AS f, max(end_ms) + 500 AS t FROM v_entries GROUP BY ALL),
+  FROM v_every WHERE recording_id >= 0 GROUP BY ALL),
+sp AS (SELECT recording_id, chunk_idx, min(timestamp_ms) - 500 AS f, max(end_ms) + 500 AS t FROM v_chunked GROUP BY ALL),
 se AS (SELECT sp.recording_id, sp.chunk_idx, string_agg(concat('[', printf('%02d:%02d', oc.t//60000, (oc.t//1000)%60), '] "', oc.text, '"'), chr(10) ORDER BY oc.t, oc.seq) AS seen
   FROM sp JOIN oc ON oc.recording_id = sp.recording_id AND oc.t BETWEEN sp.f AND sp.t AND oc.k <> '' GROUP BY ALL),
-tr AS (SELECT recording_id, chunk_idx, string_agg(concat('[', "timestamp", '] [', speaker, ']: ', text_corrected), chr(10) ORDER BY seq) AS spoken FROM v_entries GROUP BY ALL),
-nc AS (SELECT recording_id, max(chunk_idx) + 1 AS n FROM v_entries GROUP BY 1)
-SELECT tr.recording_id, tr.chunk_idx, gr.group_name, concat_ws(chr(10)||chr(10), concat('Rules', chr(10), rules_text), concat('Known findings', chr(10), known),
-  CASE WHEN tr.recording_id%4<>0 AND gr.group_name <> 'transcript' AND seen IS NOT NULL THEN concat('Screen text', chr(10), seen) END,
+tr AS (SELECT recording_id, chunk_idx, string_agg(concat('[', "timestamp", '] [', speaker, ']: ', text_corrected), chr(10) ORDER BY seq) AS spoken FROM v_chunked GROUP BY ALL),
+nc AS (SELECT recording_id, max(chunk_idx) + 1 AS n FROM v_chunked GROUP BY 1),
+v_prompts AS (SELECT tr.recording_id, sh.sheet_id, tr.chunk_idx, gr.group_name, concat_ws(chr(10)||chr(10), concat('Rules', chr(10), rules_text), concat('Known findings', chr(10), known),
+  CASE WHEN tr.recording_id >= 0 AND gr.group_name <> 'transcript' AND seen IS NOT NULL THEN concat('Screen text', chr(10), seen) END,
   concat('Transcript ', tr.chunk_idx + 1, '/', nc.n, chr(10), spoken), 'Answer with a JSON array of findings.') AS prompt
-FROM tr JOIN nc USING (recording_id) JOIN gr ON gr.sheet_id = tr.recording_id%2 LEFT JOIN ex ON ex.sheet_id = tr.recording_id%2
+FROM tr JOIN nc USING (recording_id) JOIN v_sheets sh ON sh.recording_id = tr.recording_id JOIN gr ON gr.sheet_id = sh.sheet_id LEFT JOIN ex ON ex.sheet_id = sh.sheet_id
 LEFT JOIN se ON se.recording_id = tr.recording_id AND se.chunk_idx = tr.chunk_idx
-WHERE gr.group_name <> 'ocr' OR tr.recording_id%4<>0""",
+WHERE gr.group_name <> 'ocr' OR tr.recording_id >= 0)"""
+
+
+@check(
+    "a9_audit_prompts",
+    "WITH " + v.ENTRIES + "," + EVERY_ENTRY + ", v_chunked AS (SELECT * FROM v_every)," + PROMPTS + """
+SELECT recording_id, sheet_id, chunk_idx, group_name, prompt FROM v_prompts""",
 )
 def prompts(spark, folder):
-    e = v.entries(spark, folder, v.SLICE)
+    e = _every_entry(v.entries(spark, folder, v.SLICE))
     found = audit.audit_requests(
-        e, _sheets(spark, folder), _rules(spark, folder), _examples(spark, folder), _screens(e),
+        e, _sheets(e), _rules(spark, folder), _examples(spark, folder), _screens(e),
         limits=audit.AuditLimits(ocr_margin_ms=500),
     )
-    return found.select("recording_id", "chunk_idx", "group_name", "prompt")
+    return found.select("recording_id", "sheet_id", "chunk_idx", "group_name", "prompt")
 
 
 @check(
@@ -200,29 +215,34 @@ def text_evaluation(spark, folder):
     return rows.select("doc_id", F.col("evaluation.meta.title").alias("title"), F.col("evaluation.summary").alias("summary"))
 
 
+DEDUP = """
+o AS (SELECT *, row_number() OVER (PARTITION BY recording_id, sheet_id, rule_id ORDER BY timestamp_ms, seq) AS rn FROM al),
+cl AS (SELECT recording_id, sheet_id, rule_id, rn, timestamp_ms AS anchor, confidence AS a_conf, seq AS kept, 0 AS cluster_idx FROM o WHERE rn = 1
+  UNION ALL SELECT o.recording_id, o.sheet_id, o.rule_id, o.rn,
+    CASE WHEN o.timestamp_ms - cl.anchor < {window} THEN cl.anchor ELSE o.timestamp_ms END,
+    CASE WHEN o.timestamp_ms - cl.anchor < {window} THEN cl.a_conf ELSE o.confidence END,
+    CASE WHEN o.timestamp_ms - cl.anchor < {window} THEN CASE WHEN o.confidence > cl.a_conf THEN o.seq ELSE cl.kept END ELSE o.seq END,
+    CASE WHEN o.timestamp_ms - cl.anchor < {window} THEN cl.cluster_idx ELSE cl.cluster_idx + 1 END
+  FROM cl JOIN o ON o.recording_id = cl.recording_id AND o.sheet_id = cl.sheet_id AND o.rule_id = cl.rule_id AND o.rn = cl.rn + 1),
+kp AS (SELECT recording_id, sheet_id, rule_id, cluster_idx, arg_max(kept, rn) AS seq FROM cl GROUP BY ALL),
+si AS (SELECT al.* FROM al SEMI JOIN kp ON kp.recording_id = al.recording_id AND kp.sheet_id = al.sheet_id AND kp.seq = al.seq),
+ne AS (SELECT s.recording_id, s.sheet_id, s.seq, o.text, row_number() OVER (PARTITION BY s.recording_id, s.sheet_id, s.seq ORDER BY abs(o.timestamp_ms - s.timestamp_ms), o.seq) AS r
+  FROM si s JOIN v_ocr o ON o.recording_id = s.recording_id AND abs(o.timestamp_ms - s.timestamp_ms) <= {margin} WHERE s.source = 'transcript' AND s.evidence_text IS NULL),
+v_chain AS (SELECT s.* EXCLUDE (evidence_text), coalesce(ne.text, s.evidence_text) AS evidence_text
+  FROM si s LEFT JOIN ne ON ne.recording_id = s.recording_id AND ne.sheet_id = s.sheet_id AND ne.seq = s.seq AND ne.r = 1)"""
+
 CHAIN = fi.v.VIOLATIONS + "," + fi.v.OCR + "," + fi.EXACT + """,
-good AS (SELECT v.recording_id, v.seq, v.rule_id, v.timestamp_ms, v.confidence, v.severity, v.source, v.evidence_text FROM v_violations v LEFT JOIN v_exact x ON x.rule_id = v.rule_id
+good AS (SELECT v.recording_id, v.sheet_id, v.seq, v.rule_id, v.timestamp_ms, v.confidence, v.severity, v.source, v.evidence_text
+  FROM v_violations v LEFT JOIN v_exact x ON x.sheet_id = v.sheet_id AND x.rule_id = v.rule_id
   WHERE confidence >= 0.1 AND (x.rule_id IS NULL OR len(list_filter(x.keywords, lambda k: contains(v.original_text, k) OR contains(translate(v.original_text, '9', '7'), translate(k, '9', '7')))) > 0)),
+sh AS (SELECT DISTINCT user_id AS recording_id, 1 AS sheet_id FROM events UNION ALL SELECT DISTINCT user_id, 2 FROM events WHERE user_id%3=0),
 tx AS (SELECT user_id AS recording_id, string_agg(props, ' ' ORDER BY event_id) AS text FROM events GROUP BY 1),
-pr AS (SELECT recording_id, rule_id, keywords, text FROM tx, v_exact WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.recording_id = tx.recording_id AND g.rule_id = v_exact.rule_id)),
-ad AS (SELECT recording_id, 1152921504606846976 + rule_id AS seq, rule_id, 0 AS timestamp_ms,
+pr AS (SELECT recording_id, sheet_id, rule_id, keywords, text FROM tx JOIN sh USING (recording_id) JOIN v_exact USING (sheet_id)
+  WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.recording_id = tx.recording_id AND g.sheet_id = v_exact.sheet_id AND g.rule_id = v_exact.rule_id)),
+ad AS (SELECT recording_id, sheet_id, 1152921504606846976 + rule_id AS seq, rule_id, 0 AS timestamp_ms,
   CASE WHEN len(list_filter(keywords, lambda k: contains(text, k))) > 0 THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence, 'high' AS severity, 'transcript' AS source, NULL AS evidence_text
   FROM pr WHERE len(list_filter(keywords, lambda k: contains(text, k) OR contains(translate(text, '9', '7'), translate(k, '9', '7')))) > 0),
-al AS (SELECT * FROM good UNION ALL SELECT * FROM ad),
-o AS (SELECT *, row_number() OVER (PARTITION BY recording_id, rule_id ORDER BY timestamp_ms, seq) AS rn FROM al),
-cl AS (SELECT recording_id, rule_id, rn, timestamp_ms AS anchor, confidence AS a_conf, seq AS kept, 0 AS cluster_idx FROM o WHERE rn = 1
-  UNION ALL SELECT o.recording_id, o.rule_id, o.rn,
-    CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN cl.anchor ELSE o.timestamp_ms END,
-    CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN cl.a_conf ELSE o.confidence END,
-    CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN CASE WHEN o.confidence > cl.a_conf THEN o.seq ELSE cl.kept END ELSE o.seq END,
-    CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN cl.cluster_idx ELSE cl.cluster_idx + 1 END
-  FROM cl JOIN o ON o.recording_id = cl.recording_id AND o.rule_id = cl.rule_id AND o.rn = cl.rn + 1),
-kp AS (SELECT recording_id, rule_id, cluster_idx, arg_max(kept, rn) AS seq FROM cl GROUP BY ALL),
-si AS (SELECT al.* FROM al SEMI JOIN kp ON kp.recording_id = al.recording_id AND kp.seq = al.seq),
-ne AS (SELECT s.recording_id, s.seq, o.text, row_number() OVER (PARTITION BY s.recording_id, s.seq ORDER BY abs(o.timestamp_ms - s.timestamp_ms), o.seq) AS r
-  FROM si s JOIN v_ocr o ON o.recording_id = s.recording_id AND abs(o.timestamp_ms - s.timestamp_ms) <= 43200000 WHERE s.source = 'transcript' AND s.evidence_text IS NULL),
-v_chain AS (SELECT s.recording_id, s.seq, s.rule_id, s.timestamp_ms, s.confidence, s.severity, s.source, coalesce(ne.text, s.evidence_text) AS evidence_text
-  FROM si s LEFT JOIN ne ON ne.recording_id = s.recording_id AND ne.seq = s.seq AND ne.r = 1)"""
+al AS (SELECT * FROM good UNION ALL SELECT * FROM ad),""" + DEDUP.format(window=604800000, margin=43200000)
 
 
 def _chain(spark, folder):
@@ -231,65 +251,99 @@ def _chain(spark, folder):
     found = found.select(
         *found.columns, F.lit("").alias("timestamp"), F.lit("").alias("speaker"), none.alias("rule_ref"), none.alias("reasoning")
     )
-    texts = ordered.joined_text(
-        v.table(spark, folder, "events").withColumnRenamed("user_id", "recording_id"),
-        ["recording_id"], "event_id", F.col("props"), " ", "text", v.SLICE,
-    ).withColumn("sheet_id", F.lit(1).cast("long"))
+    events = v.table(spark, folder, "events").withColumnRenamed("user_id", "recording_id")
+    texts = ordered.joined_text(events, ["recording_id"], "event_id", F.col("props"), " ", "text", v.SLICE)
     limits = audit.AuditLimits(confidence=0.1, dedup_window_ms=fi.WEEK, evidence_margin_ms=43_200_000)
-    return audit.filtered(found, fi.exact_table(spark, folder), texts, v.ocr(spark, folder), fi.SOUNDS, limits)
+    return audit.filtered(
+        found, fi.exact_table(spark, folder), texts, fi.two_sheets(events), v.ocr(spark, folder), fi.SOUNDS, limits
+    )
 
 
-@check("m6_filter_chain", "WITH RECURSIVE " + CHAIN + " SELECT * FROM v_chain")
+@check(
+    "m6_filter_chain",
+    "WITH RECURSIVE " + CHAIN + " SELECT recording_id, sheet_id, seq, rule_id, timestamp_ms, confidence, severity, source, evidence_text FROM v_chain",
+)
 def filter_chain(spark, folder):
     return _chain(spark, folder).select(
-        "recording_id", "seq", "rule_id", "timestamp_ms", "confidence", "severity", "source", "evidence_text"
+        "recording_id", "sheet_id", "seq", "rule_id", "timestamp_ms", "confidence", "severity", "source", "evidence_text"
     )
 
 
 @check(
     "m6_audit_reports",
     "WITH RECURSIVE " + CHAIN + """,
-rc AS (SELECT DISTINCT user_id AS recording_id FROM events),
-ct AS (SELECT recording_id, count(*) AS n, count(*) FILTER (severity='high') AS h, count(*) FILTER (severity='medium') AS m, count(*) FILTER (severity='low') AS l,
-  sum(CASE severity WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END) AS lost, count(*) FILTER (source='ocr') AS n_ocr FROM v_chain GROUP BY 1),
+ct AS (SELECT recording_id, sheet_id, count(*) AS n, count(*) FILTER (severity='high') AS h, count(*) FILTER (severity='medium') AS m, count(*) FILTER (severity='low') AS l,
+  sum(CASE severity WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END) AS lost, count(*) FILTER (source='ocr') AS n_ocr FROM v_chain GROUP BY 1, 2),
+ru AS (SELECT sheet_id, count(DISTINCT rule_id) AS total_rules FROM v_violations GROUP BY 1),
 ev AS (SELECT user_id AS recording_id, count(*) AS n_entries FROM events GROUP BY 1)
-SELECT rc.recording_id, 5 AS total_rules, n_entries AS total_segments_checked, greatest(round(100.0 - coalesce(lost, 0), 1), 0)::DOUBLE AS compliance_score,
+SELECT sh.recording_id, CAST(sh.sheet_id AS BIGINT) AS sheet_id, coalesce(total_rules, 0) AS total_rules, n_entries AS total_segments_checked, greatest(round(100.0 - coalesce(lost, 0), 1), 0)::DOUBLE AS compliance_score,
   CASE WHEN n IS NULL THEN '审核完成，未发现违规内容。' ELSE concat('发现 ', n, ' 条违规（高风险 ', h, ' 条，中风险 ', m, ' 条，低风险 ', l, ' 条）。') END AS summary,
-  coalesce(n_ocr, 0) AS n_ocr FROM rc LEFT JOIN ct USING (recording_id) LEFT JOIN ev USING (recording_id)""",
+  coalesce(n_ocr, 0) AS n_ocr FROM sh LEFT JOIN ct ON ct.recording_id = sh.recording_id AND ct.sheet_id = sh.sheet_id
+  LEFT JOIN ru ON ru.sheet_id = sh.sheet_id LEFT JOIN ev ON ev.recording_id = sh.recording_id""",
 )
 def audit_reports(spark, folder):
     events = v.timeline(spark, folder).select("recording_id")
-    sheets = events.distinct().withColumn("sheet_id", F.lit(1).cast("long"))
-    rows = audit.reports(sheets, events, fi.exact_table(spark, folder), _chain(spark, folder))
+    rows = audit.reports(fi.two_sheets(events), events, fi.exact_table(spark, folder), _chain(spark, folder))
     return rows.select(
-        "recording_id", "total_rules", "total_segments_checked", "compliance_score", "summary",
+        "recording_id", "sheet_id", "total_rules", "total_segments_checked", "compliance_score", "summary",
         F.coalesce(F.try_element_at("source_counts", F.lit("ocr")), F.lit(0)).alias("n_ocr"),
     )
 
 
 def _audit_model(prompt: str) -> str:
-    """Reports the first rule for every transcript line that is a question or shouts EN."""
+    """Reports one of three rules for every line of the transcript that shouts EN."""
     if len(prompt) % 11 == 0:
         return "sorry"
     found = []
     for line in prompt.split("\n"):
         if line.startswith("[") and "]: " in line and "EN" in line:
             found.append({
-                "rule_id": 1, "timestamp": line[1:6], "severity": "HIGH", "confidence": "0.9",
+                "rule_id": (0, 1, 5)[len(line) % 3], "timestamp": line[1:6], "severity": "HIGH", "confidence": "0.9",
                 "original_text": line.split("]: ", 1)[1][:40], "reason": "EN", "speaker": None,
             })
     return "<think>hm</think>```json\n" + json.dumps({"violations": found}) + "\n```"
 
 
-@check("m6_compliance_audit")
+@check(
+    "m6_compliance_audit",
+    "WITH RECURSIVE " + v.ENTRIES + "," + EVERY_ENTRY + """,
+p AS (SELECT recording_id, seq, length(text_corrected) AS chars, 0 AS chunk_idx FROM v_every WHERE seq = 0
+  UNION ALL SELECT e.recording_id, e.seq, CASE WHEN p.chars + length(e.text_corrected) > 900 THEN length(e.text_corrected) ELSE p.chars + length(e.text_corrected) END,
+    CASE WHEN p.chars + length(e.text_corrected) > 900 THEN p.chunk_idx + 1 ELSE p.chunk_idx END
+  FROM p JOIN v_every e ON e.recording_id = p.recording_id AND e.seq = p.seq + 1),
+v_chunked AS (SELECT e.* EXCLUDE (chunk_idx), p.chunk_idx FROM v_every e JOIN p USING (recording_id, seq)),""" + PROMPTS + r""",
+asked AS (SELECT *, chr(10) || chr(10) || 'The last answer could not be read. Answer with the JSON array alone, without any other text.' AS again FROM v_prompts),
+lines AS (SELECT recording_id, sheet_id, chunk_idx, group_name, list_filter(string_split(prompt, chr(10)), lambda l: l[1] = '[' AND contains(l, ']: ') AND contains(l, 'EN')) AS l
+  FROM asked WHERE length(prompt)%11 <> 0 OR length(prompt || again)%11 <> 0),
+said AS (SELECT recording_id, sheet_id, chunk_idx, group_name, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS place FROM lines),
+found AS (SELECT s.*, substring(line, 2, 5) AS "timestamp", substring(line, strpos(line, ']: ') + 3, 40) AS original_text, [0, 1, 5][length(line)%3 + 1] AS rule_id FROM said s),
+first AS (SELECT recording_id, chunk_idx, "timestamp", arg_min({'t': timestamp_ms, 'e': end_ms}, seq) AS hit FROM v_chunked GROUP BY ALL),
+timed AS (SELECT f.recording_id, f.sheet_id, CASE group_name WHEN 'transcript' THEN 0 WHEN 'ocr' THEN 1 ELSE 2 END * 72057594037927936 + chunk_idx * 16777216 + place AS seq, rule_id, original_text,
+  coalesce(hit.t, CASE WHEN regexp_full_match("timestamp", '[0-9]+:[0-9]+') THEN (CAST(split_part("timestamp", ':', 1) AS BIGINT) * 60 + CAST(split_part("timestamp", ':', 2) AS BIGINT)) * 1000 ELSE 0 END) AS timestamp_ms,
+  hit.e AS e FROM found f LEFT JOIN first USING (recording_id, chunk_idx, "timestamp")),
+v_exact AS (SELECT item_id%2 AS sheet_id, item_id AS rule_id, substring(text, 2, 3) AS keyword FROM benchmark WHERE item_id%5=0),
+good AS (SELECT t.recording_id, t.sheet_id, t.seq, t.rule_id, t.timestamp_ms, CASE WHEN coalesce(e, 0) = 0 THEN t.timestamp_ms ELSE e END AS end_ms, t.original_text, CAST(0.9 AS DOUBLE) AS confidence
+  FROM timed t LEFT JOIN v_exact x ON x.sheet_id = t.sheet_id AND x.rule_id = t.rule_id WHERE x.rule_id IS NULL OR contains(t.original_text, x.keyword)),
+tx AS (SELECT recording_id, string_agg(text_corrected, ' ' ORDER BY seq) AS text FROM v_every GROUP BY 1),
+ad AS (SELECT recording_id, sheet_id, 1152921504606846976 + rule_id AS seq, rule_id, 0 AS timestamp_ms, 0 AS end_ms,
+    substring(text, greatest(strpos(text, keyword) - 80, 1), strpos(text, keyword) + 80 - greatest(strpos(text, keyword) - 80, 1)) AS original_text, CAST(1.0 AS DOUBLE) AS confidence
+  FROM tx JOIN v_sheets USING (recording_id) JOIN v_exact USING (sheet_id) WHERE contains(text, keyword)
+  AND NOT EXISTS (SELECT 1 FROM good g WHERE g.recording_id = tx.recording_id AND g.sheet_id = v_exact.sheet_id AND g.rule_id = v_exact.rule_id)),
+al AS (SELECT *, 'high' AS severity, 'transcript' AS source, NULL AS evidence_text FROM (SELECT * FROM good UNION ALL SELECT * FROM ad)),
+v_ocr AS (SELECT recording_id, seq, timestamp_ms + 700 AS timestamp_ms, text FROM v_every WHERE recording_id >= 0),""" + DEDUP.format(window=30000, margin=10000) + """
+SELECT recording_id, sheet_id, CAST(seq AS BIGINT) AS seq, CAST(rule_id AS BIGINT) AS rule_id, CAST(timestamp_ms AS BIGINT) AS timestamp_ms, CAST(end_ms AS BIGINT) AS end_ms,
+  severity, confidence, original_text, evidence_text FROM v_chain""",
+)
 def compliance_audit(spark, folder):
     n = v.SLICE
-    e = v.entries(spark, folder, n).drop("chunk_idx")
+    e = _every_entry(v.entries(spark, folder, n)).drop("chunk_idx")
     limits = audit.AuditLimits(chunk_chars=900, slice_rows=n, ocr_margin_ms=500)
     kept, _ = audit.audit(
-        e, _sheets(spark, folder), _rules(spark, folder), _examples(spark, folder), _screens(e), _audit_model, limits=limits
+        e, _sheets(e), _rules(spark, folder), _examples(spark, folder), _screens(e), _audit_model, limits=limits
+    )
+    return kept.select(
+        "recording_id", "sheet_id", "seq", "rule_id", "timestamp_ms", "end_ms", "severity", "confidence", "original_text", "evidence_text"
     )
-    return kept.select("recording_id", "seq", "rule_id", "timestamp_ms", "end_ms", "severity", "confidence", "evidence_text")
 
 
 PLAIN = r"regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^\s*(?:the\s+)+', '', 'i'), '^\s+|\s+$', '', 'g')"

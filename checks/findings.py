@@ -102,20 +102,20 @@ def summaries(spark, folder):
 
 
 CLUSTERED = v.VIOLATIONS + """,
-o AS (SELECT *, row_number() OVER (PARTITION BY recording_id, rule_id ORDER BY timestamp_ms, seq) AS rn FROM v_violations),
-cl AS (SELECT recording_id, rule_id, rn, timestamp_ms AS anchor, confidence AS a_conf, seq AS kept, 0 AS cluster_idx FROM o WHERE rn = 1
-  UNION ALL SELECT o.recording_id, o.rule_id, o.rn,
+o AS (SELECT *, row_number() OVER (PARTITION BY recording_id, sheet_id, rule_id ORDER BY timestamp_ms, seq) AS rn FROM v_violations),
+cl AS (SELECT recording_id, sheet_id, rule_id, rn, timestamp_ms AS anchor, confidence AS a_conf, seq AS kept, 0 AS cluster_idx FROM o WHERE rn = 1
+  UNION ALL SELECT o.recording_id, o.sheet_id, o.rule_id, o.rn,
     CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN cl.anchor ELSE o.timestamp_ms END,
     CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN cl.a_conf ELSE o.confidence END,
     CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN CASE WHEN o.confidence > cl.a_conf THEN o.seq ELSE cl.kept END ELSE o.seq END,
     CASE WHEN o.timestamp_ms - cl.anchor < 604800000 THEN cl.cluster_idx ELSE cl.cluster_idx + 1 END
-  FROM cl JOIN o ON o.recording_id = cl.recording_id AND o.rule_id = cl.rule_id AND o.rn = cl.rn + 1)"""
+  FROM cl JOIN o ON o.recording_id = cl.recording_id AND o.sheet_id = cl.sheet_id AND o.rule_id = cl.rule_id AND o.rn = cl.rn + 1)"""
 
 
 @check(
     "w5_anchored_dedup",
     "WITH RECURSIVE " + CLUSTERED + """,
-k AS (SELECT recording_id, rule_id, cluster_idx, arg_max(kept, rn) AS seq FROM cl GROUP BY ALL)
+k AS (SELECT recording_id, sheet_id, rule_id, cluster_idx, arg_max(kept, rn) AS seq FROM cl GROUP BY ALL)
 SELECT v.recording_id, v.rule_id, v.seq, v.timestamp_ms, v.confidence FROM v_violations v SEMI JOIN k ON k.recording_id = v.recording_id AND k.seq = v.seq""",
 )
 def dedup(spark, folder):
@@ -128,7 +128,7 @@ def dedup(spark, folder):
 @check(
     "w5_dedup_by_confidence",
     "WITH RECURSIVE " + CLUSTERED + """,
-k AS (SELECT o.recording_id, o.rule_id, cluster_idx, arg_min(o.seq, (-o.confidence, o.rn)) AS seq FROM cl JOIN o USING (recording_id, rule_id, rn) GROUP BY ALL)
+k AS (SELECT o.recording_id, o.sheet_id, o.rule_id, cluster_idx, arg_min(o.seq, (-o.confidence, o.rn)) AS seq FROM cl JOIN o USING (recording_id, sheet_id, rule_id, rn) GROUP BY ALL)
 SELECT recording_id, rule_id, seq FROM k""",
 )
 def dedup_by_confidence(spark, folder):
@@ -165,8 +165,17 @@ def exact_table(spark, folder):
 
 
 EXACT = """
-xr AS (SELECT rule_id, max(rule_content) AS content, max(original_text) AS kw FROM v_violations GROUP BY rule_id),
-v_exact AS (SELECT rule_id, content, [substring(kw, 2, 6), '1}', '7'] AS keywords FROM xr WHERE rule_id <= 2)"""
+xr AS (SELECT sheet_id, rule_id, max(rule_content) AS content, max(original_text) AS kw FROM v_violations GROUP BY sheet_id, rule_id),
+v_exact AS (SELECT sheet_id, rule_id, content, [substring(kw, 2, 6), '1}', '7'] AS keywords FROM xr WHERE rule_id <= 2)"""
+
+
+def two_sheets(recordings):
+    """(recording_id, sheet_id): sheet 1, and sheet 2 too for every third recording."""
+    one, two = (F.lit(k).cast("long") for k in (1, 2))
+    listed = F.when(F.col("recording_id") % 3 == 0, F.array(one, two)).otherwise(F.array(one))
+    return recordings.select("recording_id").distinct().select("recording_id", F.explode(listed).alias("sheet_id"))
+
+
 # heard alike: 7 and 9
 SOUNDS = {"9": "7", "7": "7"}
 
@@ -174,7 +183,7 @@ SOUNDS = {"9": "7", "7": "7"}
 @check(
     "j7_exact_rule_verification",
     "WITH " + v.VIOLATIONS + "," + EXACT + """
-SELECT v.recording_id, v.seq FROM v_violations v LEFT JOIN v_exact x ON x.rule_id = v.rule_id
+SELECT v.recording_id, v.seq FROM v_violations v LEFT JOIN v_exact x ON x.sheet_id = v.sheet_id AND x.rule_id = v.rule_id
 WHERE x.rule_id IS NULL OR len(list_filter(x.keywords, lambda k: contains(v.original_text, k) OR contains(translate(v.original_text, '9', '7'), translate(k, '9', '7')))) > 0""",
 )
 def verification(spark, folder):
@@ -187,21 +196,23 @@ def verification(spark, folder):
     "WITH " + v.VIOLATIONS + "," + EXACT + """,
 d AS (SELECT doc_id AS recording_id, concat(substring(text, 1, 200), '7', text) AS text FROM documents WHERE doc_id%3=0
   UNION ALL SELECT doc_id, replace(text, ',', '9') FROM documents WHERE doc_id%3=1 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id%3=2),
-p AS (SELECT recording_id, rule_id, content, keywords, text FROM d, v_exact WHERE NOT EXISTS (SELECT 1 FROM v_violations v WHERE v.recording_id = d.recording_id AND v.rule_id = v_exact.rule_id)),
+sh AS (SELECT doc_id AS recording_id, 1 AS sheet_id FROM documents UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id%3=0),
+p AS (SELECT recording_id, sheet_id, rule_id, content, keywords, text FROM d JOIN sh USING (recording_id) JOIN v_exact USING (sheet_id)
+  WHERE NOT EXISTS (SELECT 1 FROM v_violations v WHERE v.recording_id = d.recording_id AND v.sheet_id = v_exact.sheet_id AND v.rule_id = v_exact.rule_id)),
 h AS (SELECT *, list_min(list_filter(list_transform(keywords, lambda k, i: {'at': strpos(text, k), 'place': i - 1, 'word': k}), lambda s: s.at > 0)) AS hit,
   list_filter(keywords, lambda k: contains(translate(text, '9', '7'), translate(k, '9', '7')))[1] AS heard FROM p)
-SELECT recording_id, rule_id, content AS rule_content, CASE WHEN hit IS NOT NULL THEN concat('精确匹配检测到禁止用语「', hit.word, '」') ELSE concat('拼音匹配检测到禁止用语同音字（对应「', heard, '」）') END AS reason,
+SELECT recording_id, CAST(sheet_id AS BIGINT) AS sheet_id, rule_id, content AS rule_content, CASE WHEN hit IS NOT NULL THEN concat('精确匹配检测到禁止用语「', hit.word, '」') ELSE concat('拼音匹配检测到禁止用语同音字（对应「', heard, '」）') END AS reason,
   CAST(CASE WHEN hit IS NOT NULL THEN 1.0 ELSE 0.95 END AS DOUBLE) AS confidence,
   CASE WHEN hit IS NULL THEN left(text, 80) ELSE substring(text, greatest(hit.at - 80, 1), hit.at + 80 - greatest(hit.at - 80, 1)) END AS original_text
 FROM h WHERE hit IS NOT NULL OR heard IS NOT NULL""",
 )
 def missed(spark, folder):
     texts = v.table(spark, folder, "documents").select(
-        F.col("doc_id").alias("recording_id"), F.lit(1).cast("long").alias("sheet_id"),
+        F.col("doc_id").alias("recording_id"),
         F.expr("CASE doc_id%3 WHEN 0 THEN concat(substring(text, 1, 200), '7', text) WHEN 1 THEN replace(text, ',', '9') ELSE text END").alias("text"),
     )
-    rows = violations.missed_exact(texts, v.violations(spark, folder), exact_table(spark, folder), SOUNDS)
-    return rows.select("recording_id", "rule_id", "rule_content", "reason", "confidence", "original_text")
+    rows = violations.missed_exact(texts, two_sheets(texts), v.violations(spark, folder), exact_table(spark, folder), SOUNDS)
+    return rows.select("recording_id", "sheet_id", "rule_id", "rule_content", "reason", "confidence", "original_text")
 
 
 def _updates(spark, folder):

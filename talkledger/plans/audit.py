@@ -15,6 +15,10 @@ from talkledger.operators import evidence, exchanges, ordered, rules, segments,
 from talkledger.session import cut_lineage
 
 
+#: A recording has one report for each sheet it is audited against.
+REPORT = ("recording_id", "sheet_id")
+
+
 @dataclass(frozen=True)
 class AuditLimits:
     #: Characters of a recording that are looked at; None: all.
@@ -99,42 +103,40 @@ def read_findings(responses: DataFrame, chunked: DataFrame, enriched: DataFrame)
 def filtered(
     found: DataFrame,
     enriched: DataFrame,
-    full_texts: DataFrame,
+    texts: DataFrame,
+    sheets: DataFrame,
     ocr: DataFrame,
-    sounds: Mapping[str, str] | None = None,
+    sounds: Mapping[str, str] | DataFrame | None = None,
     limits: AuditLimits = AuditLimits(),
 ) -> DataFrame:
-    """The filter chain: P8, J7, J16, W5, J4.
+    """The filter chain: P8, J7, J16, W5, J4, each within a recording and a sheet.
 
-    Every step reads the findings more than once, so they are written in between; they are
+    ``texts`` is (recording_id, text), ``sheets`` (recording_id, sheet_id). Every step reads the findings more than once, so they are written in between; they are
     few against the texts they come from.
     """
     good = cut_lineage(violations.verified(violations.confident(found, limits.confidence), enriched, sounds))
-    added = violations.missed_exact(full_texts, good, enriched, sounds)
+    added = violations.missed_exact(texts, sheets, good, enriched, sounds)
     every = cut_lineage(good.unionByName(added))
     single = cut_lineage(violations.deduplicated(every, limits.dedup_window_ms))
     return evidence.nearest_screen_text(single, ocr, limits.evidence_margin_ms)
 
 
-def full_texts(chunked: DataFrame, sheets: DataFrame, limits: AuditLimits = AuditLimits()) -> DataFrame:
+def full_texts(chunked: DataFrame, limits: AuditLimits = AuditLimits()) -> DataFrame:
     """Audited text of each recording (bounded by the character budget)."""
-    joined = ordered.joined_text(
-        chunked, ["recording_id"], "seq", F.col("text_corrected"), " ", "text", limits.slice_rows
-    )
-    return joined.join(sheets, "recording_id")
+    return ordered.joined_text(chunked, ["recording_id"], "seq", F.col("text_corrected"), " ", "text", limits.slice_rows)
 
 
 def reports(
     sheets: DataFrame, chunked: DataFrame, enriched: DataFrame, kept: DataFrame, model_text: DataFrame | None = None
 ) -> DataFrame:
-    """A1, A2, A4: one report row per audited recording."""
+    """A1, A2, A4: one report row per audited recording and sheet."""
     n_rules = enriched.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("total_rules"))
     n_entries = chunked.groupBy("recording_id").agg(F.count(F.lit(1)).alias("total_segments_checked"))
     rows = sheets.join(n_rules, "sheet_id", "left").join(n_entries, "recording_id", "left")
-    rows = violations.scores(rows, kept)
-    rows = violations.summaries(rows, kept, model_text)
+    rows = violations.scores(rows, kept, keys=REPORT)
+    rows = violations.summaries(rows, kept, model_text, REPORT)
     empty = F.create_map().cast("map<string,bigint>")
-    rows = rows.join(violations.source_counts(kept), "recording_id", "left")
+    rows = rows.join(violations.source_counts(kept, REPORT), list(REPORT), "left")
     return rows.withColumn("source_counts", F.coalesce("source_counts", empty)).fillna(
         0, ["total_rules", "total_segments_checked"]
     )
@@ -147,7 +149,7 @@ def audit(
     examples: DataFrame,
     ocr: DataFrame,
     ask: Callable[[str], str],
-    sounds: Mapping[str, str] | None = None,
+    sounds: Mapping[str, str] | DataFrame | None = None,
     words: exchanges.PromptWords = exchanges.PromptWords(),
     width: int | None = None,
     limits: AuditLimits = AuditLimits(),
@@ -171,11 +173,11 @@ def audit(
         last = asked(unread)
         answers = answers.unionByName(last.where("readable"))
     found = read_findings(answers, chunked, enriched)
-    kept = cut_lineage(filtered(found, enriched, full_texts(chunked, sheets, limits), ocr, sounds, limits))
+    kept = cut_lineage(filtered(found, enriched, full_texts(chunked, limits), sheets, ocr, sounds, limits))
     said = None
     if summarise is not None:
         line = F.format_string("- [%s] [%s] %d: %s", "timestamp", "severity", "rule_id", "reason")
-        rows = kept.groupBy("recording_id").agg(
+        rows = kept.groupBy(*REPORT).agg(
             F.array_join(
                 F.transform(
                     F.array_sort(F.collect_list(F.struct("timestamp_ms", "rule_id", "seq", line.alias("line")))),
@@ -185,6 +187,6 @@ def audit(
             ).alias("prompt")
         )
         said = cut_lineage(exchanges.call_model(rows, summarise, width=width)).select(
-            "recording_id", t.strip(r.strip_thinking(F.col("response"))).alias("text")
+            *REPORT, t.strip(r.strip_thinking(F.col("response"))).alias("text")
         )
     return kept, reports(sheets, chunked, enriched, kept, said)
