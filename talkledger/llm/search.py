@@ -28,8 +28,8 @@ from talkledger.llm.common import mixed, stored, text_bytes
 LEVELS = (1, 2, 3, 5, 9, 17)
 #: Places of a term and level, and least number of places for each term and level of a document.
 PROBES, PLACES = 3, 8
-#: Limits of a block: documents, bits, bytes of text.
-BLOCK_DOCS, BLOCK_BITS, BLOCK_BYTES = 2048, 1 << 25, 8 << 20
+#: Limits of a block: documents, bits, bytes of text and places; bytes of all blocks that a task fills at a time.
+BLOCK_DOCS, BLOCK_BITS, BLOCK_BYTES, HELD_BYTES = 1024, 1 << 24, 4 << 20, 16 << 20
 #: Text bytes whose words are held as objects at a time.
 PIECE_BYTES = 4 << 20
 #: Terms of the items that one pass over the index answers, and documents rescored at a time.
@@ -82,9 +82,9 @@ class _Block:
         at = [_places(hashes[often >= least], k, self.places).ravel() for k, least in enumerate(LEVELS)]
         self.docs.append((doc, int(often.sum())))
         self.texts.append(text)
-        self.set_places.append(np.unique(np.concatenate(at)))
+        self.set_places.append(np.unique(np.concatenate(at)).astype(np.int32))
         self.df.update(counts.keys())
-        self.bytes += len(text)
+        self.bytes += len(text) + self.set_places[-1].nbytes
 
     def full(self) -> bool:
         n = len(self.docs)
@@ -118,6 +118,7 @@ BLOCK = (
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     filling: dict[int, _Block] = {}
+    held = 0
     for batch in batches:
         for doc, raw in zip(*batch.columns):
             text = blanked(raw.as_py())
@@ -128,9 +129,13 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = sum(int((often >= least).sum()) for least in LEVELS)
             places = 1 << max(6, (keys * PLACES - 1).bit_length())
             block = filling.setdefault(places, _Block(places))
+            held -= block.bytes
             block.add(doc.as_py(), text, counts, _hashes(counts), often)
-            if block.full():
-                yield filling.pop(places).row()
+            held += block.bytes
+            if block.full() or held >= HELD_BYTES:
+                most = places if block.full() else max(filling, key=lambda p: filling[p].bytes)
+                held -= filling[most].bytes
+                yield filling.pop(most).row()
     for block in filling.values():
         yield block.row()
 
