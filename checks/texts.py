@@ -10,6 +10,7 @@ from talkledger import fixed_values as fixed
 from talkledger.functions import responses as r
 from talkledger.functions import text as t
 from talkledger.functions import times
+from talkledger.operators import matching
 
 D = "documents"
 #: A small dictionary and pronunciation map over the alphabets of the documents.
@@ -106,6 +107,72 @@ def homophones(spark, folder):
     return docs(spark, folder).select("doc_id", t.first_sounding_keyword("text", words, SOUNDS).alias("keyword"))
 
 
+#: A dictionary out of the documents: words, two-word phrases, and words that begin or end with another letter.
+DICTIONARY = r"""
+tok AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[0-9A-Za-z_]+')) AS t FROM documents),
+v_dictionary AS (SELECT DISTINCT lower(t) AS k, 1 AS n, concat('<', lower(t), '>') AS "right" FROM tok WHERE length(t) BETWEEN 6 AND 9
+  UNION SELECT DISTINCT lower(k), 3, 'PHRASE' FROM (SELECT regexp_extract(text, '[0-9A-Za-z_]+ [0-9A-Za-z_]+') AS k FROM documents WHERE doc_id%2=0) WHERE k <> ''
+  UNION SELECT DISTINCT k, 2, 'E+' FROM (SELECT unnest(regexp_extract_all(text, 'é[a-z]+')) AS k FROM documents) WHERE length(k) <= 5
+  UNION SELECT DISTINCT lower(k), 2, 'E!' FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+é')) AS k FROM documents) WHERE length(k) <= 5)"""
+
+
+def dictionary_table(spark, folder):
+    d = docs(spark, folder)
+
+    def every(pattern):
+        return d.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("wrong"))
+
+    words = every("[0-9A-Za-z_]+").where(F.length("wrong").between(6, 9)).withColumn("right", F.concat(F.lit("<"), F.lower("wrong"), F.lit(">")))
+    phrases = d.where("doc_id % 2 = 0").select(F.regexp_extract("text", "[0-9A-Za-z_]+ [0-9A-Za-z_]+", 0).alias("wrong"), F.lit("PHRASE").alias("right"))
+    begins = every("é[a-z]+").where(F.length("wrong") <= 5).withColumn("right", F.lit("E+"))
+    ends = every("[A-Za-z]+é").where(F.length("wrong") <= 5).withColumn("right", F.lit("E!"))
+    return words.unionByName(phrases).unionByName(begins).unionByName(ends).distinct()
+
+
+@check(
+    "p4_dictionary_table",
+    "WITH RECURSIVE " + DICTIONARY + r""",
+spots AS (SELECT doc_id, unnest(u) AS u0, generate_subscripts(u, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[0-9A-Za-z_]+|[^0-9A-Za-z_]') AS u FROM documents)),
+ahead AS (SELECT *, lead(u0) OVER w AS u1, lead(u0, 2) OVER w AS u2, lead(u0, 3) OVER w AS u3 FROM spots WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, i, 1 AS n, lower(u0) AS k, u0 AS last, coalesce(u1, '') AS next FROM ahead
+  UNION ALL SELECT doc_id, i, 2, lower(u0 || u1), u1, coalesce(u2, '') FROM ahead WHERE u1 IS NOT NULL
+  UNION ALL SELECT doc_id, i, 3, lower(u0 || u1 || u2), u2, coalesce(u3, '') FROM ahead WHERE u2 IS NOT NULL),
+met AS (SELECT doc_id, i, max(n) AS n, arg_max("right", n) AS "right" FROM runs JOIN v_dictionary USING (k, n)
+  WHERE regexp_matches(last, '[0-9A-Za-z_]$') OR NOT regexp_matches(next, '^[0-9A-Za-z_]') GROUP BY doc_id, i),
+gaps AS (SELECT *, i >= coalesce(max(i + n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opens FROM met),
+isles AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM gaps),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, isle ORDER BY i) AS rn FROM isles),
+walk AS (SELECT doc_id, isle, rn, i, n, "right", true AS taken, i + n AS done FROM placed WHERE rn = 1
+  UNION ALL SELECT p.doc_id, p.isle, p.rn, p.i, p.n, p."right", p.i >= w.done, CASE WHEN p.i >= w.done THEN p.i + p.n ELSE w.done END
+  FROM walk w JOIN placed p ON p.doc_id = w.doc_id AND p.isle = w.isle AND p.rn = w.rn + 1),
+shown AS (SELECT a.doc_id, a.i, CASE WHEN w.i IS NOT NULL THEN w."right" WHEN a.i < coalesce(max(w.done) OVER (PARTITION BY a.doc_id ORDER BY a.i), 0) THEN '' ELSE a.u0 END AS part
+  FROM spots a LEFT JOIN walk w ON w.doc_id = a.doc_id AND w.i = a.i AND w.taken)
+SELECT doc_id, string_agg(part, '' ORDER BY i) AS text FROM shown GROUP BY doc_id""",
+)
+def dictionary_as_table(spark, folder):
+    d = docs(spark, folder).select("doc_id", "text")
+    return matching.replace_from_table(d, ["doc_id"], dictionary_table(spark, folder))
+
+
+_ACCENTS, _BASES = "éèêëàâîïôùûüçñáíóúöäß", "eeeeaaiiouuucnaiouoas"
+
+
+@check(
+    "j8_keyword_table",
+    f"""WITH x AS (SELECT doc_id, translate(lower(text), '{_ACCENTS}', '{_BASES}') AS heard, substring(text, 5, 4) AS keyword FROM documents),
+k AS (SELECT keyword, min(heard_keyword) AS h, min(doc_id) AS place FROM (SELECT keyword, translate(lower(keyword), '{_ACCENTS}', '{_BASES}') AS heard_keyword, doc_id FROM x) WHERE keyword <> '' GROUP BY keyword)
+SELECT x.doc_id, arg_min(k.keyword, (k.place, k.keyword)) AS keyword FROM x JOIN k ON contains(x.heard, k.h) GROUP BY x.doc_id""",
+)
+def keyword_table(spark, folder):
+    d = docs(spark, folder).select("doc_id", "text")
+    letters = d.select(F.explode(F.array_distinct(F.split("text", ""))).alias("char")).where("char rlike '[A-Za-zÀ-ÿ]'").distinct()
+    # u and ü sound alike and take two letters, all others their plain letter
+    plain = F.translate(F.lower("char"), _ACCENTS, _BASES)
+    sounds = letters.withColumn("sound", F.when(plain == "u", "ue").otherwise(plain))
+    words = d.select(F.col("doc_id").alias("place"), F.substring("text", 5, 4).alias("keyword"))
+    return matching.first_keywords(d, words, ["doc_id"], "text", sounds)
+
+
 @check(
     "o5_first_keyword_match",
     """WITH x AS (SELECT doc_id, text, regexp_extract(text, 'tion|the|schl|eau') AS word FROM documents)

@@ -172,15 +172,18 @@ def replace_from_table(
     if not sizes:
         return rows.withColumn(out, F.col(text))
     live = rows.select(*keys, F.col(text).alias("_text")).where(~t.is_blank(text))
-    units = t.computed(live.select(*keys, "_text"), _u=_units("_text"))
-
-    def starting(unit: Column, i: Column) -> Column:
-        runs = [F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("_u", i + 1, F.lit(n)), "").alias("run"),
-                         F.coalesce(F.get("_u", i + n), F.lit("")).alias("next")) for n in sizes]
-        return F.filter(F.array(*runs), lambda run: run["at"] + run["size"] <= F.size("_u"))
-
-    cut = units.select(*keys, F.inline(F.flatten(F.transform("_u", starting))))
-    cut = cut.select(*keys, "at", F.col("size").alias("_size"), _folded("run").alias("_key"), "run", "next")
+    units = t.computed(live, _u=_units("_text"))
+    # every unit with those after it, as many as the longest word has and one more
+    ahead = [F.slice("_u", F.lit(k + 1), F.size("_u")).alias(f"_u{k}") for k in range(sizes[-1] + 1)]
+    spots = units.select(*keys, F.posexplode(F.arrays_zip(*ahead)).alias("at", "_s"))
+    runs = [
+        F.struct(
+            F.lit(n).alias("_size"), F.concat(*[F.col(f"_s._u{k}") for k in range(n)]).alias("run"),
+            F.coalesce(F.col(f"_s._u{n}"), F.lit("")).alias("next"),
+        )
+        for n in sizes
+    ]
+    cut = spots.select(*keys, "at", F.inline(F.array(*runs))).where(F.col("run").isNotNull()).withColumn("_key", _folded("run"))
     # a word that ends in another character may not stand before a word character
     ends_open = ~F.col("run").rlike(r"[0-9A-Za-z_]\z") & F.col("next").rlike("^[0-9A-Za-z_]")
     met = cut.where(~ends_open).join(words, ["_key", "_size"])
