@@ -13,7 +13,8 @@ from checks.sequences import LONG_RUNS, SMOOTHED, merged_sql
 from talkledger.functions import responses as r
 from talkledger.operators import exchanges, ordered
 from talkledger.plans import audit, evaluation, transcript
-from talkledger.streaming import reviews
+from talkledger.session import new_folder
+from talkledger.streaming import reviews, tokens
 
 
 @check(
@@ -385,3 +386,61 @@ def debounced(spark, folder):
     )
     placed = ordered.positions(e, ["recording_id"], "_ms", "_id", "upd_seq", n)
     return reviews.bursts(placed, 21_600_000, n)
+
+
+@check(
+    "s2_response_stream",
+    """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS request_id, event_id AS line_no, event_type, event_id%10 IN (0, 5) AS done,
+    event_id%7 > 1 AND event_id%11 <> 0 AND event_id%13 <> 0 AND event_id%17 <> 0 AS readable FROM events),
+e AS (SELECT request_id, min(line_no) AS ended FROM l WHERE done AND readable GROUP BY 1)
+SELECT request_id, string_agg(event_type, '' ORDER BY line_no) AS content, max(concat('m', event_type)) FILTER (line_no = ended) AS model,
+  max(line_no) FILTER (line_no = ended) AS eval_count, false AS timed_out
+FROM l JOIN e USING (request_id) WHERE readable AND line_no <= ended GROUP BY request_id""",
+)
+def response_stream(spark, folder):
+    """Lines that arrive in two runs of one stream; requests go on, and end, across them."""
+    e = v.table(spark, folder, "events")
+    n = F.col("event_id")
+    said = F.format_string('{"message":{"content":"%s"},"done":', "event_type")
+    line = (
+        F.when(n % 7 == 0, F.lit("  ")).when(n % 7 == 1, F.lit('{"message": ')).when(n % 11 == 0, F.lit('{"message":"no object"}'))
+        .when(n % 13 == 0, F.lit(None)).when(n % 17 == 0, F.lit("[1]"))
+        .when((n % 10).isin(0, 5), F.concat(said, F.format_string('true,"model":"m%s","eval_count":%d,"total_duration":5}', "event_type", n)))
+        .otherwise(F.concat(said, F.lit("false}")))
+    )
+    lines = e.select(F.col("user_id").cast("string").alias("request_id"), n.alias("line_no"), line.alias("line"))
+    half = (e.agg(F.max("event_id")).first()[0] or 0) // 2
+    base = new_folder(spark, "response-stream")
+    for part in (lines.where(F.col("line_no") <= half), lines.where(F.col("line_no") > half)):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{base}/in")
+        tokens.assemble_files(stream, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("request_id", "content", "model", "eval_count", "timed_out")
+
+
+@check(
+    "s1_review_table",
+    """SELECT user_id AS recording_id, event_id - event_id%3 AS seq, max(event_id) AS upd_seq, arg_max(CASE event_id%2 WHEN 0 THEN 'confirmed' ELSE 'rejected' END, event_id) AS status
+FROM events GROUP BY 1, 2""",
+)
+def review_table(spark, folder):
+    """Every event as an update, in two runs of one stream: the first lacks every eleventh, which comes late in the second."""
+    e = v.table(spark, folder, "events")
+    late = F.col("event_id") % 11 == 0
+    rows = e.select(
+        F.col("user_id").alias("recording_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("upd_seq"),
+        (F.col("event_id") - F.col("event_id") % 3).alias("seq"),
+        F.expr("CASE event_id%2 WHEN 0 THEN 'confirmed' ELSE 'rejected' END").alias("status"), late.alias("_late"),
+    )
+    base = new_folder(spark, "reviews")
+    quiet = 21_600_000 // reviews.CELL_QUIETS
+    for part in (rows.where(~F.col("_late")), rows.where("_late")):
+        part.drop("_late").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.drop("_late").schema).parquet(f"{base}/in")
+        query = reviews.write_reviews(
+            stream, f"{base}/table", f"{base}/checkpoint", lambda: spark.read.parquet(f"{base}/in"), quiet, "1 hour", availableNow=True
+        )
+        query.awaitTermination()
+    table = spark.read.parquet(f"{base}/table").drop("batch")
+    rest = reviews.missed_updates(spark.read.parquet(f"{base}/in"), table, quiet, every=True)
+    return reviews.current_reviews(table.unionByName(rest))

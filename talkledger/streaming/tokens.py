@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from talkledger.functions import responses as r
+from talkledger.functions import text as t
+
 OUTPUT = (
     "request_id string, content string, model string, total_duration bigint, eval_count bigint, "
     "timed_out boolean"
@@ -16,75 +19,116 @@ OUTPUT = (
 
 
 class ResponseAssembler(StatefulProcessor):
-    """Keeps the parts of one request until its ``done`` line, or until no line came for
-    ``timeout_ms``; parts are a list state, so a long response is appended, not rewritten."""
+    """Keeps the parts of one request until its ``done`` line, or until no line came for ``timeout_ms``.
+
+    Parts are a list state, so that a long response is appended, not rewritten. What is left of an ended
+    request is a tombstone: lines that still come are dropped, and after ``tombstone_ms`` it goes by itself.
+    Without ``timeout_ms`` there is no clock: open requests and tombstones stay in the state.
+    """
 
-    def __init__(self, timeout_ms: int) -> None:
+    def __init__(self, timeout_ms: int | None, tombstone_ms: int | None) -> None:
         self.timeout_ms = timeout_ms
+        self.tombstone_ms = tombstone_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getListState("parts", "line_no bigint, part string")
         self.timer = handle.getValueState("timer", "at bigint")
+        life = {"ttlDurationMs": self.tombstone_ms} if self.timeout_ms else {}
+        self.ended = handle.getValueState("ended", "at bigint", **life)
 
-    def _text(self) -> str:
-        return "".join(p for _, p in sorted(self.parts.get()))
-
-    def _drop(self) -> None:
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
+    def _end(self, key, now: int, model=None, duration=None, tokens=None, timed_out: bool = False) -> pd.DataFrame:
+        text = "".join(p for _, p in sorted(self.parts.get()))
         self.parts.clear()
         self.timer.clear()
+        self.ended.update((now,))
+        row = pd.DataFrame(
+            [(key[0], text, model, duration, tokens, timed_out)],
+            columns=["request_id", "content", "model", "total_duration", "eval_count", "timed_out"],
+        )
+        return row.astype({"total_duration": "Int64", "eval_count": "Int64", "model": "object"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        final, new = None, []
+        if self.ended.exists():
+            for _ in rows:
+                pass
+            return
+        now = timerValues.getCurrentProcessingTimeInMs() if self.timeout_ms else 0
+        new, final = [], None
         for pdf in rows:
-            for line_no, line in zip(pdf["line_no"], pdf["line"], strict=True):
-                try:
-                    chunk = json.loads(line)
-                except ValueError:
-                    continue
-                if not isinstance(chunk, dict):
-                    continue
-                part = (chunk.get("message") or {}).get("content")
-                if part:
-                    new.append((int(line_no), part))
-                if chunk.get("done"):
-                    final = chunk
+            done = pdf[pdf["done"]]
+            if len(done):
+                first = done.loc[done["line_no"].idxmin()]
+                if final is None or first["line_no"] < final["line_no"]:
+                    final = first
+            spoken = pdf[pdf["part"].notna()]
+            new.extend(zip(spoken["line_no"].astype("int64").tolist(), spoken["part"].tolist(), strict=True))
+        if final is not None:
+            new = [part for part in new if part[0] <= final["line_no"]]
         if new:
             self.parts.appendList(new)
-        if final is not None:
-            text = self._text()
-            self._drop()
-            yield pd.DataFrame(
-                [(key[0], text, final.get("model"), final.get("total_duration"), final.get("eval_count"), False)],
-                columns=["request_id", "content", "model", "total_duration", "eval_count", "timed_out"],
-            ).astype({"total_duration": "Int64", "eval_count": "Int64"})
-            return
         if self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
-        at = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
+        if final is not None:
+            numbers = [None if pd.isna(final[c]) else int(final[c]) for c in ("total_duration", "eval_count")]
+            yield self._end(key, now, final["model"], *numbers)
+            return
+        if self.timeout_ms:
+            at = now + self.timeout_ms
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        text = self._text()
-        self.parts.clear()
-        self.timer.clear()
-        yield pd.DataFrame(
-            [(key[0], text, None, None, None, True)],
-            columns=["request_id", "content", "model", "total_duration", "eval_count", "timed_out"],
-        ).astype({"total_duration": "Int64", "eval_count": "Int64", "model": "object"})
+        yield self._end(key, timerValues.getCurrentProcessingTimeInMs(), timed_out=True)
 
     def close(self) -> None:
         pass
 
 
-def assembled_stream(lines: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
-    """``lines`` is a stream of (request_id, line_no, line). Needs the RocksDB state store."""
-    return lines.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=ResponseAssembler(timeout_ms),
+def read_chunks(lines: DataFrame) -> DataFrame:
+    """(request_id, line_no, part, done, model, total_duration, eval_count) of token lines.
+
+    Blank, null and unreadable lines, lines that are no objects, and messages that are no objects give
+    nothing; they are told apart here, before any state, so that no line can stop a stream.
+    """
+    read = lines.where(F.col("line").isNotNull() & ~t.is_blank("line") & F.col("request_id").isNotNull())
+    read = t.computed(read.select("request_id", "line_no", "line"), _v=r.parsed(F.col("line")))
+    part = F.nullif(F.try_variant_get("_v", "$.message.content", "string"), F.lit(""))
+    rows = read.where(F.col("_v").isNotNull()).select(
+        "request_id", F.coalesce("line_no", F.lit(0).cast("long")).alias("line_no"), part.alias("part"),
+        F.coalesce(F.try_variant_get("_v", "$.done", "boolean"), F.lit(False)).alias("done"),
+        F.try_variant_get("_v", "$.model", "string").alias("model"),
+        F.try_variant_get("_v", "$.total_duration", "bigint").alias("total_duration"),
+        F.try_variant_get("_v", "$.eval_count", "bigint").alias("eval_count"),
+    )
+    return rows.where(F.col("part").isNotNull() | F.col("done"))
+
+
+def assembled_stream(lines: DataFrame, timeout_ms: int | None = 300_000, tombstone_ms: int | None = 3_600_000) -> DataFrame:
+    """``lines`` is a stream of (request_id, line_no, line). Needs the RocksDB state store.
+
+    One row per request: at its first ``done`` line with the parts up to it, or timed out with what came.
+    """
+    return read_chunks(lines).groupBy("request_id").transformWithStateInPandas(
+        statefulProcessor=ResponseAssembler(timeout_ms, tombstone_ms),
         outputStructType=OUTPUT,
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if timeout_ms else "None",
     )
+
+
+def assemble_files(lines: DataFrame, path: str, checkpoint: str) -> None:
+    """Take in all files that ``lines`` has not yet taken in, and add the ended responses to ``path``.
+
+    What is still open stays in ``checkpoint`` for the next call; a run that broke off is taken up there.
+    A run over files has an end, so nothing times out in it.
+    """
+    spark = lines.sparkSession
+    name, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, wanted)
+    try:
+        query = assembled_stream(lines, None, None).writeStream.format("parquet").outputMode("append")
+        query.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)

@@ -98,6 +98,60 @@ def test_response_stream(spark, tmp_path):
     assert (got["b"].content, got["b"].timed_out) == ("lost", True)
 
 
+def test_response_files_survive_odd_lines_and_ended_requests(spark, tmp_path):
+    schema = "request_id string, line_no long, line string"
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        tokens.assemble_files(spark.readStream.schema(schema).parquet(source), out, checkpoint)
+        return sorted(tuple(r) for r in spark.read.parquet(out).select("request_id", "content", "model", "eval_count").collect())
+
+    said = [("a", 1, '{"message":{"content":"lo"}}'), ("a", 0, '{"message":{"content":"Hel"}}'), ("a", 2, '{"message":"text"}'),
+            ("a", 3, None), ("a", None, "[]"), ("a", 4, "5"), (None, 0, '{"done":true}'), ("b", 0, '{"message":{"content":"open"}}'),
+            ("c", 0, '{"done":true,"model":"m"}'), ("c", 1, '{"message":{"content":"after its end"}}')]
+    assert run(said) == [("c", "", "m", None)]
+    more = [("a", 5, '{"message":{"content":"!"},"done":true,"eval_count":3}'), ("c", 2, '{"message":{"content":"late"},"done":true}')]
+    assert run(more) == [("a", "Hello!", None, 3), ("c", "", "m", None)]
+    assert run([("a", 6, '{"done":true}'), ("b", 1, '{"done":true,"eval_count":"x"}')]) == [("a", "Hello!", None, 3), ("b", "open", None, None), ("c", "", "m", None)]
+
+
+def test_review_table_counts_every_update_once(spark, tmp_path):
+    schema = "recording_id long, ts timestamp, upd_seq long, seq long, status string"
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = reviews.write_reviews(stream, table, str(tmp_path / "cp"), lambda: spark.read.parquet(source), 500, "1 second", availableNow=True)
+        query.awaitTermination()
+        return shown()
+
+    def shown():
+        rows = reviews.current_reviews(spark.read.parquet(table)).collect()
+        return sorted((r.recording_id, r.seq, r.upd_seq, r.status) for r in rows)
+
+    put((1, at(0), 0, 5, "confirmed"), (1, at(300), 1, 5, "rejected"), (1, at(600), 2, 6, "confirmed"), (2, at(60_000), 0, 1, "pending"))
+    first = [(1, 5, 1, "rejected"), (1, 6, 2, "confirmed")]
+    assert run() == first
+    # late by a minute: the watermark drops it, the log has it; the newest update closes the cell of recording 2
+    put((1, at(700), 3, 6, "rejected"), (2, at(120_000), 1, 2, "confirmed"))
+    second = [(1, 5, 1, "rejected"), (1, 6, 3, "rejected"), (2, 1, 0, "pending")]
+    assert run() == second
+    # a batch that runs again replaces what it wrote
+    numbers = sorted(r.batch for r in spark.read.parquet(table).select("batch").distinct().collect())
+    for number in numbers:
+        again = spark.read.parquet(table).where(f"batch = {number}").drop("batch")
+        again = spark.createDataFrame(again.collect(), again.schema)
+        reviews.review_sink(table, lambda: spark.read.parquet(source), 500)(again, number)
+        assert shown() == second
+    assert reviews.missed_updates(spark.read.parquet(source), spark.read.parquet(table), 500).count() == 0
+    left = reviews.missed_updates(spark.read.parquet(source), spark.read.parquet(table), 500, every=True).collect()
+    assert [(r.recording_id, r.seq, r.status) for r in left] == [(2, 2, "confirmed")]
+
+
 @pytest.fixture(autouse=True)
 def utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
