@@ -124,7 +124,7 @@ def best_attempt(spark, folder):
                    F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit("{")).alias("raw"))
     three = e.select(F.col("event_id").alias("request_id"), F.lit(3).alias("attempt"), F.lit("[]").alias("raw"))
     every = one.unionByName(two).unionByName(three)
-    return exchanges.best_attempts(requests, every, r.parsed(F.col("raw")).isNotNull())
+    return exchanges.best_attempts(requests, every, r.parsed(F.col("raw")).isNotNull(), 2)
 
 
 @check(
@@ -444,3 +444,23 @@ def review_table(spark, folder):
     table = spark.read.parquet(f"{base}/table").drop("batch")
     rest = reviews.missed_updates(spark.read.parquet(f"{base}/in"), table, quiet, every=True)
     return reviews.current_reviews(table.unionByName(rest))
+
+
+def _upper_batch(prompts: list[str]) -> list[str | None]:
+    return [None if len(p) % 5 == 0 else p.replace("e", "E") for p in prompts]
+
+
+def _bracketed(prompts: list[str]) -> list[str | None]:
+    return [f"[{len(p)}]" for p in prompts]
+
+
+@check(
+    "m1_logged_model_calls",
+    "SELECT doc_id, CASE WHEN length(text)%5=0 THEN concat('[', length(text), ']') ELSE replace(text, 'e', 'E') END AS response FROM documents",
+)
+def logged_calls(spark, folder):
+    """Two runs with one log: the second, with another model, asks what the first left unanswered and nothing else."""
+    d = v.table(spark, folder, "documents").select("doc_id", F.col("text").alias("prompt"))
+    log = new_folder(spark, "answers")
+    exchanges.call_model_logged(d, _upper_batch, log, delay_s=0.0)
+    return exchanges.call_model_logged(d, _bracketed, log, delay_s=0.0).select("doc_id", "response")

@@ -10,8 +10,8 @@ from checks import views as v
 from checks.joins import names
 from checks.registry import check
 from talkledger.operators import ordered, rules
-from talkledger.session import shared_folder
-from talkledger.sources import readers, writers
+from talkledger.session import new_folder, shared_folder
+from talkledger.sources import files, readers, writers
 
 
 @check(
@@ -315,3 +315,61 @@ def invalidated(spark, folder):
         .unionByName(kept.withColumn("kind", F.lit("compliance")))
         .unionByName(all_kept.withColumn("kind", F.lit("compliance after evaluation only")))
     )
+
+
+CUES = v.ENTRIES + """,
+c AS (SELECT *, row_number() OVER w AS cue, CASE WHEN end_ms <> 0 THEN end_ms ELSE coalesce(lead(timestamp_ms) OVER w, timestamp_ms + 5000) END AS e FROM v_entries WINDOW w AS (PARTITION BY recording_id ORDER BY seq))"""
+
+
+@check(
+    "snk2_written_subtitles",
+    "WITH " + CUES + """
+SELECT CAST(recording_id AS VARCHAR) AS recording_id, string_agg(concat(cue, chr(10), printf('%02d:%02d:%02d,%03d', timestamp_ms//3600000, (timestamp_ms//60000)%60, (timestamp_ms//1000)%60, timestamp_ms%1000), ' --> ',
+  printf('%02d:%02d:%02d,%03d', e//3600000, (e//60000)%60, (e//1000)%60, e%1000), chr(10), speaker, ': ', text_corrected, chr(10)), chr(10) ORDER BY cue) AS srt FROM c GROUP BY recording_id""",
+)
+def written_subtitles(spark, folder):
+    root = new_folder(spark, "subtitles")
+    files.write_subtitles(v.entries(spark, folder, v.SLICE), root)
+    return readers.artifact_files(spark, root, "subtitles.srt").select("recording_id", F.col("content").cast("string").alias("srt"))
+
+
+@check(
+    "snk1_written_transcripts",
+    "WITH " + v.ENTRIES + """ SELECT CAST(recording_id AS VARCHAR) AS recording_id, seq, "timestamp", timestamp_ms, end_ms, speaker, text, text_corrected FROM v_entries""",
+)
+def written_transcripts(spark, folder):
+    """JSON files of all recordings, half of them written twice, read back as artifacts."""
+    root = new_folder(spark, "transcripts")
+    e = v.entries(spark, folder, v.SLICE)
+    files.write_transcripts(e.where("recording_id % 2 = 0").withColumn("text", F.lit("first")), root)
+    files.write_transcripts(e, root)
+    return readers.entries_of(readers.read_artifacts(readers.artifact_files(spark, root, "transcript.json"), "transcript.json"))
+
+
+@check(
+    "src7_incremental_inventory",
+    """SELECT CAST(conv_id AS VARCHAR) AS recording_id, true AS has_transcript, conv_id%3=0 AS has_video, CAST(count(*) FILTER (conv_id%3=0) AS BIGINT) AS keyframe_count, min(CASE WHEN conv_id%3=0 THEN 'video.mp4' END) AS media_path
+FROM conversations GROUP BY conv_id""",
+)
+def incremental_inventory(spark, folder):
+    """Files that come in two steps; each run of the stream takes in the new ones alone."""
+    base = new_folder(spark, "inventory")
+    root = f"{base}/files"
+    e = v.entries(spark, folder, v.SLICE)
+    one = e.groupBy("recording_id").agg(F.lit(0).cast("long").alias("place"), F.lit("{}").alias("part"))
+    frames = e.where("recording_id % 3 = 0").select(F.format_string("%d/frames/%04d.jpg", "recording_id", "seq").alias("_to"))
+    files.write_transcripts(e, root)
+    files.write_files(one, root, "meta.json")
+    files.take_in_paths(spark, root, f"{base}/table", f"{base}/checkpoint")
+    files.write_files(one.where("recording_id % 3 = 0"), root, "video.mp4")
+    shown = frames.select(F.col("_to").alias("recording_id"), F.lit(0).alias("place"), F.lit("f").alias("part"))
+    files.write_files(shown, root, "frame")
+    files.take_in_paths(spark, root, f"{base}/table", f"{base}/checkpoint")
+    # a frame of a recording was written as a recording of its own: its name has the slashes quoted
+    table = files.taken_in(spark, f"{base}/table")
+    name = F.replace("recording_id", F.lit("%2F"), F.lit("/"))
+    moved = table.withColumn("file", F.when(F.col("file") == "frame", F.regexp_replace(name, "^[^/]*/", "")).otherwise(F.col("file")))
+    moved = moved.withColumn("recording_id", F.split_part(name, F.lit("/"), F.lit(1)))
+    metas = readers.read_artifacts(readers.artifact_files(spark, root, "meta.json"), "meta.json").where("NOT corrupt")
+    found = readers.artifact_inventory(moved, metas)
+    return found.select("recording_id", "has_transcript", "has_video", "keyframe_count", "media_path")

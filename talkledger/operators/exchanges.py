@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkledger.functions import responses as r
 from talkledger.functions import text as t
 from talkledger.functions import times
 from talkledger.operators import ordered as o
+from talkledger.session import cut_lineage
 
 
 def assembled_responses(lines: DataFrame, rows: int = o.SLICE_ROWS) -> DataFrame:
@@ -44,11 +46,14 @@ def assembled_responses(lines: DataFrame, rows: int = o.SLICE_ROWS) -> DataFrame
 
 
 def best_attempts(
-    requests: DataFrame, responses: DataFrame, readable: Column, max_attempts: int = 2
+    requests: DataFrame, responses: DataFrame, readable: Column, max_attempts: int | None = None
 ) -> DataFrame:
-    """The first readable attempt of every request; null when there is none."""
+    """The first readable attempt of every request, of the first ``max_attempts`` where given; null when
+    there is none."""
+    if max_attempts is not None:
+        responses = responses.where(F.col("attempt") <= max_attempts)
     first = (
-        responses.where((F.col("attempt") <= max_attempts) & readable)
+        responses.where(readable)
         .groupBy("request_id")
         .agg(F.min_by("raw", "attempt").alias("raw"))
     )
@@ -91,6 +96,78 @@ def call_model(
     return rows.mapInPandas(run, f"{schema}, `{out}` string" + (f", `{error}` string" if error else ""))
 
 
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    schema = "prompt_key string, response string, error string"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def call_model_logged(
+    requests: DataFrame,
+    ask: Callable[[list[str]], list[str | None]],
+    log: str,
+    prompt: str = "prompt",
+    out: str = "response",
+    error: str | None = None,
+    width: int = 16,
+    batch: int = 8,
+    per_second: float | None = None,
+    waves: int = 4,
+    retries: int = 2,
+    delay_s: float = 2.0,
+    salt: str = "",
+) -> DataFrame:
+    """M1 with a log: equal prompts are asked once, and what the log holds is not asked again.
+
+    ``log`` is an append-only table of answers by the hash of their prompt (and ``salt``, which names the
+    model and its settings). ``ask`` takes up to ``batch`` prompts and gives an answer for each, null where it
+    has none; a call that raises is repeated after a doubling pause, then its prompts count as unanswered. What
+    is missing goes out in ``waves``, each written when it ends, so that a run that breaks off loses one wave
+    at most; unanswered prompts are asked by the next run. ``width`` calls run at a time, ``per_second`` bounds
+    the calls of all together. Null prompts get null.
+    """
+    spark = requests.sparkSession
+    key = F.sha2(F.concat(F.lit(f"{salt}\n"), F.col(prompt)), 256)
+    wanted = requests.where(F.col(prompt).isNotNull()).select(key.alias("prompt_key"), F.col(prompt).alias("_p")).dropDuplicates(["prompt_key"])
+    pause = width / per_second if per_second else 0.0
+
+    def asked(texts: list[str]) -> tuple[list[str | None], str | None]:
+        reason = None
+        for attempt in range(retries + 1):
+            try:
+                said = list(ask(texts))
+                if len(said) != len(texts):
+                    raise ValueError(f"{len(said)} answers to {len(texts)} prompts")
+                return said, None
+            except Exception as e:  # the prompts stay unanswered, the job goes on
+                reason = f"{type(e).__name__}: {e}"
+                if attempt < retries:
+                    time.sleep(delay_s * 2**attempt)
+        return [None] * len(texts), reason
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                begun, rows = time.monotonic(), pdf.iloc[at : at + batch]
+                said, reason = asked(rows["_p"].tolist())
+                yield pd.DataFrame({"prompt_key": rows["prompt_key"].tolist(), "response": said, "error": [reason] * len(said)}, dtype=object)
+                time.sleep(max(0.0, pause - (time.monotonic() - begun)))
+
+    known = _log(spark, log).where(F.col("response").isNotNull())
+    open_ = cut_lineage(wanted.join(known, "prompt_key", "left_anti"))
+    for wave in range(waves):
+        rows = open_.where(F.pmod(F.xxhash64("prompt_key"), F.lit(waves)) == wave).repartition(width, "prompt_key")
+        rows.mapInPandas(run, "prompt_key string, response string, error string").write.mode("append").parquet(log)
+    answers = _log(spark, log).groupBy("prompt_key").agg(F.max("response").alias(out), F.max("error").alias("_error"))
+    joined = requests.withColumn("prompt_key", key).join(answers, "prompt_key", "left")
+    failed = F.when(F.col(out).isNull(), F.col("_error"))
+    return joined.select(*requests.columns, out, *([failed.alias(error)] if error else []))
+
+
 def audit_work(chunks: DataFrame, groups: DataFrame, ocr: DataFrame) -> DataFrame:
     """Every chunk with every rule group of its sheet; the screen-text group only for
     recordings that have screen text."""

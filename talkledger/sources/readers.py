@@ -149,15 +149,21 @@ def artifact_files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return files.select(recording_of(F.col("path"), root).alias("recording_id"), "content")
 
 
+def inside_root(path: Column, root: str) -> Column:
+    """What follows ``root`` in a path; empty where it is not below it."""
+    below = root.rstrip("/") + "/"
+    at = F.locate(below, path)
+    return F.when(at > 0, F.substring(path, at + len(below), F.length(path))).otherwise("")
+
+
 def recording_of(path: Column, root: str) -> Column:
-    inside = F.regexp_extract(path, f"{root.rstrip('/')}/(.*)", 1)
-    return F.split_part(inside, F.lit("/"), F.lit(1))
+    return F.split_part(inside_root(path, root), F.lit("/"), F.lit(1))
 
 
 def artifact_paths(spark: SparkSession, root: str) -> DataFrame:
     """(recording_id, file) of everything under ``root``; contents are not read."""
     files = read_files(spark, root).select("path")
-    inside = F.regexp_extract("path", f"{root.rstrip('/')}/(.*)", 1)
+    inside = inside_root(F.col("path"), root)
     return files.select(
         F.split_part(inside, F.lit("/"), F.lit(1)).alias("recording_id"),
         F.regexp_replace(inside, "^[^/]*/", "").alias("file"),
@@ -181,9 +187,12 @@ def media_inventory(files: DataFrame) -> DataFrame:
 def artifact_inventory(paths: DataFrame, metas: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
     """SRC7: one row per recording with a readable meta.
 
-    ``paths`` is (recording_id, file), ``metas`` the recordings whose meta could be read,
-    ``legacy`` (recording_id, path) of media kept in the old shared folder.
+    ``paths`` is (recording_id, file), or (recording_id, file, n) with frames counted before; ``metas``
+    the recordings whose meta could be read, ``legacy`` (recording_id, path) of media kept in the old
+    shared folder.
     """
+    n = F.col("n") if "n" in paths.columns else F.lit(1).cast("long")
+
     def has(name: str) -> Column:
         return F.bool_or(F.col("file") == name)
 
@@ -195,7 +204,7 @@ def artifact_inventory(paths: DataFrame, metas: DataFrame, legacy: DataFrame | N
         has("ocr_results.json").alias("has_ocr_results"),
         has("visual_events.json").alias("has_visual_events"),
         F.min(F.when(F.col("file").startswith("video."), F.col("file"))).alias("_video"),
-        F.count_if(F.col("file").startswith("frames/")).alias("keyframe_count"),
+        F.sum(F.when(F.col("file").startswith("frames/"), n)).alias("keyframe_count"),
         F.min(F.when(audio, F.col("file"))).alias("_audio"),
     )
     rows = metas.select("recording_id").distinct().join(found, "recording_id", "left")

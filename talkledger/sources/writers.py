@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +20,24 @@ def write_artifacts(df: DataFrame, path: str, run: int, recordings: DataFrame |
 
     ``recordings`` names every recording the run covered, those without a row in ``df`` as well;
     None: those with rows. One folder per run, not per recording: the number of files follows the
-    data. The manifest is written after the rows, so a run that broke off in between is not read.
+    data. Every attempt at a run writes a folder of its own, and the manifest, written after the rows,
+    names the one that counts: an attempt that broke off in between leaves what was there before.
     """
-    df.write.mode("overwrite").parquet(f"{path}/rows/run={run}")
-    covered = (df if recordings is None else recordings).select("recording_id").distinct()
-    covered.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/manifest/run={run}")
+    attempt = f"a-{uuid.uuid4().hex}"
+    rows = f"{path}/rows/run={run}/attempt={attempt}"
+    df.write.parquet(rows)
+    covered = df.sparkSession.read.schema(df.schema).parquet(rows) if recordings is None else recordings
+    manifest = covered.select("recording_id").distinct().withColumn("attempt", F.lit(attempt))
+    manifest.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/manifest/run={run}")
 
 
 def read_written(spark: SparkSession, path: str) -> DataFrame:
     """SNK1: for every recording the rows of the highest run that covered it; none where that run
     found nothing."""
-    newest = spark.read.parquet(f"{path}/manifest").groupBy("recording_id").agg(F.max("run").alias("run"))
-    return spark.read.parquet(f"{path}/rows").join(newest, ["recording_id", "run"], "left_semi").drop("run")
+    manifest = spark.read.parquet(f"{path}/manifest")
+    newest = manifest.groupBy("recording_id").agg(F.max_by(F.struct("run", "attempt"), F.col("run")).alias("_n")).select("recording_id", "_n.*")
+    rows = spark.read.parquet(f"{path}/rows").join(newest, ["recording_id", "run", "attempt"], "left_semi")
+    return rows.drop("run", "attempt")
 
 
 def invalidated(

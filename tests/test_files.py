@@ -4,9 +4,10 @@ import csv
 import io
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from talkledger.sources import readers, writers
+from talkledger.sources import files, readers, writers
 
 
 def test_rule_sheets_in_several_encodings(spark, tmp_path):
@@ -81,3 +82,56 @@ def test_media_hash(spark, tmp_path):
     got = readers.media_inventory(readers.read_files(spark, str(tmp_path))).collect()
     assert len({r.content_hash for r in got}) == 1
     assert {r.path.rsplit("/", 1)[1]: r.media_type for r in got} == {"A.MOV": "video", "b.wav": "audio"}
+
+
+def test_an_attempt_that_breaks_off_leaves_the_run_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "recording_id long, v string")
+    writers.write_artifacts(df, path, 9)
+    # rows of a second attempt at the same run, without a manifest
+    df.limit(1).withColumn("v", F.lit("half")).write.parquet(f"{path}/rows/run=9/attempt=a-broken")
+    assert {(r.recording_id, r.v) for r in writers.read_written(spark, path).collect()} == {(1, "a"), (2, "b")}
+    writers.write_artifacts(df.withColumn("v", F.lit("new")), path, 9)
+    assert {(r.recording_id, r.v) for r in writers.read_written(spark, path).collect()} == {(1, "new"), (2, "new")}
+
+
+def test_files_are_whole_or_untouched(spark, tmp_path):
+    root = str(tmp_path / "files")
+    parts = spark.createDataFrame(
+        [("a/b", 1, "two"), ("a/b", 0, "one"), ("c", 0, "x"), ("c", 1, None), (None, 0, "lost")], "recording_id string, place long, part string"
+    )
+    files.write_files(parts, root, "x.txt", "\n")
+
+    def shown():
+        return {r.recording_id: bytes(r.content).decode() for r in readers.artifact_files(spark, root, "x.txt").collect()}
+
+    assert shown() == {"a%2Fb": "one\ntwo", "c": "x\n"}
+    # a task that fails in the middle of a file: nothing of the run is seen, and no attempt stays
+    broken = spark.createDataFrame([("c", k, "ab") for k in range(3000)], "recording_id string, place long, part string")
+    broken = broken.withColumn("part", F.when(F.col("place") == 2999, F.raise_error(F.lit("broke off"))).otherwise(F.col("part")))
+    with pytest.raises(Exception, match="broke off"):
+        files.write_files(broken, root, "x.txt")
+    assert shown() == {"a%2Fb": "one\ntwo", "c": "x\n"} and not list((tmp_path / "files" / "_attempts").iterdir())
+    files.write_files(broken.where("place < 2").withColumn("part", F.lit("ab")), root, "x.txt")
+    assert shown() == {"a%2Fb": "one\ntwo", "c": "abab"}
+    files.write_files(parts.limit(0), root, "x.txt")
+
+
+def test_second_run_of_the_inventory_takes_in_new_files_alone(spark, tmp_path):
+    root, table, checkpoint = (str(tmp_path / x) for x in ("in.+", "table", "cp"))
+    parts = spark.createDataFrame([("r1", 0, "{}"), ("r2", 0, "{}")], "recording_id string, place long, part string")
+    files.write_files(parts, root, "meta.json")
+    (tmp_path / "in.+" / "r1" / "frames").mkdir()
+    for k in range(3):
+        (tmp_path / "in.+" / "r1" / "frames" / f"{k}.jpg").write_bytes(b"f")
+    files.take_in_paths(spark, root, table, checkpoint)
+    before = {tuple(r) for r in files.taken_in(spark, table).collect()}
+    assert before == {("r1", "meta.json", 1), ("r2", "meta.json", 1), ("r1", "frames/", 3)}
+    (tmp_path / "in.+" / "r1" / "frames" / "9.jpg").write_bytes(b"f")
+    files.write_files(parts.limit(1), root, "audio.wav")
+    files.take_in_paths(spark, root, table, checkpoint)
+    new = spark.read.parquet(table).where("batch = 1").drop("batch").collect()
+    assert {(r.recording_id, r.file, r.n) for r in new} == {("r1", "audio.wav", 1), ("r1", "frames/", 1)}
+    metas = readers.artifact_files(spark, root, "meta.json")
+    got = {r.recording_id: (r.keyframe_count, r.audio_path) for r in readers.artifact_inventory(files.taken_in(spark, table), metas).collect()}
+    assert got == {"r1": (4, "audio.wav"), "r2": (0, None)}
