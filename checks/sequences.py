@@ -255,26 +255,41 @@ def turns(spark, folder):
     return speakers.speaker_turns(w, v.SLICE)
 
 
+#: Windows of every document: one per line, of three voices.
+DOCUMENT_TURNS = r"""
+li AS (SELECT doc_id AS recording_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS win_idx FROM documents),
+lw AS (SELECT recording_id, win_idx, win_idx * 750 AS start_ms, win_idx * 750 + 1500 AS end_ms, length(line)%3 AS label FROM li),
+lo AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY recording_id ORDER BY win_idx) = label THEN 0 ELSE 1 END AS opens FROM lw),
+lr AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY recording_id ORDER BY win_idx) AS BIGINT) - 1 AS turn_idx FROM lo),
+v_turns AS (SELECT recording_id, turn_idx, arg_min(label, win_idx) AS speaker, min(start_ms) AS start_ms, arg_max(end_ms, win_idx) AS end_ms FROM lr GROUP BY ALL)"""
+
+
 @check(
     "w10_text_over_turns",
-    "WITH " + TURNS + """,
+    "WITH " + DOCUMENT_TURNS + """,
 b AS (SELECT recording_id, arg_min(start_ms, turn_idx) AS s, arg_max(end_ms, turn_idx) AS e, max(turn_idx) AS last_turn FROM v_turns GROUP BY 1),
 c AS (SELECT t.*, d.text, b.last_turn,
   CAST(floor(length(d.text)*(t.end_ms - t.start_ms) / greatest(b.e - b.s, 1)::DOUBLE) AS BIGINT) AS chars
   FROM v_turns t JOIN b USING (recording_id) JOIN documents d ON d.doc_id = t.recording_id),
 p AS (SELECT *, CAST(sum(chars) OVER (PARTITION BY recording_id ORDER BY turn_idx) AS BIGINT) - chars AS off FROM c),
 q AS (SELECT recording_id, turn_idx, speaker, start_ms, end_ms,
-  CASE WHEN turn_idx = last_turn THEN substring(text, off + 1) ELSE substring(text, off + 1, chars) END AS text FROM p)
-SELECT * FROM q WHERE regexp_matches(text, '\\S')""",
+  CASE WHEN turn_idx = last_turn THEN substring(text, off + 1) ELSE substring(text, off + 1, chars) END AS text FROM p),
+k AS (SELECT * FROM q WHERE regexp_matches(text, '\\S'))
+SELECT * FROM k UNION ALL SELECT doc_id, 0, 0, 0, 0, text FROM documents WHERE doc_id NOT IN (SELECT recording_id FROM k)
+UNION ALL SELECT -1 - doc_id, 0, 0, 0, 0, ' ' FROM documents WHERE doc_id%50=0""",
 )
 def text_over_turns(spark, folder):
-    docs = v.table(spark, folder, "documents").select(
-        F.col("doc_id").alias("recording_id"), "text", F.lit(0).cast("long").alias("start_ms"), F.lit(0).cast("long").alias("end_ms")
+    d = v.table(spark, folder, "documents").select(F.col("doc_id").alias("recording_id"), "text")
+    lines = d.select("recording_id", F.posexplode(F.split("text", "\n")).alias("_i", "_line"))
+    i = F.col("_i").cast("long")
+    w = lines.select(
+        "recording_id", i.alias("win_idx"), (i * 750).alias("start_ms"), (i * 750 + 1500).alias("end_ms"),
+        (F.length("_line") % 3).cast("long").alias("label"),
     )
-    w = v.windows(spark, folder)
-    docs = docs.join(w.select("recording_id").distinct(), "recording_id", "left_semi")
+    blank = d.where("recording_id % 50 = 0").select((-1 - F.col("recording_id")).alias("recording_id"), F.lit(" ").alias("text"))
+    texts = d.unionByName(blank).select("*", F.lit(0).cast("long").alias("start_ms"), F.lit(0).cast("long").alias("end_ms"))
     n = v.SLICE
-    return speakers.split_text_over_turns(speakers.speaker_turns(w, n), docs, n)
+    return speakers.split_text_over_turns(speakers.speaker_turns(w, n), texts, n)
 
 
 @check(

@@ -196,119 +196,105 @@ def within_budget(
     return summed.where(F.col("_chars") <= budget).drop("_chars")
 
 
-def corrected_fragments(
-    segments: DataFrame, corrected: str = "text_corrected", carry: Sequence[str] = ()
-) -> DataFrame:
-    """Corrected text cut at sentence marks, time shared out by length. Columns named in
-    ``carry`` come along."""
+def _running(sizes: Column) -> Column:
+    """Running sums of a short array of numbers."""
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("all"))
+
+    def add(so_far: Column, size: Column) -> Column:
+        upto = so_far["sum"] + size
+        return F.struct(upto.alias("sum"), F.concat(so_far["all"], F.array(upto)).alias("all"))
+
+    return F.aggregate(sizes, zero, add, lambda so_far: so_far["all"])
+
+
+def _with_fragments(segments: DataFrame, corrected: str) -> DataFrame:
+    """W12 in the row: ``_fragments``, an array of (fragment, start_ms, end_ms)."""
     subs, text = F.col("sub_sentences"), F.col(corrected)
     plain = F.coalesce(F.size(subs) < 1, F.lit(True)) | t.is_blank(text)
-    single = F.size(subs) == 1
-    begin = F.when(plain, 0).otherwise(subs[0]["start_ms"])
-    finish = F.when(plain, 0).otherwise(F.element_at(subs, -1)["end_ms"])
-    cut = segments.select(
-        "recording_id",
-        "seg_idx",
-        *carry,
-        begin.cast("long").alias("_from"),
-        finish.cast("long").alias("_to"),
-        F.when(plain | single, F.array(text)).otherwise(t.sentences(text)).alias("_parts"),
+    begin = F.when(plain, 0).otherwise(subs[0]["start_ms"]).cast("long")
+    finish = F.when(plain, 0).otherwise(F.element_at(subs, -1)["end_ms"]).cast("long")
+    parts = F.when(plain | (F.size(subs) == 1), F.array(text)).otherwise(t.sentences(text))
+    rows = t.computed(segments, _from=begin, _to=finish, _parts=parts)
+    chars = F.greatest(F.aggregate("_parts", F.lit(0), lambda a, p: a + F.length(p)), F.lit(1))
+    total = F.greatest(F.col("_to") - F.col("_from"), F.lit(1))
+
+    def passed(chars: Column) -> Column:
+        return _running(F.transform("_parts", lambda p: F.bround(total * (F.length(p) / chars)).cast("long")))
+
+    rows = t.computed(rows, _upto=t.let(chars, passed))
+
+    def timed(part: Column, i: Column) -> Column:
+        start = F.col("_from") + F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_upto", i - 1))
+        end = F.when(i == F.size("_parts") - 1, F.col("_to")).otherwise(F.col("_from") + F.get("_upto", i))
+        return F.struct(part.alias("fragment"), start.alias("start_ms"), end.alias("end_ms"))
+
+    return rows.withColumn("_fragments", F.transform("_parts", timed)).drop("_from", "_to", "_parts", "_upto")
+
+
+def _with_originals(segments: DataFrame) -> DataFrame:
+    """W13 in the row: ``_originals``, an array of texts."""
+    many = F.size("sub_sentences") > 1
+    rows = t.computed(
+        segments, _subs=F.when(many, F.transform("sub_sentences", lambda s: s["text"])).otherwise(F.array("text"))
     )
-    chars = F.aggregate("_parts", F.lit(0), lambda a, p: a + F.length(p))
-    cut = cut.withColumn("_chars", F.greatest(chars, F.lit(1))).withColumn("_n", F.size("_parts"))
-    rows = cut.select("*", F.posexplode("_parts").alias("pos", "fragment"))
-    share = F.bround(
-        F.greatest(F.col("_to") - F.col("_from"), F.lit(1)) * (F.length("fragment") / F.col("_chars"))
-    ).cast("long")
-    inside = Window.partitionBy("recording_id", "seg_idx").orderBy("pos")
-    passed = F.sum("_share").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_share", share).withColumn("_passed", passed)
-    return rows.select(
-        "recording_id",
-        "seg_idx",
-        *carry,
-        "pos",
-        "fragment",
-        (F.col("_from") + F.col("_passed") - F.col("_share")).alias("start_ms"),
-        F.when(F.col("pos") == F.col("_n") - 1, F.col("_to"))
-        .otherwise(F.col("_from") + F.col("_passed"))
-        .alias("end_ms"),
+    rows = t.computed(rows, _ends=_running(F.transform("_subs", lambda s: F.length(s).cast("long"))))
+    last = F.size("_subs") - 1
+
+    def off(i: Column) -> Column:
+        return F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("_ends", i - 1)).cast("int")
+
+    misses = F.transform(
+        "_subs", lambda s, i: F.when((i < last) & (F.substring(F.col("text"), off(i) + 1, F.length(s)) != s), i)
     )
+    rows = t.computed(rows, _miss=F.array_min(misses))
+
+    def cut(sub: Column, i: Column) -> Column:
+        rest = F.substring(F.col("text"), off(i) + 1, F.length("text"))
+        return F.when(i > F.col("_miss"), "").when((i == F.col("_miss")) | (i == last), rest).otherwise(sub)
+
+    return rows.withColumn("_originals", F.transform("_subs", cut)).drop("_subs", "_ends", "_miss")
+
+
+def corrected_fragments(
+    segments: DataFrame, corrected: str = "text_corrected", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Corrected text cut at sentence marks, time shared out by length. Columns named in
+    ``carry`` come along. All of it happens inside the row."""
+    rows = _with_fragments(segments, corrected).select("recording_id", "seg_idx", *carry, F.posexplode("_fragments").alias("pos", "_f"))
+    return rows.select("recording_id", "seg_idx", *carry, "pos", "_f.*")
 
 
 def original_fragments(segments: DataFrame) -> DataFrame:
     """Original text cut where the sub-sentences lie; the first sub-sentence that does
-    not fit takes all the rest."""
-    many = F.size("sub_sentences") > 1
-    rows = segments.select(
-        "recording_id",
-        "seg_idx",
-        "text",
-        F.size("sub_sentences").alias("_n"),
-        F.posexplode(
-            F.when(many, F.transform("sub_sentences", lambda s: s["text"])).otherwise(F.array("text"))
-        ).alias("pos", "_sub"),
-    )
-    inside = Window.partitionBy("recording_id", "seg_idx").orderBy("pos")
-    length = F.length("_sub")
-    rows = rows.withColumn(
-        "_off", F.sum(length).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - length
-    )
-    last = F.col("pos") >= F.col("_n") - 1
-    fits = F.substring(F.col("text"), F.col("_off") + 1, length) == F.col("_sub")
-    rows = rows.withColumn(
-        "_miss",
-        F.min(F.when(~last & ~fits, F.col("pos"))).over(
-            Window.partitionBy("recording_id", "seg_idx")
-        ),
-    )
-    rest = F.substring(F.col("text"), F.col("_off") + 1, F.length("text"))
-    return rows.select(
-        "recording_id",
-        "seg_idx",
-        "pos",
-        F.when(F.col("pos") > F.col("_miss"), "")
-        .when((F.col("pos") == F.col("_miss")) | last, rest)
-        .otherwise(F.col("_sub"))
-        .alias("original"),
-    )
+    not fit takes all the rest. All of it happens inside the row."""
+    return _with_originals(segments).select("recording_id", "seg_idx", F.posexplode("_originals").alias("pos", "original"))
 
 
 def transcript_entries(
     segments: DataFrame, corrected: str = "text_corrected", rows: int = o.SLICE_ROWS
 ) -> DataFrame:
     """Entries from merged segments and their corrected text."""
-    kept = segments.where(F.col(corrected) != "")
     many = F.size("sub_sentences") > 1
-    count = F.when(
-        many & ~t.is_blank(corrected), F.size(t.sentences(corrected))
-    ).otherwise(1)
-    kept = o.scan(kept, RECORDING, "seg_idx", {"_upto": o.running(count)}, rows)
-    kept = kept.withColumn("_seq", F.col("_upto") - count)
-    split = kept.where(many)
-    pieces = (
-        corrected_fragments(split, corrected, ("speaker", "_seq"))
-        .join(original_fragments(split), ["recording_id", "seg_idx", "pos"], "left")
-        .select(
-            "recording_id",
-            (F.col("_seq") + F.col("pos")).alias("seq"),
-            "start_ms",
-            "end_ms",
-            "speaker",
-            F.coalesce("original", "fragment").alias("text"),
-            F.col("fragment").alias("text_corrected"),
-        )
+    kept = _with_originals(_with_fragments(segments.where(F.col(corrected) != ""), corrected))
+    split = F.transform(
+        "_fragments",
+        lambda f, i: F.struct(
+            f["start_ms"].alias("start_ms"), f["end_ms"].alias("end_ms"),
+            F.coalesce(F.get("_originals", i), f["fragment"]).alias("text"), f["fragment"].alias("text_corrected"),
+        ),
     )
-    whole = kept.where(F.coalesce(~many, F.lit(True))).select(
-        "recording_id",
-        F.col("_seq").alias("seq"),
-        "start_ms",
-        "end_ms",
-        "speaker",
-        "text",
-        F.col(corrected).alias("text_corrected"),
+    whole = F.array(
+        F.struct(
+            F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"),
+            F.col("text").alias("text"), F.col(corrected).alias("text_corrected"),
+        )
     )
-    return pieces.unionByName(whole).select(
+    kept = t.computed(kept.drop("_n"), _all=F.when(many, split).otherwise(whole)).select("recording_id", "seg_idx", "speaker", "_all")
+    # the one thing that is counted across rows: how many entries come before
+    kept = o.scan(kept, RECORDING, "seg_idx", {"_upto": o.running(F.size("_all"))}, rows)
+    pieces = kept.select("recording_id", "speaker", (F.col("_upto") - F.size("_all")).alias("_seq"), F.posexplode("_all").alias("pos", "_e"))
+    pieces = pieces.select("recording_id", (F.col("_seq") + F.col("pos")).alias("seq"), "speaker", "_e.*")
+    return pieces.select(
         "recording_id",
         "seq",
         times.minutes_seconds(F.col("start_ms")).alias("timestamp"),

@@ -108,24 +108,27 @@ def split_text_over_turns(
     total = F.col("_to") - F.col("_from")
     share = (F.col("_len") * (F.col("end_ms") - F.col("start_ms"))) / F.when(total > 0, total).otherwise(1)
     sized = spanned.join(whole.select("recording_id", "_len"), "recording_id").select(
-        *turns.columns, "_last", F.floor(share).cast("long").alias("_chars")
+        *turns.columns, "_last", "_len", F.floor(share).cast("long").alias("_chars")
     )
     placed = o.scan(sized, RECORDING, "turn_idx", {"_upto": o.running(F.col("_chars"))}, rows)
     take = F.when(F.col("turn_idx") == F.col("_last"), F.col("_len")).otherwise(F.col("_chars"))
-    off = F.col("_upto") - F.col("_chars")
-    cut = (
-        placed.join(whole.select("recording_id", "text", "_len"), "recording_id")
-        .withColumn("_part", F.substring(F.col("text"), off + 1, take))
-        .where(~t.is_blank("_part"))
-        .select("recording_id", "turn_idx", F.col("speaker").cast("long").alias("speaker"), "start_ms", "end_ms", "_part")
+    turn = F.struct(
+        "turn_idx", F.col("speaker").cast("long").alias("speaker"), "start_ms", "end_ms",
+        (F.col("_upto") - F.col("_chars")).cast("int").alias("_off"), take.cast("int").alias("_take"),
+    )
+    # the places of a slice of turns meet the text as one row, and leave it as pieces
+    slices = placed.groupBy("recording_id", F.floor(F.col("turn_idx") / rows).alias("_slice")).agg(F.collect_list(turn).alias("_turns"))
+    text = F.col("text")
+    pieces = F.transform(
+        "_turns",
+        lambda x: F.struct(*[x[c].alias(c) for c in ("turn_idx", "speaker", "start_ms", "end_ms")], F.substring(text, x["_off"] + 1, x["_take"]).alias("text")),
+    )
+    cut = slices.join(whole.select("recording_id", "text"), "recording_id").select(
+        "recording_id", F.inline(F.filter(pieces, lambda x: ~t.is_blank(x["text"])))
     )
     # a recording without any piece comes back whole
-    none = F.col("_part").isNull()
-    return whole.join(cut, "recording_id", "left").select(
-        "recording_id",
-        F.coalesce("turn_idx", F.lit(0)).cast("long").alias("turn_idx"),
-        F.coalesce("speaker", F.lit(0)).cast("long").alias("speaker"),
-        F.when(none, F.col("_s")).otherwise(F.col("start_ms")).alias("start_ms"),
-        F.when(none, F.col("_e")).otherwise(F.col("end_ms")).alias("end_ms"),
-        F.coalesce("_part", "text").alias("text"),
+    alone = whole.join(cut.select("recording_id").distinct(), "recording_id", "left_anti").select(
+        "recording_id", F.lit(0).cast("long").alias("turn_idx"), F.lit(0).cast("long").alias("speaker"),
+        F.col("_s").alias("start_ms"), F.col("_e").alias("end_ms"), "text",
     )
+    return cut.withColumn("turn_idx", F.col("turn_idx").cast("long")).unionByName(alone)
