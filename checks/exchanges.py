@@ -161,6 +161,12 @@ def model_call(spark, folder):
     return exchanges.call_model(d, _upper, delay_s=0.0, error="error").select("doc_id", "response", "error")
 
 
+#: Cleaned text; what cleaning does not change keeps its blanks.
+_STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_CLEANED = rf"regexp_replace(regexp_replace({_STRIPPED}, '^\s*(?:the\s+)+', '', 'i'), '^\s+|\s+$', '', 'g')"
+PLAIN = f"CASE WHEN {_CLEANED} = {_STRIPPED} THEN text ELSE {_CLEANED} END"
+
+
 def _same(prompt: str) -> str:
     return prompt
 
@@ -169,7 +175,7 @@ def _same(prompt: str) -> str:
     "m3_transcript_correction",
     "WITH " + v.SEGMENTS + r""",
 g AS (SELECT *, max(confidence) OVER (PARTITION BY recording_id) <= 0 OR confidence < 0.95 AS needs FROM v_segments),
-n AS (SELECT recording_id, seg_idx, text, needs, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^\s*(?:the\s+)+', '', 'i'), '^\s+|\s+$', '', 'g') AS c FROM g)
+n AS (SELECT recording_id, seg_idx, text, needs, """ + PLAIN + """ AS c FROM g)
 SELECT recording_id, seg_idx, CASE WHEN needs THEN array_to_string(list_transform(regexp_extract_all(c, '(?s)[0-9A-Za-z_]+|[^0-9A-Za-z_]'), lambda x: CASE WHEN lower(x) = 'und' THEN 'u.' ELSE x END), '') ELSE text END AS text_corrected FROM n""",
 )
 def transcript_correction(spark, folder):
@@ -347,9 +353,6 @@ def compliance_audit(spark, folder):
     )
 
 
-PLAIN = r"regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^\s*(?:the\s+)+', '', 'i'), '^\s+|\s+$', '', 'g')"
-
-
 @check(
     "e1_recording_to_transcript",
     "WITH RECURSIVE " + SMOOTHED + "," + merged_sql("smoothed", 1000) + """,

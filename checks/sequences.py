@@ -9,6 +9,7 @@ from checks.registry import SQL, check
 from talkledger.functions import text as t
 from talkledger.functions import times
 from talkledger.operators import chunks, ordered, segments, speakers, visual
+from talkledger.session import cut_lineage, new_folder
 
 # --- speaker turns ---------------------------------------------------------------
 
@@ -558,6 +559,17 @@ def merge_totals(spark, folder):
     return totals({"before": s, "after": segments.merge_segments(s, 1000, n)}, "text")
 
 
+@check("a12_observed_totals", SQL["a12_merge_totals"])
+def observed_totals(spark, folder):
+    """Counted while both stages are written."""
+    from talkledger.operators.reports import StageTotals
+
+    seen, n = StageTotals(), v.SLICE
+    s = cut_lineage(seen.watch("before", v.segments(spark, folder, n), "text"))
+    seen.watch("after", segments.merge_segments(s, 1000, n), "text").write.parquet(new_folder(spark, "merged"))
+    return seen.frame(spark)
+
+
 # --- the form long recordings take: the same operators in slices of a few rows ---
 
 for _name, _query in {

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,17 +68,19 @@ def call_model(
     retries: int = 2,
     delay_s: float = 2.0,
     error: str | None = None,
+    options: Sequence[str] = (),
 ) -> DataFrame:
     """M1: call ``ask`` on every prompt, retry with a doubling pause, null after the last
     failure. ``width`` bounds the calls in flight (one per partition); ``error`` names a column
-    that says why the last call failed (null where it did not)."""
+    that says why the last call failed (null where it did not). ``options`` names columns that
+    ``ask`` gets by name beside the prompt, such as a bound of the answer's length."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
 
-    def one(text: str) -> tuple[str | None, str | None]:
+    def one(text: str, given: dict) -> tuple[str | None, str | None]:
         reason = None
         for attempt in range(retries + 1):
             try:
-                return ask(text), None
+                return ask(text, **given), None
             except Exception as e:  # the row falls back, the job goes on
                 reason = f"{type(e).__name__}: {e}"
                 if attempt < retries:
@@ -88,7 +89,8 @@ def call_model(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            said = [one(p) for p in pdf[prompt]]
+            more = pdf[list(options)].to_dict("records") if options else [{}] * len(pdf)
+            said = [one(p, given) for p, given in zip(pdf[prompt], more, strict=True)]
             columns = {out: [s[0] for s in said]} | ({error: [s[1] for s in said]} if error else {})
             yield pdf.assign(**columns)
 
@@ -96,14 +98,11 @@ def call_model(
     return rows.mapInPandas(run, f"{schema}, `{out}` string" + (f", `{error}` string" if error else ""))
 
 
+_LOG = "prompt_key string, response string, error string"
+
+
 def _log(spark: SparkSession, path: str) -> DataFrame:
-    schema = "prompt_key string, response string, error string"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(_LOG).parquet(path)
 
 
 def call_model_logged(
@@ -157,11 +156,13 @@ def call_model_logged(
                 yield pd.DataFrame({"prompt_key": rows["prompt_key"].tolist(), "response": said, "error": [reason] * len(said)}, dtype=object)
                 time.sleep(max(0.0, pause - (time.monotonic() - begun)))
 
+    # so that there is a table, however new the log is
+    spark.createDataFrame([], _LOG).coalesce(1).write.mode("append").parquet(log)
     known = _log(spark, log).where(F.col("response").isNotNull())
     open_ = cut_lineage(wanted.join(known, "prompt_key", "left_anti"))
     for wave in range(waves):
         rows = open_.where(F.pmod(F.xxhash64("prompt_key"), F.lit(waves)) == wave).repartition(width, "prompt_key")
-        rows.mapInPandas(run, "prompt_key string, response string, error string").write.mode("append").parquet(log)
+        rows.mapInPandas(run, _LOG).write.mode("append").parquet(log)
     answers = _log(spark, log).groupBy("prompt_key").agg(F.max("response").alias(out), F.max("error").alias("_error"))
     joined = requests.withColumn("prompt_key", key).join(answers, "prompt_key", "left")
     failed = F.when(F.col(out).isNull(), F.col("_error"))

@@ -90,7 +90,8 @@ def keyword_hits(
     filed = words.withColumn("_gram", F.explode(own))
     shared = filed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     files = filed.join(shared, "_gram").groupBy("keyword", "_k").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    rows = texts.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    # dealt by key once: what meets comes back to its text without another exchange of texts
+    rows = texts.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).repartition(*keys)
     rows = rows.withColumn("_heard", heard("_text", sounds))
     every = F.concat(*[_grams("_heard", n) for n in sizes])
     met = rows.select(*keys, F.explode(F.array_distinct(every)).alias("_gram")).join(files, "_gram")
@@ -171,6 +172,7 @@ def replace_from_table(
     sizes = sorted(r[0] for r in words.select("_size").distinct().collect())
     if not sizes:
         return rows.withColumn(out, F.col(text))
+    rows = rows.repartition(*keys)
     live = rows.select(*keys, F.col(text).alias("_text")).where(~t.is_blank(text))
     units = t.computed(live, _u=_units("_text"))
     # every unit with those after it, as many as the longest word has and one more

@@ -25,17 +25,19 @@ def combined_summaries(parts: DataFrame, key: str) -> DataFrame:
     return ordered.joined_text(rows, [key], "chunk_idx", F.col("_piece"), fixed.MAP_SEPARATOR, "prompt")
 
 
+#: Added to the prompt of a further attempt.
+AGAIN = "The last answer could not be read. Answer with the JSON object alone, without any other text."
+
+
 def evaluated_attempts(
-    requests: DataFrame, ask: Callable[[str], str], width: int | None = None, attempts: int = 2
+    requests: DataFrame, ask: Callable[[str], str], width: int | None = None, attempts: int = 2, again: str = AGAIN
 ) -> DataFrame:
-    """Ask again where the answer cannot be read; ``evaluation`` null if none can."""
+    """Ask again, and say why, where the answer cannot be read; ``evaluation`` null if none can."""
     done, open_ = None, requests
     for attempt in range(attempts):
-        asked = cut_lineage(
-            t.computed(
-                exchanges.call_model(open_, ask, width=width), evaluation=r.evaluation(F.col("response"))
-            )
-        )
+        worded = F.col("prompt") if attempt == 0 else F.concat_ws("\n\n", "prompt", F.lit(again))
+        answers = exchanges.call_model(open_.withColumn("_worded", worded), ask, "_worded", width=width).drop("_worded")
+        asked = cut_lineage(t.computed(answers, evaluation=r.evaluation(F.col("response"))))
         settled = asked if attempt + 1 == attempts else asked.where(F.col("evaluation").isNotNull())
         done = settled if done is None else done.unionByName(settled)
         open_ = asked.where(F.col("evaluation").isNull()).drop("response", "evaluation")

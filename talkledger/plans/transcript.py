@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 from talkledger import fixed_values as fixed
 from talkledger.functions import responses as r
 from talkledger.functions import text as t
-from talkledger.operators import chunks, exchanges, ordered, segments
+from talkledger.operators import chunks, exchanges, matching, ordered, segments
+from talkledger.operators.reports import StageTotals
 from talkledger.operators.folds import Rule, greedy_groups
 from talkledger.session import cut_lineage
 
 
-def prepared_rows(rows: DataFrame, dictionary: Mapping[str, str]) -> DataFrame:
-    """(recording_id, seg_idx, prepared) of (recording_id, seg_idx, text); null for noise."""
-    made = t.computed(rows.select("recording_id", "seg_idx", "text"), _n=t.normalise("text"))
+def prepared_rows(rows: DataFrame, dictionary: Mapping[str, str] | DataFrame) -> DataFrame:
+    """(recording_id, seg_idx, prepared) of (recording_id, seg_idx, text); null for noise.
+
+    A text that cleaning does not change keeps its blanks at both ends. ``dictionary`` is a mapping, or a
+    table (wrong, right) of any size, such as SRC4 reads.
+    """
+    made = t.computed(rows.select("recording_id", "seg_idx", "text"), _c=t.normalise("text"))
+    made = made.withColumn("_n", F.when(F.col("_c") == t.strip("text"), F.col("text")).otherwise(F.col("_c"))).drop("_c")
+    if isinstance(dictionary, DataFrame):
+        return matching.replace_from_table(made, ["recording_id", "seg_idx"], dictionary, "_n", "prepared").select(
+            "recording_id", "seg_idx", "prepared"
+        )
     return t.computed(made, prepared=t.replace_words("_n", dictionary)).select(
         "recording_id", "seg_idx", "prepared"
     )
@@ -63,23 +73,25 @@ def corrected_rows(prepared: DataFrame, responses: DataFrame) -> DataFrame:
 
 def correct_transcript(
     merged: DataFrame,
-    dictionary: Mapping[str, str],
-    ask: Callable[[str], str],
+    dictionary: Mapping[str, str] | DataFrame,
+    ask: Callable[..., str],
     threshold: float = fixed.TRUSTED_CONFIDENCE,
     width: int | None = None,
     keep_responses: bool = True,
     slice_rows: int = ordered.SLICE_ROWS,
+    with_budget: bool = False,
 ) -> DataFrame:
     """M3: P5, P3, P4, W7, M1, F9, J13. Adds ``text_corrected`` to merged segments.
 
-    Responses are written before they are read on (``keep_responses``): a lost executor
+    ``with_budget``: ``ask`` also gets ``max_tokens`` (F11), the bound of the answer's length. Responses are written before they are read on (``keep_responses``): a lost executor
     must not call the model again.
     """
     gated = segments.needs_correction(merged, threshold).where("needs_correction")
     keep = cut_lineage if keep_responses else (lambda df: df)
     prepared = keep(prepared_rows(gated, dictionary))
     batched, requests = correction_requests(prepared, slice_rows=slice_rows)
-    responses = keep(exchanges.call_model(requests, ask, width=width))
+    options = ("max_tokens",) if with_budget else ()
+    responses = keep(exchanges.call_model(requests, ask, width=width, options=options))
     return segments.overlay_corrections(merged, corrected_rows(batched, responses))
 
 
@@ -110,17 +122,22 @@ def merged_segments(raw: DataFrame, gap_ms: int = 1000, slice_rows: int = ordere
 
 def transcripts(
     raw: DataFrame,
-    dictionary: Mapping[str, str],
-    ask: Callable[[str], str],
+    dictionary: Mapping[str, str] | DataFrame,
+    ask: Callable[..., str],
     width: int | None = None,
     keep_responses: bool = True,
     slice_rows: int = ordered.SLICE_ROWS,
+    with_budget: bool = False,
+    seen: StageTotals | None = None,
 ) -> DataFrame:
-    """Raw segments to transcript entries: W4, W1, M3, W12-W14."""
+    """Raw segments to transcript entries: W4, W1, M3, W12-W14. ``seen`` counts the merged segments
+    while they are kept."""
     merged = merged_segments(raw, slice_rows=slice_rows)
+    if keep_responses and seen is not None:
+        merged = seen.watch("merged", merged, "text")
     if keep_responses:
         merged = cut_lineage(merged)
     corrected = correct_transcript(
-        merged, dictionary, ask, width=width, keep_responses=keep_responses, slice_rows=slice_rows
+        merged, dictionary, ask, width=width, keep_responses=keep_responses, slice_rows=slice_rows, with_budget=with_budget
     )
     return segments.transcript_entries(corrected, rows=slice_rows)

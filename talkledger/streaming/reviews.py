@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -136,6 +135,8 @@ def review_sink(
         # the batch as a table of its own: it is read several times, and its folder may be in what is read
         rows = cut_lineage(batch.selectExpr(*REVIEW.split(", ")))
         if log is not None:
+            # an empty batch, so that there is a table to read
+            rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch=-1")
             before = review_rows(spark, path, rows.schema).where(F.col("batch") != batch_id).select(*rows.columns)
             rows = cut_lineage(rows.unionByName(missed_updates(log(), before.unionByName(rows), quiet_ms)))
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -144,14 +145,8 @@ def review_sink(
 
 
 def review_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All rows of the review table with the batch that wrote them; none where there is no table yet."""
-    with_batch = StructType([*schema.fields, StructField("batch", LongType())])
-    try:
-        return spark.read.schema(with_batch).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], with_batch)
+    """All rows of the review table with the batch that wrote them."""
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
 
 
 def write_reviews(
