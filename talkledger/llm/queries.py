@@ -130,12 +130,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP9 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM v),
-scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM parts q JOIN parts c ON q.k = c.k AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
+parts AS (SELECT no, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM v),
+scores AS (SELECT q.no, q.vec_id AS query_id, c.no AS other, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.k = c.k AND q.no <> c.no WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
 SELECT * FROM ranked WHERE rank <= 5"""
 
 

@@ -343,12 +343,14 @@ def test_top_k(spark):
     rnd = random.Random(9)
     rows = [(k, [rnd.choice([-1.0, -0.5, 0.0, 0.25, 0.999]) for _ in range(3)]) for k in range(120)]
     bad = [(200, None), (201, []), (250, [1.0, None, 0.0]), (251, [float("nan"), 0.0, 0.0]), (252, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows + bad + rows[:3]], "vec_id long, embedding array<float>, score int")
-    whole = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows}
+    # ids that repeat, with equal and with other vectors: rows, and queries, of their own
+    rows += [rows[0], (50, [1.0, 1.0, 1.0]), (1, [9.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows + bad], "vec_id long, embedding array<float>, score int")
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows]
     want = []
-    for q in whole:
+    for a, (q, x) in enumerate(whole):
         if q % 50 == 0:
-            best = sorted((-int(whole[q] @ whole[c]), c) for c in whole if c != q)[:5]
+            best = sorted((-int(x @ y), c) for b, (c, y) in enumerate(whole) if a != b)[:5]
             want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
     for sizes in ((512, 4096), (2, 7)):
         got = topk.top_k(df, query_rows=sizes[0], candidate_rows=sizes[1]).collect()
@@ -356,6 +358,8 @@ def test_top_k(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0, 3.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk.top_k(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [9.0]), (2, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(twice, k=2).collect()] == [(0, 1, 1, 589_824), (0, 2, 2, 131_072)]
 
 
 def test_licences(spark):
