@@ -11,7 +11,7 @@ from checks import views as v
 from checks.registry import check
 from checks.sequences import LONG_RUNS, SMOOTHED, merged_sql
 from talkledger.functions import responses as r
-from talkledger.operators import exchanges, ordered
+from talkledger.operators import exchanges, ordered, violations
 from talkledger.plans import audit, evaluation, transcript
 from talkledger.session import new_folder
 from talkledger.streaming import reviews, tokens
@@ -78,7 +78,7 @@ def _screens(e):
 PROMPTS = r"""
 v_sheets AS (SELECT DISTINCT recording_id, abs(recording_id)%2 AS sheet_id FROM v_every UNION SELECT DISTINCT recording_id, 1 - abs(recording_id)%2 FROM v_every WHERE abs(recording_id)%3=0),
 gr AS (SELECT item_id%2 AS sheet_id, CASE item_id%3 WHEN 0 THEN 'transcript' WHEN 1 THEN 'ocr' ELSE 'mixed' END AS group_name,
-  string_agg(concat(item_id, '. [', CASE WHEN item_id%5=0 THEN 'exact' ELSE 'semantic' END, '] ', text, CASE WHEN item_id%4=0 THEN concat(chr(10), '   审核说明：D') ELSE '' END), chr(10) ORDER BY item_id) AS rules_text
+  string_agg(concat(item_id, '. [', CASE WHEN item_id%5=0 THEN 'exact' ELSE 'semantic' END, '] ', text, CASE WHEN item_id%4=0 THEN concat(chr(10), '  Note: D') ELSE '' END), chr(10) ORDER BY item_id) AS rules_text
   FROM benchmark GROUP BY 1, 2),
 ex AS (SELECT item_id%2 AS sheet_id, string_agg(concat('- ', text), chr(10) ORDER BY item_id) AS known
   FROM (SELECT *, row_number() OVER (PARTITION BY item_id%2 ORDER BY item_id) AS rn FROM benchmark) WHERE rn <= 5 GROUP BY 1),
@@ -201,7 +201,7 @@ def _length(chunk: str) -> str:
 
 
 def _evaluate(prompt: str) -> str:
-    title = prompt if prompt.startswith("【") else str(len(prompt))
+    title = prompt if prompt.startswith("Part 1 of ") and "n=" in prompt[:20] else str(len(prompt))
     return "thinking</think> " + json.dumps({"meta": {"title": title}, "summary": "S"})
 
 
@@ -213,7 +213,7 @@ ch AS (SELECT doc_id, 0 AS i, 0 AS start, coalesce(3001 + 3000 - nullif(strpos(r
   UNION ALL SELECT c.doc_id, c.i + 1, c.cut, CASE WHEN c.cut + 6000 >= c.n THEN c.n ELSE c.cut + coalesce(3001 + 3000 - nullif(strpos(reverse(translate(substring(d.text, c.cut + 3002, 3000), '。！？!?；;' || chr(10), '........')), '.'), 0) + 1, 6000) END, c.n
   FROM ch c JOIN d ON d.doc_id = c.doc_id WHERE c.cut < c.n),
 k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM ch)
-SELECT doc_id, string_agg(concat('【片段 ', i + 1, '/', total, '】', chr(10), 'n=', cut - start), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY i) AS title, 'S' AS summary FROM k GROUP BY doc_id
+SELECT doc_id, string_agg(concat('Part ', i + 1, ' of ', total, chr(10), 'n=', cut - start), concat(chr(10), chr(10), '* * *', chr(10), chr(10)) ORDER BY i) AS title, 'S' AS summary FROM k GROUP BY doc_id
 UNION ALL SELECT doc_id, CAST(length(text) AS VARCHAR), 'S' FROM d WHERE length(text) <= 6000""",
 )
 def text_evaluation(spark, folder):
@@ -276,6 +276,17 @@ def filter_chain(spark, folder):
     )
 
 
+@check(
+    "u1_union_of_findings",
+    "WITH RECURSIVE " + CHAIN + """
+SELECT CASE WHEN seq >= 1152921504606846976 THEN 'added' ELSE 'kept' END AS part, rule_id, count(*) AS n, CAST(sum(seq%1000003) AS BIGINT) AS checksum FROM v_chain GROUP BY ALL""",
+)
+def union_of_findings(spark, folder):
+    """Reported and added findings together, as they leave the filter chain."""
+    part = F.when(F.col("seq") >= violations.ADDED_SEQ, "added").otherwise("kept").alias("part")
+    return _chain(spark, folder).groupBy(part, "rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seq") % 1000003).alias("checksum"))
+
+
 @check(
     "m6_audit_reports",
     "WITH RECURSIVE " + CHAIN + """,

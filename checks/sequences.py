@@ -361,15 +361,17 @@ def analysis_windows(spark, folder):
 @check(
     "a7_majority_speaker",
     "WITH " + v.WINDOWS + """,
-c AS (SELECT recording_id, seg_key, label, count(*) AS n, min(win_idx) AS first_win FROM v_windows WHERE win_idx%7<>0 GROUP BY ALL),
+c AS (SELECT recording_id, seg_key, label, count(*) AS n, min(win_idx) AS first_win FROM v_windows GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY recording_id, seg_key ORDER BY n DESC, first_win) AS r FROM c)
 SELECT s.recording_id, s.seg_key, coalesce(b.label, -1) AS speaker
-FROM (SELECT DISTINCT recording_id, seg_key FROM v_windows) s LEFT JOIN b ON b.recording_id=s.recording_id AND b.seg_key=s.seg_key AND r=1""",
+FROM (SELECT DISTINCT recording_id, seg_key FROM v_windows UNION SELECT DISTINCT recording_id, -1 - seg_key FROM v_windows) s LEFT JOIN b ON b.recording_id=s.recording_id AND b.seg_key=s.seg_key AND r=1""",
 )
 def majority(spark, folder):
     w = v.windows(spark, folder)
     segs = w.select("recording_id", "seg_key").distinct()
-    return speakers.vote_speakers(segs, w.where("win_idx % 7 <> 0"), "seg_key")
+    # and segments that have no windows
+    segs = segs.unionByName(segs.withColumn("seg_key", -1 - F.col("seg_key")))
+    return speakers.vote_speakers(segs, w, "seg_key")
 
 
 # --- splitting -------------------------------------------------------------------
@@ -466,15 +468,18 @@ c AS (SELECT recording_id, seg_idx, text, length(text) AS n, 0 AS start, CASE WH
   FROM c WHERE cut < n),
 k AS (SELECT recording_id, seg_idx, start, cut, regexp_replace(substring(text, start + 1, cut - start), '^\s+|\s+$', '', 'g') AS text FROM c)
 SELECT recording_id, seg_idx, row_number() OVER (PARTITION BY recording_id, seg_idx ORDER BY start) - 1 AS part, text, CAST(start*90 AS BIGINT) AS start_ms, CAST((cut-1)*90+80 AS BIGINT) AS end_ms FROM k WHERE text <> ''
-UNION ALL SELECT recording_id, seg_idx, 0, text, 0, (length(text)-1)*90+80 FROM v_segments WHERE length(text) > 0 AND (length(text)-1)*90+80 <= 15000""",
+UNION ALL SELECT recording_id, seg_idx, 0, text, 0, (length(text)-1)*90+80 FROM v_segments WHERE length(text) > 0 AND (length(text)-1)*90+80 <= 15000
+UNION ALL SELECT recording_id, -1 - seg_idx, 0, '', 0, 0 FROM v_segments""",
 )
 def long_split(spark, folder):
     stamps = F.transform(
         F.sequence(F.lit(0), F.length("text") - 1),
         lambda i: F.struct((i * 90).cast("long").alias("start"), (i * 90 + 80).cast("long").alias("end")),
     )
-    s = v.segments(spark, folder, v.SLICE).where(F.length("text") > 0)
-    return segments.split_long_segments(s.withColumn("timestamps", stamps))
+    s = v.segments(spark, folder, v.SLICE)
+    s = s.withColumn("timestamps", F.when(F.length("text") > 0, stamps).otherwise(F.slice(stamps, 1, 0)))
+    empty = s.select("recording_id", (-1 - F.col("seg_idx")).alias("seg_idx"), F.lit("").alias("text"), F.slice("timestamps", 1, 0).alias("timestamps"))
+    return segments.split_long_segments(s.select(*empty.columns).unionByName(empty))
 
 
 CHUNKS = r"""

@@ -184,8 +184,8 @@ def restorable(spark, folder):
     "j14_task_results",
     "WITH " + PATHS + """,
 tr AS (SELECT conv_id AS recording_id, count(*) AS n_entries FROM conversations WHERE conv_id%5<>0 GROUP BY 1),
-oc AS (SELECT user_id AS recording_id, count(*) AS n FROM events WHERE event_id%2=1 AND user_id%3<>0 GROUP BY 1),
-ve AS (SELECT user_id AS recording_id, count(*) AS n FROM events WHERE event_id%9=1 GROUP BY 1)
+oc AS (SELECT user_id AS recording_id, count(*) AS n FROM events GROUP BY 1),
+ve AS (SELECT user_id AS recording_id, count(*) AS n FROM events GROUP BY 1)
 SELECT i.recording_id, n_entries, audio_path IS NOT NULL AS has_audio, has_video, keyframe_count, coalesce(oc.n, 0) AS ocr_text_count, coalesce(ve.n, 0) AS visual_event_count
 FROM v_inv i LEFT JOIN tr USING (recording_id) LEFT JOIN oc ON oc.recording_id = i.recording_id LEFT JOIN ve ON ve.recording_id = i.recording_id""",
 )
@@ -193,7 +193,7 @@ def results(spark, folder):
     read = readers.read_artifacts(_transcript_files(spark, folder), "transcript.json")
     e = v.table(spark, folder, "events").withColumnRenamed("user_id", "recording_id")
     rows = writers.task_results(
-        _inventory(spark, folder), {"transcript": read}, e.where("event_id % 2 = 1 AND recording_id % 3 <> 0"), e.where("event_id % 9 = 1")
+        _inventory(spark, folder), {"transcript": read}, e, e
     )
     n = F.size("transcript.transcript").cast("long")
     return rows.select(

@@ -11,6 +11,7 @@ from talkledger.functions import responses as r
 from talkledger.functions import text as t
 from talkledger.functions import times
 from talkledger.operators import matching
+from talkledger.plans.evaluation import MapWords
 
 D = "documents"
 #: A small dictionary and pronunciation map over the alphabets of the documents.
@@ -378,12 +379,12 @@ def budgets(spark, folder):
 
 @check(
     "f12_chunk_summaries",
-    """SELECT doc_id, CASE doc_id%3 WHEN 0 THEN left(text, 500) WHEN 1 THEN concat('（片段 ', doc_id + 1, ' 无法提取要点）') ELSE lang END AS summary FROM documents""",
+    """SELECT doc_id, CASE doc_id%3 WHEN 0 THEN left(text, 500) WHEN 1 THEN concat('(part ', doc_id + 1, ' gave no summary)') ELSE lang END AS summary FROM documents""",
 )
 def chunk_summaries(spark, folder):
     said = F.expr("CASE doc_id%3 WHEN 0 THEN NULL WHEN 1 THEN '<think>x</think> ' ELSE concat(' ', lang) END")
     return docs(spark, folder).select(
-        "doc_id", r.chunk_summary(said, F.col("text"), F.col("doc_id") + 1, fixed.MAP_EMPTY_FORMAT).alias("summary")
+        "doc_id", r.chunk_summary(said, F.col("text"), F.col("doc_id") + 1, MapWords().missing).alias("summary")
     )
 
 

@@ -133,11 +133,7 @@ MATCH_TOKENS = {
 FALLBACK_TITLE = "规则%d"
 EXAMPLE_FORMAT = "规则%d(%s...): %s"
 EXAMPLE_TITLE_CHARS = 20
-DESCRIPTION_FORMAT = "\n   审核说明：%s"
 NO_FINDING_SUMMARY = "审核完成，未发现违规内容。"
 COUNT_SUMMARY = "发现 %d 条违规（高风险 %d 条，中风险 %d 条，低风险 %d 条）。"
 EXACT_REASON = "精确匹配检测到禁止用语「%s」"
 SOUND_REASON = "拼音匹配检测到禁止用语同音字（对应「%s」）"
-MAP_SUMMARY_FORMAT = "【片段 %d/%d】\n%s"
-MAP_EMPTY_FORMAT = "（片段 %d 无法提取要点）"
-MAP_SEPARATOR = "\n\n---\n\n"

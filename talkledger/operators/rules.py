@@ -175,11 +175,15 @@ def evidence_group(sources: Column) -> Column:
 GROUP_ORDER = ("transcript", "ocr", "mixed", "all")
 
 
-def rules_text(rules: DataFrame, grouped: bool = True) -> DataFrame:
+#: Wording of a rule's description in a prompt.
+NOTE = "\n  Note: %s"
+
+
+def rules_text(rules: DataFrame, grouped: bool = True, note: str = NOTE) -> DataFrame:
     """A9, rules part, and A10: one text per (sheet, non-empty group)."""
     line = F.concat(
         F.col("rule_id").cast("string"), F.lit(". ["), F.col("check_mode"), F.lit("] "), F.col("content"),
-        F.when(F.col("description") != "", F.format_string(fixed.DESCRIPTION_FORMAT, "description")).otherwise(""),
+        F.when(F.col("description") != "", F.format_string(note, "description")).otherwise(""),
     )
     group = evidence_group(F.col("evidence_sources")) if grouped else F.lit("all")
     return (

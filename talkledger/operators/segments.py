@@ -389,6 +389,15 @@ def scored_characters(text: str | Column) -> Column:
     return F.length(F.translate(text, fixed.UNSCORED_MARKS, ""))
 
 
+def _first_at_least(values: np.ndarray, begin: int, least: int, step: int = 1024) -> int:
+    """Place of the first value of at least ``least`` from ``begin`` on, -1 without one; looks no further than it has to."""
+    for at in range(begin, len(values), step):
+        hit = values[at : at + step] >= least
+        if hit.any():
+            return at + int(hit.argmax())
+    return -1
+
+
 def _boundaries(starts: np.ndarray, ends: np.ndarray, marks: np.ndarray, max_ms: int) -> list[tuple[int, int]]:
     """(first character, its time) of every piece.
 
@@ -398,10 +407,9 @@ def _boundaries(starts: np.ndarray, ends: np.ndarray, marks: np.ndarray, max_ms:
     opened, overdue = [(0, int(starts[0]))], -1
     while True:
         place, time = opened[-1]
-        late = np.flatnonzero(ends[overdue + 1 :] >= time + max_ms)
-        if not len(late):
+        overdue = _first_at_least(ends, overdue + 1, time + max_ms)
+        if overdue < 0:
             return opened
-        overdue += 1 + int(late[0])
         mark = int(np.searchsorted(marks, overdue, "right")) - 1
         after = int(marks[mark]) + 1 if mark >= 0 and marks[mark] > place else overdue
         opened.append((after, int(starts[after]) if after < len(starts) else time))

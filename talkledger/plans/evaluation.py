@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +15,24 @@ from talkledger.operators import chunks, exchanges, ordered
 from talkledger.session import cut_lineage
 
 
-def combined_summaries(parts: DataFrame, key: str) -> DataFrame:
+@dataclass(frozen=True)
+class MapWords:
+    """Wording of the text that joins the summaries of a long text's chunks."""
+
+    piece: str = "Part %d of %d\n%s"
+    missing: str = "(part %d gave no summary)"
+    between: str = "\n\n* * *\n\n"
+
+
+def combined_summaries(parts: DataFrame, key: str, words: MapWords = MapWords()) -> DataFrame:
     """(key, chunk_idx, chunk, response) to one numbered text per key."""
     totals = parts.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
     number = F.col("chunk_idx") + 1
-    said = r.chunk_summary(F.col("response"), F.col("chunk"), number, fixed.MAP_EMPTY_FORMAT)
+    said = r.chunk_summary(F.col("response"), F.col("chunk"), number, words.missing)
     rows = parts.join(totals, key).withColumn(
-        "_piece", F.format_string(fixed.MAP_SUMMARY_FORMAT, number, "_total", said)
+        "_piece", F.format_string(words.piece, number, "_total", said)
     )
-    return ordered.joined_text(rows, [key], "chunk_idx", F.col("_piece"), fixed.MAP_SEPARATOR, "prompt")
+    return ordered.joined_text(rows, [key], "chunk_idx", F.col("_piece"), words.between, "prompt")
 
 
 #: Added to the prompt of a further attempt.
@@ -52,6 +62,7 @@ def evaluate_texts(
     max_chars: int | None = None,
     size: int = fixed.EVALUATION_CHUNK_CHARS,
     width: int | None = None,
+    words: MapWords = MapWords(),
 ) -> DataFrame:
     """M5: texts of up to ``size`` characters in one request, longer ones chunk by chunk and then as a
     whole, so ``size`` also decides which prompts a text gets. Texts are whole unless ``max_chars``
@@ -61,5 +72,5 @@ def evaluate_texts(
     short = cut.where(F.length("text") <= size).select(key, F.col("text").alias("prompt"))
     parts = chunks.chunk_texts(cut.where(F.length("text") > size), key, "text", size, 0)
     summed = cut_lineage(exchanges.call_model(parts, summarise, "chunk", width=width))
-    long = combined_summaries(summed, key).select(key, "prompt")
+    long = combined_summaries(summed, key, words).select(key, "prompt")
     return evaluated_attempts(short.unionByName(long), evaluate, width).select(key, "prompt", "evaluation")
