@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import textwrap
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +43,11 @@ SPELLINGS = {
 #: A line that only claims copyright.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*"
 CLAIMS = ("copyright", "(c)", "©", "all rights reserved")
+#: What a claim begins with in lower-case text: the word or sign, and a sign, year or placeholder after it. A
+#: sentence on copyright that a line happens to begin with is none.
+CLAIM = r"[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]|<|\[|\{)|\(c\)[ \t]*(?:copyright|[0-9])|©|all rights reserved)[^\n]*"
+CLAIM_LINE = rf"(^|\n){CLAIM}"
+CLAIM_PARAGRAPH = rf"(^\s*|\n[ \t]*\n\s*){CLAIM}(?:\n[^\n]*[^\s][^\n]*)*"
 
 #: Lines that stand over a short text whose file has none.
 TITLES = {
@@ -68,23 +72,12 @@ WORDINGS = {
 }
 #: Where the terms of a long text end and hints on its use begin.
 END = "END OF TERMS AND CONDITIONS"
-#: Line lengths at which a short text may be cut.
-WIDTHS = range(50, 121)
-
-
-def _layouts(text: str, widths: range) -> list[str]:
-    """The text as it is, with a line per paragraph, and cut at ``widths``; one of those that are left with
-    the same words, as it depends on where lines begin which of them COPYRIGHT_LINE takes away."""
-    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
-    cut = [text, "\n\n".join(paragraphs)]
-    cut += ["\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in paragraphs) for w in widths]
-    return list({" ".join(re.sub(COPYRIGHT_LINE, r"\1", c.lower()).split()): c for c in reversed(cut)}.values())
 
 
 def whole_texts() -> list[tuple[str, str]]:
     """(licence, text) of the files in ``licence_texts`` in all their forms: a file is named after its
     licence, with "@" and a word where there are several of one. Short texts come with and without titles and item
-    numbers, in their other wording and at every line length; long ones whole and up to END."""
+    numbers and in their other wording; long ones whole and up to END. How lines are cut makes no difference."""
     out = []
     for file in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
         if not file.name.endswith(".txt"):
@@ -93,10 +86,9 @@ def whole_texts() -> list[tuple[str, str]]:
         if licence in TITLES:
             bodies = [text, text.replace(*WORDINGS.get(licence, ("", "")))]
             bodies += [re.sub(r"(?m)^ *[0-9]\. ", "", b) for b in bodies]
-            forms = [f for b in dict.fromkeys(bodies) for f in _layouts(b, WIDTHS)]
-            forms += [f"{title}\n\n{f}" for title in TITLES[licence] for f in forms]
+            forms = bodies + [f"{title}\n\n{b}" for title in TITLES[licence] for b in bodies]
         else:
-            forms = [f for b in {text, text.partition(END)[0] + END if END in text else text} for f in _layouts(b, range(0))]
+            forms = [text, text.partition(END)[0] + END] if END in text else [text]
         out += [(licence, f) for f in sorted(set(forms))]
     return out
 
@@ -125,6 +117,32 @@ def canonical(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
 
 
+def _claimed(text: Column) -> Column:
+    x = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    claimed = F.contains(x, F.lit(CLAIMS[0]))
+    for claim in CLAIMS[1:]:
+        claimed = claimed | F.contains(x, F.lit(claim))
+    return claimed
+
+
+def _spelled(x: Column) -> Column:
+    x = F.regexp_replace(F.concat(F.lit(" "), x, F.lit(" ")), r"[^\p{L}\p{N}]+", "  ")
+    for old, new in SPELLINGS.items():
+        x = F.replace(x, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.trim(F.regexp_replace(x, " +", " "))
+
+
+def whole_forms(text: Column, lines: Column) -> list[Column]:
+    """Canonical text of a whole document in two forms, that differ only where it claims copyright: without
+    the lines that begin with a claim, and without the paragraphs that do. Neither depends on where the
+    lines of the terms are cut; a paragraph that holds a claim may itself be cut anywhere."""
+    plain = canonical(lines)
+    x = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "\r", "")
+    return [
+        F.when(_claimed(text), _spelled(F.regexp_replace(x, pattern, "$1"))).otherwise(plain) for pattern in (CLAIM_LINE, CLAIM_PARAGRAPH)
+    ]
+
+
 def digest(canonical_text: Column) -> Column:
     return F.sha2(canonical_text, 256)
 
@@ -134,8 +152,9 @@ def known_digests(known: DataFrame) -> DataFrame:
 
     Rows without a licence or without words in the text are left out.
     """
+    text = F.col("text")
     rows = known.select(
-        F.col("licence").cast("string").alias("licence"), canonical(canonical_lines(F.col("text"))).alias("_canonical")
+        F.col("licence").cast("string").alias("licence"), F.explode(F.array(*whole_forms(text, canonical_lines(text)))).alias("_canonical")
     )
     rows = rows.where("licence is not null and _canonical <> ''")
     return rows.groupBy(digest(F.col("_canonical")).alias("digest")).agg(F.min("licence").alias("licence"))
@@ -154,8 +173,8 @@ def published(spark: SparkSession) -> DataFrame:
 def scan(
     df: DataFrame, known: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_broadcast: int = 1_000_000
 ) -> DataFrame:
-    """One row per document: id, ``digest`` of its canonical text, ``licence`` if that whole text is a
-    known one, ``n_licence_lines`` lines whose entire canonical text is a known one, and those lines'
+    """One row per document: id, ``digest`` of its canonical text (without lines that claim copyright),
+    ``licence`` if that whole text, or the one without such paragraphs, is a known one, ``n_licence_lines`` lines whose entire canonical text is a known one, and those lines'
     licences, sorted and comma-joined, in ``line_licences`` (empty text: none).
 
     Null and empty texts have the digest of the empty text and no licence. Rows that agree in id and
@@ -166,14 +185,17 @@ def scan(
     digests = stored(known_digests(known), "licences").withColumnRenamed("digest", "_known")
     if digests.limit(most_broadcast + 1).count() <= most_broadcast:
         digests = F.broadcast(digests)
-    lines = df.select(F.col(f"`{id_column}`").alias("_id"), canonical_lines(F.col(f"`{text_column}`")).alias("_lines"))
-    own = lines.select("_id", "_lines", digest(canonical(F.col("_lines"))).alias("_digest"))
+    lines = df.select(
+        F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text_column}`").alias("_text"), canonical_lines(F.col(f"`{text_column}`")).alias("_lines")
+    )
+    by_line, by_paragraph = map(digest, whole_forms(F.col("_text"), F.col("_lines")))
+    own = lines.select("_id", "_lines", by_line.alias("_digest"), F.when(_claimed(F.col("_text")), by_paragraph).alias("_other"))
     parts = F.transform(F.split("_lines", "\n"), lambda line: digest(F.trim(line)))
-    units = own.select("_id", "_digest", F.posexplode(F.concat(F.array("_digest"), parts)).alias("_place", "_unit"))
+    units = own.select("_id", "_digest", F.posexplode(F.concat(F.array("_digest", "_other"), parts)).alias("_place", "_unit"))
     found = units.join(digests, F.col("_unit") == F.col("_known"), "left").where("_place = 0 or licence is not null")
-    whole, line = F.col("_place") == 0, F.col("_place") > 0
+    whole, line = F.col("_place") < 2, F.col("_place") > 1
     return found.groupBy(F.col("_id").alias(id_column), F.col("_digest").alias("digest")).agg(
-        F.max(F.when(whole, F.col("licence"))).alias("licence"),
+        F.min_by("licence", F.when(whole & F.col("licence").isNotNull(), F.col("_place"))).alias("licence"),
         F.count(F.when(line, F.lit(1))).alias("n_licence_lines"),
         F.array_join(F.array_sort(F.collect_set(F.when(line, F.col("licence")))), ",").alias("line_licences"),
     )

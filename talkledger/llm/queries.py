@@ -157,18 +157,27 @@ def _canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
 
 
+def _whole_sql(text: str, pattern: str) -> str:
+    x = f"regexp_replace(replace(lower(coalesce({text}, '')), chr(13), ''), {_quoted(pattern)}, '\\1', 'g')"
+    x = f"regexp_replace(' ' || {x} || ' ', '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')"
+    for old, new in licences.SPELLINGS.items():
+        x = f"replace({x}, {_quoted(f' {old} ')}, {_quoted(f' {new} ')})"
+    return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
+
+
 _ONE_LINE = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))"
 _KNOWN = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, texts in licences.NOTICES.items() for t in texts)
 OP10 = f"""
-WITH known AS (SELECT sha256({_ONE_LINE.format(_canonical_sql('text'))}) AS digest, min(licence) AS licence
-  FROM (VALUES {_KNOWN}) AS k(licence, text) GROUP BY 1),
-own AS (SELECT doc_id, {_canonical_sql('text')} AS lines FROM documents),
-whole AS (SELECT doc_id, lines, sha256({_ONE_LINE.format('lines')}) AS digest FROM own),
+WITH texts AS (SELECT * FROM (VALUES {_KNOWN}) AS k(licence, text)),
+known AS (SELECT sha256(t) AS digest, min(licence) AS licence FROM (SELECT licence, {_whole_sql('text', licences.CLAIM_LINE)} AS t FROM texts
+  UNION ALL SELECT licence, {_whole_sql('text', licences.CLAIM_PARAGRAPH)} FROM texts) WHERE t <> '' GROUP BY 1),
+whole AS (SELECT doc_id, {_canonical_sql('text')} AS lines, sha256({_whole_sql('text', licences.CLAIM_LINE)}) AS digest,
+  sha256({_whole_sql('text', licences.CLAIM_PARAGRAPH)}) AS other FROM documents),
 parts AS (SELECT doc_id, digest AS own_digest, sha256(trim(unnest(string_split(lines, chr(10))))) AS digest FROM whole),
 found AS (SELECT doc_id, own_digest, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences
   FROM parts JOIN known USING (digest) GROUP BY 1, 2)
-SELECT w.doc_id, w.digest, k.licence, coalesce(f.n, 0) AS n_licence_lines, coalesce(f.licences, '') AS line_licences
-FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN found f ON f.doc_id = w.doc_id AND f.own_digest = w.digest"""
+SELECT w.doc_id, w.digest, coalesce(k.licence, p.licence) AS licence, coalesce(f.n, 0) AS n_licence_lines, coalesce(f.licences, '') AS line_licences
+FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN known p ON p.digest = w.other LEFT JOIN found f ON f.doc_id = w.doc_id AND f.own_digest = w.digest"""
 
 
 @query("op10_licence_scan", OP10)

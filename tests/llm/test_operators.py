@@ -399,6 +399,25 @@ def test_whole_licence_texts(spark):
     assert {r.doc_id: r.licence for r in got} == want
 
 
+def test_licences_at_every_line_length(spark):
+    """Each text with its paragraphs cut anew at any width, or with the line breaks of another system."""
+    import textwrap
+    from pathlib import Path
+
+    docs, want = [], []
+    for file in sorted(Path(licences.__file__).parent.joinpath("licence_texts").glob("*.txt")):
+        text, licence = file.read_text(), file.stem.partition("@")[0]
+        paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+        forms = [text.replace("\n", "\r\n"), "\n\n".join(paragraphs)]
+        forms += ["\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in paragraphs) for w in (40, 47, 55, 66, 72, 80, 93, 120, 200)]
+        for form in forms:
+            docs.append((len(docs), form, "a"))
+            want.append(licence)
+    got = {r.doc_id: r.licence for r in licences.scan(frame(spark, docs), licences.published(spark)).collect()}
+    assert [(want[k], docs[k][1][:60]) for k in got if got[k] != want[k]] == []
+    assert sum(len(x) for x in licences.NOTICES.values()) < 150
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
