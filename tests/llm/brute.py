@@ -1,6 +1,7 @@
 """Plain versions of what the operators promise, for small tables."""
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
 
@@ -67,3 +68,76 @@ def context_tree(train, depth):
         return leaf * estimate + (1 - leaf) * one(context, node, d + 1)
 
     return lambda text: sum(math.log10(one(c, n) if bit else 1 - one(c, n)) for c, n, bit in decisions(text))
+
+
+def isotonic(places, good, n):
+    """Rising shares by the max-min formula, as (mean place, share) of every stretch of equal shares."""
+    total = [sum(g for g in good[:k]) for k in range(len(good) + 1)]
+    count = [sum(c for c in n[:k]) for k in range(len(n) + 1)]
+    share = [
+        max(min((total[j + 1] - total[i]) / (count[j + 1] - count[i]) for j in range(k, len(n))) for i in range(k + 1)) for k in range(len(n))
+    ]
+    out = []
+    for k, value in enumerate(share):
+        if out and abs(out[-1][1] - value) < 1e-12:
+            out[-1][0].append(k)
+        else:
+            out.append(([k], value))
+    return [sum(places[k] * n[k] for k in ks) / sum(n[k] for k in ks) for ks, _ in out], [v for _, v in out]
+
+
+def quality_scores(rows, labels):
+    """id -> score: cosine features, ridge over the labelled rows, isotonic over scores of other folds."""
+    import numpy as np
+
+    from talkledger.llm import quality as q
+
+    marks = defaultdict(list)
+    for i, x in labels:
+        if x in (0, 1):
+            marks[i].append(x)
+    ids = [i for i, _ in rows]
+    x = np.array([q.statistics((t or "").encode()) for _, t in rows], np.float32).astype(float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in ids])
+    n = np.array([len(marks[i]) for i in ids], float)
+    good = np.array([sum(marks[i]) for i in ids], float)
+    use = (fold > 0) & (n > 0)
+    mean, spread = x[use].mean(0), x[use].std(0)
+    rng = np.random.default_rng(q.SEED)
+    project = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], q.FEATURES))
+    shift = rng.uniform(0, 2 * np.pi, q.FEATURES)
+    z = np.sqrt(2) * np.cos(np.clip((x - mean) / np.where(spread > 1e-6, spread, 1), -5, 5) @ project + shift)
+    z = np.hstack([z, np.ones((len(z), 1))])
+
+    def fitted(chosen):
+        a = (z[chosen] * n[chosen, None]).T @ z[chosen]
+        shrink = np.eye(len(a)) * q.RIDGE * max(1.0, n[chosen].sum())
+        shrink[-1, -1] = 1e-9
+        return np.linalg.solve(a + shrink, z[chosen].T @ good[chosen])
+
+    raw = z @ fitted(use)
+    other = np.zeros(len(x))
+    for f in set(fold[use].tolist()):
+        other[fold == f] = z[fold == f] @ fitted(use & (fold != f))
+    bins = (np.clip((other + 0.5) / 2, 0, 1) * q.BINS).astype(int)
+    seen = sorted(set(bins[use].tolist()))
+    places = [(b + 0.5) / q.BINS * 2 - 0.5 for b in seen]
+    at, chance = isotonic(places, [good[use & (bins == b)].sum() for b in seen], [n[use & (bins == b)].sum() for b in seen])
+    score = 0.999 * np.interp(raw, at, chance) + 0.001 * np.clip((raw + 0.5) / 2, 0, 1)
+    return dict(zip(ids, score.tolist()))
+
+
+def tilted_rates(sizes, target, most):
+    """Expected copies 0..most of every size, tilted so that the words come to the target: the dual by halving."""
+    def rate(m, size):
+        top = max(0.0, m * size * most)
+        mass = [math.exp(m * size * k - top) for k in range(most + 1)]
+        return sum(k * x for k, x in enumerate(mass)) / sum(mass)
+
+    if target >= most * sum(sizes) * (1 - 1e-12):
+        return [most] * len(sizes)
+    low, high = -50.0, 50.0
+    for _ in range(200):
+        m = (low + high) / 2
+        low, high = (low, m) if sum(rate(m, s) * s for s in sizes) > target else (m, high)
+    return [rate(m, s) for s in sizes]

@@ -1,14 +1,17 @@
 """Operators against brute force and hand-written rows, with the awkward rows of every contract."""
 
+import hashlib
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from talkledger.llm import decontam, licences, lm, mixing, neardup, pii, quality, sharding, topk, warc
+from talkledger.llm.queries import OP8, SHARDS, SLOTS
 
 from . import brute
 
@@ -418,11 +421,36 @@ def test_licences_at_every_line_length(spark):
     assert sum(len(x) for x in licences.NOTICES.values()) < 150
 
 
+def test_quality_scores_are_those_of_a_plain_fit(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(9001, None), (9002, "")]
+    marks = [(r.doc_id, r.quality) for r in labels.collect()]
+    marks += [(marks[0][0], 1 - marks[0][1]), (9001, 0), (marks[1][0], None), (marks[2][0], 5)]
+    got = quality.scores(frame(spark, [(i, t, "a") for i, t in rows]), spark.createDataFrame(marks, "doc_id long, quality int"))
+    want = brute.quality_scores(rows, marks)
+    for r in got.collect():
+        # statistics and features are whole numbers there, so a score may move by a little
+        assert abs(r.score - want[r.doc_id]) < 5e-3 and r.predicted == int(r.score >= 0.3), (r, want[r.doc_id])
+
+
+def test_mixing_rates_solve_the_dual(spark):
+    rnd = random.Random(8)
+    docs = [(k, " ".join("w" * rnd.randint(1, 60)) if k % 9 else None, rnd.choice("aaabc") if k % 10 else None) for k in range(400)]
+    got = mixing.mix(frame(spark, docs)).collect()
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        rate = brute.tilted_rates([r.size for r in own], own[0].target, 3)
+        assert all(abs(r.rate - x) < 1e-5 for r, x in zip(own, rate) if r.size), source
+        assert abs(sum(r.rate * r.size for r in own) - own[0].target) < 1e-3 * own[0].target
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     folder = "/root/testdata/sf0.001"
     docs, names = spark.read.parquet(f"{folder}/documents.parquet"), []
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs.collect()
@@ -433,6 +461,14 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns[: len(columns)] == columns
         ids, left = {r.doc_id for r in before}, {r.doc_id for r in after}
         assert left <= ids
+        if k == 0:
+            # scores of this very input, put together without Spark's sums
+            plain = brute.quality_scores([(r.doc_id, r.text) for r in before], labels)
+            assert left == {i for i, x in plain.items() if x >= 0.3} and 0 < len(left) < len(ids)
+        if k == 2:
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/1/*.parquet'; CREATE VIEW benchmark AS SELECT * FROM '{folder}/benchmark.parquet'")
+            assert left == ids - {r[0] for r in con.execute(f"SELECT doc_id FROM ({OP8})").fetchall()} and left < ids
         if k == 1:
             label = brute.components([(r.doc_id, r.text) for r in before])
             assert left == {i for i in ids if label[i] == i}
@@ -440,7 +476,11 @@ def test_pipeline(spark, tmp_path):
             copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(before, columns_of(docs))).collect()}
             assert sorted(r.doc_id for r in after) == sorted(i for i, n in copies.items() for _ in range(n))
         if k == 4:
-            assert len(after) == len(before) and all(r.shard for r in after)
+            assert len(after) == len(before)
+            filled = sharding.filled_table([f"shard-{k:05d}" for k in range(SHARDS)], SLOTS)
+            assert all(r.shard == f"shard-{filled[int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % SLOTS]:05d}" for r in after)
+    whole = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, after)) and len(whole) > 50
     assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
