@@ -102,12 +102,14 @@ def quality_scores(rows, labels):
     n = np.array([len(marks[i]) for i in ids], float)
     good = np.array([sum(marks[i]) for i in ids], float)
     use = (fold > 0) & (n > 0)
-    mean, spread = x[use].mean(0), x[use].std(0)
+    # statistics and features count in the operator's units, as whole numbers
+    units = np.rint(x / q.STAT_UNIT)
+    mean, spread = units[use].mean(0) * q.STAT_UNIT, units[use].std(0) * q.STAT_UNIT
     rng = np.random.default_rng(q.SEED)
     project = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], q.FEATURES))
     shift = rng.uniform(0, 2 * np.pi, q.FEATURES)
     z = np.sqrt(2) * np.cos(np.clip((x - mean) / np.where(spread > 1e-6, spread, 1), -5, 5) @ project + shift)
-    z = np.hstack([z, np.ones((len(z), 1))])
+    z = np.hstack([np.rint(z / q.FEATURE_UNIT) * q.FEATURE_UNIT, np.ones((len(z), 1))])
 
     def fitted(chosen):
         a = (z[chosen] * n[chosen, None]).T @ z[chosen]
