@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,6 +61,11 @@ def field(item: Column, path: str) -> Column:
     return F.try_variant_get(item, f"$.{path}", "variant")
 
 
+def fields(value: Column, *names: str) -> Column:
+    """Fields of a variant object as a struct of variants, all taken out in one pass; null if it is no object."""
+    return F.try_variant_get(value, "$", "struct<" + ", ".join(f"{n}: variant" for n in names) + ">")
+
+
 def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
@@ -102,6 +108,13 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+#: What is read of a finding and of an evaluation.
+FINDING_FIELDS = (
+    "rule_id", "rule_content", "timestamp", "timestamp_ms", "end_ms", "speaker", "original_text", "reason", "severity", "confidence", "reasoning",
+)
+SCORES = ("logic", "info_density", "expression", "total")
+
+
 def finding_items(value: Column, wrappers: Sequence[str] = fixed.RESPONSE_WRAPPERS) -> Column:
     """F8: the findings of a response as an array of objects (variant)."""
 
@@ -114,20 +127,27 @@ def finding_items(value: Column, wrappers: Sequence[str] = fixed.RESPONSE_WRAPPE
 
 def finding(item: Column) -> Column:
     """One finding with safe numbers and a checked severity."""
-    severity = F.lower(shown(field(item, "severity"), "low"))
-    return F.struct(
-        safe_int(field(item, "rule_id")).alias("rule_id"),
-        F.coalesce(F.try_variant_get(item, "$.rule_content", "string"), F.lit("")).alias("rule_content"),
-        shown(field(item, "timestamp"), "00:00").alias("timestamp"),
-        safe_int(field(item, "timestamp_ms")).alias("model_ms"),
-        safe_int(field(item, "end_ms")).alias("model_end_ms"),
-        shown(field(item, "speaker")).alias("speaker"),
-        shown(field(item, "original_text")).alias("original_text"),
-        shown(field(item, "reason")).alias("reason"),
-        F.when(severity.isin(*fixed.SEVERITIES), severity).otherwise("low").alias("severity"),
-        safe_float(field(item, "confidence"), 0.5).alias("confidence"),
-        F.try_variant_get(item, "$.reasoning", "string").alias("reasoning"),
-    )
+
+    def text(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "string")
+
+    def read(f: Column) -> Column:
+        severity = F.lower(shown(f["severity"], "low"))
+        return F.struct(
+            safe_int(f["rule_id"]).alias("rule_id"),
+            F.coalesce(text(f["rule_content"]), F.lit("")).alias("rule_content"),
+            shown(f["timestamp"], "00:00").alias("timestamp"),
+            safe_int(f["timestamp_ms"]).alias("model_ms"),
+            safe_int(f["end_ms"]).alias("model_end_ms"),
+            shown(f["speaker"]).alias("speaker"),
+            shown(f["original_text"]).alias("original_text"),
+            shown(f["reason"]).alias("reason"),
+            let(severity, lambda x: F.when(x.isin(*fixed.SEVERITIES), x).otherwise("low")).alias("severity"),
+            safe_float(f["confidence"], 0.5).alias("confidence"),
+            text(f["reasoning"]).alias("reasoning"),
+        )
+
+    return let(fields(item, *FINDING_FIELDS), read)
 
 
 def corrections(raw: Column) -> Column:
@@ -183,51 +203,44 @@ def evaluation(raw: Column) -> Column:
 
 
 def _evaluation(value: Column) -> Column:
-    def good(path: str, *kinds: str) -> Column:
-        v = field(value, path)
-        wanted = F.lit(False)
-        for k in kinds:
-            wanted = wanted | kind(v).startswith(k)
-        return v.isNull() | wanted
-
-    def text(path: str) -> Column:
-        return F.coalesce(F.try_variant_get(value, f"$.{path}", "string"), F.lit(""))
-
-    def texts(path: str) -> Column:
-        return F.coalesce(
-            F.try_variant_get(value, f"$.{path}", "array<string>"), F.array().cast("array<string>")
+    def good(v: Column, *kinds: str) -> Column:
+        return v.isNull() | let(kind(v), lambda k: reduce(Column.__or__, [k.startswith(x) for x in kinds]))
+
+    def text(v: Column) -> Column:
+        return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+
+    def texts(v: Column) -> Column:
+        return F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array().cast("array<string>"))
+
+    def whole(v: Column) -> Column:
+        return v.isNull() | let(_number(v), lambda n: n.isNotNull() & (n == F.floor(n)))
+
+    def read(top: Column, meta: Column, scores: Column, analysis: Column) -> Column:
+        valid = [good(top["summary"], "STRING"), *[good(top[g], "OBJECT") for g in ("meta", "scores", "analysis")]]
+        valid += [good(v, "STRING") for v in (meta["title"], meta["category"], analysis["sentiment"])]
+        valid += [good(v, "ARRAY<STRING>", "ARRAY<VOID>") for v in (meta["keywords"], analysis["main_points"], analysis["key_data"])]
+        valid += [whole(scores[s]) for s in SCORES]
+        record = F.struct(
+            F.struct(
+                text(meta["title"]).alias("title"), text(meta["category"]).alias("category"), texts(meta["keywords"]).alias("keywords")
+            ).alias("meta"),
+            F.struct(*[safe_int(scores[s]).alias(s) for s in SCORES]).alias("scores"),
+            F.struct(
+                texts(analysis["main_points"]).alias("main_points"), texts(analysis["key_data"]).alias("key_data"),
+                text(analysis["sentiment"]).alias("sentiment"),
+            ).alias("analysis"),
+            text(top["summary"]).alias("summary"),
         )
+        return F.when(reduce(Column.__and__, valid), record)
 
-    def score(path: str) -> Column:
-        return safe_int(field(value, f"scores.{path}"))
-
-    valid = kind(value).startswith("OBJECT") & good("summary", "STRING")
-    for group in ("meta", "scores", "analysis"):
-        valid = valid & good(group, "OBJECT")
-    for path in ("meta.title", "meta.category", "analysis.sentiment"):
-        valid = valid & good(path, "STRING")
-    for path in ("meta.keywords", "analysis.main_points", "analysis.key_data"):
-        valid = valid & good(path, "ARRAY<STRING>", "ARRAY<VOID>")
-    for path in ("logic", "info_density", "expression", "total"):
-        v = field(value, f"scores.{path}")
-        number = _number(v)
-        whole = number.isNotNull() & (number == F.floor(number))
-        valid = valid & (v.isNull() | whole)
-    record = F.struct(
-        F.struct(
-            text("meta.title").alias("title"),
-            text("meta.category").alias("category"),
-            texts("meta.keywords").alias("keywords"),
-        ).alias("meta"),
-        F.struct(*[score(s).alias(s) for s in ("logic", "info_density", "expression", "total")]).alias("scores"),
-        F.struct(
-            texts("analysis.main_points").alias("main_points"),
-            texts("analysis.key_data").alias("key_data"),
-            text("analysis.sentiment").alias("sentiment"),
-        ).alias("analysis"),
-        text("summary").alias("summary"),
-    )
-    return F.when(valid, record)
+    def opened(top: Column) -> Column:
+        parts = F.struct(
+            top.alias("top"), fields(top["meta"], "title", "category", "keywords").alias("meta"), fields(top["scores"], *SCORES).alias("scores"),
+            fields(top["analysis"], "main_points", "key_data", "sentiment").alias("analysis"),
+        )
+        return F.when(top.isNotNull(), let(parts, lambda p: read(p["top"], p["meta"], p["scores"], p["analysis"])))
+
+    return let(fields(value, "meta", "scores", "analysis", "summary"), opened)
 
 
 def output_budget(chars: Column, most: int = fixed.OUTPUT_TOKENS) -> Column:
