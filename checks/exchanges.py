@@ -196,6 +196,47 @@ def _keep_blank_edges(prompt: str) -> str:
     return prompt if prompt == prompt.strip() else ""
 
 
+def _upper_or_none(prompt: str) -> str:
+    if len(prompt) % 5 == 0:
+        raise TimeoutError("no answer")
+    return "" if len(prompt) % 7 == 0 else prompt.replace("e", "E")
+
+
+@check(
+    "m4_segment_correction",
+    "WITH " + v.SEGMENTS + r"""
+SELECT recording_id, seg_idx, CASE WHEN length(text)%5=0 OR length(text)%7=0 THEN text ELSE regexp_replace(replace(text, 'e', 'E'), '^\s+|\s+$', '', 'g') END AS text_corrected FROM v_segments
+UNION ALL SELECT recording_id, -1 - seg_idx, '  ' FROM v_segments WHERE seg_idx%3=0""",
+)
+def segment_correction(spark, folder):
+    s = v.segments(spark, folder, v.SLICE).select("recording_id", "seg_idx", "text")
+    blank = s.where("seg_idx % 3 = 0").select("recording_id", (-1 - F.col("seg_idx")).alias("seg_idx"), F.lit("  ").alias("text"))
+    rows = transcript.correct_segments(s.unionByName(blank), _upper_or_none, delay_s=0.0)
+    return rows.select("recording_id", "seg_idx", "text_corrected")
+
+
+@check(
+    "m3_corrector_between",
+    "WITH " + v.SEGMENTS + r""",
+g AS (SELECT *, max(confidence) OVER (PARTITION BY recording_id) <= 0 OR confidence < 0.95 AS needs FROM v_segments),
+n AS (SELECT recording_id, seg_idx, text, needs, """ + PLAIN + r""" AS c FROM g)
+SELECT recording_id, seg_idx, CASE WHEN needs THEN replace(array_to_string(list_transform(regexp_extract_all(c, '(?s)[0-9A-Za-z_]+|[^0-9A-Za-z_]'), lambda x: CASE WHEN lower(x) = 'und' THEN 'u.' ELSE x END), ''), 'en', 'EN') ELSE text END AS text_corrected FROM n""",
+)
+def corrector_between(spark, folder):
+    """A dictionary table, and a light corrector before the model; the model also gets a budget."""
+    n = v.SLICE
+    words = v.table(spark, folder, "documents").limit(1).select(F.lit("und").alias("wrong"), F.lit("u.").alias("right"))
+    rows = transcript.correct_transcript(
+        v.segments(spark, folder, n), words, _within, slice_rows=n, with_budget=True,
+        between=lambda df: df.withColumn("prepared", F.replace("prepared", F.lit("en"), F.lit("EN"))),
+    )
+    return rows.select("recording_id", "seg_idx", "text_corrected")
+
+
+def _within(prompt: str, max_tokens: int) -> str:
+    return prompt if 1024 < max_tokens <= 4096 else "[]"
+
+
 def _length(chunk: str) -> str:
     return f"n={len(chunk)}"
 

@@ -39,12 +39,15 @@ def screen_text_of_chunks(
         (F.max("end_ms") + margin_ms).alias("_to"),
     ).where(F.col("_from") <= F.col("_to"))
     spans = o.interval_cells(spans, F.col("_from"), F.col("_to"))
-    points = o.point_cells(distinct_screen_text(ocr), F.col("timestamp_ms"))
-    return (
+    shown = distinct_screen_text(ocr)
+    # times alone are copied into the cells of every class; texts meet them once, by time
+    points = o.point_cells(shown.select("recording_id", "timestamp_ms").distinct(), F.col("timestamp_ms"))
+    met = (
         points.join(spans, ["recording_id", "_cell"])
         .where(F.col("timestamp_ms").between(F.col("_from"), F.col("_to")))
         .drop("_cell", "_from", "_to")
     )
+    return shown.join(met, ["recording_id", "timestamp_ms"])
 
 
 def _nearest_marks(
@@ -149,12 +152,13 @@ def active_blocks(
 
 def _covered(probes: DataFrame, spans: DataFrame, start: Column, end: Column) -> DataFrame:
     cells = o.interval_cells(spans.withColumn("_s", start).withColumn("_e", end), F.col("_s"), F.col("_e"))
-    points = o.point_cells(probes, F.col("time_ms"))
-    return (
+    points = o.point_cells(probes.select("recording_id", "time_ms").distinct(), F.col("time_ms"))
+    met = (
         points.join(cells, ["recording_id", "_cell"])
         .where(F.col("time_ms").between(F.col("_s"), F.col("_e")))
         .drop("_cell", "_s", "_e")
     )
+    return probes.join(met, ["recording_id", "time_ms"])
 
 
 def rename_speakers(rows: DataFrame, names: DataFrame) -> DataFrame:

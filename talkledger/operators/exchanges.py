@@ -191,6 +191,8 @@ class PromptWords:
     screen: str = "Screen text\n%s"
     transcript: str = "Transcript %d/%d\n%s"
     closing: str = "Answer with a JSON array of findings."
+    #: Over the findings of a report that is to be summed up: how many rules and findings there are.
+    summary: str = "%d rules, %d findings\n%s"
     #: Added to the prompt of a further attempt.
     again: str = "The last answer could not be read. Answer with the JSON array alone, without any other text."
 

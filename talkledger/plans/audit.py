@@ -177,15 +177,11 @@ def audit(
     said = None
     if summarise is not None:
         line = F.format_string("- [%s] [%s] %d: %s", "timestamp", "severity", "rule_id", "reason")
-        rows = kept.groupBy(*REPORT).agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("timestamp_ms", "rule_id", "seq", line.alias("line")))),
-                    lambda x: x["line"],
-                ),
-                "\n",
-            ).alias("prompt")
-        )
+        place = F.struct("timestamp_ms", "rule_id", "seq", line.alias("line"))
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["line"]), "\n")
+        n_rules = enriched.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("_rules"))
+        rows = kept.groupBy(*REPORT).agg(F.count(F.lit(1)).alias("_found"), lines.alias("_lines")).join(n_rules, "sheet_id")
+        rows = rows.select(*REPORT, F.format_string(words.summary, "_rules", "_found", "_lines").alias("prompt"))
         said = cut_lineage(exchanges.call_model(rows, summarise, width=width)).select(
             *REPORT, t.strip(r.strip_thinking(F.col("response"))).alias("text")
         )

@@ -80,15 +80,18 @@ def correct_transcript(
     keep_responses: bool = True,
     slice_rows: int = ordered.SLICE_ROWS,
     with_budget: bool = False,
+    between: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """M3: P5, P3, P4, W7, M1, F9, J13. Adds ``text_corrected`` to merged segments.
 
-    ``with_budget``: ``ask`` also gets ``max_tokens`` (F11), the bound of the answer's length. Responses are written before they are read on (``keep_responses``): a lost executor
+    ``between`` changes the prepared rows (recording_id, seg_idx, prepared; null: noise) before they are
+    batched, such as a light corrector does. ``with_budget``: ``ask`` also gets ``max_tokens`` (F11), the bound of the answer's length. Responses are written before they are read on (``keep_responses``): a lost executor
     must not call the model again.
     """
     gated = segments.needs_correction(merged, threshold).where("needs_correction")
     keep = cut_lineage if keep_responses else (lambda df: df)
-    prepared = keep(prepared_rows(gated, dictionary))
+    prepared = prepared_rows(gated, dictionary)
+    prepared = keep(between(prepared) if between else prepared)
     batched, requests = correction_requests(prepared, slice_rows=slice_rows)
     options = ("max_tokens",) if with_budget else ()
     responses = keep(exchanges.call_model(requests, ask, width=width, options=options))
@@ -115,6 +118,26 @@ def correct_texts(
     return merged.unionByName(texts.where(t.is_blank("text")).select(key, "text"))
 
 
+def correct_segments(
+    rows: DataFrame,
+    ask: Callable[[str], str],
+    text: str = "text",
+    out: str = "text_corrected",
+    width: int | None = None,
+    keep_responses: bool = True,
+    delay_s: float = 2.0,
+) -> DataFrame:
+    """M4 for texts that are short as they are: one call each, no chunks, no overlap. Blank and null texts
+    are not asked for; a text whose answer is blank or failed stays."""
+    blank = F.coalesce(t.is_blank(text), F.lit(True))
+    asked = exchanges.call_model(rows.where(~blank), ask, text, "_response", width, delay_s=delay_s)
+    if keep_responses:
+        asked = cut_lineage(asked)
+    said = t.computed(asked, _said=t.strip(r.strip_thinking(F.col("_response"))))
+    done = said.withColumn(out, F.coalesce(F.nullif("_said", F.lit("")), F.col(text))).select(*rows.columns, out)
+    return done.unionByName(rows.where(blank).withColumn(out, F.col(text)))
+
+
 def merged_segments(raw: DataFrame, gap_ms: int = 1000, slice_rows: int = ordered.SLICE_ROWS) -> DataFrame:
     """W4, W1 with the gap the recording flow uses."""
     return segments.merge_segments(segments.smooth_speakers(raw, rows=slice_rows), gap_ms, slice_rows)

@@ -54,6 +54,10 @@ def test_audit(spark):
     assert [(x.rule_id, x.timestamp_ms, x.end_ms, x.confidence) for x in got] == [(12, 0, 0, 1.0), (5, 60_000, 75_000, 0.95)]
     assert got[0].original_text == "欢迎各位 这个产品稳赚 还有利息可拿" and got[0].evidence_text is None
     assert (got[1].severity, got[1].rule_content, got[1].evidence_text, got[1].evidence_url) == ("high", "no promises", "年化", "9.jpg")
+    _, summed = audit.audit(entries, sheets, rules, examples, ocr, model, summarise=lambda prompt: prompt)
+    assert summed.where("recording_id = 1").first().summary == (
+        "3 rules, 2 findings\n- [00:00] [high] 12: " + got[0].reason + "\n- [01:00] [high] 5: promise"
+    )
     rows = {x.recording_id: x for x in reports.collect()}
     assert (rows[1].compliance_score, rows[1].total_rules, rows[1].total_segments_checked, rows[1].source_counts) == (70.0, 3, 3, {"transcript": 2})
     assert (rows[2].compliance_score, rows[2].source_counts, rows[2].total_segments_checked) == (100.0, {}, 1)
