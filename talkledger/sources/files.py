@@ -21,9 +21,10 @@ ATTEMPTS = "_attempts"
 
 
 def _file_system(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if "://" in root or root.startswith("file:"):
-        return pyarrow.fs.FileSystem.from_uri(root)
-    return pyarrow.fs.LocalFileSystem(), root
+    """The file system of a root and the path in it: a mounted folder, or what a URI such as hdfs:// or s3:// names."""
+    if root.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(root) if "://" in root else (pyarrow.fs.LocalFileSystem(), root)
 
 
 @dataclass

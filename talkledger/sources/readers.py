@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -150,8 +151,8 @@ def artifact_files(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def inside_root(path: Column, root: str) -> Column:
-    """What follows ``root`` in a path; empty where it is not below it."""
-    below = root.rstrip("/") + "/"
+    """What follows ``root`` in a path; empty where it is not below it. ``root`` may name its scheme or not."""
+    below = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"
     at = F.locate(below, path)
     return F.when(at > 0, F.substring(path, at + len(below), F.length(path))).otherwise("")
 

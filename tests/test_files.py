@@ -115,6 +115,9 @@ def test_files_are_whole_or_untouched(spark, tmp_path):
     files.write_files(broken.where("place < 2").withColumn("part", F.lit("ab")), root, "x.txt")
     assert shown() == {"a%2Fb": "one\ntwo", "c": "abab"}
     files.write_files(parts.limit(0), root, "x.txt")
+    files.write_files(parts.where("recording_id = 'c'"), f"file://{root}", "x.txt")
+    assert shown() == {"a%2Fb": "one\ntwo", "c": "x"}
+    assert {r.recording_id for r in readers.artifact_files(spark, f"file://{root}", "x.txt").collect()} == {"a%2Fb", "c"}
 
 
 def test_second_run_of_the_inventory_takes_in_new_files_alone(spark, tmp_path):
