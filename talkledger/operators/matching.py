@@ -8,20 +8,34 @@ settle what met.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from talkledger.functions import text as t
+from talkledger.operators.batches import pieces
+from talkledger.session import written
 
-#: Longest run of characters by which texts and words meet.
-GRAM = 3
+#: Longest run of characters by which texts and words meet: as many as a 64-bit number holds.
+GRAM = 4
+#: Up to so many words go to every task; more of them meet the runs of the texts by a shuffle.
+SMALL_WORDS = 500_000
+#: First of the private characters that stand for syllables of several letters.
+_PRIVATE = 0xF0000
+#: Characters that share one number in a run: NUL, and all above U+FFFF but the first 2047 private ones.
+_ODD = r"[\x00\x{10000}-\x{EFFFF}\x{F07FF}-\x{10FFFF}]"
 #: A word covers whole units of the text it stands in: runs of ASCII word characters, or one other character.
 _UNIT = "[0-9A-Za-z_]+|[^0-9A-Za-z_]"
 _UNITS = re.compile(_UNIT)
+_WORD_CHARS = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")
+#: Bits by which runs of units are told apart before they meet the dictionary: 16 a word, 16 MB at most.
+_MOST_BITS = 1 << 27
+_BITMAP_BITS = 8 * 4096
 
 
 def spoken_by_table(text: str | Column, sounds: DataFrame) -> Column:
@@ -34,7 +48,7 @@ def spoken_by_table(text: str | Column, sounds: DataFrame) -> Column:
     rows = known.groupBy("char").agg(F.min("sound").alias("sound"))
     longer = F.array_sort(F.collect_set(F.when(F.length("sound") > 1, F.col("sound"))))
     places = rows.agg(longer.alias("_all")).select(F.posexplode("_all").alias("_place", "sound"))
-    private = F.expr("decode(unhex(lpad(hex(983040 + _place), 8, '0')), 'UTF-32')")
+    private = F.expr(f"decode(unhex(lpad(hex({_PRIVATE} + _place), 8, '0')), 'UTF-32')")
     stands = rows.join(places.select("sound", private.alias("_stand")), "sound", "left").select(
         "char", F.coalesce("_stand", "sound").alias("to")
     )
@@ -54,9 +68,64 @@ def heard(text: str | Column, sounds: Mapping[str, str] | DataFrame | None) -> C
     return spoken_by_table(text, sounds) if isinstance(sounds, DataFrame) else t.spoken(text, sounds)
 
 
-def _grams(column: str, size: int) -> Column:
-    """All runs of ``size`` characters, in one pass over the text."""
-    return F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+def _codes(raw: bytes, size: int) -> np.ndarray:
+    """All runs of ``size`` characters as distinct numbers, 16 bits a character.
+
+    The first private characters, by which ``spoken_by_table`` stands for long syllables, take the numbers
+    of surrogates, which are no characters. NUL and all others above U+FFFF share the last of these, so runs
+    with them may meet by mistake (``_ODD``). 0 is the empty run.
+    """
+    if size == 0:
+        return np.zeros(1, np.uint64)
+    chars = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    stand = chars - np.uint64(_PRIVATE)  # wraps below it
+    chars = np.where(stand < 0x7FF, 0xD800 + stand, np.where((chars > 0xFFFF) | (chars == 0), 0xDFFF, chars))
+    if len(chars) < size:
+        return np.empty(0, np.uint64)
+    rows = len(chars) - size + 1
+    out = chars[:rows].copy()
+    for k in range(1, size):
+        out |= chars[k : k + rows] << np.uint64(16 * k)
+    return np.unique(out)
+
+
+def _with_codes(rows: DataFrame, text: str, sizes: Sequence[int] | None, carry: Sequence[str]) -> DataFrame:
+    """``carry`` and ``_codes``: the runs of ``sizes`` in ``text``; by default those of its own length, GRAM at most."""
+    lengths = None if sizes is None else list(sizes)
+    narrow = rows.select(*carry, F.col(text).cast("binary").alias("_raw"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            found, ends = [], [0]
+            for raw in part.column("_raw").to_pylist():
+                own = [min(len(raw.decode("utf-8", "replace")), GRAM)] if lengths is None else lengths
+                found += [_codes(raw, n) for n in own]
+                ends.append(ends[-1] + sum(map(len, found[len(found) - len(own) :])))
+            flat = np.concatenate(found).view(np.int64)
+            codes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield part.select(list(carry)).append_column("_codes", codes)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.drop("_raw").schema)
+    return narrow.mapInArrow(cut, f"{fields}, _codes array<bigint>")
+
+
+def _filed(words: DataFrame, sounds: Mapping[str, str] | DataFrame | None) -> tuple[DataFrame, list[int], bool]:
+    """Words (keyword, ...) with ``_k``, how they sound, and ``_code``, the run they are filed under: themselves, or of
+    longer ones the run that they share with the fewest; ``_sure`` where the run is the word. With the lengths of
+    the runs, and whether the words are few."""
+    words = words.withColumn("_k", heard("keyword", sounds))
+    runs = _with_codes(words, "_k", None, words.columns).withColumn("_code", F.explode("_codes")).drop("_codes")
+    shared = runs.groupBy("_code").agg(F.count(F.lit(1)).alias("_n"))
+    long = F.length("_k") > GRAM
+    rarest = runs.where(long).join(shared, "_code").groupBy("_k").agg(F.min_by("_code", F.struct("_n", "_code")).alias("_code"))
+    odd = F.col("_k").rlike(_ODD)
+    filed = runs.where(~long).select(*words.columns, "_code", (~odd).alias("_sure")).unionByName(
+        words.where(long).join(rarest, "_k").select(*words.columns, "_code", F.lit(False).alias("_sure"))
+    )
+    filed = written(filed, "keywords")
+    # at most GRAM + 1 rows, whatever the tables
+    counts = filed.groupBy(F.least(F.length("_k"), F.lit(GRAM)).alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return filed, sorted(r["size"] for r in counts), sum(r["n"] for r in counts) <= SMALL_WORDS
 
 
 def keyword_hits(
@@ -72,34 +141,31 @@ def keyword_hits(
 
     ``keys`` name one text. ``at`` is the first place from 1, 0 where the keyword is only heard; ``context``
     is the text within ``radius`` of ``at`` (of the first character where it is only heard). Every keyword
-    is filed under one of its runs of up to three characters, the one that it shares with the fewest
+    is filed under one of its runs of up to GRAM characters, the one that it shares with the fewest
     keywords; a text's distinct runs meet the files on equality, and what met is looked up in the text,
-    once for all keywords. Null texts, null and empty keywords match nothing.
+    once for all keywords. Few keywords go to the texts, so that neither texts nor runs are shuffled; of
+    many, the texts' runs go to them. Null texts and keys, null and empty keywords match nothing.
     """
     keys = list(keys)
+    if isinstance(sounds, DataFrame):
+        sounds = written(sounds, "sounds")
     words = keywords.select("keyword").where(F.coalesce("keyword", F.lit("")) != "").distinct()
-    words = words.withColumn("_k", heard("keyword", sounds))
-    size = F.least(F.length("_k"), F.lit(GRAM))
-    # at most GRAM rows, whatever the tables
-    sizes = sorted(r[0] for r in words.select(size).distinct().collect())
-    if not sizes:
-        words, sizes = words.limit(0), [GRAM]
-    own = F.lit(None).cast("array<string>")
-    for n in sizes:
-        own = F.when(size == n, F.array_distinct(_grams("_k", n))).otherwise(own)
-    filed = words.withColumn("_gram", F.explode(own))
-    shared = filed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    files = filed.join(shared, "_gram").groupBy("keyword", "_k").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    # dealt by key once: what meets comes back to its text without another exchange of texts
-    rows = texts.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).repartition(*keys)
+    files, sizes, few = _filed(words, sounds)
+    files = files.drop("_sure")
+    rows = texts.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).dropna(subset=keys)
+    if not few:
+        # dealt by key once: what meets comes back to its text without another exchange of texts
+        rows = rows.repartition(*keys)
     rows = rows.withColumn("_heard", heard("_text", sounds))
-    every = F.concat(*[_grams("_heard", n) for n in sizes])
-    met = rows.select(*keys, F.explode(F.array_distinct(every)).alias("_gram")).join(files, "_gram")
-    met = met.groupBy(*keys).agg(F.collect_list(F.struct("keyword", "_k")).alias("_met"))
-    found = rows.join(met, keys).select(*keys, "_text", "_heard", F.explode("_met").alias("_m"))
-    at = F.position(F.col("_m.keyword"), F.col("_text"))
-    sounded = F.contains("_heard", F.col("_m._k"))
-    found = found.where(sounded).select(*keys, F.col("_m.keyword").alias("keyword"), at.alias("at"), "_text")
+    if few:
+        coded = _with_codes(rows, "_heard", sizes, [*keys, "_text", "_heard"])
+        found = coded.withColumn("_code", F.explode("_codes")).drop("_codes").join(F.broadcast(files), "_code")
+    else:
+        met = _with_codes(rows, "_heard", sizes, keys).select(*keys, F.explode("_codes").alias("_code")).join(files, "_code")
+        met = met.groupBy(*keys).agg(F.collect_set(F.struct("keyword", "_k")).alias("_met"))
+        found = rows.join(met, keys).select(*keys, "_text", "_heard", F.inline("_met"))
+    at = F.position(F.col("keyword"), F.col("_text"))
+    found = found.where(F.contains("_heard", F.col("_k"))).select(*keys, "keyword", at.alias("at"), "_text")
     context = t.around("_text", F.greatest("at", F.lit(1)), radius)
     return found.select(*keys, "keyword", "at", F.lit(True).alias("heard"), context.alias("context"))
 
@@ -111,10 +177,40 @@ def first_keywords(
     text: str = "text",
     sounds: Mapping[str, str] | DataFrame | None = None,
 ) -> DataFrame:
-    """J8 with a keyword table (place, keyword): (keys, keyword), the first by ``place`` that is heard."""
-    hits = keyword_hits(texts, keywords, keys, text, sounds)
-    placed = keywords.groupBy("keyword").agg(F.min("place").alias("_place"))
-    return hits.join(placed, "keyword").groupBy(*keys).agg(F.min_by("keyword", F.struct("_place", "keyword")).alias("keyword"))
+    """J8 with a keyword table (place, keyword): (keys, keyword), the first by ``place`` that is heard.
+
+    The words are numbered in the order in which they count, and a text keeps the least number of what its
+    runs meet, one number for all its hits. Only words longer than their run are looked up in the text,
+    and of these only what would come before the first that is sure.
+    """
+    keys = list(keys)
+    if isinstance(sounds, DataFrame):
+        sounds = written(sounds, "sounds")
+    placed = keywords.where(F.coalesce("keyword", F.lit("")) != "").groupBy("keyword").agg(F.min("place").alias("_place"))
+    placed = placed.repartitionByRange("_place", "keyword").sortWithinPartitions("_place", "keyword")
+    placed = written(placed.withColumn("_rank", F.monotonically_increasing_id()), "places").select("keyword", "_rank")
+    files, sizes, few = _filed(placed, sounds)
+    # words that sound alike: the first stands for all
+    files = files.groupBy("_k", "_code", "_sure").agg(F.min("_rank").alias("_rank"))
+    few_or_all = F.broadcast if few else (lambda df: df)
+    rows = texts.select(*keys, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).dropna(subset=keys)
+    rows = rows.select(*keys, heard("_text", sounds).alias("_heard"))
+
+    def met(some: DataFrame, lengths: Sequence[int]) -> DataFrame:
+        runs = _with_codes(rows, "_heard", lengths, keys).select(*keys, F.explode("_codes").alias("_code"))
+        return runs.join(few_or_all(some), "_code")
+
+    sure = met(files.where("_sure").select("_code", "_rank"), sizes).groupBy(*keys).agg(F.min("_rank").alias("_rank"))
+    open_ = files.where("NOT _sure").select("_code", "_rank", "_k")
+    lengths = sorted(r[0] for r in open_.select(F.least(F.length("_k"), F.lit(GRAM))).distinct().collect())
+    best = sure
+    if lengths:
+        sure = written(sure, "sure")
+        before = met(open_, lengths).join(sure.withColumnRenamed("_rank", "_sure"), keys, "left")
+        before = before.where(F.col("_sure").isNull() | (F.col("_rank") < F.col("_sure"))).select(*keys, "_rank", "_k")
+        read = rows.join(before, keys).where(F.contains("_heard", F.col("_k"))).select(*keys, "_rank")
+        best = sure.unionByName(read).groupBy(*keys).agg(F.min("_rank").alias("_rank"))
+    return best.join(placed, "_rank").select(*keys, "keyword")
 
 
 def _folded(column: str | Column) -> Column:
