@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from talkledger.functions import responses as r
 from talkledger.functions import text as t
 from talkledger.functions import times
 from talkledger.operators import ordered as o
+from talkledger.operators.batches import pieces
 from talkledger.session import cut_lineage
 
 
@@ -87,15 +89,17 @@ def call_model(
                     time.sleep(delay_s * 2**attempt)
         return None, reason
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            more = pdf[list(options)].to_dict("records") if options else [{}] * len(pdf)
-            said = [one(p, given) for p, given in zip(pdf[prompt], more, strict=True)]
-            columns = {out: [s[0] for s in said]} | ({error: [s[1] for s in said]} if error else {})
-            yield pdf.assign(**columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches):
+            more = rows.select(list(options)).to_pylist() if options else [{}] * rows.num_rows
+            said = [one(p, given) for p, given in zip(rows.column(prompt).to_pylist(), more, strict=True)]
+            added = [(out, 0)] + ([(error, 1)] if error else [])
+            for name, place in added:
+                rows = rows.append_column(name, pa.array([s[place] for s in said], pa.string()))
+            yield rows
 
     rows = requests.repartition(width) if width else requests
-    return rows.mapInPandas(run, f"{schema}, `{out}` string" + (f", `{error}` string" if error else ""))
+    return rows.mapInArrow(run, f"{schema}, `{out}` string" + (f", `{error}` string" if error else ""))
 
 
 _LOG = "prompt_key string, response string, error string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from talkledger import fixed_values as fixed
 from talkledger.functions import text as t
 from talkledger.functions import times
 from talkledger.operators import ordered as o
+from talkledger.operators.batches import pieces
 from talkledger.operators.folds import Rule, greedy_groups
 
 RECORDING = ("recording_id",)
@@ -415,8 +416,12 @@ def _boundaries(starts: np.ndarray, ends: np.ndarray, marks: np.ndarray, max_ms:
         opened.append((after, int(starts[after]) if after < len(starts) else time))
 
 
-def _times(stamps: Sequence) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.fromiter((s[k] for s in stamps), np.int64, len(stamps)) for k in ("start", "end"))
+def _times(stamps: pa.ListArray) -> Iterator[list[np.ndarray]]:
+    """For starts and for ends: an array for every row, cut out of the column as it is."""
+    cuts, spans = stamps.offsets.to_numpy(), stamps.values
+    for k in ("start", "end"):
+        every = spans.field(k).to_numpy().astype(np.int64, copy=False)
+        yield [every[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _pieces(text: str, starts: np.ndarray, ends: np.ndarray, max_ms: int) -> list[tuple[str, int, int]]:
@@ -447,15 +452,22 @@ def split_long_segments(segments: DataFrame, max_ms: int = fixed.LONG_SEGMENT_MS
     columns = "recording_id {rid}, seg_idx bigint, part bigint, text string, start_ms bigint, end_ms bigint"
     schema = columns.format(rid=dict(segments.dtypes)["recording_id"])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (r.recording_id, r.seg_idx, k, *piece)
-                for r in pdf.itertuples(index=False)
-                for k, piece in enumerate(_pieces(r.text, *_times(r.timestamps), max_ms))
-            ]
-            yield pd.DataFrame(
-                rows, columns=["recording_id", "seg_idx", "part", "text", "start_ms", "end_ms"]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches):
+            owner, parts = [], []
+            texts = zip(rows.column("text").to_pylist(), *_times(rows.column("timestamps")), strict=True)
+            for r, (text, starts, ends) in enumerate(texts):
+                found = _pieces(text, starts, ends, max_ms)
+                owner += [r] * len(found)
+                parts += [(k, *piece) for k, piece in enumerate(found)]
+            part, text, start, end = zip(*parts) if parts else ((),) * 4
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("recording_id").take(at), rows.column("seg_idx").take(at).cast(pa.int64()), pa.array(part, pa.int64()),
+                    pa.array(text, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
+                ],
+                ["recording_id", "seg_idx", "part", "text", "start_ms", "end_ms"],
             )
 
     narrow = segments.select("recording_id", "seg_idx", "text", "timestamps")
@@ -463,4 +475,4 @@ def split_long_segments(segments: DataFrame, max_ms: int = fixed.LONG_SEGMENT_MS
         "recording_id", "seg_idx", F.lit(0).cast("long").alias("part"), "text",
         begin.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"),
     )
-    return narrow.where(long).mapInPandas(cut, schema).unionByName(short)
+    return narrow.where(long).mapInArrow(cut, schema).unionByName(short)

@@ -7,7 +7,7 @@ import io
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from talkledger import fixed_values as fixed
 from talkledger import schemas
 from talkledger.functions import responses as r
 from talkledger.functions import text as t
+from talkledger.operators.batches import PIECE_BYTES, pieces
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -44,20 +45,36 @@ def sheet_rows(
     ragged rows kept. A file no encoding fits gives one row with null cells."""
     key = dict(files.dtypes)["sheet_id"]
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(content: pa.Array) -> Iterator[tuple[int, int, list[str] | None]]:
+        for sheet in range(len(content)):
+            text = _decoded(content[sheet].as_py(), encodings)
+            if text is None:
+                yield sheet, 0, None
+            else:
+                for i, cells in enumerate(c for c in csv.reader(io.StringIO(text)) if c):
+                    yield sheet, i, cells
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 31)
-        for pdf in batches:
-            rows = []
-            for sheet, data in zip(pdf["sheet_id"], pdf["content"], strict=True):
-                text = _decoded(bytes(data), encodings)
-                if text is None:
-                    rows.append((sheet, 0, None))
-                    continue
-                cells = (c for c in csv.reader(io.StringIO(text)) if c)
-                rows += [(sheet, i, c) for i, c in enumerate(cells)]
-            yield pd.DataFrame(rows, columns=["sheet_id", "row_idx", "cells"])
-
-    return files.select("sheet_id", "content").mapInPandas(
+        for sheets in pieces(batches):
+
+            def table(rows: list) -> pa.RecordBatch:
+                sheet, place, cells = zip(*rows)
+                columns = [sheets.column("sheet_id").take(pa.array(sheet)), pa.array(place, pa.int64()), pa.array(cells, pa.list_(pa.string()))]
+                return pa.RecordBatch.from_arrays(columns, ["sheet_id", "row_idx", "cells"])
+
+            rows, size = [], 0
+            for row in lines(sheets.column("content")):
+                rows.append(row)
+                # an empty cell takes memory too
+                size += sum(len(c) + 50 for c in row[2] or ())
+                if size > PIECE_BYTES:
+                    yield table(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(rows)
+
+    return files.select("sheet_id", "content").mapInArrow(
         split, f"sheet_id {key}, row_idx bigint, cells array<string>"
     )
 
