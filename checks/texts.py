@@ -121,12 +121,14 @@ def dictionary_table(spark, folder):
     d = docs(spark, folder)
 
     def every(pattern):
-        return d.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("wrong"))
+        found = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+        return d.select(F.explode(found).alias("wrong"))
 
-    words = every("[0-9A-Za-z_]+").where(F.length("wrong").between(6, 9)).withColumn("right", F.concat(F.lit("<"), F.lower("wrong"), F.lit(">")))
+    words = every("(?<![0-9A-Za-z_])[0-9A-Za-z_]{6,9}+(?![0-9A-Za-z_])").distinct()
+    words = words.withColumn("right", F.concat(F.lit("<"), F.lower("wrong"), F.lit(">")))
     phrases = d.where("doc_id % 2 = 0").select(F.regexp_extract("text", "[0-9A-Za-z_]+ [0-9A-Za-z_]+", 0).alias("wrong"), F.lit("PHRASE").alias("right"))
     begins = every("é[a-z]+").where(F.length("wrong") <= 5).withColumn("right", F.lit("E+"))
-    ends = every("[A-Za-z]+é").where(F.length("wrong") <= 5).withColumn("right", F.lit("E!"))
+    ends = every("(?<![A-Za-z])[A-Za-z]++é").where(F.length("wrong") <= 5).withColumn("right", F.lit("E!"))
     return words.unionByName(phrases).unionByName(begins).unionByName(ends).distinct()
 
 

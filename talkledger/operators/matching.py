@@ -223,30 +223,149 @@ def _units(column: str) -> Column:
     return F.regexp_extract_all(column, F.lit(f"(?s){_UNIT}"), F.lit(0))
 
 
-@F.arrow_udf(StringType())
-def _put_in(texts: pa.Array, found: pa.Array) -> pa.Array:
-    """The text with the words found put in: leftmost, then longest, nothing twice."""
-    out = []
-    for text, rows in zip(texts.to_pylist(), found.to_pylist()):
-        if text is None or rows is None:
-            out.append(None)
+def _replaced(text: str, folded: str, words: Iterator[tuple[str, int, str, int]]) -> str:
+    """The text with the words put in: leftmost, then longest, nothing twice. ``words`` are (folded word, units,
+    replacement, length of its first unit)."""
+    rights: dict[int, dict[str, str]] = {}
+    heads: set[str] = set()
+    for key, size, right, head in words:
+        rights.setdefault(size, {})[key] = right
+        heads.add(key[:head])
+    units = _UNITS.findall(text)
+    ends = [0, *accumulate(map(len, units))]
+    parts, done, sizes = [], 0, sorted(rights, reverse=True)
+    for at in [k for k, (a, b) in enumerate(zip(ends, ends[1:])) if folded[a:b] in heads]:
+        if at < done:
             continue
-        longest: dict[int, tuple[int, str]] = {}
-        for row in rows:
-            if row["size"] > longest.get(row["at"], (0, ""))[0]:
-                longest[row["at"]] = row["size"], row["right"]
-        units, parts, done = _UNITS.findall(text), [], 0
-        for at in sorted(longest):
-            if at >= done:
-                size, right = longest[at]
+        for n in sizes:
+            stop = at + n
+            right = rights[n].get(folded[ends[at] : ends[stop]]) if stop <= len(units) else None
+            # a word that ends in another character may not stand before a word character
+            if right is not None and not (stop < len(units) and units[stop][0] in _WORD_CHARS and units[stop - 1][-1] not in _WORD_CHARS):
                 parts += units[done:at]
                 parts.append(right)
-                done = at + size
-        parts += units[done:]
-        out.append("".join(parts))
+                done = stop
+                break
+    return "".join(parts + units[done:])
+
+
+@F.arrow_udf(StringType())
+def _put_in(texts: pa.Array, folded: pa.Array, words: pa.Array, sizes: pa.Array, rights: pa.Array, heads: pa.Array) -> pa.Array:
+    out = []
+    for part in pieces([pa.RecordBatch.from_arrays([texts, folded, words, sizes, rights, heads], list("abcdef"))]):
+        lists = part.columns[2:]
+        # of this piece alone: values and offsets of a slice are those of the whole batch
+        cuts = [c.offsets.to_numpy() for c in lists]
+        values = [c.values.slice(p[0], p[-1] - p[0]).to_numpy(zero_copy_only=False) for c, p in zip(lists, cuts, strict=True)]
+        places = [p - p[0] for p in cuts]
+        for k, (text, low) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
+            found = (v[p[k] : p[k + 1]].tolist() for v, p in zip(values, places, strict=True))
+            out.append(None if text is None else _replaced(text, low, zip(*found, strict=True)))
     return pa.array(out, pa.string())
 
 
+#: Base of the number of a run, and what undoes it, modulo 2 to the 64.
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+class _Numbers:
+    """Numbers of any runs of one text: the polynomial of a run's characters, a difference of two running sums."""
+
+    def __init__(self, chars: np.ndarray) -> None:
+        terms = (chars.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(chars))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+        self.down = _powers(_UNBASE, len(chars) + 1)
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        x = (self.sums[end] - self.sums[begin]) * self.down[begin]
+        # so that every bit counts
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        return x ^ (x >> np.uint64(31))
+
+
+def _chars(texts: Sequence[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+
+
+def _run_codes(texts: Sequence[str], folded: Sequence[str], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of every run of ``sizes`` units, for all texts at once: equal runs have equal numbers."""
+    chars, low, lengths = _chars(texts), _chars(folded), np.array([len(x) for x in texts], np.int64)
+    if len(low) != len(chars):
+        raise ValueError("folding a text must keep its length")
+    rows, codes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    if len(chars):
+        word = np.zeros(129, bool)
+        word[[ord(c) for c in _WORD_CHARS]] = True
+        word = word[np.minimum(chars, 128)]
+        opens = np.ones(len(chars), bool)
+        opens[1:] = ~(word[1:] & word[:-1])
+        opens[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        starts = np.append(np.flatnonzero(opens), len(chars))
+        row = np.repeat(np.arange(len(lengths)), lengths)[starts[:-1]]
+        numbers = _Numbers(low)
+        for size in (n for n in sizes if n < len(starts)):
+            inside = row[: len(row) - size + 1] == row[size - 1 :]
+            rows.append(row[: len(inside)][inside])
+            codes.append(numbers.of(starts[:-size][inside], starts[size:][inside]))
+    return np.concatenate(rows), np.concatenate(codes)
+
+
+def _with_numbers(words: DataFrame) -> DataFrame:
+    """``words`` with ``_code``, the number of ``_key``."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            every = part.column("_key").to_pylist()
+            ends = np.cumsum([0, *map(len, every)])
+            codes = _Numbers(_chars(every)).of(ends[:-1], ends[1:])
+            yield part.append_column("_code", pa.array(codes.view(np.int64)))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
+    return words.mapInArrow(number, f"{fields}, _code bigint")
+
+
+def _bitmap(words: DataFrame, n: int) -> np.ndarray:
+    """Bits for the numbers of all words, some 16 bits a word: the bit at the number modulo the size."""
+    bits = min(max(_BITMAP_BITS, 1 << (16 * n - 1).bit_length()), _MOST_BITS)
+    place = F.col("_code").bitwiseAND(F.lit(bits - 1))
+    cells = words.select(F.shiftright(place, 15).alias("cell"), (place % _BITMAP_BITS).alias("bit"))
+    made = cells.groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(bits // 8)
+    for row in made.toLocalIterator():
+        out[4096 * row["cell"] : 4096 * (row["cell"] + 1)] = row["bits"]
+    return np.frombuffer(bytes(out), np.uint8)
+
+
+def _met_runs(rows: DataFrame, keys: Sequence[str], text: str, sizes: Sequence[int], bitmap: np.ndarray) -> DataFrame:
+    """(keys, ``_code``): the numbers of the distinct runs of units of each text, without those that the bitmap
+    rules out."""
+    narrow = rows.select(*keys, F.col(text).alias("_text"), _folded(text).alias("_folded"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            row, code = _run_codes(part.column("_text").to_pylist(), part.column("_folded").to_pylist(), sizes)
+            place = code & np.uint64(8 * len(bitmap) - 1)
+            known = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            row, code = row[known], code[known]
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+            at = pa.array(row[new], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in keys), pa.array(code[new].view(np.int64))], [*keys, "_code"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return narrow.mapInArrow(cut, f"{fields}, _code bigint")
+
+
 def replace_from_table(
     rows: DataFrame, keys: Sequence[str], dictionary: DataFrame, text: str = "text", out: str | None = None
 ) -> DataFrame:
@@ -254,38 +373,32 @@ def replace_from_table(
 
     All words at once, leftmost and longest, without case, never re-scanned; a word that begins with an
     ASCII word character may not follow one, and none may stand before one. ``keys`` name one row each.
-    Runs of units, as many as some dictionary word has, are the join keys; only rows that hold a word are
-    read again. Blank and null texts stay, as do rows without a match; of entries that differ in case only
-    the one of the greatest ``line_no`` counts, or without that column the smallest ``right``.
+    Runs of units, as many as some dictionary word has, are the join keys: of each text its distinct runs,
+    without those that a bitmap of the dictionary rules out, so that what is shuffled grows with the words
+    that texts hold. Only rows that hold a word are read again. Blank and null texts stay, as do rows without
+    a match; of entries that differ in case only the one of the greatest ``line_no`` counts, or without that
+    column the smallest ``right``.
     """
     keys, out = list(keys), out or text
     order = F.struct(-F.col("line_no"), F.col("right")) if "line_no" in dictionary.columns else F.col("right")
     words = dictionary.where((F.coalesce("wrong", F.lit("")) != "") & F.col("right").isNotNull())
-    words = words.withColumn("_key", _folded("wrong")).withColumn("_size", F.size(_units("wrong"))).groupBy("_key", "_size").agg(
-        F.min_by("right", order).alias("_right")
+    words = words.withColumn("_key", _folded("wrong")).withColumn("_u", _units("wrong")).groupBy("_key", F.size("_u").alias("_size")).agg(
+        F.min_by("right", order).alias("_right"), F.collect_set(F.length(F.col("_u")[0])).alias("_heads")
     )
+    # letters that fold to ASCII ones may begin a word otherwise: a row for each length of the first unit
+    words = words.select("_key", "_size", "_right", F.explode("_heads").alias("_head"))
+    words = written(_with_numbers(words), "dictionary")
     # the lengths of words in units: few, whatever the number of words
-    sizes = sorted(r[0] for r in words.select("_size").distinct().collect())
-    if not sizes:
+    counts = {r["_size"]: r["n"] for r in words.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return rows.withColumn(out, F.col(text))
-    rows = rows.repartition(*keys)
-    live = rows.select(*keys, F.col(text).alias("_text")).where(~t.is_blank(text))
-    units = t.computed(live, _u=_units("_text"))
-    # every unit with those after it, as many as the longest word has and one more
-    ahead = [F.slice("_u", F.lit(k + 1), F.size("_u")).alias(f"_u{k}") for k in range(sizes[-1] + 1)]
-    spots = units.select(*keys, F.posexplode(F.arrays_zip(*ahead)).alias("at", "_s"))
-    runs = [
-        F.struct(
-            F.lit(n).alias("_size"), F.concat(*[F.col(f"_s._u{k}") for k in range(n)]).alias("run"),
-            F.coalesce(F.col(f"_s._u{n}"), F.lit("")).alias("next"),
-        )
-        for n in sizes
-    ]
-    cut = spots.select(*keys, "at", F.inline(F.array(*runs))).where(F.col("run").isNotNull()).withColumn("_key", _folded("run"))
-    # a word that ends in another character may not stand before a word character
-    ends_open = ~F.col("run").rlike(r"[0-9A-Za-z_]\z") & F.col("next").rlike("^[0-9A-Za-z_]")
-    met = cut.where(~ends_open).join(words, ["_key", "_size"])
-    found = met.groupBy(*keys).agg(F.collect_list(F.struct("at", F.col("_size").alias("size"), F.col("_right").alias("right"))).alias("_found"))
+    live = rows.where(~t.is_blank(text))
+    runs = _met_runs(live, keys, text, sorted(counts), _bitmap(words, sum(counts.values())))
+    # what meets by its number alone is told apart in the text
+    met = runs.join(words, "_code")
+    found = met.groupBy(*keys).agg(F.collect_list(F.struct("_key", "_size", "_right", "_head")).alias("_found"))
     joined = rows.join(found, keys, "left")
-    changed = _put_in(F.when(F.col("_found").isNotNull(), F.col(text)), F.col("_found"))
+    held = F.col("_found").isNotNull()
+    fields = [F.col(f"_found.{c}") for c in ("_key", "_size", "_right", "_head")]
+    changed = _put_in(F.when(held, F.col(text)), F.when(held, _folded(text)), *fields)
     return joined.withColumn(out, F.coalesce(changed, F.col(text))).drop("_found")

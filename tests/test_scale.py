@@ -1,11 +1,30 @@
 """Words that meet texts: numbers of runs, and files by runs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from talkledger.operators import matching
 
 
+def test_runs_have_one_number_wherever_they_stand():
+    texts = ["the cat", "", "a the cat, THE cat", "é"]
+    row, code = matching._run_codes(texts, [x.lower() for x in texts], [1, 3])
+    words = ["the", "the cat", "a", "cat, "]
+    known = matching._Numbers(matching._chars(words))
+    ends = np.cumsum([0, *map(len, words)])
+    number = dict(zip(words, known.of(ends[:-1], ends[1:]).tolist()))
+    hits = {w: row[code == np.uint64(x)].tolist() for w, x in number.items()}
+    assert hits == {"the": [0, 2, 2], "the cat": [0, 2, 2], "a": [2], "cat, ": [2]}
+
+
+def test_words_that_fold_to_ascii_begin_as_they_are_written(spark):
+    rows = spark.createDataFrame([(1, "Kab kab xkab"), (2, "KAB")], "id long, text string")
+    words = spark.createDataFrame([("Kab", "1"), ("kab", "2")], "wrong string, right string")
+    got = {r.id: r.text for r in matching.replace_from_table(rows, ["id"], words).collect()}
+    assert got == {1: "1 2 xkab", 2: "2"}
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_first_keyword_of_short_long_and_odd_words(spark, monkeypatch, few):
     monkeypatch.setattr(matching, "SMALL_WORDS", few)
