@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,7 +20,8 @@ OUTPUT = (
 class ResponseAssembler(StatefulProcessor):
     """Keeps the parts of one request until its ``done`` line, or until no line came for ``timeout_ms``.
 
-    Parts are a list state, so that a long response is appended, not rewritten. What is left of an ended
+    Parts are a list state, so that a long response is appended, not rewritten; what comes with the ``done``
+    line goes out without a way through the state, whose every call is a message to the store. What is left of an ended
     request is a tombstone: lines that still come are dropped, and after ``tombstone_ms`` it goes by itself.
     Without ``timeout_ms`` there is no clock: open requests and tombstones stay in the state.
     """
@@ -37,48 +37,42 @@ class ResponseAssembler(StatefulProcessor):
         life = {"ttlDurationMs": self.tombstone_ms} if self.timeout_ms else {}
         self.ended = handle.getValueState("ended", "at bigint", **life)
 
-    def _end(self, key, now: int, model=None, duration=None, tokens=None, timed_out: bool = False) -> pd.DataFrame:
-        text = "".join(p for _, p in sorted(self.parts.get()))
-        self.parts.clear()
-        self.timer.clear()
+    def _end(self, key, now: int, new=(), model=None, duration=None, tokens=None, timed_out: bool = False) -> Row:
+        old = [tuple(part) for part in self.parts.get()]
+        if old:
+            self.parts.clear()
+        if self.timeout_ms:
+            self.timer.clear()
         self.ended.update((now,))
-        row = pd.DataFrame(
-            [(key[0], text, model, duration, tokens, timed_out)],
-            columns=["request_id", "content", "model", "total_duration", "eval_count", "timed_out"],
-        )
-        return row.astype({"total_duration": "Int64", "eval_count": "Int64", "model": "object"})
+        text = "".join(p for _, p in sorted([*old, *new]))
+        return Row(request_id=key[0], content=text, model=model, total_duration=duration, eval_count=tokens, timed_out=timed_out)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if self.ended.exists():
             for _ in rows:
                 pass
             return
         now = timerValues.getCurrentProcessingTimeInMs() if self.timeout_ms else 0
         new, final = [], None
-        for pdf in rows:
-            done = pdf[pdf["done"]]
-            if len(done):
-                first = done.loc[done["line_no"].idxmin()]
-                if final is None or first["line_no"] < final["line_no"]:
-                    final = first
-            spoken = pdf[pdf["part"].notna()]
-            new.extend(zip(spoken["line_no"].astype("int64").tolist(), spoken["part"].tolist(), strict=True))
-        if final is not None:
-            new = [part for part in new if part[0] <= final["line_no"]]
-        if new:
-            self.parts.appendList(new)
-        if self.timer.exists():
+        for row in rows:
+            if row.done and (final is None or row.line_no < final.line_no):
+                final = row
+            if row.part is not None:
+                new.append((row.line_no, row.part))
+        if self.timeout_ms and self.timer.exists():
             self.handle.deleteTimer(self.timer.get()[0])
         if final is not None:
-            numbers = [None if pd.isna(final[c]) else int(final[c]) for c in ("total_duration", "eval_count")]
-            yield self._end(key, now, final["model"], *numbers)
+            new = [part for part in new if part[0] <= final.line_no]
+            yield self._end(key, now, new, final.model, final.total_duration, final.eval_count)
             return
+        if new:
+            self.parts.appendList(new)
         if self.timeout_ms:
             at = now + self.timeout_ms
             self.handle.registerTimer(at)
             self.timer.update((at,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield self._end(key, timerValues.getCurrentProcessingTimeInMs(), timed_out=True)
 
     def close(self) -> None:
@@ -109,7 +103,7 @@ def assembled_stream(lines: DataFrame, timeout_ms: int | None = 300_000, tombsto
 
     One row per request: at its first ``done`` line with the parts up to it, or timed out with what came.
     """
-    return read_chunks(lines).groupBy("request_id").transformWithStateInPandas(
+    return read_chunks(lines).groupBy("request_id").transformWithState(
         statefulProcessor=ResponseAssembler(timeout_ms, tombstone_ms),
         outputStructType=OUTPUT,
         outputMode="Append",

@@ -5,6 +5,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 
 from talkledger.operators.evidence import apply_review
 from talkledger.operators.ordered import SLICE_ROWS
@@ -155,3 +156,55 @@ def test_review_table_counts_every_update_once(spark, tmp_path):
 @pytest.fixture(autouse=True)
 def utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+class _Cell:
+    """A state variable that counts its calls."""
+
+    def __init__(self, calls):
+        self.rows, self.calls = [], calls
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("exists", "get"):
+                return bool(self.rows) if name == "exists" else iter(self.rows)
+            self.rows = {"clear": [], "update": list(args), "appendList": self.rows + list(args[0] if args else ())}[name]
+
+        return call
+
+
+class _Handle:
+    def __init__(self):
+        self.calls = []
+
+    def getListState(self, name, schema):
+        return _Cell(self.calls)
+
+    getValueState = getListState
+
+
+def test_a_request_that_ends_at_once_sends_no_part_through_the_state():
+    handle = _Handle()
+    machine = tokens.ResponseAssembler(None, None)
+    machine.init(handle)
+
+    def line(n, part, done=False):
+        return Row(request_id="a", line_no=n, part=part, done=done, model="m" if done else None, total_duration=None, eval_count=n if done else None)
+
+    out = list(machine.handleInputRows(("a",), iter([line(3, "after"), line(1, "lo", True), line(0, "Hel"), line(2, None, True)]), None))
+    assert [tuple(r) for r in out] == [("a", "Hello", "m", None, 1, False)]
+    assert sorted(handle.calls) == ["exists", "get", "update"]
+    assert list(machine.handleInputRows(("a",), iter([line(4, "late", True)]), None)) == []
+
+
+def test_parts_of_an_open_request_wait_in_the_state():
+    machine = tokens.ResponseAssembler(None, None)
+    machine.init(_Handle())
+
+    def line(n, part, done=False):
+        return Row(request_id="a", line_no=n, part=part, done=done, model=None, total_duration=None, eval_count=None)
+
+    assert list(machine.handleInputRows(("a",), iter([line(2, "c"), line(0, "a")]), None)) == []
+    out = list(machine.handleInputRows(("a",), iter([line(3, None, True), line(1, "b")]), None))
+    assert [r.content for r in out] == ["abc"]
