@@ -352,7 +352,7 @@ def written_transcripts(spark, folder):
 FROM conversations GROUP BY conv_id""",
 )
 def incremental_inventory(spark, folder):
-    """Files that come in two steps; each run of the stream takes in the new ones alone."""
+    """Files that come in two steps; each run takes in the new ones alone."""
     base = new_folder(spark, "inventory")
     root = f"{base}/files"
     e = v.entries(spark, folder, v.SLICE)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,90 @@ from talkledger.functions import text as t
 from talkledger.operators.batches import PIECE_BYTES, pieces
 
 
+#: Rows that a task gives out at once.
+LISTED_ROWS = 1 << 13
+
+
+def file_system(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a root and the path in it: a mounted folder, or what a URI such as hdfs:// or s3:// names."""
+    if root.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(root) if "://" in root else (pyarrow.fs.LocalFileSystem(), root)
+
+
+def _inside(fs: pyarrow.fs.FileSystem, base: str, below: str = "") -> Iterator[tuple[str, bool, int]]:
+    """(path from ``base``, is a folder, length) of what a folder holds, without what Spark's readers leave out."""
+    if isinstance(fs, pyarrow.fs.LocalFileSystem):
+        with os.scandir(f"{base}/{below}") as found:
+            entries = ((x.name, x.is_dir(), x) for x in found)
+            for name, folder, x in entries:
+                if not _hidden(name, folder):
+                    yield below + name, folder, 0 if folder else x.stat().st_size
+    else:
+        for x in fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/{below}".rstrip("/"))):
+            folder = x.type == pyarrow.fs.FileType.Directory
+            if not _hidden(x.base_name, folder):
+                yield below + x.base_name, folder, x.size or 0
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _below(fs: pyarrow.fs.FileSystem, base: str, folder: str) -> Iterator[tuple[str, int]]:
+    open_ = [folder]
+    while open_:
+        for path, is_folder, length in _inside(fs, base, open_.pop() + "/"):
+            if is_folder:
+                open_.append(path)
+            else:
+                yield path, length
+
+
+def as_batches(rows: Iterable[tuple], schema: pa.Schema, most: int = LISTED_ROWS) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """(inside, length) of all files under ``root``, by their path from there; no contents are read.
+
+    Tasks list the folders and keep the names, so that the driver sees none of them: one task the names right
+    under ``root``, all tasks together what is below. ``root`` is a folder that executors see, by a path or a
+    URI that pyarrow knows. Hidden files are left out as Spark's readers leave them out.
+    """
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("inside", pa.string()), ("folder", pa.bool_()), ("length", pa.int64())])
+        for batch in batches:
+            if batch.num_rows:
+                yield from as_batches(_inside(*file_system(root)), schema)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, base), schema = file_system(root), pa.schema([("inside", pa.string()), ("length", pa.int64())])
+        folders = (x for batch in batches for x in batch.column(0).to_pylist())
+        return as_batches((found for x in folders for found in _below(fs, base, x)), schema)
+
+    first = spark.range(0, 1, 1, 1).mapInArrow(top, "inside string, folder boolean, length long")
+    # by a number of its own: the names are few bytes, but each of them is a folder to be listed
+    dealt = first.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "inside")
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folder = batch.column(1)
+            yield batch.filter(pc.invert(folder)).select(["inside", "length"])
+            yield from below([batch.filter(folder)])
+
+    return dealt.mapInArrow(every, "inside string, length long")
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, content) of whole files, found recursively."""
     return (
@@ -162,30 +249,35 @@ def read_artifacts(files: DataFrame, name: str) -> DataFrame:
 
 
 def artifact_files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """(recording_id, content) of ``root``/recording/``name``."""
-    files = read_files(spark, root, name)
-    return files.select(recording_of(F.col("path"), root).alias("recording_id"), "content")
+    """(recording_id, content) of ``root``/recording/``name``, found and read by tasks."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = file_system(root)
+        held, size = [], 0
+        for inside in (x for batch in batches for x in batch.column(0).to_pylist()):
+            with fs.open_input_stream(f"{base}/{inside}") as source:
+                held.append((inside.split("/", 1)[0], source.read()))
+            size += len(held[-1][1])
+            if size > PIECE_BYTES or len(held) == LISTED_ROWS:
+                yield from as_batches(held, schema)
+                held, size = [], 0
+        yield from as_batches(held, schema)
+
+    schema = pa.schema([("recording_id", pa.string()), ("content", pa.binary())])
+    found = listed_files(spark, root).where((F.col("length") > 0) & (F.substring_index("inside", "/", -1) == name))
+    return found.select("inside").mapInArrow(read, "recording_id string, content binary")
 
 
-def inside_root(path: Column, root: str) -> Column:
-    """What follows ``root`` in a path; empty where it is not below it. ``root`` may name its scheme or not."""
-    below = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"
-    at = F.locate(below, path)
-    return F.when(at > 0, F.substring(path, at + len(below), F.length(path))).otherwise("")
+def artifact_paths(spark: SparkSession, root: str) -> DataFrame:
+    """(recording_id, file) of everything under ``root``; contents are not read."""
+    return listed_files(spark, root).where("length > 0").select(recording_part(), file_part())
 
 
-def recording_of(path: Column, root: str) -> Column:
-    return F.split_part(inside_root(path, root), F.lit("/"), F.lit(1))
+def recording_part() -> Column:
+    return F.split_part("inside", F.lit("/"), F.lit(1)).alias("recording_id")
 
 
-def artifact_paths(spark: SparkSession, root: str) -> DataFrame:
-    """(recording_id, file) of everything under ``root``; contents are not read."""
-    files = read_files(spark, root).select("path")
-    inside = inside_root(F.col("path"), root)
-    return files.select(
-        F.split_part(inside, F.lit("/"), F.lit(1)).alias("recording_id"),
-        F.regexp_replace(inside, "^[^/]*/", "").alias("file"),
-    )
+def file_part() -> Column:
+    return F.regexp_replace("inside", "^[^/]*/", "").alias("file")
 
 
 def entries_of(transcripts: DataFrame) -> DataFrame:

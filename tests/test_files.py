@@ -138,3 +138,32 @@ def test_second_run_of_the_inventory_takes_in_new_files_alone(spark, tmp_path):
     metas = readers.artifact_files(spark, root, "meta.json")
     got = {r.recording_id: (r.keyframe_count, r.audio_path) for r in readers.artifact_inventory(files.taken_in(spark, table), metas).collect()}
     assert got == {"r1": (4, "audio.wav"), "r2": (0, None)}
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    for path in ("r1/a.json", "r1/deep/a.json", "r1/b.json", "r1/.a.json", "r1/_x/a.json", "_attempts/a.json", "r2/x=1/a.json", "a.json", "r2/empty/a.json"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(b"" if "empty" in path else path.encode())
+    root = str(tmp_path)
+    found = readers.artifact_files(spark, root, "a.json")
+    assert not found.inputFiles() and not readers.artifact_paths(spark, root).inputFiles()  # the driver lists none
+    assert {(r.recording_id, bytes(r.content).decode()) for r in found.collect()} == {
+        ("r1", "r1/a.json"), ("r1", "r1/deep/a.json"), ("r2", "r2/x=1/a.json"), ("a.json", "a.json")
+    }
+    assert {tuple(r) for r in readers.artifact_paths(spark, root).collect()} == {
+        ("r1", "a.json"), ("r1", "deep/a.json"), ("r1", "b.json"), ("r2", "x=1/a.json"), ("a.json", "a.json")
+    }
+
+
+def test_an_inventory_run_that_broke_off_counts_once(spark, tmp_path):
+    root, table, checkpoint = (str(tmp_path / x) for x in ("in", "table", "cp"))
+    (tmp_path / "in" / "r1" / "frames").mkdir(parents=True)
+    (tmp_path / "in" / "r1" / "frames" / "0.jpg").write_bytes(b"f")
+    files.take_in_paths(spark, root, table, checkpoint)
+    files.take_in_paths(spark, root, table, checkpoint)  # nothing new
+    (tmp_path / "in" / "r1" / "frames" / "1.jpg").write_bytes(b"f")
+    files.take_in_paths(spark, root, table, checkpoint)
+    (tmp_path / "cp" / "runs" / "1").unlink()  # as if it had broken off after its rows
+    (tmp_path / "in" / "r1" / "frames" / "2.jpg").write_bytes(b"f")
+    files.take_in_paths(spark, root, table, checkpoint)
+    assert sorted(r.n for r in files.taken_in(spark, table).collect()) == [1, 2]
