@@ -207,8 +207,13 @@ def audit_prompts(
     screen_text: DataFrame,
     examples: DataFrame,
     words: PromptWords = PromptWords(),
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    """One prompt per (chunk, group); parts that are absent are left out."""
+    """One prompt per (chunk, group); parts that are absent are left out.
+
+    ``work`` has the text of its rules, or ``groups`` has it by sheet and group: a text that is long and shared
+    by many prompts then joins them last, after all shuffles.
+    """
     chunk = ["recording_id", "chunk_idx"]
     line = F.format_string("[%s] [%s]: %s", "timestamp", "speaker", "text_corrected")
     spoken = entries.withColumn("_line", line).groupBy(*chunk).agg(
@@ -229,6 +234,8 @@ def audit_prompts(
         .join(seen, chunk, "left")
         .join(listed, "sheet_id", "left")
     )
+    if groups is not None:
+        rows = rows.join(groups.select("sheet_id", "group_name", "rules_text"), ["sheet_id", "group_name"])
     prompt = F.concat_ws(
         "\n\n",
         F.format_string(words.rules, "rules_text"),
